@@ -2,9 +2,28 @@
 
 from __future__ import annotations
 
+from .decontaminate import op1_decontamination
+from .langid import op8_language_id
+from .mixing import OP7_SQL, op7_mixing
+from .near import op10_minhash_near_dedup
+from .pii import op9_pii
 from .quality import op2_quality_rules
+from .rollups import op5_token_counts
+from .tokens import op4_token_output
+from .urls import OP3_SQL, op3_url_filters
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_quality_rules": op2_quality_rules,
+    "op3_url_filters": op3_url_filters,
+    "op4_token_output": op4_token_output,
+    "op5_token_counts": op5_token_counts,
+    "op7_mixing": op7_mixing,
+    "op8_language_id": op8_language_id,
+    "op9_pii": op9_pii,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
+}
+ORACLES: dict[str, str] = {
+    "op3_url_filters": OP3_SQL,
+    "op7_mixing": OP7_SQL,
 }
-ORACLES: dict[str, str] = {}
