@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,3 +58,19 @@ def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its size has been checked, else as it is (a shuffled join follows)."""
     return F.broadcast(df) if bounded(df, limit) else df
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session, so that they can import it wherever they run."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        _shipped.add(sc.applicationId)
+        root = pathlib.Path(__file__).resolve().parents[1]
+        name = f"{tempfile.mkdtemp(prefix='tidewrack-')}/{root.name}.zip"
+        with zipfile.ZipFile(name, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        sc.addPyFile(name)

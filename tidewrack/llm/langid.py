@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import ship, table
 
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 16, 256
 MAX_LANGS, PER_LANG, WINDOWS = 64, 600, 3
@@ -168,6 +168,7 @@ def identify(docs: DataFrame, model: ByteCNN) -> DataFrame:
                 lang[ok], score[ok] = model.predict(texts)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": lang, "score": score})
 
+    ship(docs.sparkSession)
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", letter).mapInPandas(batches, "doc_id long, lang_pred string, score double")
 

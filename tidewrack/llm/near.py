@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded, cut, drop_cut, table
+from .common import bounded, cut, drop_cut, ship, table
 from .components import components
 from .hashing import chunks, shingle_sets
 
@@ -99,6 +99,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id)."""
+    ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sk = cut(sketches(docs), "sketches")
     classes = cut(sk.where("doc_id is not null and n > 0").groupBy("key").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("m")).select("key", F.col("m.doc_id").alias("id"), F.col("m.n").alias("n"), F.col("m.sketch").alias("sketch")), "classes")

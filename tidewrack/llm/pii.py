@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import ship, table
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("masked", "login", "account", "street")
@@ -162,6 +162,7 @@ def _batches(batches):
 
 def spans(docs: DataFrame) -> DataFrame:
     """doc_id, spans: array of (kind, start, end, value)."""
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_batches, "doc_id long, spans array<struct<kind:string,start:long,end:long,value:string>>")
 
 

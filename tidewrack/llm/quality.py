@@ -32,12 +32,12 @@ def _pairs(d: DataFrame, out: str, c: str, by: int) -> DataFrame:
     return d.withColumn(out, F.slice(F.zip_with(c, _shifted(c, by), lambda a, b: F.xxhash64(a, b)), 1, F.greatest(F.size(c) - by, F.lit(0))))
 
 
-def base_columns(docs: DataFrame) -> DataFrame:
-    """doc_id, w (words), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+def base_columns(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The key column, w (words), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    d = docs.select("doc_id", words(F.col("text")).alias("w"), (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"), lines.alias("lines"))
-    d = d.select("doc_id", "w", "n_symbols", F.length(F.array_join("w", "")).cast("long").alias("word_chars"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"))
+    d = docs.select(key, words(F.col("text")).alias("w"), (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"), lines.alias("lines"))
+    d = d.select(key, "w", "n_symbols", F.length(F.array_join("w", "")).cast("long").alias("word_chars"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"))
     # windows of 2, 4 and 8 words, each from two of the size before
     d = _pairs(_pairs(_pairs(d, "h2", "w", 1), "h4", "h2", 2), "wins", "h4", 4).drop("h2", "h4")
     # only texts with an equal pair of windows sort them
@@ -48,7 +48,7 @@ def base_columns(docs: DataFrame) -> DataFrame:
         F.filter(F.transform("s", lambda x, i: F.struct(x.getField("p").alias("p"), (same(x, F.get("s", i - 1)) | same(x, F.get("s", i + 1))).alias("dup"))), lambda x: x.getField("dup")),
         lambda x: x.getField("p"))))
     covered = F.aggregate(F.transform("at", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get("at", i + 1) - p, F.lit(WINDOW)))), F.lit(0), lambda a, x: a + x)
-    d = d.select("doc_id", "w", F.size("w").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    d = d.select(key, "w", F.size("w").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
     return d.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
@@ -83,12 +83,18 @@ def score(d: DataFrame, ratios: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return d.withColumn("llr", F.when(n > 0, (total("g") + total("g2")) / n / SCALE)).drop("g", "g2", "r")
 
 
-def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
+def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, key: str = "doc_id") -> DataFrame:
     """Every document with its rule columns, `llr`, and `kept`: base rules hold and the ratio reaches the threshold."""
-    d = score(base_columns(docs.select("doc_id", "text")), log_ratios(docs.select("doc_id", "text"), trusted, buckets), buckets).drop("w")
+    d = score(base_columns(docs.select(key, "text"), key), log_ratios(docs.select("doc_id", "text"), trusted, buckets), buckets).drop("w")
     return d.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(True)))
 
 
+def accepted(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """The rows of docs that are kept, with all their columns; their texts are not shuffled."""
+    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("tidewrack_row"))
+    return judge(whole, trusted, key="tidewrack_row").where("kept").select("tidewrack_row.*")
+
+
 def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1").select("doc_id")
 

@@ -9,6 +9,7 @@ from .near import op10_minhash_near_dedup
 from .pii import op9_pii
 from .quality import op2_quality_rules
 from .rollups import op5_token_counts
+from .suffix import op6_suffix_dedup
 from .tokens import op4_token_output
 from .urls import OP3_SQL, op3_url_filters
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_url_filters": op3_url_filters,
     "op4_token_output": op4_token_output,
     "op5_token_counts": op5_token_counts,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_mixing": op7_mixing,
     "op8_language_id": op8_language_id,
     "op9_pii": op9_pii,

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, shared_dir, table
+from .common import bounded, cut, shared_dir, ship, table
 
 KEYS = ("source", "lang", "tokenizer_version")
 _SCHEMA = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
@@ -77,6 +77,7 @@ def count_tokens(docs: DataFrame, version: str, path: str | None = None, pattern
             n = [len(encode(t)) if t else 0 for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "lang": pdf["lang"], "n_tokens": n})
 
+    ship(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", "text")
     return d.mapInPandas(batches, "doc_id long, source string, lang string, n_tokens long").withColumn("tokenizer_version", F.lit(version))
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import coder
-from .common import bounded, shared_dir, table
+from .common import bounded, shared_dir, ship, table
 
 END, FRAME, CACHE = 1, coder.BLOCK * coder.LANES, 200_000
 _GAP = re.compile("[ \t\n\r]+")
@@ -94,6 +94,7 @@ def write(docs: DataFrame, folder: str, path: str, by_word: bool = True) -> None
         if docs_:
             yield flush()
 
+    ship(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     d.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInPandas(frames, _ROW).write.mode("overwrite").parquet(folder)
 
@@ -111,6 +112,7 @@ def read(spark: SparkSession, folder: str, ids: bool = True) -> DataFrame:
                 doc = pd.array([None if x is None or x != x else int(x) for x in f.doc_ids], dtype="Int64")
                 yield pd.DataFrame({"doc_id": doc, "shard": f.shard, "frame": f.frame, "at": starts, "n_tokens": lens, "ids_crc32": [zlib.crc32(p.tobytes()) for p in parts], "ids": [p.astype(np.int32) if with_ids else None for p in parts]})
 
+    ship(spark)
     t = spark.read.schema(_ROW).parquet(folder)
     out = t.select("shard", "frame", "doc_ids", "lens", "data").mapInPandas(documents, "doc_id long, shard int, frame int, at long, n_tokens long, ids_crc32 long, ids array<int>")
     # a row for each shard, then for each frame within its shard
