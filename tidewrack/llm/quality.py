@@ -92,7 +92,9 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buc
 def accepted(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with all their columns; their texts are not shuffled."""
     whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("tidewrack_row"))
-    return judge(whole, trusted, key="tidewrack_row").where("kept").select("tidewrack_row.*")
+    # not a filter: Catalyst would copy the whole judgement into its condition, term by term
+    row = F.explode(F.when(F.col("kept"), F.array("tidewrack_row"))).alias("row")
+    return judge(whole, trusted, key="tidewrack_row").select(row).select("row.*")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
