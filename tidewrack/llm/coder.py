@@ -1,16 +1,18 @@
 """Adaptive context-mixing range coder for token ids, many blocks in lock step with numpy.
 
-A frame holds blocks of BLOCK ids; each block starts from a reset model, ends in its own bytes and has its own CRC-32, so
-that blocks are independent. Ids must be below 65,536. Each id is coded as up to three decisions:
+A frame holds blocks of BLOCK ids; each block starts from a reset model, ends in its own words and has its own CRC-32, so
+that blocks are independent. Ids must be below 65,536. An id is one interval of the coder's range, or two:
 
-1. is it the id that the order-2 context predicts? The probability mixes what order 2, order 1 and order 0 say, in the
-   logistic domain, with weights that learn;
-2. if not, and order 1 predicts another id: is it that one?
-3. if not: the id by order-0 counts, its high byte, then its low byte under the high byte (hashed to 64 groups).
+- the id that its order-2 context predicts gets what a mixer says (order 2's and order 1's experience with predictions of
+  this confidence, in the logistic domain, with weights that learn);
+- the id that its order-1 context predicts gets its share of the rest, where it is another id;
+- any other id comes by order-0 counts: its high byte shares what is left, then its low byte follows under the high byte's
+  group. Counts take effect at fixed steps, so that cumulative tables are rebuilt a few times a block only.
 
-All arithmetic is on integers, so every machine decodes alike. The range coder is the carry-less 32-bit one.
+All arithmetic is on integers, so every machine decodes alike. The range coder is carry-less, with 64-bit state and
+32-bit output words.
 
-Frame: magic, version, ids, block size, then for each block its bytes and CRC (little-endian 32-bit), then the bytes.
+Frame: magic, version, ids, block size, then for each block its bytes and CRC (little-endian 32-bit), then the words.
 """
 
 from __future__ import annotations
@@ -20,211 +22,196 @@ import zlib
 
 import numpy as np
 
-BLOCK, LANES = 2048, 1024
+BLOCK, LANES = 2048, 2048
 MAGIC, HEAD = b"TWCM", struct.Struct("<4sBxxxQI")
-SLOTS, GROUPS, STEP = 4096, 64, 24
-_TOP, _BOT = np.uint32(1 << 24), np.uint32(1 << 16)
+SLOTS, GROUPS = 1024, 16
+#: Steps at which counts take effect.
+REBUILD = frozenset((16, 64, 192, 512, 1024, 1536))
+_WORD, _LOW32 = np.uint64(1 << 32), np.uint64((1 << 32) - 1)
+_16, _32 = np.uint64(16), np.uint64(32)
 
+#: Logistic function and its inverse as fixed integer tables (probabilities in 4096ths, logits in 256ths).
+SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2048, 2048) / 256.0))), 1, 3584).astype(np.int32)
+STRETCH = np.clip(np.round(256 * np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096)))), -2047, 2047).astype(np.int32)
+#: Confidence after a wrong (first 16) or right prediction.
+_NEXT = np.array([1, 1, *[c >> 1 for c in range(2, 16)], *[min(c + 1, 15) for c in range(16)]], np.uint32)
 
-def _squash(x: np.ndarray) -> np.ndarray:
-    return 4096 / (1 + np.exp(-x / 256.0))
 
+class _Counts:
+    """Counts of 256 values in rows, and their cumulative tables of a fixed total, rebuilt on demand."""
 
-#: Logistic function and its inverse as fixed integer tables (probabilities in 4096ths, logits in 256ths).
-SQUASH = np.clip(np.round(_squash(np.arange(-2048, 2048))), 1, 4095).astype(np.int32)
-STRETCH = np.clip(np.round(256 * np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096)))), -2047, 2047).astype(np.int32)
+    def __init__(self, rows: int, total: int, floor: int):
+        self.total, self.floor, self.n = total, floor, np.zeros((rows, 256), np.uint16)
+        self.flat = self.n.reshape(-1)
+        even = (np.arange(257) * (total // 256)).astype(np.int32)
+        self.cum = np.tile(even, rows)
 
+    def rebuild(self) -> None:
+        sums = self.n.sum(axis=1, dtype=np.int32)
+        scale = ((self.total - 256 * self.floor) << 8) // np.maximum(sums, 1)
+        cum = self.cum.reshape(-1, 257)
+        np.cumsum(self.n * scale[:, None].astype(np.int32) >> 8, axis=1, dtype=np.int32, out=cum[:, 1:])
+        # what rounding leaves over goes evenly to all values, the remainder to the last
+        each = (self.total - cum[:, 256]) // 256
+        cum += np.arange(257, dtype=np.int32) * each[:, None]
+        cum[:, 256] = self.total
 
-class _Lanes:
-    """Models of n blocks; encode() and decode() run the same steps."""
 
+class _Model:
     def __init__(self, n: int):
-        self.n, self.at = n, np.arange(n)
-        self.id = [np.zeros(n * SLOTS, np.uint16) for _ in range(2)]
-        self.conf = [np.zeros(n * SLOTS, np.uint8) for _ in range(2)]
-        self.hit = [np.full(n * 32, 2048, np.int32) for _ in range(2)]  # chance that a prediction of that confidence is right
-        self.w = np.full((n, 3), 1 << 15, np.int32)  # 65,536ths
-        tree = (np.arange(257) & -np.arange(257)).astype(np.uint16)  # all counts 1
-        self.high = np.tile(tree, n)
-        self.low = np.tile(tree, n * GROUPS)
-        self.n_high = np.full(n, 256, np.int64)
-        self.n_low = np.full(n * GROUPS, 256, np.int64)
-        self.p1 = self.p2 = np.zeros(n, np.int64)
-
-    def contexts(self, lanes: np.ndarray) -> None:
-        a, b = self.p1[lanes], self.p2[lanes]
-        self.slot = [lanes * SLOTS + ((a * 40503 >> 4) & (SLOTS - 1)), lanes * SLOTS + ((a * 40503 + b * 60493 >> 5) & (SLOTS - 1))]
-        self.guess = [t[s] for t, s in zip(self.id, self.slot, strict=True)]
-        self.c = [t[s] for t, s in zip(self.conf, self.slot, strict=True)]
-
-    def chance2(self, lanes: np.ndarray) -> np.ndarray:
-        """Mixed probability (4096ths) that the order-2 guess is right."""
-        same = self.guess[0] == self.guess[1]
-        self.bin = [lanes * 32 + self.c[k] * 2 + same for k in (0, 1)]
-        one, two = (STRETCH[h[b] & 4095] for h, b in zip(self.hit, self.bin, strict=True))
-        zero = STRETCH[np.minimum(self.count(self.high, lanes, self.guess[1] >> 8) * 4096 // self.n_high[lanes], 4095)]
-        self.inputs = np.stack([two, np.where(same, one, -one), zero >> 3], axis=1)
-        self.mixed = SQUASH[np.clip((self.inputs * self.w[lanes]).sum(axis=1) >> 16, -2048, 2047) + 2048]
-        return self.mixed
-
-    def learn2(self, lanes: np.ndarray, right: np.ndarray) -> None:
-        err = (right.astype(np.int32) << 12) - self.mixed
-        self.w[lanes] += (self.inputs * err[:, None] + (1 << 12)) >> 13
-
-    def learn(self, lanes: np.ndarray, ids: np.ndarray) -> None:
-        for k in (0, 1):
-            right, s, c = self.guess[k] == ids, self.slot[k], self.c[k]
-            h = self.hit[k][self.bin[k]]
-            self.hit[k][self.bin[k]] = np.clip(h + (((right.astype(np.int32) << 12) - h) >> 4), 1, 4095)
-            self.id[k][s] = np.where(right | (c > 1), self.guess[k], ids)
-            self.conf[k][s] = np.where(right, np.minimum(c + 1, 15), np.where(c > 1, c >> 1, 1))
-        self.p2[lanes], self.p1[lanes] = self.p1[lanes], ids
-
-    @staticmethod
-    def below(tree: np.ndarray, row: np.ndarray, v: np.ndarray) -> np.ndarray:
-        """Sum of the counts of values under v, of the binary indexed trees at row."""
-        total, base, i = np.zeros(len(row), np.int64), row * 257, v.astype(np.int64)
-        for _ in range(8):
-            total += tree[base + i]
-            i &= i - 1
-        return total  # entry 0 of a tree is 0
-
-    def count(self, tree: np.ndarray, row: np.ndarray, v: np.ndarray) -> np.ndarray:
-        v = v.astype(np.int64)
-        return self.below(tree, row, v + 1) - self.below(tree, row, v)
-
-    @staticmethod
-    def add(tree: np.ndarray, row: np.ndarray, v: np.ndarray) -> None:
-        base, i = row * 257, v.astype(np.int64) + 1
-        for _ in range(9):
-            ok = i <= 256
-            tree[(base + i)[ok]] += STEP
-            i = i + (i & -i)
-
-    @staticmethod
-    def find(tree: np.ndarray, row: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The value whose count interval holds x, and where the interval starts."""
-        base, i, start = row * 257, np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
-        for step in (128, 64, 32, 16, 8, 4, 2, 1):
-            t = tree[base + i + step]
-            go = start + t <= x
-            start += np.where(go, t, 0)
-            i += np.where(go, step, 0)
-        return i, start
+        self.base, self.bins = np.arange(n) * SLOTS, np.arange(n) * 32
+        self.t1, self.t2 = np.zeros(n * SLOTS, np.uint32), np.zeros(n * SLOTS, np.uint32)  # id and confidence
+        self.h1, self.h2 = np.full(n * 32, 1024, np.int32), np.full(n * 32, 1024, np.int32)  # chance that such a prediction is right
+        self.w1, self.w2 = np.full(n, 1 << 14, np.int32), np.full(n, 3 << 14, np.int32)  # 65,536ths
+        self.high, self.low = _Counts(n, 4096, 2), _Counts(n * GROUPS, 65536, 16)
+        self.p1, self.p2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
+
+    def predict(self, n: int) -> None:
+        a = self.p1[:n] * 40503
+        self.s1, self.s2 = self.base[:n] + (a >> 4 & SLOTS - 1), self.base[:n] + (a + self.p2[:n] * 60493 >> 5 & SLOTS - 1)
+        e1, e2 = self.t1[self.s1], self.t2[self.s2]
+        self.g1, self.g2, self.c1, self.c2 = e1 >> 4, e2 >> 4, e1 & 15, e2 & 15
+        self.same = same = self.g1 == self.g2
+        self.i1, self.i2 = self.bins[:n] + (self.c1 << 1 | same), self.bins[:n] + (self.c2 << 1 | same)
+        self.q1, self.q2 = self.h1[self.i1], self.h2[self.i2]
+        self.x2, x1 = STRETCH[self.q2], STRETCH[self.q1]
+        self.x1 = np.where(same, x1, -x1)
+        dot = self.w1[:n] * self.x1 + self.w2[:n] * self.x2 >> 16
+        self.mixed = SQUASH[np.minimum(np.maximum(dot, -2048), 2047) + 2048]
+        self.f2 = self.mixed << 4
+        self.f1 = np.where(same, 0, (65536 - self.f2) * np.minimum(np.maximum(self.q1, 8), 3072) >> 12)
+        self.at = self.f2 + self.f1
+        self.rest = 65536 - self.at
+
+    def learn(self, n: int, ids: np.ndarray) -> None:
+        r1, r2 = self.g1 == ids, self.g2 == ids
+        err = (r2.astype(np.int32) << 12) - self.mixed
+        self.w1[:n] += self.x1 * err + 4096 >> 13
+        self.w2[:n] += self.x2 * err + 4096 >> 13
+        self.h1[self.i1] = self.q1 + ((r1.astype(np.int32) << 12) - self.q1 >> 4)
+        self.h2[self.i2] = self.q2 + ((r2.astype(np.int32) << 12) - self.q2 >> 4)
+        new = ids.astype(np.uint32)
+        self.t1[self.s1] = np.where(r1 | (self.c1 > 1), self.g1, new) << 4 | _NEXT[r1 * 16 + self.c1]
+        self.t2[self.s2] = np.where(r2 | (self.c2 > 1), self.g2, new) << 4 | _NEXT[r2 * 16 + self.c2]
+        self.p2[:n], self.p1[:n] = self.p1[:n], ids
+
+
+def _narrow(low: np.ndarray, rng: np.ndarray, start: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The interval [start, start + freq) of 65,536; and which lanes' first word is settled (or given up, where range is short)."""
+    r = rng >> _16
+    low = low + start.astype(np.uint64) * r
+    rng = freq.astype(np.uint64) * r
+    same = (low ^ (low + rng)) < _WORD
+    go = np.flatnonzero(same | (rng < _WORD))
+    if len(go):
+        short = go[~same[go]]
+        rng[short] = (np.uint64(0) - low[short]) & _LOW32
+    return low, rng, go
 
 
 class _Encoder:
-    def __init__(self, n: int):
-        self.low, self.range = np.zeros(n, np.uint32), np.full(n, 0xFFFFFFFF, np.uint32)
-        self.out, self.pos = np.zeros((n, 8 * BLOCK + 16), np.uint8), np.zeros(n, np.int64)
-
-    def put(self, lanes, start, freq, total) -> None:
-        low, rng = self.low[lanes], self.range[lanes] // total.astype(np.uint32)
-        low = low + start.astype(np.uint32) * rng
-        rng = rng * freq.astype(np.uint32)
-        todo = np.arange(len(lanes))
-        while True:
-            a, r = low[todo], rng[todo]
-            same = (a ^ (a + r)) < _TOP
-            short = ~same & (r < _BOT)
-            r[short] = (np.uint32(0) - a[short]) & (_BOT - np.uint32(1))
-            go = same | short
-            if not go.any():
-                break
-            todo, a, r = todo[go], a[go], r[go]
-            out = lanes[todo]
-            self.out[out, self.pos[out]] = a >> np.uint32(24)
-            self.pos[out] += 1
-            low[todo], rng[todo] = a << np.uint32(8), r << np.uint32(8)
-        self.low[lanes], self.range[lanes] = low, rng
-
-    def bit(self, lanes, p, bit) -> np.ndarray:
-        self.put(lanes, np.where(bit, 0, p), np.where(bit, p, 4096 - p), np.full(len(lanes), 4096))
-        return bit
-
-    def value(self, lanes, tree, row, total, v) -> np.ndarray:
-        start = _Lanes.below(tree, row, v)
-        self.put(lanes, start, _Lanes.below(tree, row, v.astype(np.int64) + 1) - start, total)
-        return v
+    def __init__(self, n: int, steps: int):
+        self.low, self.rng = np.zeros(n, np.uint64), np.full(n, ~np.uint64(0))
+        self.out, self.pos = np.zeros((n, 2 * steps + 4), np.uint32), np.zeros(n, np.int64)
+
+    def put(self, lanes, start, freq) -> None:
+        low, rng, go = _narrow(self.low[lanes], self.rng[lanes], start, freq)
+        if len(go):
+            at = go if isinstance(lanes, slice) else lanes[go]
+            self.out[at, self.pos[at]] = low[go] >> _32
+            self.pos[at] += 1
+            low[go] <<= _32
+            rng[go] <<= _32
+        self.low[lanes], self.rng[lanes] = low, rng
 
     def end(self) -> list[bytes]:
-        tail = self.low[:, None] >> np.array([24, 16, 8, 0], np.uint32)[None, :] & np.uint32(255)
-        return [o[:n].tobytes() + t.tobytes() for o, n, t in zip(self.out, self.pos.tolist(), tail.astype(np.uint8), strict=True)]
+        at = np.arange(len(self.low))
+        for shift in (_32, np.uint64(0)):
+            self.out[at, self.pos] = self.low >> shift & _LOW32
+            self.pos += 1
+        return [o[:n].astype("<u4").tobytes() for o, n in zip(self.out, self.pos.tolist(), strict=True)]
 
 
 class _Decoder:
-    def __init__(self, parts: list[np.ndarray]):
+    def __init__(self, parts: list[bytes]):
         n = len(parts)
-        self.buf = np.zeros((n, max(map(len, parts)) + 8), np.uint8)
+        self.buf = np.zeros((n, max(map(len, parts)) // 4 + 2), np.uint64)
         for row, p in zip(self.buf, parts, strict=True):
-            row[: len(p)] = p
-        self.low, self.range, self.pos = np.zeros(n, np.uint32), np.full(n, 0xFFFFFFFF, np.uint32), np.full(n, 4, np.int64)
-        self.code = self.buf[:, :4].copy().view(">u4")[:, 0].astype(np.uint32)
-
-    def take(self, lanes, start, freq, rng) -> None:
-        low = self.low[lanes] + start.astype(np.uint32) * rng
-        rng, code = rng * freq.astype(np.uint32), self.code[lanes]
-        todo = np.arange(len(lanes))
-        while True:
-            a, r = low[todo], rng[todo]
-            same = (a ^ (a + r)) < _TOP
-            short = ~same & (r < _BOT)
-            r[short] = (np.uint32(0) - a[short]) & (_BOT - np.uint32(1))
-            go = same | short
-            if not go.any():
-                break
-            todo, a, r = todo[go], a[go], r[go]
-            at = lanes[todo]
-            code[todo] = code[todo] << np.uint32(8) | self.buf[at, np.minimum(self.pos[at], self.buf.shape[1] - 1)]
+            row[: len(p) // 4] = np.frombuffer(p, "<u4", len(p) // 4)
+        self.low, self.rng, self.pos = np.zeros(n, np.uint64), np.full(n, ~np.uint64(0)), np.full(n, 2, np.int64)
+        self.code = self.buf[:, 0] << _32 | self.buf[:, 1]
+        self.last = self.buf.shape[1] - 1
+
+    def peek(self, lanes) -> np.ndarray:
+        return np.minimum((self.code[lanes] - self.low[lanes]) // (self.rng[lanes] >> _16), np.uint64(65535)).astype(np.int64)
+
+    def take(self, lanes, start, freq) -> None:
+        low, rng, go = _narrow(self.low[lanes], self.rng[lanes], start, freq)
+        if len(go):
+            at = go if isinstance(lanes, slice) else lanes[go]
+            self.code[at] = self.code[at] << _32 | self.buf[at, np.minimum(self.pos[at], self.last)]
             self.pos[at] += 1
-            low[todo], rng[todo] = a << np.uint32(8), r << np.uint32(8)
-        self.low[lanes], self.range[lanes], self.code[lanes] = low, rng, code
+            low[go] <<= _32
+            rng[go] <<= _32
+        self.low[lanes], self.rng[lanes] = low, rng
 
-    def bit(self, lanes, p, _) -> np.ndarray:
-        rng = self.range[lanes] // np.uint32(4096)
-        bit = (self.code[lanes] - self.low[lanes]) // rng < p.astype(np.uint32)
-        self.take(lanes, np.where(bit, 0, p), np.where(bit, p, 4096 - p), rng)
-        return bit
 
-    def value(self, lanes, tree, row, total, _) -> np.ndarray:
-        rng = self.range[lanes] // total.astype(np.uint32)
-        x = np.minimum(((self.code[lanes] - self.low[lanes]) // rng).astype(np.int64), total - 1)
-        v, start = _Lanes.find(tree, row, x)
-        self.take(lanes, start, _Lanes.below(tree, row, v + 1) - start, rng)
-        return v
+def _find(cum: np.ndarray, base: np.ndarray, x: np.ndarray, scale: np.ndarray | None) -> np.ndarray:
+    """The value whose interval of the cumulative table at base holds x; with scale, of the table times scale / 4096."""
+    i = np.zeros(len(base), np.int64)
+    for step in (128, 64, 32, 16, 8, 4, 2, 1):
+        c = cum[base + i + step]
+        i += step * ((c if scale is None else c * scale >> 12) <= x)
+    return i
 
 
 def _run(coder, lens: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-    """Code blocks of the given lengths (longest first) in lock step; ids: (blocks, BLOCK) to encode, None to decode."""
-    m, out = _Lanes(len(lens)), np.zeros((len(lens), int(lens[0])), np.uint16) if ids is None else ids
-    for k in range(int(lens[0])):
-        lanes = m.at[: int(np.searchsorted(-lens, -k))]
-        x = None if ids is None else ids[lanes, k]
-        m.contexts(lanes)
-        hit = coder.bit(lanes, m.chance2(lanes), None if x is None else x == m.guess[1])
-        m.learn2(lanes, hit)
-        got = np.where(hit, m.guess[1], 0).astype(np.int64)
-        rest = np.flatnonzero(~hit & (m.guess[0] != m.guess[1]))
-        left = ~hit
-        if len(rest):
-            p = m.hit[0][m.bin[0][rest]]
-            hit1 = coder.bit(lanes[rest], p, None if x is None else x[rest] == m.guess[0][rest])
-            got[rest[hit1]] = m.guess[0][rest[hit1]]
-            left[rest[hit1]] = False
-        rest = np.flatnonzero(left)
-        if len(rest):
-            on = lanes[rest]
-            high = coder.value(on, m.high, on, m.n_high[on], None if x is None else x[rest] >> 8)
-            m.add(m.high, on, high)
-            m.n_high[on] += STEP
-            row = on * GROUPS + (high.astype(np.int64) & (GROUPS - 1))
-            low = coder.value(on, m.low, row, m.n_low[row], None if x is None else x[rest] & 255)
-            m.add(m.low, row, low)
-            m.n_low[row] += STEP
-            got[rest] = high.astype(np.int64) << 8 | low.astype(np.int64)
-        m.learn(lanes, got)
+    """Code blocks of the given lengths (longest first) in lock step; ids: (steps, blocks) to encode, None to decode."""
+    m, steps = _Model(len(lens)), int(lens[0])
+    out = np.zeros((steps, len(lens)), np.int64) if ids is None else ids
+    high, low = m.high, m.low
+    for k in range(steps):
+        if k in REBUILD:
+            high.rebuild()
+            low.rebuild()
+        n = int(np.searchsorted(-lens, -k))
+        m.predict(n)
+        on = slice(0, n)
+        if ids is not None:
+            x = ids[k, :n]
+            hit2 = m.g2 == x
+            hit1 = (m.g1 == x) & ~hit2
+            miss = np.flatnonzero(~(hit1 | hit2))
+            start, freq = np.where(hit2, 0, m.f2), np.where(hit2, m.f2, m.f1)
+        else:
+            v = coder.peek(on)
+            hit2, miss = v < m.f2, np.flatnonzero(v >= m.at)
+            x = np.where(hit2, m.g2, m.g1).astype(np.int64)
+            start, freq = np.where(hit2, 0, m.f2), np.where(hit2, m.f2, m.f1)
+        if len(miss):
+            base, rest, at = miss * 257, m.rest[miss], m.at[miss]
+            hi = x[miss] >> 8 if ids is not None else _find(high.cum, base, v[miss] - at, rest)
+            a = high.cum[base + hi] * rest >> 12
+            start[miss], freq[miss] = at + a, (high.cum[base + hi + 1] * rest >> 12) - a
+        if ids is not None:
+            coder.put(on, start, freq)
+        else:
+            coder.take(on, start, freq)
+        if len(miss):
+            row = miss * GROUPS + (hi & GROUPS - 1)
+            base = row * 257
+            lo = x[miss] & 255 if ids is not None else _find(low.cum, base, coder.peek(miss), None)
+            a = low.cum[base + lo]
+            if ids is not None:
+                coder.put(miss, a, low.cum[base + lo + 1] - a)
+            else:
+                coder.take(miss, a, low.cum[base + lo + 1] - a)
+                x[miss] = hi << 8 | lo
+            high.flat[miss * 256 + hi] += 1
+            low.flat[row * 256 + lo] += 1
+        m.learn(n, x)
         if ids is None:
-            out[lanes, k] = got
+            out[k, :n] = x
     return out
 
 
@@ -239,32 +226,34 @@ def encode(ids: np.ndarray) -> bytes:
     ids, lens, parts = ids.astype(np.uint16), _lens(len(ids)), []
     for k in range(0, len(lens), LANES):
         part = lens[k : k + LANES]
-        grid = np.zeros((len(part), BLOCK), np.uint16)
+        grid = np.zeros((len(part), BLOCK), np.int64)
         flat = ids[k * BLOCK : k * BLOCK + int(part.sum())]
         grid.reshape(-1)[: len(flat)] = flat
-        coder = _Encoder(len(part))
-        _run(coder, part, grid)
+        coder = _Encoder(len(part), int(part[0]))
+        _run(coder, part, np.ascontiguousarray(grid.T))
         parts += coder.end()
     crcs = [zlib.crc32(ids[k : k + BLOCK].astype("<u2").tobytes()) for k in range(0, len(ids), BLOCK)]
     table = np.array([[len(p), c] for p, c in zip(parts, crcs, strict=True)], "<u4").tobytes()
-    return HEAD.pack(MAGIC, 1, len(ids), BLOCK) + table + b"".join(parts)
+    return HEAD.pack(MAGIC, 2, len(ids), BLOCK) + table + b"".join(parts)
 
 
 def decode(frame: bytes) -> np.ndarray:
     """The ids of a frame (uint16); ValueError if it isn't whole."""
-    magic, version, n, block = HEAD.unpack_from(frame)
-    if (magic, version, block) != (MAGIC, 1, BLOCK):
+    if len(frame) < HEAD.size:
         raise ValueError("not a frame of this format")
+    magic, version, n, block = HEAD.unpack_from(frame)
     lens = _lens(n)
+    if (magic, version, block) != (MAGIC, 2, BLOCK) or len(frame) < HEAD.size + 8 * len(lens):
+        raise ValueError("not a frame of this format")
     table = np.frombuffer(frame, "<u4", 2 * len(lens), HEAD.size).reshape(-1, 2)
     at = HEAD.size + table.nbytes + np.concatenate(([0], np.cumsum(table[:, 0], dtype=np.int64)))
     if at[-1] != len(frame):
         raise ValueError("the frame's length is wrong")
-    data, out = np.frombuffer(frame, np.uint8), []
+    out = []
     for k in range(0, len(lens), LANES):
         part = lens[k : k + LANES]
-        grid = _run(_Decoder([data[at[i] : at[i + 1]] for i in range(k, k + len(part))]), part, None)
-        for i, row in enumerate(grid):
+        grid = _run(_Decoder([frame[at[i] : at[i + 1]] for i in range(k, k + len(part))]), part, None).astype(np.uint16).T
+        for i, row in enumerate(np.ascontiguousarray(grid)):
             ids = row[: part[i]]
             if zlib.crc32(ids.astype("<u2").tobytes()) != table[k + i, 1]:
                 raise ValueError(f"block {k + i} fails its checksum")
