@@ -1,0 +1,398 @@
+"""Operators of the llm subpackage against brute force, on small fixtures with nulls, ties, repeats and clashing columns."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidewrack.llm import coder, components, decontaminate, langid, mixing, near, pii, quality, rollups, suffix, tokens, urls
+from tidewrack.llm.hashing import shingle_sets
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+VOC = [f"w{i}" for i in range(300)]
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, kept boolean, w string"
+
+
+def lower(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+
+
+def texts(seed=1, n=60):
+    r = random.Random(seed)
+    base = " ".join(r.choice(VOC) for _ in range(90))
+    out = [None, "", "   ", "one", "A b", "a  B", "x\ty\n\nz", base, base, base.upper()]
+    for _ in range(n):
+        w = base.split()
+        for _ in range(r.randint(0, 8)):
+            w[r.randrange(len(w))] = r.choice(VOC)
+        out.append(" ".join(w))
+    out += [" ".join(r.choice(VOC) for _ in range(r.randint(1, 200))) for _ in range(n)]
+    out += ["la " * 400, "ligne é\n" * 30, " ".join(VOC * 40)]
+    return out
+
+
+def frame(spark, ts, ids=None):
+    rows = [((ids[i] if ids else i * 3 + 1), t, "en" if i % 2 else "fr", [None, "b", "a", "c"][i % 4], len(t or ""), 7, True, "clash") for i, t in enumerate(ts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+# ---- decontamination ----
+
+
+def test_decontamination_finds_substituted_passages(spark):
+    r = random.Random(2)
+    item = [r.choice(VOC) for _ in range(30)]
+    sub = list(item)
+    sub[7] = sub[20] = "other"
+    clean = " ".join(f"c{r.randint(0, 999)}" for _ in range(200))
+    docs = frame(spark, [clean, clean + " " + " ".join(item), " ".join(sub), (" ".join(item[5:25]) + " tail").upper(), None, "", " ".join(item[:6]), " ".join(f"{x}.***" for x in item)])
+    bench = spark.createDataFrame([(1, " ".join(item), 0), (1, " ".join(item), 0), (2, None, 0), (3, "short one", 0)], "item_id long, text string, score long")
+    for limit in (10**6, 10):
+        got = {(x.doc_id, x.item_id): x for x in decontaminate.overlaps(docs, bench, limit=limit).collect()}
+        assert set(got) == {(4, 1), (7, 1), (10, 1), (22, 1)}
+        assert got[4, 1].doc_start == 200 and got[4, 1].n_matched == 30 and got[7, 1].n_matched == 28
+    assert decontaminate.overlaps(empty(spark), bench).count() == 0
+    assert decontaminate.overlaps(docs, bench.where("false")).count() == 0
+
+
+# ---- quality ----
+
+
+def brute_quality(t):
+    w = WORD.findall(t or "")
+    c = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    cover = {j for i in range(len(w) - 7) if c[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+    lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+    failed = len(w) < 20 or 100 * len(cover) > 30 * len(w)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(cover), failed
+
+
+def test_quality_rules_and_ratio(spark):
+    xxhash = pytest.importorskip("xxhash")
+    ts = [*texts(3), "good words here " * 3 + "##**$$ | <a>", "same line a b\nsame line a b\n \n \nsame line a b"]
+    docs = frame(spark, ts)
+    trusted = [i * 3 + 1 for i in range(12, 50)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in [*trusted, trusted[0]]] + [(None, 1, 0), (100, None, 0)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.judge(docs, quality.trusted_ids(labels)).collect()}
+
+    def grams(t):
+        e = [np.int64(np.uint64(xxhash.xxh64_intdigest(x[-3:].encode(), 42))) for x in WORD.findall(t or "")]
+        pairs = []
+        for a, b in zip(e, e[1:], strict=False):  # Spark chains its hash: the first value's is the second one's seed
+            s = xxhash.xxh64_intdigest(int(a).to_bytes(8, "little", signed=True), 42)
+            pairs.append(xxhash.xxh64_intdigest(int(b).to_bytes(8, "little", signed=True), s))
+        return [int(x) & 16383 for x in e] + [x & 16383 for x in pairs]
+
+    raw, good = collections.Counter(), collections.Counter()
+    g = {i * 3 + 1: grams(t) for i, t in enumerate(ts)}
+    for k, v in g.items():
+        raw.update(v)
+        good.update(v if k in trusted else [])
+    ratio = lambda b: round((np.log((good[b] + 1) / (good.total() + 16384)) - np.log((raw[b] + 1) / (raw.total() + 16384))) * 1e6)
+    for i, t in enumerate(ts):
+        k = i * 3 + 1
+        x = got[k]
+        assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words, x.base_failed) == brute_quality(t)
+        llr = sum(map(ratio, g[k])) / len(g[k]) / 1e6 if g[k] else None
+        assert x.llr == (None if llr is None else pytest.approx(llr, abs=1e-5))
+        assert x.kept == (not x.base_failed and (llr is None or llr >= quality.THRESHOLD))
+    assert {r.llr for r in quality.judge(docs, labels.where("false").select("doc_id")).collect()} == {None}
+    assert quality.judge(empty(spark), quality.trusted_ids(labels)).count() == 0
+    kept = quality.accepted(docs, quality.trusted_ids(labels))
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {k for k, x in got.items() if x.kept}
+
+
+# ---- urls ----
+
+
+def brute_url(u):
+    if not u or "://" not in u:
+        return "", "", None, "allow"
+    rest = u.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    host = lower(host)
+    fits = [(len(h + p), h + p, v) for h, p, v in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    if fits:
+        return host, path, max(fits)[1], max(fits)[2]
+    listed = any((host == h or host.endswith("." + h)) and path.startswith(p) for h, p in urls.SITES)
+    return host, path, None, "block" if listed else "allow"
+
+
+def test_url_rules(spark, monkeypatch):
+    us = [None, "", "nothing", "http://A.com/x", "https://com", "http://www.Example.com/en/a?b", "http://example.com/en/", "http://m.example.com/en/q#f", "http://a.net/es/1", "http://a.net/de/", "x://casino-win.example.net/", "x://a.casino-win.example.org/z", "x://notcasino-win.example.org/z", "http://a.net/fr/ü", "http://://b.net/es/", "http:///p", "http://a.net/es/1"]
+    pages = spark.createDataFrame([(i if i else None, u, "h", "r") for i, u in enumerate(us)], "page_id long, url string, host string, entry string")
+    for blocks in (1 << 20, 0):
+        monkeypatch.setattr(urls, "MAX_BLOCKS", blocks)
+        got = [(r.page_id, r.host, r.path, r.entry if r.kind == "rule" else None, r.verdict or "allow") for r in urls.judge(pages, urls.entries(spark)).collect()]
+        assert sorted(got, key=str) == sorted([(i if i else None, *brute_url(u)) for i, u in enumerate(us)], key=str)
+    page = spark.createDataFrame([("a.net", "/de/", "block", "page")], "host string, path string, verdict string, kind string")
+    assert [r.url for r in urls.judge(pages, page).where("verdict = 'block'").collect()] == ["http://a.net/de/"]
+    assert urls.judge(pages, page.where("false")).where("verdict is not null").count() == 0
+    assert urls.judge(pages.where("false"), page).count() == 0
+
+
+# ---- token output ----
+
+
+@pytest.mark.parametrize("ids", [[], [5], [0] * 5000, list(range(4100)), list(np.random.default_rng(0).integers(0, 65536, 9000)), [65535, 0] * 3000])
+def test_coder_round_trip(ids):
+    f = coder.encode(np.array(ids, dtype=np.int64))
+    assert coder.decode(f).tolist() == list(ids)
+
+
+def test_coder_compresses_and_checks():
+    r = np.random.default_rng(1)
+    ids = np.minimum(r.zipf(1.5, 20_000), 40_000)
+    f = coder.encode(ids)
+    assert len(f) < 2 * len(ids)
+    bad = bytearray(f)
+    bad[-20] ^= 1
+    with pytest.raises(ValueError):
+        coder.decode(bytes(bad))
+    with pytest.raises(ValueError):
+        coder.decode(f[:-1])
+    with pytest.raises(ValueError):
+        coder.encode(np.array([70_000]))
+
+
+def test_token_output(spark):
+    from tokenizers import Tokenizer
+
+    ts = [*texts(5, 20), "Don't stop\u00a0here <|endoftext|> e\u0301 ÉCOLE\x1c12 34", "a\u0301 \u0301b"]
+    ids = list(range(len(ts)))
+    random.Random(0).shuffle(ids)
+    got = {r.doc_id: r for r in tokens.round_trip(frame(spark, ts, ids)).collect()}
+    encode = Tokenizer.from_file(tokens.vocabulary()).encode
+    at = 0
+    for i, t in sorted(zip(ids, ts, strict=True)):
+        e = [*encode(t or "", add_special_tokens=False).ids, 1]
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(e), zlib.crc32(np.array(e, "<u4").tobytes()))
+        at += len(e)
+    assert tokens.round_trip(empty(spark)).count() == 0
+    assert tokens.round_trip(frame(spark, ["a", None], [None, None])).select(F.sum("n_tokens")).first()[0] == 3
+
+
+# ---- token counts ----
+
+
+def test_rollups_are_idempotent_and_signed(spark, tmp_path):
+    store = rollups.RollupStore(spark, f"file://{tmp_path}/r")
+    d = lambda rows: spark.createDataFrame(rows, "source string, lang string, tokenizer_version string, n_tokens long, sign int")
+    assert store.totals().count() == 0
+    assert store.commit("1", d([("a", "en", "v1", 5, 1), ("a", "en", "v1", 7, 1), (None, None, "v1", 1, 1)]))
+    assert not store.commit("1", d([("a", "en", "v1", 500, 1)]))
+    store.commit("2", d([("a", "en", "v1", 5, -1), ("a", "en", "v2", 6, 1), (None, None, "v1", 1, -1)]))
+    store.commit("3", d([]))
+    assert sorted(map(tuple, store.totals().collect())) == [("a", "en", "v1", 1, 7), ("a", "en", "v2", 1, 6)]
+
+
+def test_count_tokens(spark):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(rollups.vocabulary("byte_bpe_50k"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    e = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ts = texts(6, 10)
+    got = {r.doc_id: r.n_tokens for r in rollups.count_tokens(frame(spark, ts), "byte_bpe_50k").collect()}
+    assert got == {i * 3 + 1: len(e.encode_ordinary(t or "")) for i, t in enumerate(ts)}
+
+
+# ---- suffix dedup ----
+
+
+def brute_repeats(ts):
+    c = collections.Counter(t[i : i + 200] for t in ts for i in range(len(t) - 199))
+    out = []
+    for t in ts:
+        gone = np.zeros(len(t) + 1, bool)
+        for i in range(len(t) - 199):
+            if c[t[i : i + 200]] > 1:
+                gone[i : i + 200] = True
+        gone = gone[: len(t)]
+        kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
+        out.append((len(t), int(gone.sum()), int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("hot", [2, 20_000])
+def test_suffix_dedup(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix, "HOT", hot)
+    r = random.Random(4)
+    base = ["".join(r.choice("abé ") for _ in range(r.randint(150, 700))) for _ in range(5)]
+    ts = [r.choice(base)[: r.randint(0, 700)] + r.choice("xyz") * r.randint(0, 3) + r.choice(base)[r.randint(0, 300) :] for _ in range(40)]
+    ts += [None, "", "a" * 500, "a" * 199, "abc" * 200, base[0], base[0]]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix.remove_repeats(frame(spark, ts)).collect()}
+    assert [got[i * 3 + 1] for i in range(len(ts))] == brute_repeats([(t or "").encode() for t in ts])
+    assert suffix.remove_repeats(empty(spark)).count() == 0
+
+
+def test_transforms_merge_to_the_order_of_all():
+    r = random.Random(7)
+    strings = ["".join(r.choice("ab") for _ in range(r.randint(200, 330))).encode() for _ in range(9)]
+    strings += [strings[0][20:260], strings[1]]
+    want = collections.Counter(s[i : i + 200] for s in strings for i in range(len(s) - 199))
+    for shards in (1, 2, 3, 5):
+        got = suffix.repeated_windows(strings, shards)
+        assert [g.tolist() for g in got] == [[i for i in range(len(s) - 199) if want[s[i : i + 200]] > 1] for s in strings]
+
+
+# ---- mixing ----
+
+
+def test_mixing(spark):
+    ts = texts(8)[:-1]
+    docs = frame(spark, ts)
+    got = {r.doc_id: r for r in mixing.taken(docs).collect()}
+    size = {i * 3 + 1: len(WORD.findall(t or "")) for i, t in enumerate(ts)}
+    src = {i * 3 + 1: [None, "b", "a", "c"][i % 4] for i in range(len(ts))}
+    total, names = sum(size.values()), ["a", "b", "c", None]
+    s = {n: sum(size[k] for k in size if src[k] == n) for n in names}
+    weight, target, fixed = dict(zip(names, (5, 2, 1, 5), strict=True)), {}, set()
+    while True:
+        left = total - sum(3 * s[n] for n in fixed)
+        target = {n: 3 * s[n] if n in fixed else left * weight[n] / sum(weight[m] for m in names if m not in fixed) for n in names}
+        over = {n for n in names if target[n] > 3 * s[n]} - fixed
+        if not over:
+            break
+        fixed |= over
+    for k, r in got.items():
+        assert r["size"] == size[k] and r.source_size == s[src[k]] and r.target == pytest.approx(target[src[k]])
+        assert r.taken % max(1, size[k]) == 0 and r.taken <= 3 * size[k]
+    for n in names:
+        assert abs(sum(r.taken for k, r in got.items() if src[k] == n) - target[n]) <= 2 * max(size.values())
+    assert sum(r.taken for r in got.values()) <= total
+    again = {r.doc_id: r.taken for r in mixing.taken(docs.repartition(7)).collect()}
+    assert again == {k: r.taken for k, r in got.items()}
+    twice = mixing.taken(docs.unionAll(docs)).groupBy("doc_id").agg(F.count("*").alias("n")).select(F.min("n"), F.max("n")).first()
+    assert tuple(twice) == (2, 2)
+    assert mixing.taken(empty(spark)).count() == 0
+
+
+# ---- language identification ----
+
+
+def test_language_id(spark):
+    r = random.Random(9)
+    syl = {"aa": ["the", "ing", "and "], "bb": ["eux", "ment", "le "], "cc": ["ung", "sch", "der "]}
+    rows = [(i, "".join(r.choice(syl[k]) for _ in range(r.randint(20, 300))), k) for i, k in enumerate(["aa", "bb", "cc"] * 120)]
+    docs = spark.createDataFrame(rows + [(9001, None, "aa"), (9002, "123 !", "aa"), (9003, "thing", None)], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert model.langs == ["aa", "bb", "cc"]
+    got = {x.doc_id: x for x in langid.identify(docs.select("doc_id", "text"), model).collect()}
+    held = [(i, k) for i, _, k in rows if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert len(held) > 80 and sum(got[i].lang_pred == k for i, k in held) >= 0.97 * len(held)
+    assert got[9001].lang_pred == got[9002].lang_pred == "und" and got[9001].score == 0
+    assert all(0 <= x.score <= 1 for x in got.values())
+    x = langid.to_windows(rows[0][1].encode())
+    z = model._softmax(np.maximum(model._pooled(x)[0], 0) @ model.dense + model.offset)
+    assert np.allclose(z, model.probabilities(x), atol=1e-4)
+    none = langid.fit(docs.where("lang = 'zz'"))
+    assert {x.lang_pred for x in langid.identify(docs, none).collect()} == {"und"}
+
+
+# ---- personal data ----
+
+
+def brute_pii(t):
+    out = []
+    out += [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub(r"\D", "", m[0])
+        if 13 <= len(d) <= 19 and pii.luhn(d):
+            out.append(("card", *m.span()))
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
+    return out
+
+
+def test_pii_base_spans_equal_regexes():
+    r = random.Random(10)
+    parts = ["a@b.c", "@", "x.y%z@q-r.s.t", ".", "1.2.3.4", "300.1.1.1", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (743) 555-3824", "+", "++12", "é", " ", "-", "(", "12", "a@@b.c", "a@b..c", "٣"]
+    for _ in range(3000):
+        t = "".join(r.choice(parts) for _ in range(r.randint(0, 9)))
+        assert [x for x in pii.find(t) if x[0] in pii.BASE] == brute_pii(t), t
+
+
+def test_pii_added_spans(spark):
+    t = "write to jan.doe [at] mail (dot) example.org, IBAN GB82 WEST 1234 5698 7654 32, account no: 12345678, https://u:p@h.org/x at 12 Long Hill Street now"
+    kinds = {k: t[s:e] for k, s, e in pii.find(t)}
+    assert kinds["masked"] == "jan.doe [at] mail (dot) example.org" and kinds["account"] == "12345678" and kinds["login"] == "https://u:p@h.org" and kinds["street"] == "12 Long Hill Street"
+    assert ("account", t.index("GB82"), t.index("GB82") + 27) in pii.find(t)
+    assert pii.find("the road to the street of an account with 3 items and main street") == []
+    got = {x.doc_id: x.spans for x in pii.spans(frame(spark, [None, "", "é a@b.c"])).collect()}
+    assert got[1] == got[4] == [] and (got[7][0].start, got[7][0].end, got[7][0].value) == (2, 7, "a@b.c")
+
+
+# ---- near-duplicates ----
+
+
+def brute_near(ids, ts):
+    sets = []
+    for t in ts:
+        w = WORD.findall(lower(t or ""))
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(ts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((find(ids[i]), find(ids[j])))
+                root[b] = a
+    return {i: (len(s), find(i), find(i) == i) for i, s in zip(ids, sets, strict=True)}
+
+
+@pytest.mark.parametrize("side", [20, 2000])
+def test_near_duplicates(spark, monkeypatch, side):
+    monkeypatch.setattr(near, "SIDE", side)
+    ts = texts(11, 120)
+    ids = [i * 3 + 1 for i in range(len(ts))]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near.near_duplicates(frame(spark, ts)).collect()}
+    assert got == brute_near(ids, ts)
+
+
+def test_near_duplicates_edges(spark):
+    assert near.near_duplicates(empty(spark)).count() == 0
+    got = near.near_duplicates(frame(spark, ["a b c", "a b c", "a b c"], [None, 2, 2])).collect()
+    assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in got) == [("2", "2", True), ("2", "2", True), ("None", "None", True)]
+
+
+def test_components(spark):
+    r = random.Random(12)
+    links = [(r.randint(0, 200), r.randint(0, 200)) for _ in range(120)] + [(300 + i, 301 + i) for i in range(40)]
+    root = {x: x for p in links for x in p}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    got = dict(map(tuple, components.components(spark.createDataFrame(links, "a long, b long")).collect()))
+    assert all(got.get(x, x) == find(x) for x in root)
+
+
+def test_shingle_sets_do_not_depend_on_neighbours():
+    ts = [(t or "").encode() for t in texts(13, 20)]
+    alone = [next(iter(shingle_sets([t]))).tolist() for t in ts]
+    assert alone == [s.tolist() for s in shingle_sets(ts)]
