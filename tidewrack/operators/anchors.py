@@ -46,7 +46,7 @@ def usage_hints(issues: DataFrame, files: DataFrame) -> DataFrame:
     """
     names = issues.where("packageName is not null and packageName <> ''").select(F.col("packageName").alias("pkg")).distinct()
     pats = names.withColumn("pat", C.package_patterns(F.col("pkg")))
-    used = pats.join(files.select("content"), F.col("content").rlike(F.col("pat")), "left_semi").select(F.col("pkg").alias("used"))
+    used = pats.join(files.select("content"), F.rlike("content", F.col("pat")), "left_semi").select(F.col("pkg").alias("used"))
     j = issues.join(used, issues.packageName == used.used, "left")
     hint = F.when(F.col("used").isNotNull(), "referenced").when(F.coalesce("packageName", F.lit("")) != "", "not_found")
     return j.withColumn("usageHint", hint).drop("used")
