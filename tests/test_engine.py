@@ -352,3 +352,22 @@ def test_entry_points(spark):
 
     assert e.entry(spark).count() == 1
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_diagrams_and_prompts(spark):
+    from tidewrack.functions import diagrams
+    from tidewrack.operators import prompts
+
+    texts = ["x\n```mermaid\ngraph TD\na.b --> c[d]\n```\ny", "graph LR\na --> b\nc[", "nothing", None, "```mermaid\n\n```"]
+    got = col(spark, texts, lambda c: diagrams.diagram(c, F.lit("none")))
+    assert got == ["graph TD\na_b --> c[d]", "graph LR\na --> b", "none", "none", "none"]
+    f = files(spark, {"a.py": "one two three", "b.py": "four"})
+    hits = spark.createDataFrame([("b.py", -1.0), ("a.py", -2.0)], "path string, score double")
+    assert prompts.context_block(hits, f, 2).first()[0] == "### a.py\none two\n\n### b.py\nfour"
+    p = spark.createDataFrame([("p1", ["r"], ["sec.x", "sec.y"])], "band string, rule_ids array<string>, coverage_ids array<string>")
+    packed = f.withColumn("ord", F.when(F.col("relative") == "b.py", 0).otherwise(1))
+    text = prompts.pass_prompts(p, packed, {"Evidence": "e", "None": ""}, 5).first().prompt
+    assert text == "# Rules\nr\n# Checklist\nsec.x\nsec.y\n\n# Evidence\ne\n\n## b.py\nfour\n\n## a.py\none t\n[cut]"
+    d = issues(spark, {"line": 2})
+    assert prompts.excerpt_of(d, files(spark, {"a.py": "1\n2\n3"})).first().excerpt == "1\n2\n3"
+    assert col(spark, ["- `f` (10-20) -> `n/p.py`", "x"], prompts.move_of) == [("f", 10, 20, "n/p.py"), None]
