@@ -277,7 +277,7 @@ def timeout_p95(spark, runs):
 _MATRIX = ", ".join(f"({k}, '{i}', {str(full).lower()}, '{pack}')" for k, (_, i, full, pack) in enumerate(score.MATRIX))
 _THEME = f"CASE {' '.join(f"WHEN trim(category) = '{a}' THEN '{b}'" for a, b in (C.HEURISTIC_THEMES | C.ALIASES).items())} WHEN trim(category) IN {_in(score.MAPPED)} THEN trim(category) END"
 _COV = (
-    f"m(ord, id, full_audit, pack) AS (VALUES {_MATRIX}), h AS (SELECT {_THEME} AS theme, lower(title || ' ' || explanation || ' ' || category || ' ' || impact || ' ' || recommendedFix) AS hay, lower(category || ' ' || title || ' ' || explanation) AS hay3 FROM issues WHERE ord % 50 = 0),"
+    f"m(ord, id, full_audit, pack) AS (VALUES {_MATRIX}), h AS (SELECT {_THEME} AS theme, lower(title || ' ' || explanation || ' ' || category || ' ' || impact || ' ' || recommendedFix) AS hay, lower(category || ' ' || title || ' ' || explanation) AS hay3 FROM issues),"
     " seen AS (SELECT DISTINCT id FROM m JOIN h ON theme = id OR contains(hay, id) OR contains(hay, string_split(id, '.')[-1])),"
     r" na AS (SELECT regexp_extract(note, '(?i)^coverage:([^\s:]+)\s*:\s*N/A\s*[—-]\s*(.+)$', 1) AS id, arg_max(trim(regexp_extract(note, '(?i)^coverage:([^\s:]+)\s*:\s*N/A\s*[—-]\s*(.+)$', 2)), ord) AS reason FROM notes GROUP BY 1),"
     f" lz AS (SELECT id, reason, ({_has('lower(reason)', C.ALWAYS_LAZY)} OR ({_has('lower(reason)', C.SOFT_LAZY)} AND NOT {_has('lower(reason)', C.CONCRETE)})) AS lazy FROM na WHERE id <> ''),"
@@ -285,13 +285,8 @@ _COV = (
 )
 
 
-def _few(issues):
-    """A checklist is scored over one report's findings: a fiftieth of the orders stands for a report."""
-    return issues.where("ord % 50 = 0")
-
-
 def _cov(spark, issues, notes):
-    return score.evaluate_coverage(score.matrix(spark).select("ord", "id"), _few(issues), notes)
+    return score.evaluate_coverage(score.matrix(spark).select("ord", "id"), issues, notes)
 
 
 @_query(f"{_COV} SELECT id, status, reason, invalid FROM cov", issues=V.ISSUES, notes=V.NOTES)
@@ -301,7 +296,7 @@ def coverage_eval(spark, issues, notes):
 
 @_query(f"{_COV} SELECT cov.id, cov.pack, cov.status, (SELECT count(*) FROM h WHERE theme = cov.id OR contains(hay3, cov.id)) AS n_findings, CASE WHEN cov.status = 'na' THEN cov.reason ELSE '' END AS notes FROM cov WHERE cov.pack IN ('core', 'extended')", issues=V.ISSUES, notes=V.NOTES)
 def theme_breakdown(spark, issues, notes):
-    return score.theme_breakdown(score.matrix(spark), _cov(spark, issues, notes), _few(issues), full=True).drop("ord")
+    return score.theme_breakdown(score.matrix(spark), _cov(spark, issues, notes), issues, full=True).drop("ord")
 
 
 _SECI, _RELI, _ARCI = f"(priority = 'P1' OR {SECCAT})", "(priority = 'P2' OR starts_with(lower(category), 'rel.'))", "(priority = 'P3' OR starts_with(lower(category), 'arch.') OR starts_with(lower(category), 'heuristic.'))"
@@ -316,14 +311,14 @@ def _off(prefix: str) -> str:
 
 
 @_query(
-    f"{_COV}, pen AS (SELECT {_pen(_SECI)} AS s, {_pen(_RELI)} AS r FROM issues WHERE ord % 5000 = 0), b AS (SELECT greatest(0, least(100, 92 - {_off('sec.')} + 5 - s))::INT AS security, greatest(0, least(100, 88 - {_off('rel.')} - r))::INT AS reliability FROM pen)"
+    f"{_COV}, pen AS (SELECT {_pen(_SECI)} AS s, {_pen(_RELI)} AS r FROM issues), b AS (SELECT greatest(0, least(100, 92 - {_off('sec.')} + 5 - s))::INT AS security, greatest(0, least(100, 88 - {_off('rel.')} - r))::INT AS reliability FROM pen)"
     " SELECT greatest(0, least(100, least(92, 88, security, reliability) - (SELECT least(40, 4 * count(*) FILTER (status = 'missed')) + least(30, 3 * count(*) FILTER (invalid)) FROM cov WHERE starts_with(id, 'sec.') OR starts_with(id, 'rel.'))))::INT AS gate, security, reliability, CAST(NULL AS INT) AS architecture FROM b",
     issues=V.ISSUES, notes=V.NOTES,
 )
 def audit_metrics(spark, issues, notes):
     passes = spark.createDataFrame([("p1", 92), ("reliability", 88)], "name string, confidence int")
     runs = spark.createDataFrame([("gitleaks", "ran"), ("osv", "ran")], "tool string, status string")
-    out = score.audit_metrics(passes, _cov(spark, issues, notes), runs, issues.where("ord % 5000 = 0"))
+    out = score.audit_metrics(passes, _cov(spark, issues, notes), runs, issues)
     return out.select(*[F.col(c).cast("int").alias(c) for c in out.columns])
 
 
