@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import coder
 from .common import bounded, shared_dir, ship, table
 
-END, FRAME, CACHE = 1, coder.BLOCK * coder.LANES, 200_000
+END, FRAME, CACHE = 1, coder.BLOCK * coder.LANES, 400_000
 _GAP = re.compile("[ \t\n\r]+")
 _ROW = "shard int, frame int, doc_ids array<long>, lens array<long>, n_ids long, data binary"
 
@@ -38,7 +38,7 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 class _Words(dict):
-    """Ids of words as bytes; a bounded cache."""
+    """Ids of words as bytes; a bounded cache of those that come first, among them the common ones."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -48,9 +48,7 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         ids = np.array(self.encode(word, add_special_tokens=False).ids, "<u2").tobytes()
-        if len(word) <= 40:
-            if len(self) >= CACHE:
-                self.clear()
+        if len(self) < CACHE and len(word) <= 40:
             self[word] = ids
         return ids
 
