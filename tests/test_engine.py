@@ -371,3 +371,23 @@ def test_diagrams_and_prompts(spark):
     d = issues(spark, {"line": 2})
     assert prompts.excerpt_of(d, files(spark, {"a.py": "1\n2\n3"})).first().excerpt == "1\n2\n3"
     assert col(spark, ["- `f` (10-20) -> `n/p.py`", "x"], prompts.move_of) == [("f", 10, 20, "n/p.py"), None]
+
+
+def test_store_and_sources(spark, tmp_path):
+    from tidewrack.sources import store
+
+    s = store.Store(spark, f"file://{tmp_path}/s")
+    t = lambda **k: spark.createDataFrame(list(k.items()), "path string, sha256 string")
+    assert s.latest("fingerprints") is None
+    s.upsert("fingerprints", t(a="1", b="1"))
+    s.upsert("fingerprints", t(b="2", c="1"), spark.createDataFrame([("a",)], "path string"))
+    assert sorted(map(tuple, s.latest("fingerprints").collect())) == [("b", "2"), ("c", "1")]
+    for k in (1, 2, 3):
+        s.append("runs", spark.createDataFrame([(k, "ok")], "id int, outcome string"))
+    assert [r.id for r in store.recent_runs(s.log("runs", "id int, outcome string"), 2).collect()] == [3, 2]
+    assert s.save_report(t(a="1"), True, True) is False and s.latest("report") is None and s.save_report(t(a="1"), True, False)
+    assert col(spark, ["a/b", "https://h.org/a/b.git", "git@h:a/b-c", "models/x", "a/b/c", "models/o/n"], store.slug) == ["a/b", "a/b", "a/b-c", None, None, "o/n"]
+    assert store.source_kind() == ("path", ".") and store.source_kind(github="a/b") == ("github", "a/b")
+    with pytest.raises(ValueError):
+        store.source_kind("x", github="a/b")
+    assert col(spark, ["import os\nfrom jwt import x\nimport zlib"], lambda c: store.import_risks(c, F.lit("import os"), ["jwt", "os", "zlib"])) == [["jwt", "zlib"]]

@@ -25,6 +25,11 @@ NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
 
+def strip(c: Column) -> Column:
+    """c without white space at its ends, line ends included."""
+    return F.btrim(c, F.lit(" \t\n\r\x0b\x0c"))
+
+
 def any_of(c: Column, needles) -> Column:
     """True where c contains one of the strings."""
     out = F.lit(False)
@@ -81,7 +86,7 @@ def band(path: Column) -> Column:
 
 
 def norm_id(path: Column) -> Column:
-    return F.lower(F.trim(F.replace(path, F.lit("\\"), F.lit("/"))))
+    return F.lower(strip(F.replace(path, F.lit("\\"), F.lit("/"))))
 
 
 def norm_route(path: Column) -> Column:
@@ -89,7 +94,7 @@ def norm_route(path: Column) -> Column:
 
 
 def norm_match(path: Column) -> Column:
-    return F.ltrim(F.lower(F.replace(F.trim(path), F.lit("\\"), F.lit("/"))), F.lit("./"))
+    return F.ltrim(F.lower(F.replace(strip(path), F.lit("\\"), F.lit("/"))), F.lit("./"))
 
 
 def norm_text(text: Column) -> Column:
@@ -223,7 +228,7 @@ def tagged(explanation: Column, tag: str) -> Column:
 
 
 def coerce_severity(raw: Column) -> Column:
-    t = F.replace(F.upper(F.trim(F.coalesce(raw, F.lit("")))), F.lit(" "), F.lit("_"))
+    t = F.replace(F.upper(strip(F.coalesce(raw, F.lit("")))), F.lit(" "), F.lit("_"))
     out = F.coalesce(lookup(t, SEVERITY_ALIASES))
     for name in reversed(SEVERITIES):
         out = F.coalesce(out, F.when(t.contains(name), F.lit(name)))
@@ -235,12 +240,12 @@ def priority_of(sev: Column) -> Column:
 
 
 def coerce_priority(raw: Column, sev: Column) -> Column:
-    t = F.upper(F.trim(F.coalesce(raw, F.lit(""))))
+    t = F.upper(strip(F.coalesce(raw, F.lit(""))))
     return F.when(t.isin("P1", "1", "HIGH", "CRITICAL"), "P1").when(t.isin("P2", "2", "MEDIUM"), "P2").when(t.isin("P3", "3", "LOW"), "P3").otherwise(priority_of(sev))
 
 
 def coerce_timing(raw: Column) -> Column:
-    t = F.lower(F.trim(F.coalesce(raw, F.lit(""))))
+    t = F.lower(strip(F.coalesce(raw, F.lit(""))))
     exact = F.when(t.isin("immediately", "before launch", "after launch", "if time permits"), t)
     return F.coalesce(exact, F.when(t.contains("immediate"), "immediately").when(t.contains("after"), "after launch").when(t.contains("permit") | t.contains("later"), "if time permits").otherwise("before launch"))
 
@@ -255,7 +260,7 @@ def coerce_line(v: Column) -> Column:
 
 def first_text(*values: Column) -> Column:
     """First value that isn't null or blank, trimmed; else an empty string."""
-    return F.coalesce(*[F.nullif(F.trim(v), F.lit("")) for v in values], F.lit(""))
+    return F.coalesce(*[F.nullif(strip(v), F.lit("")) for v in values], F.lit(""))
 
 
 # ---- coverage ----
@@ -275,7 +280,7 @@ HEURISTIC_THEMES = {
 
 
 def is_lazy(reason: Column) -> Column:
-    t = F.lower(F.trim(reason))
+    t = F.lower(strip(reason))
     return (t == "") | any_of(t, ALWAYS_LAZY) | (any_of(t, SOFT_LAZY) & ~any_of(t, CONCRETE))
 
 

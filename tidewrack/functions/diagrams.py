@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import strip
+
 MAX = 8000
 HEADS = r"^(graph|flowchart)\s+(TB|TD|BT|RL|LR)\b|^(sequenceDiagram|classDiagram|stateDiagram(-v2)?|erDiagram)\b"
 
 
 def extract(text: Column) -> Column:
     """The body of the first mermaid fence, else the text itself if it starts like a diagram, else null."""
-    body = F.nullif(F.trim(F.regexp_extract(text, r"(?s)```mermaid\s*\n(.*?)(?:```|$)", 1)), F.lit(""))
-    return F.coalesce(body, F.when(F.trim(text).rlike(HEADS), F.trim(text)))
+    body = F.nullif(strip(F.regexp_extract(text, r"(?s)```mermaid\s*\n(.*?)(?:```|$)", 1)), F.lit(""))
+    return F.coalesce(body, F.when(strip(text).rlike(HEADS), strip(text)))
 
 
 def normalise(body: Column) -> Column:
@@ -24,12 +26,12 @@ def normalise(body: Column) -> Column:
 def is_valid(body: Column) -> Column:
     """It has a head, an edge or statement below it, and brackets that close."""
     n = lambda a: F.regexp_count(body, F.lit(a))
-    return F.coalesce(body.rlike(HEADS) & F.trim(body).contains("\n") & (n(r"\[") == n(r"\]")) & (n(r"\(") == n(r"\)")) & (n(r"\{") == n(r"\}")), F.lit(False))
+    return F.coalesce(body.rlike(HEADS) & strip(body).contains("\n") & (n(r"\[") == n(r"\]")) & (n(r"\(") == n(r"\)")) & (n(r"\{") == n(r"\}")), F.lit(False))
 
 
 def repair(body: Column) -> Column:
     """The body without its last line, if that makes it valid (a cut answer); else null."""
-    cut = F.regexp_replace(F.rtrim(body), r"\n[^\n]*$", "")
+    cut = F.regexp_replace(strip(body), r"\n[^\n]*$", "")
     return F.when(is_valid(body), body).when(is_valid(cut), cut)
 
 

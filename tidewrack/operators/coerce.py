@@ -14,7 +14,7 @@ def _get(v: Column, key: str) -> Column:
 
 def _text(v: Column, *keys: str) -> Column:
     """First key with text, trimmed; null if none."""
-    return F.coalesce(*[F.nullif(F.trim(F.try_variant_get(v, f"$.{k}", "string")), F.lit("")) for k in keys])
+    return F.coalesce(*[F.nullif(C.strip(F.try_variant_get(v, f"$.{k}", "string")), F.lit("")) for k in keys])
 
 
 def _absent(v: Column, *keys: str) -> Column:
@@ -26,7 +26,7 @@ def _absent(v: Column, *keys: str) -> Column:
 
 def parse(raw: DataFrame) -> DataFrame:
     """raw with `doc` (VARIANT or null): the text without fences, or else what stands from its first brace to its last."""
-    t = F.trim(F.regexp_replace(F.regexp_replace(F.trim("raw"), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", ""))
+    t = C.strip(F.regexp_replace(F.regexp_replace(C.strip(F.col("raw")), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", ""))
     whole, part = F.try_parse_json(t), F.try_parse_json(F.nullif(F.regexp_extract("raw", r"(?s)\{.*\}", 0), F.lit("")))
     is_object = F.startswith(F.schema_of_variant(whole), F.lit("OBJECT"))
     return raw.withColumns({"doc": F.when(is_object, whole).otherwise(part), "strict": F.coalesce(is_object, F.lit(False))})
@@ -46,7 +46,7 @@ def issues(rep: DataFrame, *keys: str) -> DataFrame:
     """The findings of reports, coerced field by field; what has neither title nor text is dropped. keys: columns to carry."""
     d = rep.select(*keys, F.posexplode("issues").alias("ord", "v0"))
     nested = F.coalesce(*[F.when(F.startswith(F.schema_of_variant(_get(F.col("v0"), k)), F.lit("OBJECT")), _get(F.col("v0"), k)) for k in ("issue", "finding", "item")])
-    string = F.when(F.schema_of_variant("v0") == "STRING", F.trim(F.try_variant_get("v0", "$", "string")))
+    string = F.when(F.schema_of_variant("v0") == "STRING", C.strip(F.try_variant_get("v0", "$", "string")))
     d = d.select("*", string.alias("s"), F.coalesce(nested, F.col("v0")).alias("v"))
     # fields beside a wrapper win over those inside it
     two = lambda *k: F.coalesce(_text(F.col("v0"), *k), _text(F.col("v"), *k))
