@@ -32,7 +32,7 @@ from .hashing import _BYTE, _power_tables, scramble
 
 WINDOW, K, SYMBOL = 200, 32, 40
 #: Window starts handled at once; bytes of strings for each bucket; ranges of an anchor that go to a bucket at most.
-CHUNK, BUCKET, HOT = 1 << 20, 8 << 20, 20_000
+CHUNK, BUCKET, HOT = 1 << 18, 1 << 20, 2_000
 _POS = np.uint64((1 << 22) - 1)
 
 
