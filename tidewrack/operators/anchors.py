@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 
+#: White space that is no part of a quote at its ends.
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u3000"
+
 
 def nearest(issues: DataFrame, files: DataFrame) -> DataFrame:
     """ord, relative, start_line, end_line, start_column: where an issue's quote stands.
@@ -14,7 +17,7 @@ def nearest(issues: DataFrame, files: DataFrame) -> DataFrame:
     Of the lines that hold the quote the nearest to `line`, first of ties; a quote of several lines is searched for in the
     text. issues: ord, file, line, quote; files: relative, content. Issues meet only their own file.
     """
-    q = issues.where("quote is not null and trim(quote) <> ''").withColumn("quote", F.trim("quote")).withColumn("hint", F.coalesce("line", F.lit(1)))
+    q = issues.withColumn("quote", F.btrim("quote", F.lit(BLANKS))).where("quote <> ''").withColumn("hint", F.coalesce("line", F.lit(1)))
     key = F.regexp_replace(F.replace(q.file, F.lit("\\"), F.lit("/")), r"^(\./)+", "")
     f = files.where(~C.is_unsafe(F.col("relative"))).select("relative", "content")
     j = q.join(f, key == F.col("relative")).select("ord", "relative", "hint", "quote", "content")

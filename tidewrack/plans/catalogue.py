@@ -343,7 +343,7 @@ _CONTENT = "SELECT concat('f', CAST(doc_id AS VARCHAR(20))) AS relative, text AS
     issues=_QUOTES, files=_CONTENT,
 )
 def anchor_nearest(spark, issues, files):
-    return anchors.nearest(issues.where("not contains(trim(quote), '\n')"), files)
+    return anchors.nearest(issues, files)
 
 
 _TERMS = ["the", "tion", "der", "que"]
