@@ -21,9 +21,13 @@ def query_terms(text: str) -> list[str]:
     return [t.lower() for t in re.findall(r"[A-Za-z_][A-Za-z0-9_]{2,}", text)][:MAX_TERMS]
 
 
-def build(files: DataFrame, stem: bool = False) -> tuple[DataFrame, DataFrame]:
-    """postings (term, path, tf, at: positions) and docs (path, len); blank files are left out."""
-    d = files.where(F.trim(F.coalesce("content", F.lit(""))) != "").select(F.col("relative").alias("path"), F.concat_ws(" ", "relative", F.substring("content", 1, CAP)).alias("text"))
+def build(files: DataFrame, stem: bool = False, cap: int | None = CAP) -> tuple[DataFrame, DataFrame]:
+    """postings (term, path, tf, at: positions) and docs (path, len); blank files are left out.
+
+    Only the first `cap` characters of a text are indexed, as in the reference; with None whole texts are.
+    """
+    text = F.col("content") if cap is None else F.substring("content", 1, cap)
+    d = files.where(F.trim(F.coalesce("content", F.lit(""))) != "").select(F.col("relative").alias("path"), F.concat_ws(" ", "relative", text).alias("text"))
     t = d.select("path", F.posexplode(index_tokens(F.col("text"))).alias("at", "term"))
     if stem:
         t = t.withColumn("term", porter_udf()("term"))
@@ -35,7 +39,9 @@ def phrase_frequencies(postings: DataFrame, terms: list[list[str]]) -> DataFrame
     spark = postings.sparkSession
     rows = [(q, k, w, len(ws)) for q, ws in enumerate(terms) for k, w in enumerate(ws)]
     want = F.broadcast(spark.createDataFrame(rows, "q int, k int, word string, n int"))
-    hit = postings.join(want, postings.term == want.word).select("q", "n", "path", F.explode("at").alias("p"), "k")
+    # a filter on a grouping column goes below the grouping: only the postings asked for are shuffled
+    asked = postings.where(F.col("term").isin(sorted({w for _, _, w, _ in rows})))
+    hit = asked.join(want, asked.term == want.word).select("q", "n", "path", F.explode("at").alias("p"), "k")
     starts = hit.groupBy("q", "n", "path", (F.col("p") - F.col("k")).alias("start")).agg(F.count_distinct("k").alias("c")).where("c = n")
     return starts.groupBy("q", "path").agg(F.count("*").alias("tf"))
 

@@ -355,5 +355,5 @@ _TERMS = ["the", "tion", "der", "que"]
     files=_CONTENT,
 )
 def bm25_topk(spark, files):
-    p, d = search.build(files)
+    p, d = search.build(files, cap=None)
     return search.query(p, d, [[t] for t in _TERMS], 20).select("path", F.round("score", 6).alias("score"))
