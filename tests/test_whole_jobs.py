@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from tidewrack.llm import decontaminate
+from tidewrack.llm import decontaminate, langid
 from tidewrack.plans.catalogue import QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -65,3 +65,12 @@ def test_decontamination_finds_short_items(spark):
     for limit in (10**6, 3):
         got = {(x.doc_id, x.item_id): (x.score, x.n_matched) for x in decontaminate.overlaps(docs, bench, limit=limit).collect()}
         assert got == {(1, 1): (9, 13), (2, 2): (9, 11), (3, 3): (6, 8), (4, 4): (5, 5), (5, 5): (1, 1), (8, 4): (5, 5)}
+
+
+def test_language_id_learns_every_label(spark, monkeypatch):
+    rows = [(k * 100 + i, f"{chr(0x4E00 + 40 * k)}{chr(0x4E01 + 40 * k)} " * 40, f"l{k:02}") for k in range(70) for i in range(12 if k < 69 else 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert model.langs == [f"l{k:02}" for k in range(70)]
+    monkeypatch.setattr(langid, "SAMPLE", 140)  # two documents of each
+    assert langid.fit(docs).langs == model.langs

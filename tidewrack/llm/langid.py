@@ -3,8 +3,8 @@
 Filters of several widths over one-hot bytes (sums of table rows), ReLU, max pooling over a fixed-length window, softmax;
 a document's probabilities are the mean over all its windows, weighted by their bytes.
 
-Training reads a bounded sample: at most MAX_LANGS languages (the most frequent), PER_LANG documents of each (smallest
-hashes of the id) and WINDOWS windows spread over each. Every window of every document is predicted.
+Training reads a bounded sample of every language: PER_LANG documents of each (smallest hashes of the id; fewer where the
+languages are so many that these pass SAMPLE, but one at least) and WINDOWS windows spread over each. Every window of every document is predicted.
 
 Defined cases: a text that is null or has no letter gets `und` with score 0; with no usable label every text does;
 repeated rows get equal results each; columns other than doc_id, text and lang play no part (lang in training only).
@@ -14,13 +14,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import maybe_broadcast, ship, table
 
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 16, 256
-MAX_LANGS, PER_LANG, WINDOWS = 64, 600, 3
+SAMPLE, PER_LANG, WINDOWS = 38_400, 600, 3
 EPOCHS, BATCH, RATE, SEED = 6, 64, 0.01, 7
 
 
@@ -139,20 +139,23 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> ByteCNN:
     """Train on the bounded sample of docs (doc_id, text, lang) that are not held out."""
     d = docs.where(~held_out(F.col("doc_id"))).where("lang is not null and text is not null").select("doc_id", "text", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h"))
-    counts = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    counts = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return ByteCNN([])
-    # ids with the smallest hashes: a threshold that lets about 1.2 per_lang + 50 of each language through
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1 << 40, int((1 << 40) * (1.2 * per_lang + 50) / n))))])
+    per_lang = max(1, min(per_lang, SAMPLE // len(counts)))
+    # ids with the smallest hashes: a threshold that lets about 1.2 per_lang + 50 of each language through, then the first of these
+    share = docs.sparkSession.createDataFrame([(k, min(1 << 40, int((1 << 40) * (1.2 * per_lang + 50) / n))) for k, n in counts.items()], "s_lang string, share long")
+    some = d.join(maybe_broadcast(share), F.col("lang") == F.col("s_lang")).where("h < share")
     cut = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda k: F.substring(F.col("text"), (F.floor(F.length("text") * k / WINDOWS) + 1).cast("int"), F.lit(WINDOW)))
-    sample = d.where(F.col("lang").isin(*counts)).where(F.col("h") < share[F.col("lang")]).select("doc_id", "lang", "h", cut.alias("w")).limit(2 * len(counts) * (per_lang + 100)).toPandas()
-    sample = sample.sort_values(["lang", "h", "doc_id"]).groupby("lang").head(per_lang)
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    sample = some.select("doc_id", "lang", "h", cut.alias("w"), nth.alias("nth")).where(F.col("nth") <= per_lang).toPandas()
+    sample = sample.sort_values(["lang", "h", "doc_id"])
     model = ByteCNN(sorted(counts))
-    x, y = [], []
+    x, y, number = [], [], {k: i for i, k in enumerate(model.langs)}
     for lang, windows in zip(sample["lang"], sample["w"], strict=True):
         for t in dict.fromkeys(windows):
             x.append(to_windows(t.encode())[:1])
-            y.append(model.langs.index(lang))
+            y.append(number[lang])
     return model.train(np.concatenate(x), np.array(y))
 
 
