@@ -1,11 +1,12 @@
 """Registered queries do the whole job: inputs that an earlier form left out, against brute force."""
 
 import math
+import random
 import re
 
 import pytest
 
-from tidewrack.llm import decontaminate, langid
+from tidewrack.llm import decontaminate, langid, stages
 from tidewrack.plans.catalogue import QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -67,6 +68,17 @@ def test_decontamination_finds_short_items(spark):
         assert got == {(1, 1): (9, 13), (2, 2): (9, 11), (3, 3): (6, 8), (4, 4): (5, 5), (5, 5): (1, 1), (8, 4): (5, 5)}
 
 
+def test_near_dedup_stage_tells_texts_of_one_id_apart(spark):
+    r = random.Random(4)
+    a, b, c, d = (" ".join(f"{x}{r.randint(0, 99)}" for _ in range(60)) for x in "abcd")
+    rows = [(2, a), (1, b), (1, c), (1, c), (2, b), (3, a + " tail"), (3, d), (0, d + " tail"), (None, a), (None, a), (4, None), (4, ""), (5, "few words")]
+    docs = spark.createDataFrame([(k, t, "clash") for k, t in rows], "doc_id long, text string, key string")
+    got = stages.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(2, a), (1, b), (1, c), (0, d + " tail"), (None, a), (None, a), (4, None), (4, ""), (5, "few words")]
+    assert sorted([(x.doc_id, x.text) for x in got.collect()], key=str) == sorted(want, key=str)
+
+
 def test_language_id_learns_every_label(spark, monkeypatch):
     rows = [(k * 100 + i, f"{chr(0x4E00 + 40 * k)}{chr(0x4E01 + 40 * k)} " * 40, f"l{k:02}") for k in range(70) for i in range(12 if k < 69 else 8)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")

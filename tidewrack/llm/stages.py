@@ -19,14 +19,24 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (the smallest id); of rows with an equal id one, rows without id all."""
-    out = cut(near.near_duplicates(docs), "near")
-    gone = maybe_broadcast(out.where("not kept").select(F.col("doc_id").alias("gone_id")).distinct())
-    many = maybe_broadcast(out.where("doc_id is not null").groupBy(F.col("doc_id").alias("many_id")).agg(F.count("*").alias("n")).where("n > 1").select("many_id"))
-    left = docs.join(gone, docs.doc_id == gone.gone_id, "left_anti")
-    once = left.join(many, left.doc_id == many.many_id, "left_anti")
-    again = left.join(many, left.doc_id == many.many_id, "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    """One document of each group of near-duplicates (the smallest id); of equal rows one, rows without id all.
+
+    A document is known by its id and its text's hash, so rows of one id with other texts are other documents.
+    """
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    # rows without id stay out: in pandas a null would make the batch's keys floats, which lose digits
+    out = cut(near.near_duplicates(docs.where("doc_id is not null").select(key.alias("doc_id"), "text")), "near")
+    groups = maybe_broadcast(out.where("not kept").select(F.col("component_id").alias("g")).distinct())
+    members = cut(out.join(groups, out.component_id == groups.g, "left_semi").select(F.col("doc_id").alias("m_key"), "component_id").distinct(), "members")
+    ids = docs.select("doc_id", key.alias("key"))
+    named = ids.join(maybe_broadcast(members), F.col("key") == F.col("m_key"))
+    first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("first")).select("first.key")
+    gone = maybe_broadcast(cut(members.join(first, F.col("m_key") == F.col("key"), "left_anti").select(F.col("m_key").alias("gone_key")), "gone"))
+    many = maybe_broadcast(out.groupBy(F.col("doc_id").alias("many_key")).agg(F.count("*").alias("n")).where("n > 1").select("many_key"))
+    left = docs.join(gone, key == F.col("gone_key"), "left_anti")
+    once = left.join(many, key == F.col("many_key"), "left_anti")
+    again = left.join(many, key == F.col("many_key"), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("text"))
     return once.unionByName(again.withColumn("tidewrack_nth", nth).where("tidewrack_nth = 1").drop("tidewrack_nth"))
 
 
