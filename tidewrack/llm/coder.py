@@ -1,132 +1,137 @@
 """Adaptive context-mixing range coder for token ids, many blocks in lock step with numpy.
 
 A frame holds blocks of BLOCK ids; each block starts from a reset model, ends in its own words and has its own CRC-32, so
-that blocks are independent. Ids must be below 65,536. An id is one interval of the coder's range, or two:
+that blocks are independent. Ids must be below 65,536.
 
-- the id that its order-2 context predicts gets what a mixer says (order 2's and order 1's experience with predictions of
-  this confidence, in the logistic domain, with weights that learn);
-- the id that its order-1 context predicts gets its share of the rest, where it is another id;
-- any other id comes by order-0 counts: its high byte shares what is left, then its low byte follows under the high byte's
-  group. Counts take effect at fixed steps, so that cumulative tables are rebuilt a few times a block only.
+An id is a walk down the frame's binary tree (Huffman's, of the frame's id counts; the header has its code lengths). Each
+turn of the walk is one binary decision. Three predictions of it, by order 0 (the node), order 1 (node and last id) and
+order 2 (node and the last two ids), are mixed in the logistic domain with weights that learn; the mix drives a binary
+range coder. Every prediction is a probability with a count of its visits, adapts at 1 / (visits + 1.6) and never stops.
 
-All arithmetic is on integers, so every machine decodes alike. The range coder is carry-less, with 64-bit state and
-32-bit output words.
+All arithmetic is on integers and wraps alike, so every machine decodes alike. The range coder is carry-less, with 64-bit
+state and 32-bit output words.
 
-Frame: magic, version, ids, block size, then for each block its bytes and CRC (little-endian 32-bit), then the words.
+Frame: magic, version, ids, block size, bytes of the code lengths; these (zlib of ids and lengths); for each block its
+bytes, decisions and CRC (little-endian 32-bit); then the words.
 """
 
 from __future__ import annotations
 
+import heapq
 import struct
 import zlib
 
 import numpy as np
 
 BLOCK, LANES = 2048, 2048
-MAGIC, HEAD = b"TWCM", struct.Struct("<4sBxxxQI")
-SLOTS, GROUPS = 1024, 16
-#: Steps at which counts take effect.
-REBUILD = frozenset((16, 64, 192, 512, 1024, 1536))
+MAGIC, VERSION, HEAD = b"TWCM", 3, struct.Struct("<4sBxxxQII")
+#: Slots of the predictions of each order (order 0 has fewer where the tree is smaller).
+SLOTS = (1 << 13, 1 << 12, 1 << 11)
+#: Longest code, and steps after which the room for output is looked at.
+DEEPEST, ROOM = 30, 256
 _WORD, _LOW32 = np.uint64(1 << 32), np.uint64((1 << 32) - 1)
-_16, _32 = np.uint64(16), np.uint64(32)
-
-#: Logistic function and its inverse as fixed integer tables (probabilities in 4096ths, logits in 256ths).
-SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2048, 2048) / 256.0))), 1, 3584).astype(np.int32)
-STRETCH = np.clip(np.round(256 * np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096)))), -2047, 2047).astype(np.int32)
-#: Confidence after a wrong (first 16) or right prediction.
-_NEXT = np.array([1, 1, *[c >> 1 for c in range(2, 16)], *[min(c + 1, 15) for c in range(16)]], np.uint32)
-
-
-class _Counts:
-    """Counts of 256 values in rows, and their cumulative tables of a fixed total, rebuilt on demand."""
-
-    def __init__(self, rows: int, total: int, floor: int):
-        self.total, self.floor, self.n = total, floor, np.zeros((rows, 256), np.uint16)
-        self.flat = self.n.reshape(-1)
-        even = (np.arange(257) * (total // 256)).astype(np.int32)
-        self.cum = np.tile(even, rows)
-
-    def rebuild(self) -> None:
-        sums = self.n.sum(axis=1, dtype=np.int32)
-        scale = ((self.total - 256 * self.floor) << 8) // np.maximum(sums, 1)
-        cum = self.cum.reshape(-1, 257)
-        np.cumsum(self.n * scale[:, None].astype(np.int32) >> 8, axis=1, dtype=np.int32, out=cum[:, 1:])
-        # what rounding leaves over goes evenly to all values, the remainder to the last
-        each = (self.total - cum[:, 256]) // 256
-        cum += np.arange(257, dtype=np.int32) * each[:, None]
-        cum[:, 256] = self.total
-
-
-class _Model:
-    def __init__(self, n: int):
-        self.base, self.bins = np.arange(n) * SLOTS, np.arange(n) * 32
-        self.t1, self.t2 = np.zeros(n * SLOTS, np.uint32), np.zeros(n * SLOTS, np.uint32)  # id and confidence
-        self.h1, self.h2 = np.full(n * 32, 1024, np.int32), np.full(n * 32, 1024, np.int32)  # chance that such a prediction is right
-        self.w1, self.w2 = np.full(n, 1 << 14, np.int32), np.full(n, 3 << 14, np.int32)  # 65,536ths
-        self.high, self.low = _Counts(n, 4096, 2), _Counts(n * GROUPS, 65536, 16)
-        self.p1, self.p2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
-
-    def predict(self, n: int) -> None:
-        a = self.p1[:n] * 40503
-        self.s1, self.s2 = self.base[:n] + (a >> 4 & SLOTS - 1), self.base[:n] + (a + self.p2[:n] * 60493 >> 5 & SLOTS - 1)
-        e1, e2 = self.t1[self.s1], self.t2[self.s2]
-        self.g1, self.g2, self.c1, self.c2 = e1 >> 4, e2 >> 4, e1 & 15, e2 & 15
-        self.same = same = self.g1 == self.g2
-        self.i1, self.i2 = self.bins[:n] + (self.c1 << 1 | same), self.bins[:n] + (self.c2 << 1 | same)
-        self.q1, self.q2 = self.h1[self.i1], self.h2[self.i2]
-        self.x2, x1 = STRETCH[self.q2], STRETCH[self.q1]
-        self.x1 = np.where(same, x1, -x1)
-        dot = self.w1[:n] * self.x1 + self.w2[:n] * self.x2 >> 16
-        self.mixed = SQUASH[np.minimum(np.maximum(dot, -2048), 2047) + 2048]
-        self.f2 = self.mixed << 4
-        self.f1 = np.where(same, 0, (65536 - self.f2) * np.minimum(np.maximum(self.q1, 8), 3072) >> 12)
-        self.at = self.f2 + self.f1
-        self.rest = 65536 - self.at
-
-    def learn(self, n: int, ids: np.ndarray) -> None:
-        r1, r2 = self.g1 == ids, self.g2 == ids
-        err = (r2.astype(np.int32) << 12) - self.mixed
-        self.w1[:n] += self.x1 * err + 4096 >> 13
-        self.w2[:n] += self.x2 * err + 4096 >> 13
-        self.h1[self.i1] = self.q1 + ((r1.astype(np.int32) << 12) - self.q1 >> 4)
-        self.h2[self.i2] = self.q2 + ((r2.astype(np.int32) << 12) - self.q2 >> 4)
-        new = ids.astype(np.uint32)
-        self.t1[self.s1] = np.where(r1 | (self.c1 > 1), self.g1, new) << 4 | _NEXT[r1 * 16 + self.c1]
-        self.t2[self.s2] = np.where(r2 | (self.c2 > 1), self.g2, new) << 4 | _NEXT[r2 * 16 + self.c2]
-        self.p2[:n], self.p1[:n] = self.p1[:n], ids
-
-
-def _narrow(low: np.ndarray, rng: np.ndarray, start: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The interval [start, start + freq) of 65,536; and which lanes' first word is settled (or given up, where range is short)."""
-    r = rng >> _16
-    low = low + start.astype(np.uint64) * r
-    rng = freq.astype(np.uint64) * r
+_16, _32, _ZERO = np.uint64(16), np.uint64(32), np.uint64(0)
+
+#: A prediction: 12 bits of probability over 4 bits of visits. Its logit (256ths), and the predictions that follow it.
+_P, _N = np.arange(65536) >> 4, np.arange(65536) & 15
+LOGIT = np.clip(np.round(256 * np.log((_P + 0.5) / (4095.5 - _P))), -2047, 2047).astype(np.int32)
+_NEAR = lambda to: np.clip(np.round(_P + (to - _P) / (_N + 1.6)), 4, 4091).astype(np.uint16) << 4 | np.minimum(_N + 1, 15).astype(np.uint16)
+FOLLOWS = np.concatenate((_NEAR(0), _NEAR(4095)))
+EVEN = np.uint16(2048 << 4)
+#: Probability of a 1 for a mixed logit, in 65,536ths for the coder and in 4096ths for learning.
+CHANCE = np.clip(np.round(65536 / (1 + np.exp(-np.arange(-2048, 2048) / 256))), 24, 65512).astype(np.uint64)
+GUESS = (CHANCE >> np.uint64(4)).astype(np.int32)
+#: Weights (16,384ths) at the start.
+WEIGHTS = np.array([[11500], [8200], [6500]], np.int32)
+
+
+# ---- the tree ----
+
+
+def code_lengths(counts: np.ndarray) -> np.ndarray:
+    """Huffman code lengths of counts (none of them zero), of DEEPEST bits at most."""
+    n = len(counts)
+    if n == 1:
+        return np.ones(1, np.uint8)
+    counts = counts.astype(np.int64)
+    while True:
+        heap, parent = [(c, i) for i, c in enumerate(counts.tolist())], [0] * (2 * n - 1)
+        heapq.heapify(heap)
+        for k in range(n, 2 * n - 1):
+            a, x = heapq.heappop(heap)
+            b, y = heap[0]
+            parent[x] = parent[y] = k
+            heapq.heapreplace(heap, (a + b, k))
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        if max(depth[:n]) <= DEEPEST:
+            return np.array(depth[:n], np.uint8)
+        counts = counts // 2 + 1
+
+
+class _Tree:
+    """Children of inner nodes, numbered level by level (a leaf is ~id), and each id's code and its length."""
+
+    def __init__(self, ids: np.ndarray, lens: np.ndarray):
+        order = np.lexsort((ids, lens))
+        ids, lens = ids[order].astype(np.int64), lens[order].astype(np.int64)
+        self.code, self.len = np.zeros(65536, np.int64), np.zeros(65536, np.int64)
+        children, at, inner, numbered, first = [], 0, 1, 1, 0
+        for level in range(1, int(lens[-1]) + 1 if len(lens) else 0):
+            k = int(np.searchsorted(lens, level, "right")) - at
+            first <<= 1
+            leaves = ids[at : at + k]
+            self.code[leaves], self.len[leaves] = first + np.arange(k), level
+            first, at, slots = first + k, at + k, 2 * inner
+            inner = slots - k
+            children += [~leaves, numbered + np.arange(inner)]
+            numbered += inner
+        child = np.concatenate(children) if children else np.zeros(0, np.int64)
+        # the tree of a single id has a place that no code reaches
+        self.child = np.where(child >= max(1, len(ids) - 1), ~np.int64(0), child)
+        self.nodes = max(1, len(ids) - 1)
+
+
+# ---- the range coder ----
+
+
+def _renew(low: np.ndarray, rng: np.ndarray) -> np.ndarray:
+    """Lanes whose first word is settled, or given up where the range is short."""
     same = (low ^ (low + rng)) < _WORD
     go = np.flatnonzero(same | (rng < _WORD))
     if len(go):
         short = go[~same[go]]
-        rng[short] = (np.uint64(0) - low[short]) & _LOW32
-    return low, rng, go
+        rng[short] = (_ZERO - low[short]) & _LOW32
+    return go
 
 
 class _Encoder:
-    def __init__(self, n: int, steps: int):
-        self.low, self.rng = np.zeros(n, np.uint64), np.full(n, ~np.uint64(0))
-        self.out, self.pos = np.zeros((n, 2 * steps + 4), np.uint32), np.zeros(n, np.int64)
-
-    def put(self, lanes, start, freq) -> None:
-        low, rng, go = _narrow(self.low[lanes], self.rng[lanes], start, freq)
+    def __init__(self, n: int):
+        self.low, self.rng = np.zeros(n, np.uint64), np.full(n, ~_ZERO)
+        self.out, self.pos = np.zeros((n, 2 * ROOM), np.uint32), np.zeros(n, np.int64)
+
+    def room(self) -> None:
+        if int(self.pos.max()) + ROOM + 2 > self.out.shape[1]:
+            self.out = np.concatenate((self.out, np.zeros_like(self.out)), axis=1)
+
+    def bits(self, n: int, p: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        low, rng = self.low[:n], self.rng[:n]
+        bound = (rng >> _16) * p
+        low += np.where(bit, _ZERO, bound)
+        rng[:] = np.where(bit, bound, rng - bound)
+        go = _renew(low, rng)
         if len(go):
-            at = go if isinstance(lanes, slice) else lanes[go]
-            self.out[at, self.pos[at]] = low[go] >> _32
-            self.pos[at] += 1
+            self.out[go, self.pos[go]] = low[go] >> _32
+            self.pos[go] += 1
             low[go] <<= _32
             rng[go] <<= _32
-        self.low[lanes], self.rng[lanes] = low, rng
+        return bit
 
     def end(self) -> list[bytes]:
         at = np.arange(len(self.low))
-        for shift in (_32, np.uint64(0)):
+        self.room()
+        for shift in (_32, _ZERO):
             self.out[at, self.pos] = self.low >> shift & _LOW32
             self.pos += 1
         return [o[:n].astype("<u4").tobytes() for o, n in zip(self.out, self.pos.tolist(), strict=True)]
@@ -138,80 +143,88 @@ class _Decoder:
         self.buf = np.zeros((n, max(map(len, parts)) // 4 + 2), np.uint64)
         for row, p in zip(self.buf, parts, strict=True):
             row[: len(p) // 4] = np.frombuffer(p, "<u4", len(p) // 4)
-        self.low, self.rng, self.pos = np.zeros(n, np.uint64), np.full(n, ~np.uint64(0)), np.full(n, 2, np.int64)
+        self.low, self.rng, self.pos = np.zeros(n, np.uint64), np.full(n, ~_ZERO), np.full(n, 2, np.int64)
         self.code = self.buf[:, 0] << _32 | self.buf[:, 1]
         self.last = self.buf.shape[1] - 1
 
-    def peek(self, lanes) -> np.ndarray:
-        return np.minimum((self.code[lanes] - self.low[lanes]) // (self.rng[lanes] >> _16), np.uint64(65535)).astype(np.int64)
+    def room(self) -> None:
+        pass
 
-    def take(self, lanes, start, freq) -> None:
-        low, rng, go = _narrow(self.low[lanes], self.rng[lanes], start, freq)
+    def bits(self, n: int, p: np.ndarray, bit: None) -> np.ndarray:
+        low, rng, code = self.low[:n], self.rng[:n], self.code[:n]
+        bound = (rng >> _16) * p
+        bit = code - low < bound
+        low += np.where(bit, _ZERO, bound)
+        rng[:] = np.where(bit, bound, rng - bound)
+        go = _renew(low, rng)
         if len(go):
-            at = go if isinstance(lanes, slice) else lanes[go]
-            self.code[at] = self.code[at] << _32 | self.buf[at, np.minimum(self.pos[at], self.last)]
-            self.pos[at] += 1
+            code[go] = code[go] << _32 | self.buf[go, np.minimum(self.pos[go], self.last)]
+            self.pos[go] += 1
             low[go] <<= _32
             rng[go] <<= _32
-        self.low[lanes], self.rng[lanes] = low, rng
-
-
-def _find(cum: np.ndarray, base: np.ndarray, x: np.ndarray, scale: np.ndarray | None) -> np.ndarray:
-    """The value whose interval of the cumulative table at base holds x; with scale, of the table times scale / 4096."""
-    i = np.zeros(len(base), np.int64)
-    for step in (128, 64, 32, 16, 8, 4, 2, 1):
-        c = cum[base + i + step]
-        i += step * ((c if scale is None else c * scale >> 12) <= x)
-    return i
-
-
-def _run(coder, lens: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-    """Code blocks of the given lengths (longest first) in lock step; ids: (steps, blocks) to encode, None to decode."""
-    m, steps = _Model(len(lens)), int(lens[0])
-    out = np.zeros((steps, len(lens)), np.int64) if ids is None else ids
-    high, low = m.high, m.low
-    for k in range(steps):
-        if k in REBUILD:
-            high.rebuild()
-            low.rebuild()
-        n = int(np.searchsorted(-lens, -k))
-        m.predict(n)
-        on = slice(0, n)
-        if ids is not None:
-            x = ids[k, :n]
-            hit2 = m.g2 == x
-            hit1 = (m.g1 == x) & ~hit2
-            miss = np.flatnonzero(~(hit1 | hit2))
-            start, freq = np.where(hit2, 0, m.f2), np.where(hit2, m.f2, m.f1)
-        else:
-            v = coder.peek(on)
-            hit2, miss = v < m.f2, np.flatnonzero(v >= m.at)
-            x = np.where(hit2, m.g2, m.g1).astype(np.int64)
-            start, freq = np.where(hit2, 0, m.f2), np.where(hit2, m.f2, m.f1)
-        if len(miss):
-            base, rest, at = miss * 257, m.rest[miss], m.at[miss]
-            hi = x[miss] >> 8 if ids is not None else _find(high.cum, base, v[miss] - at, rest)
-            a = high.cum[base + hi] * rest >> 12
-            start[miss], freq[miss] = at + a, (high.cum[base + hi + 1] * rest >> 12) - a
+        return bit
+
+
+# ---- the model ----
+
+
+def _run(coder, tree: _Tree, steps: np.ndarray, lens: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
+    """Code blocks (of descending numbers of decisions `steps`) in lock step; ids: (BLOCK, blocks) to encode, None to decode."""
+    lanes = len(steps)
+    sizes = (min(SLOTS[0], 1 << max(4, (tree.nodes - 1).bit_length())), *SLOTS[1:])
+    table = np.full(lanes * sum(sizes), EVEN, np.uint16)
+    base = np.arange(lanes, dtype=np.int64) * sum(sizes) + np.array([[0], [sizes[0]], [sizes[0] + sizes[1]]])
+    mask = np.array(sizes, np.int64)[:, None] - 1
+    context, last, node = np.zeros((3, lanes), np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    weights = np.repeat(WEIGHTS, lanes, axis=1)
+    out, pos = np.zeros((int(lens.max()) + 1, lanes), np.uint16) if ids is None else ids, np.zeros(lanes, np.int64)
+    child, n, bit = tree.child, lanes, None
+    if ids is not None:
+        code, left = tree.code[ids[0]], tree.len[ids[0]]
+    for k in range(int(steps[0])):
+        while steps[n - 1] <= k:
+            n -= 1
+        if k % ROOM == 0:
+            coder.room()
+        at = node[:n]
+        slots = context[:, :n] ^ at * 40503
+        slots[0] = at
+        slots &= mask
+        slots += base[:, :n]
+        seen = table.take(slots)
+        logits = LOGIT.take(seen)
+        w = weights[:, :n]
+        products = w * logits
+        mixed = ((products[0] + products[1] + products[2]) >> 14) + 2048
         if ids is not None:
-            coder.put(on, start, freq)
-        else:
-            coder.take(on, start, freq)
-        if len(miss):
-            row = miss * GROUPS + (hi & GROUPS - 1)
-            base = row * 257
-            lo = x[miss] & 255 if ids is not None else _find(low.cum, base, coder.peek(miss), None)
-            a = low.cum[base + lo]
-            if ids is not None:
-                coder.put(miss, a, low.cum[base + lo + 1] - a)
+            left[:n] -= 1
+            bit = (code[:n] >> left[:n] & 1).astype(bool)
+        bit = coder.bits(n, CHANCE.take(mixed, mode="clip"), bit)
+        ones = bit.astype(np.int32)
+        error = (ones << 12) - GUESS.take(mixed, mode="clip")
+        logits *= error
+        logits += 1024
+        logits >>= 11
+        w += logits
+        table[slots] = FOLLOWS.take(seen + (ones << 16))
+        at *= 2
+        at += ones
+        at[:] = child.take(at)
+        done = np.flatnonzero(at < 0)
+        if len(done):
+            x = ~at[done]
+            p = pos[done]
+            if ids is None:
+                out[p, done] = x
+                pos[done] = p = np.minimum(p + 1, len(out) - 1)
             else:
-                coder.take(miss, a, low.cum[base + lo + 1] - a)
-                x[miss] = hi << 8 | lo
-            high.flat[miss * 256 + hi] += 1
-            low.flat[row * 256 + lo] += 1
-        m.learn(n, x)
-        if ids is None:
-            out[k, :n] = x
+                pos[done] = p = p + 1
+                y = out[np.minimum(p, len(out) - 1), done]
+                code[done], left[done] = tree.code[y], tree.len[y]
+            context[1, done] = x * 60493 >> 3
+            context[2, done] = (x * 2654435 + last[done] * 805459) >> 5
+            last[done] = x
+            node[done] = 0
     return out
 
 
@@ -223,39 +236,58 @@ def encode(ids: np.ndarray) -> bytes:
     """A frame of the ids (integers below 65,536)."""
     if len(ids) and (int(ids.max()) > 65535 or int(ids.min()) < 0):
         raise ValueError("ids must be in 0..65535")
-    ids, lens, parts = ids.astype(np.uint16), _lens(len(ids)), []
+    ids, lens = ids.astype(np.uint16), _lens(len(ids))
+    counts = np.bincount(ids, minlength=1)
+    known = np.flatnonzero(counts)
+    code = code_lengths(counts[known]) if len(known) else np.zeros(0, np.uint8)
+    head = zlib.compress(known.astype("<u2").tobytes() + code.tobytes(), 9)
+    tree, parts, steps = _Tree(known, code), [b""] * len(lens), np.zeros(len(lens), np.int64)
     for k in range(0, len(lens), LANES):
         part = lens[k : k + LANES]
-        grid = np.zeros((len(part), BLOCK), np.int64)
+        grid = np.zeros((len(part), BLOCK), np.uint16)
         flat = ids[k * BLOCK : k * BLOCK + int(part.sum())]
         grid.reshape(-1)[: len(flat)] = flat
-        coder = _Encoder(len(part), int(part[0]))
-        _run(coder, part, np.ascontiguousarray(grid.T))
-        parts += coder.end()
+        n = tree.len[grid]
+        n[np.arange(BLOCK) >= part[:, None]] = 0
+        steps[k : k + LANES] = n.sum(axis=1)
+        order = np.argsort(-steps[k : k + LANES], kind="stable")
+        coder = _Encoder(len(part))
+        _run(coder, tree, steps[k : k + LANES][order], part[order], np.ascontiguousarray(grid[order].T))
+        for i, b in zip((k + order).tolist(), coder.end(), strict=True):
+            parts[i] = b
     crcs = [zlib.crc32(ids[k : k + BLOCK].astype("<u2").tobytes()) for k in range(0, len(ids), BLOCK)]
-    table = np.array([[len(p), c] for p, c in zip(parts, crcs, strict=True)], "<u4").tobytes()
-    return HEAD.pack(MAGIC, 2, len(ids), BLOCK) + table + b"".join(parts)
+    table = np.array([[len(p), s, c] for p, s, c in zip(parts, steps.tolist(), crcs, strict=True)], "<u4").tobytes()
+    return HEAD.pack(MAGIC, VERSION, len(ids), BLOCK, len(head)) + head + table + b"".join(parts)
 
 
 def decode(frame: bytes) -> np.ndarray:
     """The ids of a frame (uint16); ValueError if it isn't whole."""
     if len(frame) < HEAD.size:
         raise ValueError("not a frame of this format")
-    magic, version, n, block = HEAD.unpack_from(frame)
-    lens = _lens(n)
-    if (magic, version, block) != (MAGIC, 2, BLOCK) or len(frame) < HEAD.size + 8 * len(lens):
+    magic, version, n, block, size = HEAD.unpack_from(frame)
+    lens, start = _lens(n), HEAD.size + size
+    if (magic, version, block) != (MAGIC, VERSION, BLOCK) or len(frame) < start + 12 * len(lens):
         raise ValueError("not a frame of this format")
-    table = np.frombuffer(frame, "<u4", 2 * len(lens), HEAD.size).reshape(-1, 2)
-    at = HEAD.size + table.nbytes + np.concatenate(([0], np.cumsum(table[:, 0], dtype=np.int64)))
-    if at[-1] != len(frame):
+    try:
+        head = zlib.decompress(frame[HEAD.size : start])
+    except zlib.error as e:
+        raise ValueError("the frame's code lengths are broken") from e
+    known = np.frombuffer(head, "<u2", len(head) // 3).astype(np.int64)
+    tree = _Tree(known, np.frombuffer(head, np.uint8, len(known), 2 * len(known)))
+    table = np.frombuffer(frame, "<u4", 3 * len(lens), start).reshape(-1, 3).astype(np.int64)
+    at = start + 12 * len(lens) + np.concatenate(([0], np.cumsum(table[:, 0])))
+    if at[-1] != len(frame) or (len(table) and table[:, 1].max() > BLOCK * DEEPEST):
         raise ValueError("the frame's length is wrong")
-    out = []
+    out: list[np.ndarray] = []
     for k in range(0, len(lens), LANES):
-        part = lens[k : k + LANES]
-        grid = _run(_Decoder([frame[at[i] : at[i + 1]] for i in range(k, k + len(part))]), part, None).astype(np.uint16).T
-        for i, row in enumerate(np.ascontiguousarray(grid)):
+        part, steps = lens[k : k + LANES], table[k : k + LANES, 1]
+        order = np.argsort(-steps, kind="stable")
+        grid = _run(_Decoder([frame[at[i] : at[i + 1]] for i in (k + order).tolist()]), tree, steps[order], part[order], None)
+        rows = np.empty((len(part), BLOCK + 1), np.uint16)
+        rows[order, : grid.shape[0]] = grid.T
+        for i, row in enumerate(rows):
             ids = row[: part[i]]
-            if zlib.crc32(ids.astype("<u2").tobytes()) != table[k + i, 1]:
+            if zlib.crc32(ids.astype("<u2").tobytes()) != table[k + i, 2]:
                 raise ValueError(f"block {k + i} fails its checksum")
-            out.append(ids)
+            out.append(ids.copy())
     return np.concatenate(out) if out else np.zeros(0, np.uint16)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import pathlib
 import tempfile
 import uuid
+import weakref
 import zipfile
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,33 +26,53 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")
 
 
+def n_words(text: Column) -> Column:
+    """Number of words of a text, without an array of them; null gives 0."""
+    marks = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\x20\x09-\x0D]+", "x")
+    return (F.length(marks) - F.length(F.replace(marks, F.lit("x"), F.lit("")))).cast("long")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where none is configured (tests) a temporary one."""
+    """The folder that driver and executors share; in local mode, where none is configured, a temporary one."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="tidewrack-")
         spark.sparkContext.setCheckpointDir(conf)
     return conf.rstrip("/")
 
 
+_paths: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     """Write df as a table in the shared folder and read it back: later steps don't recompute it and lost executors don't matter."""
     path = f"{shared_dir(df.sparkSession)}/tidewrack/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Delete a table that cut() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def drop_cut(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote, once nothing reads them any more; others are left alone."""
+    for df in tables:
+        path = _paths.pop(df, None)
+        if path:
+            p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def last(df: DataFrame, what: str, *tables: DataFrame) -> DataFrame:
+    """cut(df), after which the tables that it was made of are deleted."""
+    out = cut(df, what)
+    drop_cut(*tables)
+    return out
 
 
 def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
@@ -60,6 +85,30 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if bounded(df, limit) else df
 
 
+def give_back() -> None:
+    """Return what a Python worker has freed to the system: it waits, idle, beside the executor's heap for its next task."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(batches: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over a partition's batches that gives its memory back at the end."""
+
+    @functools.wraps(batches)
+    def run(it):
+        try:
+            yield from batches(it)
+        finally:
+            give_back()
+
+    return run
+
+
 _shipped: set[str] = set()
 
 

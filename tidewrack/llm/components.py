@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut
+from .common import cut, drop_cut, last
 
 
 def _sum(df: DataFrame):
@@ -28,4 +28,4 @@ def components(links: DataFrame) -> DataFrame:
         old, edges = edges, cut(small, "links")
         drop_cut(old)
     low = edges.groupBy("b").agg(F.lit(1)).select(F.col("b").alias("id"), F.col("b").alias("component"))
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(low)
+    return last(edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(low), "components", edges)

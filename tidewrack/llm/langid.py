@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, ship, table
+from .common import lean, maybe_broadcast, ship, table
 
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 16, 256
 SAMPLE, PER_LANG, WINDOWS = 38_400, 600, 3
@@ -162,6 +162,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> ByteCNN:
 def identify(docs: DataFrame, model: ByteCNN) -> DataFrame:
     """doc_id, lang_pred, score for each row of docs (doc_id, text)."""
 
+    @lean
     def batches(it):
         for pdf in it:
             ok = (pdf["letter"] & pdf["text"].notna()).to_numpy(dtype=bool)

@@ -4,7 +4,8 @@ Main path: DataFrame functions only.
 
 Every document gets a place in its source's shuffled order; a copy's virtual finish time is the source's tokens up to
 and with it, divided by the source's target. All copies in order of finish time, cut at the total budget, are the mix.
-Running sums go in two steps (sums of buckets, then order within a bucket), so that no source meets in one task.
+Running sums go in three steps (sums of coarse buckets, of buckets, then order within a bucket), so that no source meets in
+one task; the number of buckets follows the number of rows, so that a bucket has about BUCKET of them at any size.
 
 Defined cases: a null text has size 0 and is taken with 0 words; a null source is a source of its own, last in order;
 rows with equal keys are ordered by doc_id, and equal rows are told apart by nothing and treated alike; an empty table
@@ -13,20 +14,26 @@ gives an empty mix; columns other than doc_id, source and text play no part.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded, cut, table, words
+from .common import bounded, cut, last, n_words, table
 
 #: Weights of the sources in code point order, repeating; copies of a document at most.
 WEIGHTS, COPIES = (5, 2, 1), 3
 SEED = "mix-1"
-#: Buckets of a unit of virtual time, and units after which one bucket holds the rest.
-TICKS, UNITS = 4096, 2
+#: Rows that a bucket of running sums is meant for, and units of virtual time (the budget is met near 1) after which one bucket
+#: holds the rest, which is past the budget and dropped before its rows are put in order.
+BUCKET, UNITS = 2048, 2
+#: Sources, and buckets, whose one row each is broadcast.
+SOURCES, SUMS = 100_000, 200_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
+    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
 
 
 def targets(base: DataFrame, weights=WEIGHTS, copies: int = COPIES) -> DataFrame:
@@ -51,36 +58,50 @@ def targets(base: DataFrame, weights=WEIGHTS, copies: int = COPIES) -> DataFrame
     return per.select("source", "source_size", "total", F.when(share < F.col("cap"), share).otherwise(F.col("cap").cast("double")).alias("target"))
 
 
-def _running(df: DataFrame, part: list[str], bucket: str, order: list, size: str, limit: int) -> DataFrame:
-    """`upto`: sum of size over the rows of part up to and with this one, by bucket and order; from bucket sums and sums within buckets."""
-    sums = df.groupBy(*part, bucket).agg(F.sum(size).alias("bucket_sum"))
-    before = Window.partitionBy(*part or [F.lit(0)]).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*[F.col(c).alias(f"s_{c}") for c in (*part, bucket)], F.coalesce(F.sum("bucket_sum").over(before), F.lit(0)).alias("below"))
-    on = F.lit(True)
-    for c in (*part, bucket):
-        on = on & F.col(c).eqNullSafe(F.col(f"s_{c}"))
-    sums = F.broadcast(sums) if not part or bounded(sums, limit) else sums
-    within = Window.partitionBy(*part, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = df.join(sums, on).drop(*[f"s_{c}" for c in (*part, bucket)])
-    return joined, within
+def _buckets(rows: int) -> int:
+    """A square power of two: buckets for so many rows."""
+    k = 0
+    while BUCKET << 2 * k < rows:
+        k += 1
+    return 1 << 2 * k
+
+
+def _below(df: DataFrame, part: list[str], bucket: str, buckets: int, size: str) -> DataFrame:
+    """df with `below`: the sum of size over the rows of part in lower buckets. Bucket numbers are 0 up to a few times `buckets`."""
+    side = math.isqrt(buckets)
+    low = Window.partitionBy(*part, "coarse").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    high = Window.partitionBy(*part or [F.lit(0)]).orderBy("coarse").rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy(*part, bucket).agg(F.sum(size).alias("n")).withColumn("coarse", F.floor(F.col(bucket) / side))
+    fine = sums.select(*[F.col(c).alias(f"f_{c}") for c in (*part, bucket)], F.col("coarse").alias("f_coarse"), F.coalesce(F.sum("n").over(low), F.lit(0)).alias("f_below"))
+    wide = sums.groupBy(*part, "coarse").agg(F.sum("n").alias("n"))
+    wide = wide.select(*[F.col(c).alias(f"w_{c}") for c in (*part, "coarse")], F.coalesce(F.sum("n").over(high), F.lit(0)).alias("w_below"))
+    on = lambda a, b, names: reduce(lambda x, c: x & F.col(f"{a}{c}").eqNullSafe(F.col(f"{b}{c}")), names, F.lit(True))
+    all_ = fine.join(wide, on("f_", "w_", [*part, "coarse"])).select(*[f"f_{c}" for c in (*part, bucket)], (F.col("f_below") + F.col("w_below")).alias("below"))
+    all_ = F.broadcast(all_) if bounded(all_, SUMS) else all_
+    return df.join(all_, on("", "f_", [*part, bucket])).drop(*[f"f_{c}" for c in (*part, bucket)])
 
 
 def weighted_mix(base: DataFrame, per: DataFrame, seed: str = SEED) -> DataFrame:
-    """The mix: doc_id, source, size, copy (0 up), finish, upto (tokens of the mix up to and with this copy), range-sorted.
+    """The mix: doc_id, source, size, copy (0 up), finish, upto (tokens of the mix up to and with this copy).
 
-    base: doc_id, source, size; per: as targets() gives.
+    base: doc_id, source, size, a table that is cheap to read again; per: as targets() gives.
     """
+    buckets = _buckets(base.count())
     key = F.md5(F.concat(F.lit(f"{seed}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    d = base.select("doc_id", "source", "size", key.alias("key"), F.substring(key, 1, 3).alias("lot"))
-    d, within = _running(d, ["source"], "lot", ["key", "doc_id", "size"], "size", BROADCAST_ROWS)
+    d = base.select("doc_id", "source", "size", key.alias("key"))
+    # the first 48 bits of the key in equal parts: buckets in the key's order
+    d = d.withColumn("lot", F.floor(F.conv(F.substring("key", 1, 12), 16, 10).cast("long") / ((1 << 48) // buckets)))
+    d = _below(d, ["source"], "lot", buckets, "size")
+    within = Window.partitionBy("source", "lot").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("place", F.col("below") + F.sum("size").over(within)).drop("below", "lot")
-    t = F.broadcast(per.select(F.col("source").alias("t_source"), "source_size", "target", "total")) if bounded(per, 100_000) else per.select(F.col("source").alias("t_source"), "source_size", "target", "total")
+    t = per.select(F.col("source").alias("t_source"), "source_size", "target", "total")
+    t = F.broadcast(t) if bounded(per, SOURCES) else t
     d = d.join(t, d.source.eqNullSafe(t.t_source)).drop("t_source")
     d = d.select("*", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("copy"))
     finish = F.when(F.col("target") > 0, (F.col("copy") * F.col("source_size") + F.col("place")).cast("double") / F.col("target")).otherwise(F.lit(0.0))
-    d = d.withColumn("finish", finish).withColumn("tick", F.least(F.floor(F.col("finish") * TICKS), F.lit(TICKS * UNITS)).cast("int"))
-    d, within = _running(d, [], "tick", ["finish", F.col("source").asc_nulls_last(), "copy", "key", "doc_id", "size"], "size", BROADCAST_ROWS)
-    d = d.where("below < total or size = 0")
+    d = d.withColumn("finish", finish).withColumn("tick", F.least(F.floor(F.col("finish") * buckets), F.lit(buckets * UNITS)))
+    d = _below(d, [], "tick", buckets, "size").where("below < total or size = 0")
+    within = Window.partitionBy("tick").orderBy("finish", F.col("source").asc_nulls_last(), "copy", "key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("upto", F.col("below") + F.sum("size").over(within)).where("upto <= total")
     return d.select("doc_id", "source", "size", "copy", "finish", "upto")
 
@@ -94,7 +115,7 @@ def mix(docs: DataFrame) -> DataFrame:
 def taken(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, size, source_size, target, taken."""
     base = cut(sizes(docs), "sizes")
-    per = targets(base)
+    per = cut(targets(base), "targets")
     got = weighted_mix(base, per).groupBy("doc_id", "source", "size").agg(F.sum("size").alias("t"), F.count("*").alias("c"))
     same = base.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows"))
     g = got.select(F.col("doc_id").alias("g_id"), F.col("source").alias("g_source"), F.col("size").alias("g_size"), "t")
@@ -104,8 +125,9 @@ def taken(docs: DataFrame) -> DataFrame:
     copies = F.when(F.col("size") > 0, F.floor(F.col("t") / F.greatest("size", F.lit(1)))).otherwise(F.lit(0))
     s = s.withColumn("taken", (F.floor(copies / F.col("rows")) + (F.col("nth") <= copies % F.col("rows")).cast("long")) * F.col("size"))
     t = per.select(F.col("source").alias("t_source"), "source_size", "target")
-    t = F.broadcast(t) if bounded(per, 100_000) else t
-    return s.join(t, s.source.eqNullSafe(t.t_source)).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "source")
+    t = F.broadcast(t) if bounded(per, SOURCES) else t
+    out = s.join(t, s.source.eqNullSafe(t.t_source)).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "source")
+    return last(out, "mix", base, per)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

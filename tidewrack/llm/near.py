@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, drop_cut, ship, table
+from .common import bounded, cut, drop_cut, give_back, last, lean, ship, table
 from .components import components
 from .hashing import chunks, shingle_sets
 
@@ -34,9 +34,10 @@ K, WORDS, PERCENT = 64, 5, 75
 SHARED, ESTIMATE = 0.43, 0.45
 #: Values of the larger sketches (a smaller set is whole), the estimate below which their pairs are dropped (5.5 standard
 #: deviations under 0.75), and classes on a block's side.
-LARGE, LARGE_ESTIMATE, SIDE = 256, 0.6, 2000
+LARGE, LARGE_ESTIMATE, SIDE = 256, 0.6, 1000
 
 
+@lean
 def _sketches(batches):
     for pdf in batches:
         texts = [t.encode() if t is not None else b"" for t in pdf["text"]]
@@ -49,6 +50,7 @@ def _sketches(batches):
             yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[lo:hi].to_numpy(), "n": n, "key": keys, "sketch": sketch})
 
 
+@lean
 def _sets(batches):
     for pdf in batches:
         texts = [t.encode() if t is not None else b"" for t in pdf["text"]]
@@ -56,6 +58,7 @@ def _sets(batches):
             yield pd.DataFrame({"id": pdf["id"].iloc[lo:hi].to_numpy(), "set": list(shingle_sets(texts[lo:hi], WORDS))})
 
 
+@lean
 def _large(batches):
     for pdf in _sets(batches):
         yield pd.DataFrame({"id": pdf["id"], "n": pdf["set"].map(len), "sk": [s[:LARGE] for s in pdf["set"]]})
@@ -94,6 +97,8 @@ def _block(pdf: pd.DataFrame) -> pd.DataFrame:
     i, j = similar_pairs(list(a["sk"]), list(b["sk"]), a["n"].to_numpy(), b["n"].to_numpy()) if len(a) and len(b) else (none, none)
     i, j, ci, cj = a["id"].to_numpy()[i], b["id"].to_numpy()[j], a["c"].to_numpy()[i], b["c"].to_numpy()[j]
     i, j = i[ci != cj], j[ci != cj]
+    if len(pdf) > SIDE:
+        give_back()
     return pd.DataFrame({"a": np.minimum(i, j), "b": np.maximum(i, j)})
 
 
@@ -101,6 +106,9 @@ def _rest(members: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) in different components that share a centre. members: hub, id, c, h_c (the hub's component)."""
     m = members.withColumn("x", F.col("c") != F.col("h_c"))
     n = m.groupBy("hub").agg(F.ceil(F.sum(F.col("x").cast("long")) / SIDE).alias("nx"), F.ceil(F.count("*") / SIDE).alias("ny")).where("nx > 0")
+    # a table of its own: read plainly, a hub that very many share can be split where it is joined
+    n = cut(n, "hubs")
+    n = F.broadcast(n) if bounded(n) else n
     m = cut(m.join(n.withColumnRenamed("hub", "n_hub"), F.col("hub") == F.col("n_hub")).drop("n_hub"), "members")
     ids = m.select("id").distinct()
     ids = F.broadcast(ids) if bounded(ids) else ids
@@ -111,7 +119,7 @@ def _rest(members: DataFrame, docs: DataFrame) -> DataFrame:
     x = m.where("x").select("hub", part("nx").alias("i"), upto("ny").alias("j"), "id", "c", F.lit(True).alias("x"))
     y = m.select("hub", upto("nx").alias("i"), part("ny").alias("j"), "id", "c", F.lit(False).alias("x"))
     rows = x.unionByName(y).join(large, F.col("id") == F.col("l_id")).drop("l_id")
-    return rows.groupBy("hub", "i", "j").applyInPandas(_block, "a long, b long").distinct()
+    return last(rows.groupBy("hub", "i", "j").applyInPandas(_block, "a long, b long").distinct(), "rest", m, large)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -171,17 +179,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     hubs = lists.groupBy("value").agg(F.count("*").alias("m"), F.max(F.struct("centre", (-F.col("id")).alias("neg"))).alias("h")).where("m > 1").select("value", (-F.col("h.neg")).alias("hub"))
     stars = lists.join(hubs, "value").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     good = _verified(_estimated(stars, reps), docs)
-    comp = cut(components(good), "components")
+    comp = components(good)
     # what is left: classes that share a list, and so its centre, but no component
     members = lists.join(hubs, "value").select("hub", "id").distinct()
     named = lambda d, k, c: d.join(comp.select(F.col("id").alias("c_id"), "component"), d[k] == F.col("c_id"), "left").withColumn(c, F.coalesce("component", k)).drop("c_id", "component")
     more = _verified(_rest(named(named(members, "id", "c"), "hub", "h_c"), docs), docs)
+    drop_cut(lists)
     comp = components(good.union(more)) if more.limit(1).count() else comp
     c = comp.withColumnRenamed("id", "c_id")
     of = classes.join(c, classes.id == c.c_id, "left").select(F.col("key").alias("k"), F.coalesce("component", "id").alias("component"))
     out = sk.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(of, F.col("key") == F.col("k"), "left")
     cid = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), cid.alias("component_id"), F.coalesce(cid == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), cid.alias("component_id"), F.coalesce(cid == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return last(out, "near", sk, classes, good, more, comp)
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

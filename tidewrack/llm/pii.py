@@ -5,7 +5,7 @@ whole text; at each anchor a deterministic local parser expands to the boundarie
 
 Base kinds: email, ip, card (Luhn), phone. Added kinds: masked (addresses written with [at] or (at)), login (a scheme
 with user information), account (IBAN by its check number, or a cue and an identifier), street (a house number, name and
-street word).
+street word), secret (a cue, an equals sign or colon and a value of mixed letters and digits, or a key's known prefix).
 
 Defined cases: null and empty texts have no spans; repeated rows get equal results each; offsets count code points, ends
 are exclusive; columns other than doc_id and text play no part.
@@ -20,13 +20,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import lean, ship, table
 
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("masked", "login", "account", "street")
+ADDED = ("masked", "login", "account", "street", "secret")
 #: Cues in lower case; each is searched for in lower, upper and title case.
 ACCOUNT_CUES = ("account", "acct", "iban", "konto", "compte", "cuenta", "passport", "ssn")
 STREET_CUES = ("street", "avenue", "road", "boulevard", "straße", "strasse", "rue", "calle")
+SECRET_CUES = ("token", "secret", "password", "passwd", "api_key", "api-key", "apikey", "access_key", "private_key")
+KEY_PREFIXES = ("AKIA", "ghp_", "gho_", "xoxb-", "xoxp-", "AIza", "sk_live_", "glpat-")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -37,6 +39,9 @@ _MASKED = re.compile(r"\x20?[A-Za-z0-9-]+(?:(?:\x20?(?:\[dot\]|\(dot\))\x20?|\.)
 _LOGIN = re.compile(r"[^\s/@:]+(?::[^\s/@]*)?@[A-Za-z0-9.-]+")
 _IDENT = re.compile(r"(?:\x20?(?:no|nr|number|n°)\.?)?\x20?[:#=]?\x20?([A-Z]{0,2}[0-9](?:[\x20-]?[A-Z0-9]){5,33})(?![A-Za-z0-9])", re.IGNORECASE)
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: What follows a secret's cue, and a key after its prefix.
+_SECRET = re.compile(r"""["']?\x20?(?:=>|[=:])\x20?["']?([A-Za-z0-9_/+=.~-]{16,256})(?![A-Za-z0-9_/+=.~-])""")
+_KEY = re.compile(r"[A-Za-z0-9_-]{12,120}(?![A-Za-z0-9_-])")
 _AFTER = re.compile(r"\x20(?:[^\W\d_]+\x20){0,3}?([0-9]{1,5}[a-z]?)(?![0-9A-Za-z])")
 
 
@@ -44,7 +49,9 @@ def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for word, kind in [("@", "at"), ("+", "plus"), ("://", "scheme"), ("[at]", "mask"), ("(at)", "mask"), *((str(d), "digit") for d in range(10))]:
         a.add_word(word, (kind, len(word)))
-    for cues, kind in ((ACCOUNT_CUES, "account"), (STREET_CUES, "street")):
+    for word in KEY_PREFIXES:
+        a.add_word(word, ("key", len(word)))
+    for cues, kind in ((ACCOUNT_CUES, "account"), (STREET_CUES, "street"), (SECRET_CUES, "secret")):
         for cue in cues:
             for form in {cue, cue.upper(), cue.title()}:
                 a.add_word(form, (kind, len(form)))
@@ -149,11 +156,20 @@ def find(text: str) -> list[tuple[str, int, int]]:
         elif kind == "account":
             if (s := _account(text, at, last + 1)) and s not in out["account"][-1:]:
                 out["account"].append(s)
+        elif kind == "secret":
+            m = _SECRET.match(text, last + 1)
+            if m and any(c.isdigit() for c in m[1]) and any(c.isalpha() for c in m[1]):
+                out["secret"].append(m.span(1))
+        elif kind == "key":
+            m = _KEY.match(text, last + 1)
+            if m and any(c.isdigit() for c in m[0]) and (at == 0 or not text[at - 1].isalnum()):
+                out["secret"].append((at, m.end()))
         elif s := _street(text, at, last + 1):
             out["street"].append(s)
     return [(k, *s) for k, v in out.items() for s in (v if k in BASE else sorted(set(v)))]
 
 
+@lean
 def _batches(batches):
     for pdf in batches:
         spans = [[{"kind": k, "start": s, "end": e, "value": t[s:e]} for k, s, e in find(t)] if t else [] for t in pdf["text"]]
@@ -174,4 +190,4 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spans(table(spark, sf_dir, "documents"))
     of = lambda kind: F.size(F.filter("spans", lambda s: s.getField("kind") == kind)).cast("long")
     base = F.filter("spans", lambda s: s.getField("kind").isin(*BASE))
-    return d.select("doc_id", *[of(k).alias(f"n_{k}") for k in BASE], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return d.select("doc_id", *[of(k).alias(f"n_{k}") for k in BASE], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))

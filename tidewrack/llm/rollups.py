@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, shared_dir, ship, table
+from .common import bounded, cut, lean, shared_dir, ship, table
 
 KEYS = ("source", "lang", "tokenizer_version")
 _SCHEMA = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
@@ -67,6 +67,7 @@ def count_tokens(docs: DataFrame, version: str, path: str | None = None, pattern
 
     path, pattern = path or vocabulary(version), pattern or public_tokenizers.PATTERN
 
+    @lean
     def batches(it):
         import tiktoken
 

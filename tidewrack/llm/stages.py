@@ -2,6 +2,11 @@
 
 Each stage calls one operator; its decisions take effect on whole rows. Ids of decided documents are broadcast only up to
 a checked number of rows; beyond it the join is shuffled.
+
+Defined cases: null, empty and blank texts fail the quality rules, and pass the other filters, but have no words that a mix
+could take; rows without doc_id are judged like others, but are nobody's near-duplicate; of equal rows near-dedup keeps one,
+and rows of one id with different texts are different documents; an empty table gives an empty one; extra columns are kept
+as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import decontaminate, mixing, near, quality, tokens
-from .common import cut, maybe_broadcast, table, words
+from .common import cut, last, maybe_broadcast, n_words, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,13 +30,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
     # rows without id stay out: in pandas a null would make the batch's keys floats, which lose digits
-    out = cut(near.near_duplicates(docs.where("doc_id is not null").select(key.alias("doc_id"), "text")), "near")
+    out = near.near_duplicates(docs.where("doc_id is not null").select(key.alias("doc_id"), "text"))
     groups = maybe_broadcast(out.where("not kept").select(F.col("component_id").alias("g")).distinct())
     members = cut(out.join(groups, out.component_id == groups.g, "left_semi").select(F.col("doc_id").alias("m_key"), "component_id").distinct(), "members")
     ids = docs.select("doc_id", key.alias("key"))
     named = ids.join(maybe_broadcast(members), F.col("key") == F.col("m_key"))
     first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("first")).select("first.key")
-    gone = maybe_broadcast(cut(members.join(first, F.col("m_key") == F.col("key"), "left_anti").select(F.col("m_key").alias("gone_key")), "gone"))
+    gone = maybe_broadcast(last(members.join(first, F.col("m_key") == F.col("key"), "left_anti").select(F.col("m_key").alias("gone_key")), "gone", members))
     many = maybe_broadcast(out.groupBy(F.col("doc_id").alias("many_key")).agg(F.count("*").alias("n")).where("n > 1").select("many_key"))
     left = docs.join(gone, key == F.col("gone_key"), "left_anti")
     once = left.join(many, key == F.col("many_key"), "left_anti")
@@ -49,16 +54,21 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for each copy that it takes. Documents without words are not taken."""
+    """The mix: a row for each copy that it takes. Documents without words are not taken.
+
+    Rows of one id, source and size are told apart by nothing that the mix looks at; they share the copies, the first ones
+    (by text) getting one more.
+    """
     base = cut(mixing.sizes(docs), "sizes")
-    got = mixing.weighted_mix(base, mixing.targets(base)).groupBy("doc_id", "source", "size").agg(F.count("*").alias("c"))
+    got = mixing.weighted_mix(base, cut(mixing.targets(base), "targets")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("c"))
     rows = base.where("size > 0").groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
-    m = cut(got.join(rows.withColumnsRenamed({"doc_id": "r_id", "source": "r_source", "size": "r_size"}), F.col("doc_id").eqNullSafe(F.col("r_id")) & F.col("source").eqNullSafe(F.col("r_source")) & (F.col("size") == F.col("r_size"))).select("r_id", "r_source", "r_size", "c", "n"), "taken")
+    rows = rows.withColumnsRenamed({"doc_id": "r_id", "source": "r_source", "size": "r_size"})
+    same = F.col("doc_id").eqNullSafe(F.col("r_id")) & F.col("source").eqNullSafe(F.col("r_source")) & (F.col("size") == F.col("r_size"))
+    m = last(got.join(rows, same).select("r_id", "r_source", "r_size", "c", "n"), "taken", base)
     # documents' own columns travel in one struct, so that their names clash with nothing
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.size(words(F.col("text"))).alias("size"))
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), n_words(F.col("text")).alias("size"))
     same = F.col("row.doc_id").eqNullSafe(F.col("r_id")) & F.col("row.source").eqNullSafe(F.col("r_source")) & (F.col("size") == F.col("r_size"))
     once = d.join(maybe_broadcast(m.where("n = 1")), same).select("row", F.col("c").alias("k"))
-    # rows that are told apart by nothing share the copies; the first ones get one more
     nth = F.row_number().over(Window.partitionBy("r_id", "r_source", "r_size").orderBy("row.text"))
     again = d.join(maybe_broadcast(m.where("n > 1")), same).select("row", "c", "n", nth.alias("nth"))
     again = again.select("row", (F.floor(F.col("c") / F.col("n")) + (F.col("nth") <= F.col("c") % F.col("n")).cast("long")).alias("k")).where("k > 0")

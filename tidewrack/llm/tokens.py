@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import coder
-from .common import bounded, shared_dir, ship, table
+from .common import bounded, lean, shared_dir, ship, table
 
 END, FRAME, CACHE = 1, coder.BLOCK * coder.LANES, 400_000
 _GAP = re.compile("[ \t\n\r]+")
@@ -38,7 +38,7 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 class _Words(dict):
-    """Ids of words as bytes; a bounded cache of those that come first, among them the common ones."""
+    """Ids of words as bytes; a bounded cache of those that come first, among them the common ones. A worker has one for all its tasks."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -56,8 +56,12 @@ class _Words(dict):
 class Encoder:
     """Ids of a text, the end id included, as little-endian 16-bit bytes."""
 
+    _known: dict[str, _Words] = {}
+
     def __init__(self, path: str, by_word: bool = True):
-        self.words, self.by_word = _Words(path), by_word
+        if path not in self._known:
+            self._known[path] = _Words(path)
+        self.words, self.by_word = self._known[path], by_word
         self.end = np.array([END], "<u2").tobytes()
 
     def __call__(self, text: str | None) -> bytes:
@@ -70,6 +74,7 @@ class Encoder:
 def write(docs: DataFrame, folder: str, path: str, by_word: bool = True) -> None:
     """Write the ids of all documents (doc_id, text) under folder, in doc_id order."""
 
+    @lean
     def frames(batches):
         encode, shard, n = Encoder(path, by_word), TaskContext.get().partitionId(), 0
         ids, docs_, size = [], [], 0
@@ -100,6 +105,7 @@ def write(docs: DataFrame, folder: str, path: str, by_word: bool = True) -> None
 def read(spark: SparkSession, folder: str, ids: bool = True) -> DataFrame:
     """Per document of a written folder: doc_id, start, n_tokens, ids_crc32 (of 32-bit ids) and, if asked for, ids, from decoded frames."""
 
+    @lean
     def documents(batches, with_ids=ids):
         for pdf in batches:
             for f in pdf.itertuples():
