@@ -23,10 +23,10 @@ import zlib
 
 import numpy as np
 
-BLOCK, LANES = 2048, 2048
+BLOCK, LANES = 1024, 2048
 MAGIC, VERSION, HEAD = b"TWCM", 3, struct.Struct("<4sBxxxQII")
-#: Slots of the predictions of each order (order 0 has fewer where the tree is smaller).
-SLOTS = (1 << 13, 1 << 12, 1 << 11)
+#: Slots of the predictions of each order; a node and its contexts are mixed by exclusive or.
+SLOTS = 1 << 11
 #: Longest code, and steps after which the room for output is looked at.
 DEEPEST, ROOM = 30, 256
 _WORD, _LOW32 = np.uint64(1 << 32), np.uint64((1 << 32) - 1)
@@ -171,14 +171,13 @@ class _Decoder:
 def _run(coder, tree: _Tree, steps: np.ndarray, lens: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
     """Code blocks (of descending numbers of decisions `steps`) in lock step; ids: (BLOCK, blocks) to encode, None to decode."""
     lanes = len(steps)
-    sizes = (min(SLOTS[0], 1 << max(4, (tree.nodes - 1).bit_length())), *SLOTS[1:])
-    table = np.full(lanes * sum(sizes), EVEN, np.uint16)
-    base = np.arange(lanes, dtype=np.int64) * sum(sizes) + np.array([[0], [sizes[0]], [sizes[0] + sizes[1]]])
-    mask = np.array(sizes, np.int64)[:, None] - 1
-    context, last, node = np.zeros((3, lanes), np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    table = np.full(3 * lanes * SLOTS, EVEN, np.uint16)
+    start = np.arange(3 * lanes, dtype=np.int64).reshape(3, lanes) * SLOTS
+    # where each order's predictions of a lane start, exclusive or the context's place: slots but for the node
+    context, last, node = start.copy(), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     weights = np.repeat(WEIGHTS, lanes, axis=1)
     out, pos = np.zeros((int(lens.max()) + 1, lanes), np.uint16) if ids is None else ids, np.zeros(lanes, np.int64)
-    child, n, bit = tree.child, lanes, None
+    child, n, bit, small = tree.child, lanes, None, tree.nodes <= SLOTS
     if ids is not None:
         code, left = tree.code[ids[0]], tree.len[ids[0]]
     for k in range(int(steps[0])):
@@ -187,27 +186,29 @@ def _run(coder, tree: _Tree, steps: np.ndarray, lens: np.ndarray, ids: np.ndarra
         if k % ROOM == 0:
             coder.room()
         at = node[:n]
-        slots = context[:, :n] ^ at * 40503
-        slots[0] = at
-        slots &= mask
-        slots += base[:, :n]
+        slots = context[:, :n] ^ (at if small else at & SLOTS - 1)
         seen = table.take(slots)
         logits = LOGIT.take(seen)
         w = weights[:, :n]
         products = w * logits
-        mixed = ((products[0] + products[1] + products[2]) >> 14) + 2048
+        mixed = products[0]
+        mixed += products[1]
+        mixed += products[2]
+        mixed >>= 14
+        mixed += 2048
         if ids is not None:
             left[:n] -= 1
-            bit = (code[:n] >> left[:n] & 1).astype(bool)
+            bit = (code[:n] >> left[:n] & 1).astype(np.bool_)
         bit = coder.bits(n, CHANCE.take(mixed, mode="clip"), bit)
-        ones = bit.astype(np.int32)
-        error = (ones << 12) - GUESS.take(mixed, mode="clip")
+        ones = bit.view(np.int8)
+        error = GUESS.take(mixed, mode="clip")
+        np.subtract(ones * np.int32(4096), error, out=error)
         logits *= error
         logits += 1024
         logits >>= 11
         w += logits
-        table[slots] = FOLLOWS.take(seen + (ones << 16))
-        at *= 2
+        table[slots] = FOLLOWS.take(seen + ones * np.int32(65536))
+        at += at
         at += ones
         at[:] = child.take(at)
         done = np.flatnonzero(at < 0)
@@ -216,13 +217,13 @@ def _run(coder, tree: _Tree, steps: np.ndarray, lens: np.ndarray, ids: np.ndarra
             p = pos[done]
             if ids is None:
                 out[p, done] = x
-                pos[done] = p = np.minimum(p + 1, len(out) - 1)
+                pos[done] = np.minimum(p + 1, len(out) - 1)
             else:
                 pos[done] = p = p + 1
                 y = out[np.minimum(p, len(out) - 1), done]
                 code[done], left[done] = tree.code[y], tree.len[y]
-            context[1, done] = x * 60493 >> 3
-            context[2, done] = (x * 2654435 + last[done] * 805459) >> 5
+            context[1, done] = start[1, done] ^ (x * 60493 >> 3 & SLOTS - 1)
+            context[2, done] = start[2, done] ^ (x * 2654435 + last[done] * 805459 >> 5 & SLOTS - 1)
             last[done] = x
             node[done] = 0
     return out
