@@ -2,16 +2,19 @@
 
 A byte goes if a WINDOW-byte string that covers it also starts anywhere else.
 
-1. Winnowing narrows the field without losing a match: each window has one anchor, the K-byte string with the least hash
-   in it, so equal windows have equal anchors. Consecutive windows with one anchor are a range. Ranges whose anchor occurs
-   once hold no repeat; ranges whose whole string occurs again are repeats throughout.
-2. What is left (ranges that share their anchor, but not their whole string, with others) goes, one string for each
-   different range, to buckets by anchor. In a bucket, shards of strings get Burrows-Wheeler transforms over symbols of
-   SYMBOL bytes (at every byte offset), which are merged by iterative interleave refinement: after k rounds the merged
-   order is right in the first k symbols, and a round that parts two neighbours gives their common prefix. Suffixes that
-   WINDOW / SYMBOL rounds leave together are repeated intervals.
-3. An anchor with more than HOT different ranges (a passage that very many documents share has such at its ends) doesn't
-   go to a bucket: the hashes of its single windows are counted instead, which is exact too and has no large group.
+1. Winnowing routes, and decides nothing: each window has one anchor, the K-byte string with the least hash in it, so equal
+   windows have equal anchors at the same place. Consecutive windows with one anchor are a range, and its string is all
+   their bytes. A range whose anchor occurs nowhere else has no equal.
+2. Every other range is decided by the transforms. One string for each different range (two, if it occurs again) goes to
+   a group by anchor. In a group, shards of strings get Burrows-Wheeler transforms over symbols of SYMBOL bytes (at every
+   byte offset; equal symbols are verified byte by byte), which are merged by iterative interleave refinement: after k
+   rounds the merged order is right in the first k symbols, and the round that parts two neighbours gives their common
+   prefix. Neighbours with a common prefix of WINDOW / SYMBOL symbols are a repeated interval.
+3. An anchor with more than HOT different ranges (a passage that very many documents share has such at its ends) is made
+   longer: its windows are dealt in halves, by their offset before the anchor, and the bytes that all windows of a half
+   have in common are the half's anchor. This goes on until no anchor has more; a half of one window has one string.
+
+What is decided for a different range holds for all its occurrences, which are told by 128 bits of their strings' hash.
 
 Defined cases: null and empty texts have 0 bytes; texts under WINDOW bytes are kept whole; equal rows are copies of each
 other; an empty table gives no rows; columns other than doc_id and text play no part.
@@ -24,15 +27,17 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, ship, table
+from .common import bounded, cut, drop_cut, lean, ship, table
 from .hashing import _BYTE, _power_tables, scramble
 
 WINDOW, K, SYMBOL = 200, 32, 40
-#: Window starts handled at once; bytes of strings for each bucket; ranges of an anchor that go to a bucket at most.
-CHUNK, BUCKET, HOT = 1 << 18, 1 << 20, 2_000
+#: Window starts handled at once; bytes of strings for each bucket; different ranges of an anchor at most; elements merged at
+#: once (whole anchors; symbol numbers of so many fit 16 bits).
+CHUNK, BUCKET, HOT, GROUP = 1 << 18, 1 << 20, 4_000, 60_000
 _POS = np.uint64((1 << 22) - 1)
 
 
@@ -72,12 +77,24 @@ def _pieces(texts: list[bytes]):
         yield out
 
 
+_RANGE = "doc_id long, tk long, h long, r binary, lo int, hi int, at int, least int, most int"
+
+
+def _frame(pdf: pd.DataFrame, rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    """Rows (number in pdf, values...) under names, with doc_id and tk of pdf."""
+    i = [x[0] for x in rows]
+    return pd.DataFrame({"doc_id": pdf["doc_id"].array[i], "tk": pdf["tk"].to_numpy()[i]} | {n: [x[k] for x in rows] for k, n in enumerate(names, 1)})
+
+
+@lean
 def _ranges(batches):
+    """Ranges of texts: anchor's hash, string's digest, first and last window start, anchor's place, and its offsets in windows."""
     for pdf in batches:
         texts = [t.encode() if t else b"" for t in pdf["text"]]
         docs, keys = pdf["doc_id"].array, pdf["tk"].to_numpy()
         for pieces in _pieces(texts):
-            b = np.frombuffer(b"".join(p for _, _, p in pieces), np.uint8)
+            raw = b"".join(p for _, _, p in pieces)
+            b = np.frombuffer(raw, np.uint8)
             sums, down = _prefix(b)
             at = np.arange(len(b) - K + 1)
             grams = scramble((sums[K:] - sums[:-K]) * down[at])
@@ -91,12 +108,33 @@ def _ranges(batches):
                 ok[e - n : e - WINDOW + 1] = True
             new = ok & np.concatenate(([True], (pos[1:] != pos[:-1]) | (of[1 : len(pos)] != of[: len(pos) - 1])))
             lo = np.flatnonzero(new)
-            last = ok & np.concatenate(((new[1:] | ~ok[1:]), [True]))
-            hi = np.flatnonzero(last)
+            hi = np.flatnonzero(ok & np.concatenate(((new[1:] | ~ok[1:]), [True])))
             piece = of[lo]
             text = np.array([i for i, _, _ in pieces])[piece]
             shift = np.array([o for _, o, _ in pieces])[piece] - (ends - lens)[piece]
-            yield pd.DataFrame({"doc_id": docs[text], "tk": keys[text], "h": (grams[pos[lo]] >> np.uint64(1)).astype(np.int64), "r": _hash(sums, down, lo, hi + WINDOW), "lo": lo + shift, "hi": hi + shift})
+            digest = [xxhash.xxh3_128_digest(raw[x:y]) for x, y in zip(lo.tolist(), (hi + WINDOW).tolist(), strict=True)]
+            yield pd.DataFrame({
+                "doc_id": docs[text], "tk": keys[text], "h": (grams[pos[lo]] >> np.uint64(1)).astype(np.int64), "r": digest,
+                "lo": lo + shift, "hi": hi + shift, "at": pos[lo] + shift, "least": 0, "most": WINDOW - K,
+            })
+
+
+@lean
+def _halves(batches):
+    """Ranges of anchors that are too common, dealt in halves under longer anchors. ws: lo, hi, at, least, most."""
+    for pdf in batches:
+        rows = []
+        for i, (text, ws) in enumerate(zip(pdf["text"], pdf["ws"], strict=True)):
+            t = text.encode()
+            for w in ws:
+                mid = (w["least"] + w["most"] + 1) // 2
+                for least, most in ((w["least"], mid - 1), (mid, w["most"])):
+                    lo, hi = max(w["lo"], w["at"] - most), min(w["hi"], w["at"] - least)
+                    if lo <= hi:
+                        core = t[w["at"] - least : w["at"] - most + WINDOW]
+                        h = xxhash.xxh3_64_intdigest(core, seed=least * WINDOW + most) >> 1
+                        rows.append((i, h, xxhash.xxh3_128_digest(t[lo : hi + WINDOW]), lo, hi, w["at"], least, most))
+        yield _frame(pdf, rows, ["h", "r", "lo", "hi", "at", "least", "most"])
 
 
 # ---- Burrows-Wheeler transforms of shards and their merging ----
@@ -109,37 +147,71 @@ class Shard:
         self.sa, self.bwt, self.n_ends = sa, bwt, n_ends
 
 
+def _small(x: np.ndarray) -> np.ndarray:
+    """Numbers from -1 up, plus one, in 16 bits where they fit: numpy sorts those by radix."""
+    return (x + 1).astype(np.uint16) if not len(x) or int(x.max()) < 65535 else x + 1
+
+
 def shard_bwt(symbols: np.ndarray, nxt: np.ndarray, prev_symbol: np.ndarray, ends: np.ndarray, depth: int, number: np.ndarray) -> Shard:
-    """symbols[i] and nxt[i] of element i, an index into the shard; ends: elements that end a string (no symbol)."""
-    rank = np.where(ends, 0, 1).astype(np.int64)
-    for _ in range(depth):
-        _, rank = np.unique(np.where(ends, 0, (symbols.astype(np.int64) + 1) * (len(rank) + 1) + rank[nxt]), return_inverse=True)
-    order = np.argsort(rank, kind="stable")
+    """symbols[i] (-1 at a string's end) and nxt[i] of element i, an index into the shard; ends: elements that end a string."""
+    places = [np.arange(len(symbols))]
+    for _ in range(depth - 1):
+        places.append(nxt[places[-1]])
+    order = np.arange(len(symbols))
+    key = _small(symbols)
+    for place in reversed(places):  # the last symbol first: each stable pass keeps the order of those after it
+        order = order[np.argsort(key[place[order]], kind="stable")]
     return Shard(number[order], prev_symbol[order], int(ends.sum()))
 
 
 def merge(a: Shard, b: Shard, depth: int) -> tuple[Shard, np.ndarray]:
-    """The merged transform, and of its suffixes the interval of those with equal first `depth` symbols.
+    """The merged transform, and for each of its suffixes the common prefix with the one before, in symbols (`depth` at most).
 
     The interleave starts as all of a, then all of b. A round moves each suffix's predecessor, in the present order, to its
-    symbol's bucket: the suffix order in one symbol more. No suffix is compared or sorted anew.
+    symbol's bucket: the suffix order in one symbol more. No suffix is compared or sorted anew. A place where a round first
+    parts neighbours stays a place where they part.
     """
     z = np.concatenate((np.zeros(len(a.sa), bool), np.ones(len(b.sa), bool)))
     n_ends = a.n_ends + b.n_ends
     ends = np.concatenate((np.zeros(a.n_ends, bool), np.ones(b.n_ends, bool)))
-    interval = np.zeros(len(z), np.int64)
-    for _ in range(depth):
-        before = np.empty(len(z), np.int64)
-        before[~z], before[z] = a.bwt, b.bwt
-        has = np.flatnonzero(before >= 0)
+    interval, common = np.zeros(len(z), np.int64), np.full(len(z), depth, np.int64)
+    first, second = _small(a.bwt), _small(b.bwt)
+    kind = np.result_type(first, second)
+    for k in range(depth):
+        before = np.empty(len(z), kind)
+        before[~z], before[z] = first, second
+        has = np.flatnonzero(before)
         to = has[np.argsort(before[has], kind="stable")]
         z = np.concatenate((ends, z[to]))
         c, old = before[to], interval[to]
-        parted = np.concatenate(([True], (c[1:] != c[:-1]) | (old[1:] != old[:-1])))
-        interval = np.concatenate((np.zeros(n_ends, np.int64), np.cumsum(parted)))
+        parted = np.concatenate((np.zeros(n_ends, bool), [True], (c[1:] != c[:-1]) | (old[1:] != old[:-1])))[: len(z)]
+        interval = np.cumsum(parted)
+        common[parted & (common == depth)] = k
     sa, bwt = np.empty(len(z), np.int64), np.empty(len(z), np.int64)
     sa[~z], sa[z], bwt[~z], bwt[z] = a.sa, b.sa, a.bwt, b.bwt
-    return Shard(sa, bwt, n_ends), interval
+    common[:1] = 0
+    return Shard(sa, bwt, n_ends), common
+
+
+def repeated_intervals(common: np.ndarray, depth: int) -> np.ndarray:
+    """Of each suffix, whether it has a common prefix of depth symbols with a neighbour."""
+    after = common >= depth
+    return after | np.concatenate((after[1:], [False]))
+
+
+def _symbols(b: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Numbers of the SYMBOL-byte strings at these places: equal numbers for equal bytes, and only for those."""
+    sums, down = _prefix(b)
+    number = np.unique(_hash(sums, down, start, start + SYMBOL), return_inverse=True)[1]
+    one = np.zeros(len(start), np.int64)
+    one[number] = start
+    strings = np.lib.stride_tricks.sliding_window_view(b, SYMBOL)
+    for k in range(0, len(start), GROUP):
+        x, y = start[k : k + GROUP], one[number[k : k + GROUP]]
+        twice = np.flatnonzero(x != y)
+        if not np.array_equal(strings[x[twice]], strings[y[twice]]):  # a hash that two strings have: number the strings themselves
+            return np.unique(strings[start].copy().view(f"V{SYMBOL}").ravel(), return_inverse=True)[1]
+    return number
 
 
 def repeated_windows(strings: list[bytes], shards: int = 2) -> list[np.ndarray]:
@@ -147,32 +219,27 @@ def repeated_windows(strings: list[bytes], shards: int = 2) -> list[np.ndarray]:
     depth = WINDOW // SYMBOL
     lens = np.array([len(s) for s in strings])
     b = np.frombuffer(b"".join(strings), np.uint8)
-    sums, down = _prefix(b)
-    # elements: at each string's offsets a symbol of SYMBOL bytes; SYMBOL ends, one for each phase
+    # elements: at each string's offsets a symbol of SYMBOL bytes; then SYMBOL ends, one for each phase
     sizes = lens + 1
     first = np.concatenate(([0], np.cumsum(sizes)))
     of = np.repeat(np.arange(len(strings)), sizes)
     off = np.arange(first[-1]) - first[of]
-    n_sym = lens[of] - SYMBOL + 1
-    ends = off >= n_sym
-    start = np.where(ends, 0, (np.cumsum(lens) - lens)[of] + off)
-    h = _hash(sums, down, start, start + SYMBOL)
-    symbols = np.where(ends, -1, np.unique(h, return_inverse=True)[1])
-    # ends of a phase: offset n_sym + j ends the phase strings whose next offset it is
-    nxt = np.where(ends, 0, np.arange(first[-1]) + SYMBOL)
+    ends = off >= lens[of] - SYMBOL + 1
+    symbols = np.full(first[-1], -1, np.int64)
+    symbols[~ends] = _symbols(b, ((np.cumsum(lens) - lens)[of] + off)[~ends])
+    nxt = np.arange(first[-1]) + np.where(ends, 0, SYMBOL)
     prev = np.where(off >= SYMBOL, symbols[np.maximum(np.arange(first[-1]) - SYMBOL, 0)], -1)
     bounds = np.linspace(0, len(strings), min(shards, len(strings)) + 1).astype(int)
     todo = []
     for s, e in zip(bounds[:-1], bounds[1:], strict=True):
         x, y = first[s], first[e]
-        todo.append(shard_bwt(symbols[x:y], np.where(ends[x:y], 0, nxt[x:y] - x), prev[x:y], ends[x:y], depth, np.arange(x, y)))
+        todo.append(shard_bwt(symbols[x:y], nxt[x:y] - x, prev[x:y], ends[x:y], depth, np.arange(x, y)))
     if len(todo) == 1:
         todo.append(Shard(np.zeros(0, np.int64), np.zeros(0, np.int64), 0))
     while len(todo) > 1:
-        merged, interval = merge(todo[0], todo[1], depth)
+        merged, common = merge(todo[0], todo[1], depth)
         todo = [*todo[2:], merged]
-    hit = np.bincount(interval)[interval] > 1
-    at = merged.sa[hit]
+    at = merged.sa[repeated_intervals(common, depth)]
     at = np.sort(at[off[at] <= lens[of[at]] - WINDOW])
     cut_at = np.searchsorted(at, first)
     return [off[at[i:j]] for i, j in zip(cut_at[:-1], cut_at[1:], strict=True)]
@@ -186,43 +253,65 @@ def _runs(at: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(at[np.concatenate(([0], gap + 1))].tolist(), (at[np.concatenate((gap, [len(at) - 1]))] + WINDOW).tolist(), strict=True))
 
 
+def _decided(strings: list[bytes], again: list[bool]) -> list[list[tuple[int, int]]]:
+    """Of different strings, what is repeated; those that occur again are there twice, once in each shard."""
+    n, twice = len(strings), [i for i, x in enumerate(again) if x]
+    return [_runs(at) for at in repeated_windows(strings + [strings[i] for i in twice])[:n]]
+
+
 def _bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    out = [(i, lo + s, lo + e) for i, (lo, at) in enumerate(zip(pdf["lo"].tolist(), repeated_windows(list(pdf["s"])), strict=True)) for s, e in _runs(at)]
+    """h, r, runs (start, end in the string) of a bucket's different ranges, whole anchors at a time."""
+    pdf = pdf.drop_duplicates(["h", "r"]).sort_values("h", kind="stable")  # equal documents bring equal strings
+    h, strings, again = pdf["h"].to_numpy(), list(pdf["s"]), pdf["again"].tolist()
+    edge = [0, *(np.flatnonzero(h[1:] != h[:-1]) + 1).tolist(), len(h)]
+    runs: list[list[tuple[int, int]]] = []
+    start, size = 0, 0
+    for a, e in zip(edge[:-1], edge[1:], strict=True):
+        more = sum((len(strings[i]) + 1) * (1 + again[i]) for i in range(a, e))
+        if a > start and size + more > GROUP:
+            runs += _decided(strings[start:a], again[start:a])
+            start, size = a, 0
+        size += more
+    runs += _decided(strings[start:], again[start:])
+    out = [(i, s, e) for i, x in enumerate(runs) for s, e in x]
     i = [x[0] for x in out]
-    return pd.DataFrame({"doc_id": pdf["doc_id"].array[i], "tk": pdf["tk"].to_numpy()[i], "start": [x[1] for x in out], "end": [x[2] for x in out]})
+    return pd.DataFrame({"s_h": h[i], "s_r": pdf["r"].to_numpy()[i], "start": [x[1] for x in out], "end": [x[2] for x in out]})
 
 
+@lean
 def _strings(batches):
     for pdf in batches:
-        rows = [(i, w["h"], w["lo"], t[w["lo"] : w["hi"] + WINDOW]) for i, (t, ws) in enumerate(zip((t.encode() for t in pdf["text"]), pdf["ws"], strict=True)) for w in ws]
-        i = [x[0] for x in rows]
-        yield pd.DataFrame({"doc_id": pdf["doc_id"].array[i], "tk": pdf["tk"].to_numpy()[i], "h": [x[1] for x in rows], "lo": [x[2] for x in rows], "s": [x[3] for x in rows]})
-
-
-def _windows(batches):
-    for pdf in batches:
-        for k in range(0, len(pdf), 1000):
-            part = pdf.iloc[k : k + 1000]
-            b = np.frombuffer(b"".join(part["s"]), np.uint8)
-            sums, down = _prefix(b)
-            lens = part["s"].map(len).to_numpy()
-            n = lens - WINDOW + 1
-            i = np.repeat(np.arange(len(part)), n)
-            off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at = (np.cumsum(lens) - lens)[i] + off
-            yield pd.DataFrame({"doc_id": part["doc_id"].array[i], "tk": part["tk"].to_numpy()[i], "w": _hash(sums, down, at, at + WINDOW), "start": part["lo"].to_numpy()[i] + off})
+        rows = [(i, w["h"], w["r"], w["again"], t[w["lo"] : w["hi"] + WINDOW]) for i, (t, ws) in enumerate(zip((t.encode() for t in pdf["text"]), pdf["ws"], strict=True)) for w in ws]
+        yield pd.DataFrame({n: [x[k] for x in rows] for k, n in enumerate(("h", "r", "again", "s"), 1)})
 
 
 def _release(df: DataFrame, *old: DataFrame) -> DataFrame:
-    """df, after deleting tables and shuffle files that nothing needs any more."""
-    for o in old:
-        drop_cut(o)
+    """df, after deleting tables and shuffle files that nothing needs any more.
+
+    Spark keeps a finished query's shuffle files until the driver's JVM happens to collect its garbage, here many times the input.
+    """
+    drop_cut(*old)
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
     return df
 
 
-_SPAN = "doc_id long, tk long, start long, end long"
+def _with_texts(docs: DataFrame, per: DataFrame, *columns: str) -> DataFrame:
+    """doc_id, tk, text, ws: each document with its different rows of per, under these columns; equal documents have equal ones."""
+    per = per.groupBy("doc_id", "tk").agg(F.collect_set(F.struct(*columns)).alias("ws")).withColumnsRenamed({"doc_id": "d", "tk": "t"})
+    return docs.join(per, docs.doc_id.eqNullSafe(per.d) & (docs.tk == per.t)).select("doc_id", "tk", "text", "ws")
+
+
+def _varied(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Different ranges of rows (h, r, n: occurrences, m: one of them), and h, v: how many an anchor has, where several."""
+    kinds = cut(rows.groupBy("h", "r").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tk", "lo", "hi")).alias("m")), "kinds")
+    several = cut(kinds.groupBy(F.col("h").alias("v_h")).agg(F.count("*").alias("v")).where("v > 1"), "several")
+    return kinds, several
+
+
+def _by_anchor(df: DataFrame, several: DataFrame, how: str) -> DataFrame:
+    few = several if not bounded(several) else F.broadcast(several)
+    return df.join(few, F.col("h") == F.col("v_h"), how)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -230,33 +319,31 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     docs: doc_id, tk, text.
     """
-    rows = cut(docs.mapInPandas(_ranges, "doc_id long, tk long, h long, r long, lo long, hi long"), "ranges")
-    shared = rows.groupBy("h").agg(F.count("*").alias("n"), (F.min("r") != F.max("r")).alias("mixed")).where("n > 1").select("h", "mixed")
-    some = cut(rows.join(shared, "h"), "shared")
-    _release(some, rows)
-    whole = some.groupBy("h", "r").agg(F.count("*").alias("c")).where("c > 1").select("h", "r")
-    spans = some.join(whole, ["h", "r"]).select("doc_id", "tk", F.col("lo").alias("start"), (F.col("hi") + WINDOW).alias("end"))
-    spans = cut(spans, "whole")
-    # one string for each different range of an anchor that has several
-    left = some.where("mixed").groupBy("h", "r").agg(F.min(F.struct("doc_id", "tk", "lo", "hi")).alias("m")).select("h", "m.*")
-    left = cut(left, "left")
-    _release(left, some)
-    hot = left.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select(F.col("h").alias("hot_h"))
-    per = left.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("ws"))
-    per = per.withColumnsRenamed({"doc_id": "d", "tk": "t"})
-    texts = docs.join(per, docs.doc_id.eqNullSafe(per.d) & (docs.tk == per.t)).select("doc_id", "tk", "text", "ws")
-    # equal rows bring equal strings: once is enough, as their ranges were whole repeats
-    strings = texts.mapInPandas(_strings, "doc_id long, tk long, h long, lo long, s binary")
-    strings = cut(strings.join(hot, F.col("h") == F.col("hot_h"), "left").withColumn("hot", F.col("hot_h").isNotNull()).drop("hot_h"), "strings")
-    _release(strings, left)
-    size = strings.agg(F.sum(F.length("s"))).first()[0] or 0
-    bucket = F.pmod(F.xxhash64("h"), F.lit(max(1, -(-size // BUCKET)))).alias("bucket")
-    few = strings.where("not hot").select("doc_id", "tk", "lo", "s", bucket).groupBy("bucket").applyInPandas(_bucket, _SPAN)
-    w = strings.where("hot").select("doc_id", "tk", "lo", "s").mapInPandas(_windows, "doc_id long, tk long, w long, start long")
-    twice = w.groupBy("w").agg(F.count("*").alias("c")).where("c > 1").select("w")
-    many = w.join(twice, "w").select("doc_id", "tk", "start", (F.col("start") + WINDOW).alias("end"))
-    out = cut(few.union(many).union(spans), "spans")
-    return _release(out, strings, spans)
+    rows = cut(docs.mapInPandas(_ranges, _RANGE), "ranges")
+    spans = None
+    while rows is not None:
+        kinds, several = _varied(rows)
+        hot = several.where(F.col("v") > HOT)
+        more = None
+        if hot.limit(1).count():
+            hot = cut(hot, "hot")
+            wide = _by_anchor(rows, hot, "left_semi")
+            parts = _with_texts(docs, wide, "lo", "hi", "at", "least", "most").mapInPandas(_halves, _RANGE)
+            more = _release(cut(parts, "ranges"), hot)
+        need = _by_anchor(kinds, several, "left").where(F.coalesce(F.col("v") <= HOT, F.col("n") > 1))
+        need = need.select("h", "r", (F.col("n") > 1).alias("again"), "m.*")
+        strings = _with_texts(docs, need, "h", "r", "again", "lo", "hi")
+        strings = cut(strings.mapInPandas(_strings, "h long, r binary, again boolean, s binary"), "strings")
+        _release(strings, kinds, several)
+        size = strings.agg(F.sum(F.length("s"))).first()[0] or 0
+        bucket = F.pmod(F.xxhash64("h"), F.lit(max(1, -(-size // BUCKET)))).alias("bucket")
+        runs = strings.select("h", "r", "again", "s", bucket).groupBy("bucket").applyInPandas(_bucket, "s_h long, s_r binary, start int, end int")
+        runs = _release(cut(runs, "runs"), strings)
+        found = rows.join(F.broadcast(runs) if bounded(runs) else runs, (F.col("h") == F.col("s_h")) & (F.col("r") == F.col("s_r")))
+        found = cut(found.select("doc_id", "tk", (F.col("lo") + F.col("start")).alias("start"), (F.col("lo") + F.col("end")).alias("end")), "spans")
+        _release(found, rows, runs)
+        spans, rows = found if spans is None else spans.unionAll(found), more
+    return spans
 
 
 def _remove(batches):
