@@ -28,13 +28,13 @@ import hashlib
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded, cut, drop_cut, lean, ship, table
 from .hashing import _BYTE, _power_tables, scramble
 
-WINDOW, K, SYMBOL = 200, 32, 40
+WINDOW, K, SYMBOL = 200, 32, 50
 #: Window starts handled at once; bytes of strings for each bucket; different ranges of an anchor at most; elements merged at
 #: once (whole anchors; symbol numbers of so many fit 16 bits).
 CHUNK, BUCKET, HOT, GROUP = 1 << 18, 1 << 20, 4_000, 60_000
@@ -77,7 +77,12 @@ def _pieces(texts: list[bytes]):
         yield out
 
 
-_RANGE = "doc_id long, tk long, h long, r binary, lo int, hi int, at int, least int, most int"
+_RANGE = "doc_id long, tk long, h long, r1 long, r2 long, lo int, hi int, at int"
+
+
+def _digests(strings: list[bytes]) -> np.ndarray:
+    """128 bits of each string's hash as two numbers."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, strings)), "<i8").reshape(-1, 2)
 
 
 def _frame(pdf: pd.DataFrame, rows: list[tuple], names: list[str]) -> pd.DataFrame:
@@ -88,7 +93,7 @@ def _frame(pdf: pd.DataFrame, rows: list[tuple], names: list[str]) -> pd.DataFra
 
 @lean
 def _ranges(batches):
-    """Ranges of texts: anchor's hash, string's digest, first and last window start, anchor's place, and its offsets in windows."""
+    """Ranges of texts: anchor's hash, string's digest, first and last window start, anchor's place."""
     for pdf in batches:
         texts = [t.encode() if t else b"" for t in pdf["text"]]
         docs, keys = pdf["doc_id"].array, pdf["tk"].to_numpy()
@@ -112,10 +117,10 @@ def _ranges(batches):
             piece = of[lo]
             text = np.array([i for i, _, _ in pieces])[piece]
             shift = np.array([o for _, o, _ in pieces])[piece] - (ends - lens)[piece]
-            digest = [xxhash.xxh3_128_digest(raw[x:y]) for x, y in zip(lo.tolist(), (hi + WINDOW).tolist(), strict=True)]
+            r = _digests([raw[x:y] for x, y in zip(lo.tolist(), (hi + WINDOW).tolist(), strict=True)])
             yield pd.DataFrame({
-                "doc_id": docs[text], "tk": keys[text], "h": (grams[pos[lo]] >> np.uint64(1)).astype(np.int64), "r": digest,
-                "lo": lo + shift, "hi": hi + shift, "at": pos[lo] + shift, "least": 0, "most": WINDOW - K,
+                "doc_id": docs[text], "tk": keys[text], "h": (grams[pos[lo]] >> np.uint64(1)).astype(np.int64), "r1": r[:, 0], "r2": r[:, 1],
+                "lo": lo + shift, "hi": hi + shift, "at": pos[lo] + shift,
             })
 
 
@@ -133,8 +138,9 @@ def _halves(batches):
                     if lo <= hi:
                         core = t[w["at"] - least : w["at"] - most + WINDOW]
                         h = xxhash.xxh3_64_intdigest(core, seed=least * WINDOW + most) >> 1
-                        rows.append((i, h, xxhash.xxh3_128_digest(t[lo : hi + WINDOW]), lo, hi, w["at"], least, most))
-        yield _frame(pdf, rows, ["h", "r", "lo", "hi", "at", "least", "most"])
+                        r1, r2 = _digests([t[lo : hi + WINDOW]])[0].tolist()
+                        rows.append((i, h, r1, r2, lo, hi, w["at"], least, most))
+        yield _frame(pdf, rows, ["h", "r1", "r2", "lo", "hi", "at", "least", "most"])
 
 
 # ---- Burrows-Wheeler transforms of shards and their merging ----
@@ -174,19 +180,21 @@ def merge(a: Shard, b: Shard, depth: int) -> tuple[Shard, np.ndarray]:
     z = np.concatenate((np.zeros(len(a.sa), bool), np.ones(len(b.sa), bool)))
     n_ends = a.n_ends + b.n_ends
     ends = np.concatenate((np.zeros(a.n_ends, bool), np.ones(b.n_ends, bool)))
-    interval, common = np.zeros(len(z), np.int64), np.full(len(z), depth, np.int64)
+    interval, common = np.zeros(len(z), np.int32), np.full(len(z), depth, np.int8)
     first, second = _small(a.bwt), _small(b.bwt)
     kind = np.result_type(first, second)
     for k in range(depth):
         before = np.empty(len(z), kind)
-        before[~z], before[z] = first, second
+        of_b = np.flatnonzero(z)
+        before[np.flatnonzero(~z)], before[of_b] = first, second
         has = np.flatnonzero(before)
         to = has[np.argsort(before[has], kind="stable")]
         z = np.concatenate((ends, z[to]))
         c, old = before[to], interval[to]
         parted = np.concatenate((np.zeros(n_ends, bool), [True], (c[1:] != c[:-1]) | (old[1:] != old[:-1])))[: len(z)]
-        interval = np.cumsum(parted)
-        common[parted & (common == depth)] = k
+        interval = np.cumsum(parted, dtype=np.int32)
+        new = np.flatnonzero(parted)
+        common[new[common[new] == depth]] = k
     sa, bwt = np.empty(len(z), np.int64), np.empty(len(z), np.int64)
     sa[~z], sa[z], bwt[~z], bwt[z] = a.sa, b.sa, a.bwt, b.bwt
     common[:1] = 0
@@ -260,8 +268,8 @@ def _decided(strings: list[bytes], again: list[bool]) -> list[list[tuple[int, in
 
 
 def _bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    """h, r, runs (start, end in the string) of a bucket's different ranges, whole anchors at a time."""
-    pdf = pdf.drop_duplicates(["h", "r"]).sort_values("h", kind="stable")  # equal documents bring equal strings
+    """s_h, s_r1, s_r2, start, end (in the string) of a bucket's different ranges, whole anchors at a time."""
+    pdf = pdf.drop_duplicates(["h", "r1", "r2"]).sort_values("h", kind="stable")  # equal documents bring equal strings
     h, strings, again = pdf["h"].to_numpy(), list(pdf["s"]), pdf["again"].tolist()
     edge = [0, *(np.flatnonzero(h[1:] != h[:-1]) + 1).tolist(), len(h)]
     runs: list[list[tuple[int, int]]] = []
@@ -275,14 +283,15 @@ def _bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     runs += _decided(strings[start:], again[start:])
     out = [(i, s, e) for i, x in enumerate(runs) for s, e in x]
     i = [x[0] for x in out]
-    return pd.DataFrame({"s_h": h[i], "s_r": pdf["r"].to_numpy()[i], "start": [x[1] for x in out], "end": [x[2] for x in out]})
+    return pd.DataFrame({"s_h": h[i], "s_r1": pdf["r1"].to_numpy()[i], "s_r2": pdf["r2"].to_numpy()[i], "start": [x[1] for x in out], "end": [x[2] for x in out]})
 
 
 @lean
 def _strings(batches):
     for pdf in batches:
-        rows = [(i, w["h"], w["r"], w["again"], t[w["lo"] : w["hi"] + WINDOW]) for i, (t, ws) in enumerate(zip((t.encode() for t in pdf["text"]), pdf["ws"], strict=True)) for w in ws]
-        yield pd.DataFrame({n: [x[k] for x in rows] for k, n in enumerate(("h", "r", "again", "s"), 1)})
+        texts = (t.encode() for t in pdf["text"])
+        rows = [(w["h"], w["r1"], w["r2"], w["again"], t[w["lo"] : w["hi"] + WINDOW]) for t, ws in zip(texts, pdf["ws"], strict=True) for w in ws]
+        yield pd.DataFrame({n: [x[k] for x in rows] for k, n in enumerate(("h", "r1", "r2", "again", "s"))})
 
 
 def _release(df: DataFrame, *old: DataFrame) -> DataFrame:
@@ -296,15 +305,16 @@ def _release(df: DataFrame, *old: DataFrame) -> DataFrame:
     return df
 
 
-def _with_texts(docs: DataFrame, per: DataFrame, *columns: str) -> DataFrame:
+def _with_texts(docs: DataFrame, per: DataFrame, *columns: str | Column) -> DataFrame:
     """doc_id, tk, text, ws: each document with its different rows of per, under these columns; equal documents have equal ones."""
     per = per.groupBy("doc_id", "tk").agg(F.collect_set(F.struct(*columns)).alias("ws")).withColumnsRenamed({"doc_id": "d", "tk": "t"})
     return docs.join(per, docs.doc_id.eqNullSafe(per.d) & (docs.tk == per.t)).select("doc_id", "tk", "text", "ws")
 
 
 def _varied(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Different ranges of rows (h, r, n: occurrences, m: one of them), and h, v: how many an anchor has, where several."""
-    kinds = cut(rows.groupBy("h", "r").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tk", "lo", "hi")).alias("m")), "kinds")
+    """Different ranges of rows (h, r1, r2, n: occurrences, and a place of one), and v_h, v: how many an anchor has, where several."""
+    # any row's place will do, as all have the same string; all firsts are of one row
+    kinds = cut(rows.groupBy("h", "r1", "r2").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "tk", "lo", "hi")]), "kinds")
     several = cut(kinds.groupBy(F.col("h").alias("v_h")).agg(F.count("*").alias("v")).where("v > 1"), "several")
     return kinds, several
 
@@ -319,7 +329,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     docs: doc_id, tk, text.
     """
-    rows = cut(docs.mapInPandas(_ranges, _RANGE), "ranges")
+    rows, least, most = cut(docs.mapInPandas(_ranges, _RANGE), "ranges"), F.lit(0).alias("least"), F.lit(WINDOW - K).alias("most")
     spans = None
     while rows is not None:
         kinds, several = _varied(rows)
@@ -328,21 +338,21 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         if hot.limit(1).count():
             hot = cut(hot, "hot")
             wide = _by_anchor(rows, hot, "left_semi")
-            parts = _with_texts(docs, wide, "lo", "hi", "at", "least", "most").mapInPandas(_halves, _RANGE)
+            parts = _with_texts(docs, wide, "lo", "hi", "at", least, most).mapInPandas(_halves, _RANGE + ", least int, most int")
             more = _release(cut(parts, "ranges"), hot)
         need = _by_anchor(kinds, several, "left").where(F.coalesce(F.col("v") <= HOT, F.col("n") > 1))
-        need = need.select("h", "r", (F.col("n") > 1).alias("again"), "m.*")
-        strings = _with_texts(docs, need, "h", "r", "again", "lo", "hi")
-        strings = cut(strings.mapInPandas(_strings, "h long, r binary, again boolean, s binary"), "strings")
+        need = need.select("h", "r1", "r2", (F.col("n") > 1).alias("again"), "doc_id", "tk", "lo", "hi")
+        strings = _with_texts(docs, need, "h", "r1", "r2", "again", "lo", "hi")
+        strings = cut(strings.mapInPandas(_strings, "h long, r1 long, r2 long, again boolean, s binary"), "strings")
         _release(strings, kinds, several)
         size = strings.agg(F.sum(F.length("s"))).first()[0] or 0
-        bucket = F.pmod(F.xxhash64("h"), F.lit(max(1, -(-size // BUCKET)))).alias("bucket")
-        runs = strings.select("h", "r", "again", "s", bucket).groupBy("bucket").applyInPandas(_bucket, "s_h long, s_r binary, start int, end int")
+        bucket = F.pmod(F.xxhash64("h"), F.lit(max(1, -(-size // BUCKET))))
+        runs = strings.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(_bucket, "s_h long, s_r1 long, s_r2 long, start int, end int")
         runs = _release(cut(runs, "runs"), strings)
-        found = rows.join(F.broadcast(runs) if bounded(runs) else runs, (F.col("h") == F.col("s_h")) & (F.col("r") == F.col("s_r")))
+        found = rows.join(F.broadcast(runs) if bounded(runs) else runs, (F.col("h") == F.col("s_h")) & (F.col("r1") == F.col("s_r1")) & (F.col("r2") == F.col("s_r2")))
         found = cut(found.select("doc_id", "tk", (F.col("lo") + F.col("start")).alias("start"), (F.col("lo") + F.col("end")).alias("end")), "spans")
         _release(found, rows, runs)
-        spans, rows = found if spans is None else spans.unionAll(found), more
+        spans, rows, least, most = found if spans is None else spans.unionAll(found), more, F.col("least"), F.col("most")
     return spans
 
 
