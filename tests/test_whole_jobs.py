@@ -1,12 +1,10 @@
 """Registered queries do the whole job: inputs that an earlier form left out, against brute force."""
 
 import math
-import random
 import re
 
 import pytest
 
-from tidewrack.llm import decontaminate, langid, stages
 from tidewrack.plans.catalogue import QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -51,38 +49,3 @@ def test_bm25_topk_reads_whole_texts(spark, tmp_path):
         for p, n in tf.items():
             want[p] = want.get(p, 0) - idf * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(words[p]) / avg))
     assert got == {p: pytest.approx(s, abs=2e-6) for p, s in want.items()} and "f0" in got
-
-
-def test_decontamination_finds_short_items(spark):
-    item = lambda name, n: [f"{name}{k}" for k in range(n)]
-    items = {1: item("a", 15), 2: item("b", 12), 3: item("c", 9), 4: item("d", 5), 5: item("e", 1), 6: [], 7: item("f", 30)}
-
-    def changed(words, *at):
-        return [f"pre{k}" for k in range(4)] + ["other" if k in at else w for k, w in enumerate(words)] + ["post"] * 3
-
-    texts = {1: changed(items[1], 5, 10), 2: changed(items[2], 5), 3: changed(items[3], 4), 4: changed(items[4]), 5: items[5], 6: changed(items[4], 2), 7: changed(items[7][:9]), 8: items[4], 9: []}
-    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id long, text string")
-    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
-    for limit in (10**6, 3):
-        got = {(x.doc_id, x.item_id): (x.score, x.n_matched) for x in decontaminate.overlaps(docs, bench, limit=limit).collect()}
-        assert got == {(1, 1): (9, 13), (2, 2): (9, 11), (3, 3): (6, 8), (4, 4): (5, 5), (5, 5): (1, 1), (8, 4): (5, 5)}
-
-
-def test_near_dedup_stage_tells_texts_of_one_id_apart(spark):
-    r = random.Random(4)
-    a, b, c, d = (" ".join(f"{x}{r.randint(0, 99)}" for _ in range(60)) for x in "abcd")
-    rows = [(2, a), (1, b), (1, c), (1, c), (2, b), (3, a + " tail"), (3, d), (0, d + " tail"), (None, a), (None, a), (4, None), (4, ""), (5, "few words")]
-    docs = spark.createDataFrame([(k, t, "clash") for k, t in rows], "doc_id long, text string, key string")
-    got = stages.near_dedup(spark, docs, "")
-    assert got.columns == docs.columns
-    want = [(2, a), (1, b), (1, c), (0, d + " tail"), (None, a), (None, a), (4, None), (4, ""), (5, "few words")]
-    assert sorted([(x.doc_id, x.text) for x in got.collect()], key=str) == sorted(want, key=str)
-
-
-def test_language_id_learns_every_label(spark, monkeypatch):
-    rows = [(k * 100 + i, f"{chr(0x4E00 + 40 * k)}{chr(0x4E01 + 40 * k)} " * 40, f"l{k:02}") for k in range(70) for i in range(12 if k < 69 else 8)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model = langid.fit(docs)
-    assert model.langs == [f"l{k:02}" for k in range(70)]
-    monkeypatch.setattr(langid, "SAMPLE", 140)  # two documents of each
-    assert langid.fit(docs).langs == model.langs
