@@ -210,8 +210,12 @@ def test_anchors_and_usage(spark):
     d = issues(spark, {"file": "b.py", "line": 9}, {"file": "b.py", "category": "osv"}, {"file": "zz", "category": "osv"})
     a = spark.createDataFrame([(0, 2)], "ord long, start_line int")
     assert [(r.line, r.locationVerified) for r in anchors.stamp(d, a, f).orderBy("ord").collect()] == [(2, True), (1, True), (1, False)]
-    p = issues(spark, {}, {}, {}).withColumn("packageName", F.element_at(F.array(F.lit("left-pad"), F.lit("nope"), F.lit(None)), (F.col("ord") + 1).cast("int")))
-    assert [r.usageHint for r in anchors.usage_hints(p, f).orderBy("ord").collect()] == ["referenced", "not_found", None]
+    names = ["left-pad", "nope", None, "left-pad", "@a/b-c", "b.py", "padder", "a+b", "dist-only", " re-quests "]
+    f = f.unionAll(files(spark, {"x.ts": 'import z from "@a/b-c"', "node_modules/y.js": "dist-only", "e.md": "see re-quests", "big.txt": "nope " * 90_000, "h.png": "nope"}))
+    p = issues(spark, *[{"category": "semgrep" if k == 3 else "trivy"} for k in range(len(names))])
+    p = p.withColumn("packageName", F.element_at(F.array(*map(F.lit, names)), (F.col("ord") + 1).cast("int")))
+    yes, no = "referenced_in_source", "no_reference_found"
+    assert [r.usageHint for r in anchors.usage_hints(p, f).orderBy("ord").collect()] == [yes, no, None, None, yes, no, yes, no, no, yes]
 
 
 def test_search_equals_fts5(spark):
@@ -309,9 +313,46 @@ def test_tree_source(spark, tmp_path):
 
 
 def test_symbols(spark):
-    f = files(spark, {"a.py": "class A:\n    def m(self):\n        pass\n\ndef f():\n    return 1\n", "b.py": "def broken(", "c.go": "func one() {\n}\nfunc two() {\n}\n"})
-    got = {(r.relative, r.kind, r.name, r.start_line, r.end_line) for r in symbols.symbols(f).collect()}
-    assert got == {("a.py", "class", "A", 1, 3), ("a.py", "method", "m", 2, 3), ("a.py", "function", "f", 5, 6), ("c.go", "function", "one", 1, 2), ("c.go", "function", "two", 3, 4)}
+    a = "class A:\n    async def m(self):\n        pass\n\n    class In:\n        def deep(self): pass\n\n    def n(self): pass\n\n\nasync def f():\n    def g(): pass\n    return 1\n\ndef h(): pass\n"
+    f = files(spark, {"a.py": a, "b.py": "def broken(", "c.go": "func one() {\n}\n  export async function two(class) {\nclass Three\nmyfunc x\nfn\n", "d.txt": ""})
+    got = {}
+    for r in symbols.symbols(f).collect():  # rows of a file are in order of lines
+        got.setdefault(r.relative, []).append((r.kind, r.name, r.start_line, r.end_line))
+    assert got == {
+        "a.py": [("class", "A", 1, 8), ("async_method", "A.m", 2, 3), ("method", "A.n", 8, 8), ("async_function", "f", 11, 13), ("function", "h", 15, 15)],
+        "c.go": [("function", "one", 1, 1), ("function", "two", 3, 3), ("class", "Three", 4, 4)],
+    }
+    assert [r.name for r in symbols.symbols(f.where("relative = 'a.py'"), top=2).collect()] == ["A", "f"]
+    many = files(spark, {"m.go": "".join(f"func f{k}\n" for k in range(100)), "n.go": "x\n" * 100, "s.go": "func a\n"})
+    text = {r.relative: r.text for r in symbols.outline_text(many).collect()}
+    assert set(text) == {"m.go", "n.go"} and text["m.go"].count("\n") == 49 and text["m.go"].endswith("52 more") and "no symbols" in text["n.go"]
+
+
+def test_small_lookups(spark):
+    d = spark.createDataFrame([("ran", "a", None), ("skipped", "b", None), ("failed", "c", "boom")], "status string, tool string, detail string")
+    assert {r.tool for r in scanners.gaps(d).collect()} == {"b", "c"}
+    assert [r.tool for r in scanners.missing_required(d.select("tool"), d).collect()] == ["b"]
+    assert score.all_ran_confidence(d).first() == (1, 55) and score.all_ran_confidence(d.limit(1)).first() == (1, 75) and score.all_ran_confidence(d.limit(0)).first() == (0, 55)
+    assert col(spark, ["coverage:sec.x: N/A - no", "coverage:a.b: missed", "other", None], C.is_coverage_note) == [True, True, False, False]
+    assert col(spark, ["6ba7b810-9dad-11d1-80b4-00c04fd430c8", "6ba7b8109dad11d180b400c04fd430c8", None], C.is_uuid) == [True, False, False]
+    assert col(spark, ["see Review now", "commands_review", "a"], lambda c: C.mentions(c, F.lit("review"))) == [True, False, False]
+    assert col(spark, ["known", None], C.run_id)[0] == "known" and col(spark, ["abc"], C.file_hash)[0].startswith("ba7816bf")
+    i = issues(spark, {"title": "one"}, {"title": "two"}).withColumn("stable_id", F.lit("AB"))
+    ids = spark.createDataFrame([("ab ",), ("zz",)], "stable_id string")
+    assert sorted(tuple(r) for r in findings.issue_meta(i, ids).collect()) == [("ab ", "sec.x", "a.py", "one"), ("zz", "", "", "")]
+    v = spark.createDataFrame([(0, 0, 0), (1, 0, 0)], "confidence int, n_issues int, n_gaps int")
+    assert [r.vacuous for r in findings.is_vacuous(v).orderBy("confidence").collect()] == [True, False]
+
+
+def test_triage_plan(spark):
+    i = issues(spark, {"file": "./a.py", "source": "scanner"}, {"file": "b.py", "source": "scanner", "severity": "LOW"}, {"file": "c.py", "source": "scanner"}, {"file": "d.py", "source": "llm"})
+    files_ = spark.createDataFrame([("a.py",), ("x.py",)], "relative string")
+    plan = lambda **k: (lambda p, d: (sorted(r.pack_file for r in p.collect()), tuple(d.first())))(*planning.triage_plan(i, files_, **k))
+    assert plan(routing=False) == (["a.py", "x.py"], (True, False, 0, 2, False, ""))
+    assert plan() == (["a.py", "c.py"], (True, False, 2, 2, False, ""))
+    assert plan(max_files=1)[0] == ["a.py"] and plan(max_files=1)[1][4]
+    assert plan(floor="CRITICAL")[0] == [] and plan(floor="CRITICAL")[1][:3] == (False, True, 0)
+    assert plan(floor="CRITICAL", on_clean=True)[0] == ["a.py", "x.py"] and plan(floor="CRITICAL", on_clean=True)[1][:3] == (True, False, 0)
 
 
 def test_streams_equal_tables(spark, tmp_path):

@@ -162,10 +162,38 @@ def package_hint(title: Column) -> Column:
 
 
 def package_patterns(name: Column) -> Column:
-    """One pattern for the ways that sources name a package."""
-    q = F.concat(F.lit(r"\Q"), name, F.lit(r"\E"))
-    m = F.concat(F.lit(r"\Q"), F.replace(name, F.lit("-"), F.lit("_")), F.lit(r"\E"))
-    return F.concat(F.lit(r"(?im)^\s*(?:import|from)\s+"), m, F.lit(r"\b|require\(\s*['\"]"), q, F.lit(r"['\"/]|from\s+['\"]"), q, F.lit(r"['\"/]|import\s+['\"]"), q, F.lit(r"['\"/]|\buse\s+"), m, F.lit(r"\b"))
+    """One pattern for the ways that sources name a package: imports (a hyphen is an underscore there), quoted modules, the bare word."""
+    quote = lambda c: F.concat(F.lit(r"\Q"), c, F.lit(r"\E"))
+    q, m = quote(name), quote(F.replace(name, F.lit("-"), F.lit("_")))
+    shapes = (
+        (r"\bimport\s+", m, r"\b"), (r"\bfrom\s+", m, r"\b"), (r"require\(\s*['\"]", q, r"['\"]\s*\)"),
+        (r"from\s+['\"]", q, r"['\"]"), (r"import\(\s*['\"]", q, r"['\"]\s*\)"), (r"\b", q, r"\b"),
+    )
+    return F.concat(F.lit("(?U)"), *[x for k, (a, c, z) in enumerate(shapes) for x in (F.lit(("|" if k else "") + a), c, F.lit(z))])
+
+
+def is_uuid(c: Column) -> Column:
+    return F.coalesce(c.rlike(r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\z"), F.lit(False))
+
+
+def run_id(known: Column) -> Column:
+    """The id that a row has, else a fresh random one (never the same twice: keep it out of comparisons)."""
+    return F.coalesce(known, F.uuid())
+
+
+def file_hash(content: Column) -> Column:
+    """SHA-256 of a file's bytes."""
+    return F.sha2(content.cast("binary"), 256)
+
+
+def is_coverage_note(gap: Column) -> Column:
+    """Notes that carry coverage (N/A or missed) and are no gap of their own."""
+    return F.coalesce(F.trim(gap).rlike(r"(?i)^coverage:[^\s:]+\s*:\s*(N/A|missed)\b"), F.lit(False))
+
+
+def mentions(text: Column, token: Column) -> Column:
+    """The token of two characters or more stands in text as a whole, whatever its case."""
+    return (F.length(token) >= 2) & F.rlike(text, F.concat(F.lit(r"(?i)(?<![A-Za-z0-9_])\Q"), token, F.lit(r"\E(?![A-Za-z0-9_])")))
 
 
 # ---- findings ----
@@ -265,6 +293,7 @@ def first_text(*values: Column) -> Column:
 
 # ---- coverage ----
 
+# Fixed values.
 ALWAYS_LAZY = ("not reviewed", "not explicitly reviewed", "not addressed in this document")
 SOFT_LAZY = ("could be improved", "partially addressed")
 CONCRETE = ("no http", "no html", "no sql", "no orm", "no network", "not present", "out of scope", "n/a for", "in pack", "in provided", "in reviewed", "desktop app")

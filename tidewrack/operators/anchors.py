@@ -42,14 +42,34 @@ def stamp(issues: DataFrame, anchors: DataFrame, files: DataFrame) -> DataFrame:
     return j.withColumns({"line": F.coalesce("start_line", "line"), "locationVerified": F.coalesce(ok, F.lit(False))}).drop("a_ord", "start_line", "k_file")
 
 
-def usage_hints(issues: DataFrame, files: DataFrame) -> DataFrame:
-    """issues with usageHint: `referenced` where a source names the package, `not_found` where none does, null without one.
+# Where packages are looked for, and what is said of them.
+SKIPPED = (".git", ".hg", ".svn", "node_modules", "vendor", "dist", "build", ".venv", "venv", "__pycache__", ".tox", ".mypy_cache", ".pytest_cache", "reports")
+TEXT_SUFFIXES = (".py", ".pyi", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", ".go", ".rb", ".php", ".java", ".kt", ".cs", ".rs", ".swift", ".scala", ".toml", ".cfg", ".ini", ".yml", ".yaml", ".json", ".md", ".txt", ".sh")
+TEXT_NAMES = ("Dockerfile", "Makefile", "Pipfile")
+FOUND, MISSING = "referenced_in_source", "no_reference_found"
 
-    Each package is looked for once; the distinct packages are few beside the sources and are broadcast by size.
+
+def searchable(files: DataFrame, most: int = 400_000) -> DataFrame:
+    """Text files of up to so many bytes outside skipped directories."""
+    skipped = F.arrays_overlap(F.split("relative", "/"), F.array(*map(F.lit, SKIPPED)))
+    text = F.lower(C.suffix(F.col("relative"))).isin(*TEXT_SUFFIXES) | C.file_name(F.col("relative")).isin(*TEXT_NAMES)
+    return files.where(~skipped & text & (F.octet_length("content") <= most)).select("relative", "content")
+
+
+def usage_hints(issues: DataFrame, files: DataFrame, max_files: int | None = 2_000) -> DataFrame:
+    """issues with usageHint, for package scanners' issues that name a package, else null.
+
+    Files meet packages by a word: the longest word of a name, as it is or as imports write it. Only such pairs are matched
+    against the package's pattern. The first max_files files by path are looked at, as in the reference; None for all.
     """
-    names = issues.where("packageName is not null and packageName <> ''").select(F.col("packageName").alias("pkg")).distinct()
-    pats = names.withColumn("pat", C.package_patterns(F.col("pkg")))
-    used = pats.join(files.select("content"), F.rlike("content", F.col("pat")), "left_semi").select(F.col("pkg").alias("used"))
-    j = issues.join(used, issues.packageName == used.used, "left")
-    hint = F.when(F.col("used").isNotNull(), "referenced").when(F.coalesce("packageName", F.lit("")) != "", "not_found")
-    return j.withColumn("usageHint", hint).drop("used")
+    wanted = F.col("category").isin("osv", "trivy") & (F.trim(F.coalesce("packageName", F.lit(""))) != "")
+    names = issues.where(wanted).select(F.trim("packageName").alias("pkg")).distinct()
+    longest = lambda c: F.array_max(F.transform(F.split(c, r"(?U)\W+"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))).getField("w")
+    keys = names.select("pkg", F.explode(F.array_distinct(F.array(longest(F.col("pkg")), longest(F.replace("pkg", F.lit("-"), F.lit("_")))))).alias("key")).where("key <> ''")
+    f = searchable(files)
+    f = f if max_files is None else f.orderBy("relative").limit(max_files)
+    words = f.select("relative", F.explode(F.array_distinct(F.split("content", r"(?U)\W+"))).alias("word"))
+    pairs = words.join(keys, F.col("word") == F.col("key")).select(F.col("relative").alias("p_file"), "pkg").distinct()
+    used = f.join(pairs, f.relative == F.col("p_file")).where(F.rlike("content", C.package_patterns(F.col("pkg")))).select(F.col("pkg").alias("used")).distinct()
+    j = issues.join(used, F.trim(issues.packageName) == used.used, "left")
+    return j.withColumn("usageHint", F.when(wanted, F.when(F.col("used").isNotNull(), FOUND).otherwise(MISSING))).drop("used")

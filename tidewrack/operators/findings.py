@@ -122,6 +122,8 @@ def suppress_by_rules(issues: DataFrame, rules: DataFrame, today: str) -> DataFr
 
 def disabled_lines(files: DataFrame, marker: str = "tidewrack") -> DataFrame:
     """(relative, line) that disable comments cover: whole-line `# marker:disable` to `enable`, and disable-next-line."""
+    # texts without the marker's words cover nothing; their lines never become rows
+    files = files.where(F.lower("content").contains(f"{marker}:disable".lower()))
     d = files.select("relative", F.posexplode(C.split_lines(F.col("content"))).alias("line", "text")).withColumn("line", F.col("line") + 1)
     t = F.trim("text")
     kind = F.when(t.rlike(rf"(?i)^(?:#|//)\s*{marker}:enable\s*$"), "on").when(t.rlike(rf"(?i)^(?:#|//)\s*{marker}:disable(?:\s+\S+)?\s*$"), "off").when(t.rlike(rf"(?i)^(?:#|//)\s*{marker}:disable-next-line(?:\s+\S+)?\s*$"), "next")
@@ -192,3 +194,16 @@ def violations(issues: DataFrame) -> DataFrame:
     high = F.col("severity").isin("CRITICAL", "HIGH")
     checks = {"severity": ~F.coalesce(F.col("severity").isin(*C.SEVERITIES), F.lit(False)), "priority": ~F.coalesce(F.col("priority").isin("P1", "P2", "P3"), F.lit(False)), "line": ~F.coalesce(F.col("line") >= 1, F.lit(False)), "impact": high & blank("impact"), "codeExample": high & blank("codeExample")}
     return issues.withColumn("violations", F.filter(F.array(*[F.when(v, k) for k, v in checks.items()]), lambda x: x.isNotNull()))
+
+
+def issue_meta(issues: DataFrame, ids: DataFrame) -> DataFrame:
+    """ids (stable_id) with category, file and title of the first issue of the id, active or suppressed; blank where there is none."""
+    first = issues.groupBy(F.lower("stable_id").alias("m_id")).agg(F.min_by(F.struct("category", "file", "title"), "ord").alias("m"))
+    j = ids.join(first, F.lower(F.trim("stable_id")) == F.col("m_id"), "left")
+    return j.select("stable_id", *[F.coalesce(f"m.{c}", F.lit("")).alias(c) for c in ("category", "file", "title")])
+
+
+def is_vacuous(reports: DataFrame) -> DataFrame:
+    """reports (confidence, n_issues, n_gaps) with `vacuous`: no confidence, no findings, no gaps."""
+    none = lambda c: F.coalesce(F.col(c), F.lit(0)) == 0
+    return reports.withColumn("vacuous", none("confidence") & none("n_issues") & none("n_gaps"))

@@ -45,18 +45,46 @@ def adaptive_pack(files: DataFrame, diff: DataFrame, mode: str) -> DataFrame:
     return j.where(F.col("d_path").isNotNull() | (F.col("priority_band") <= 1) | empty).drop("d_path")
 
 
+def triage_hits(issues: DataFrame, changed: DataFrame | None = None, floor: str = "HIGH", sources=("scanner",)) -> DataFrame:
+    """Issues of the sources at the floor or over it, in changed files, with pack_file."""
+    hits = issues.where(C.infer_source(F.col("source"), F.col("category")).isin(*sources) & C.at_least(F.col("severity"), floor)).withColumn("pack_file", C.norm_route(F.col("file")))
+    return hits if changed is None else hits.join(changed.select(C.norm_route(F.col("relative")).alias("pack_file")).distinct(), "pack_file", "left_semi")
+
+
+def sorted_rules(rules: DataFrame) -> DataFrame:
+    return rules.orderBy("band", "id")
+
+
 def triage(issues: DataFrame, available: DataFrame | None = None, changed: DataFrame | None = None, floor: str = "HIGH", max_files: int = 8, sources=("scanner",)) -> DataFrame:
     """pack: file, rank of the first max_files files with a hit, in order of hits. changed: null is no limit, empty is none.
 
     A hit outside the available files stays in the pack.
     """
-    hits = issues.where(C.infer_source(F.col("source"), F.col("category")).isin(*sources) & C.at_least(F.col("severity"), floor)).withColumn("pack_file", C.norm_route(F.col("file")))
-    if changed is not None:
-        hits = hits.join(changed.select(C.norm_route(F.col("relative")).alias("pack_file")).distinct(), "pack_file", "left_semi")
+    hits = triage_hits(issues, changed, floor, sources)
     firsts = hits.where("pack_file <> ''").groupBy("pack_file").agg(F.min("ord").alias("ord"))
     return firsts.orderBy("ord", "pack_file").limit(max(1, max_files))
 
 
+def triage_plan(issues: DataFrame, available: DataFrame, changed: DataFrame | None = None, routing: bool = True, floor: str = "HIGH", max_files: int = 8, sources=("scanner",), on_clean: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The pack (pack_file, ord), and one row: invoke, bypassed, n_hits, n_files, truncated, note.
+
+    Without routing, and without hits where on_clean allows it, all available files (relative) are the pack.
+    """
+    every = available.select(C.norm_route(F.col("relative")).alias("pack_file")).distinct().withColumn("ord", F.lit(None).cast("long"))
+    if not routing:
+        n = every.agg(F.count("*").alias("n_files"))
+        return every, n.select(F.lit(True).alias("invoke"), F.lit(False).alias("bypassed"), F.lit(0).cast("long").alias("n_hits"), "n_files", F.lit(False).alias("truncated"), F.lit("").alias("note"))
+    hits = triage_hits(issues, changed, floor, sources)
+    pack = triage(issues, None, changed, floor, max_files, sources)
+    none = hits.agg((F.count("*") == 0).alias("none")).scalar()
+    if on_clean:
+        pack = pack.unionByName(every.where(none).select("pack_file", "ord"))
+    counts = hits.agg(F.count("*").alias("n_hits"), F.count_distinct(F.nullif("pack_file", F.lit(""))).alias("had"))
+    n, had, clean = F.col("n_hits"), F.col("had"), F.col("n_hits") == 0
+    note = F.when(clean, "no hit at the floor" + (": allowed all the same" if on_clean else ": bypassed")).when(had > max_files, F.concat(F.lit(f"pack cut to {max_files} of "), had)).otherwise("")
+    return pack, counts.select((~clean | F.lit(on_clean)).alias("invoke"), (clean & F.lit(not on_clean)).alias("bypassed"), n, F.least(had, F.lit(max(1, max_files))).alias("n_files"), (had > max_files).alias("truncated"), note.alias("note"))
+
+
 def select_entries(files: DataFrame, pack: DataFrame) -> DataFrame:
     """Files of the pack, in inventory order."""
     return files.join(pack.select("pack_file").distinct(), C.norm_route(files.relative) == F.col("pack_file"), "left_semi")
@@ -65,17 +93,24 @@ def select_entries(files: DataFrame, pack: DataFrame) -> DataFrame:
 def budget_pack(files: DataFrame, budget: int, group: str = "grp") -> DataFrame:
     """Greedy packing of each group in ord: a file over the remaining budget is left out, later smaller ones may fit.
 
-    The fold runs over a group's array of (ord, size); a group is one prompt's candidates, whose number the inventory caps.
+    Each decision needs the one before, so a group is read in one pass, sorted and batch by batch: what is held is a sum.
+    Files that never fit go before.
     """
-    rows = files.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("ord", "size", "relative"))).alias("fs"))
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<ord:bigint,size:bigint,relative:string>>").alias("got"))
+    schema = f"{group} string, ord long, size long, relative string"
 
-    def step(acc, f):
-        fits = acc.getField("used") + f.getField("size") <= budget
-        item = F.struct(f.getField("ord").cast("long").alias("ord"), f.getField("size").cast("long").alias("size"), f.getField("relative").alias("relative"))
-        return F.struct(F.when(fits, acc.getField("used") + f.getField("size")).otherwise(acc.getField("used")).alias("used"), F.when(fits, F.concat(acc.getField("got"), F.array(item))).otherwise(acc.getField("got")).alias("got"))
+    def fold(batches):
+        now, used = object(), 0
+        for pdf in batches:
+            keep = []
+            for g, size in zip(pdf[group].tolist(), pdf["size"].tolist(), strict=True):
+                if g != now:
+                    now, used = g, 0
+                keep.append(used + size <= budget)
+                used += size if keep[-1] else 0
+            yield pdf[keep]
 
-    return rows.select(group, F.explode(F.aggregate("fs", zero, step).getField("got")).alias("f")).select(group, "f.*")
+    d = files.where(F.col("size") <= budget).select(F.col(group).cast("string").alias(group), F.col("ord").cast("long").alias("ord"), F.col("size").cast("long").alias("size"), "relative")
+    return d.repartition(group).sortWithinPartitions(group, "ord", "size", "relative").mapInPandas(fold, schema)
 
 
 def prefer(files: DataFrame, hot: DataFrame, adaptive: DataFrame) -> DataFrame:
@@ -93,14 +128,14 @@ def deep_passes(rules: DataFrame, matrix: DataFrame, mode: str, full_audit: bool
     """band, rule_ids, coverage_ids of the passes of a mode: bands with an enabled rule. rules: id, band, enabled; matrix: ord, id, rule_id, band, full_audit_only."""
     r = rules.where(F.col("enabled") & F.col("band").isin(*MODE_BANDS[mode]))
     m = matrix.where(F.lit(full_audit) | ~F.col("full_audit_only"))
-    ids = m.join(F.broadcast(r.select(F.col("id").alias("rule_id"), "band")), ["rule_id", "band"], "left_semi").groupBy("band").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda x: x.getField("id")).alias("coverage_ids"))
+    ids = m.join(r.select(F.col("id").alias("rule_id"), "band"), ["rule_id", "band"], "left_semi").groupBy("band").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda x: x.getField("id")).alias("coverage_ids"))
     return r.groupBy("band").agg(F.array_sort(F.collect_list("id")).alias("rule_ids")).join(ids, "band", "left")
 
 
 def rules_with_overlays(defaults: DataFrame, user: DataFrame, project: DataFrame) -> DataFrame:
     """Rules (id, band, enabled, title, body) with a user's, then a project's values over them; unknown ids add nothing."""
     o = lambda d, p: d.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "band", "enabled", "title", "body")])
-    j = defaults.join(F.broadcast(o(user, "u")), F.col("id") == F.col("u_id"), "left").join(F.broadcast(o(project, "p")), F.col("id") == F.col("p_id"), "left")
+    j = defaults.join(o(user, "u"), F.col("id") == F.col("u_id"), "left").join(o(project, "p"), F.col("id") == F.col("p_id"), "left")
     return j.select("id", *[F.coalesce(f"p_{c}", f"u_{c}", c).alias(c) for c in ("band", "enabled", "title", "body")])
 
 

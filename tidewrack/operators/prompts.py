@@ -22,7 +22,7 @@ def pass_prompts(passes: DataFrame, packed: DataFrame, sections: dict[str, str],
     body = packed.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", block.alias("b")))), lambda x: x.getField("b")), "\n\n").alias("files"))
     fixed = "\n\n".join(f"# {k}\n{v}" for k, v in sections.items() if v)
     head = F.concat(F.lit("# Rules\n"), F.array_join("rule_ids", ", "), F.lit("\n# Checklist\n"), F.array_join("coverage_ids", "\n"))
-    return passes.join(F.broadcast(body)).select("band", F.concat_ws("\n\n", head, F.lit(fixed), "files").alias("prompt"))
+    return passes.join(body).select("band", F.concat_ws("\n\n", head, F.lit(fixed), "files").alias("prompt"))
 
 
 def excerpt_of(issue: DataFrame, files: DataFrame) -> DataFrame:

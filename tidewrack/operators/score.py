@@ -7,20 +7,53 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 
-#: The checklist in order, as (band, id, needs a full audit, pack).
-MATRIX = tuple(
-    (band, i, full, pack)
-    for band, full, pack, ids in (
-        ("p1", False, "core", "sec.injection sec.xss_csrf sec.authn_authz sec.repo_hygiene_secrets sec.data_exposure sec.deps_supply_chain sec.transport_tls sec.crypto_deser sec.input_validation"),
-        ("p1", True, "extended", "sec.config_env sec.privacy_pii sec.upload_path sec.session_cookies sec.rate_abuse sec.build_release sec.ssrf sec.xxe sec.redos sec.log_injection sec.jwt_tokens sec.weak_prng"),
-        ("p2", False, "core", "rel.edge_cases rel.concurrency rel.error_recovery rel.performance"),
-        ("p3", False, "core", "arch.structure_size arch.readability_complexity arch.duplication arch.dead_code arch.consistency_style"),
-        ("p3", False, "extended", "arch.api arch.testing arch.ci_durability"),
-        ("p3", True, "extended", "arch.database arch.frontend arch.a11y arch.observability arch.iac_cloud arch.i18n arch.pwa arch.licensing arch.scalability arch.documentation"),
-        ("p3", True, "meta", "arch.scores"),
-        ("p3", False, "meta", "arch.blast_radius"),
-    )
-    for i in ids.split()
+# The checklist in order, as (band, id, needs a full audit, pack).
+MATRIX = (
+    ("p1", "sec.injection", False, "core"),
+    ("p1", "sec.xss_csrf", False, "core"),
+    ("p1", "sec.authn_authz", False, "core"),
+    ("p1", "sec.repo_hygiene_secrets", False, "core"),
+    ("p1", "sec.data_exposure", False, "core"),
+    ("p1", "sec.deps_supply_chain", False, "core"),
+    ("p1", "sec.transport_tls", False, "core"),
+    ("p1", "sec.crypto_deser", False, "core"),
+    ("p1", "sec.input_validation", False, "core"),
+    ("p1", "sec.config_env", True, "extended"),
+    ("p1", "sec.privacy_pii", True, "extended"),
+    ("p1", "sec.upload_path", True, "extended"),
+    ("p1", "sec.session_cookies", True, "extended"),
+    ("p1", "sec.rate_abuse", True, "extended"),
+    ("p1", "sec.build_release", True, "extended"),
+    ("p1", "sec.ssrf", True, "extended"),
+    ("p1", "sec.xxe", True, "extended"),
+    ("p1", "sec.redos", True, "extended"),
+    ("p1", "sec.log_injection", True, "extended"),
+    ("p1", "sec.jwt_tokens", True, "extended"),
+    ("p1", "sec.weak_prng", True, "extended"),
+    ("p2", "rel.edge_cases", False, "core"),
+    ("p2", "rel.concurrency", False, "core"),
+    ("p2", "rel.error_recovery", False, "core"),
+    ("p2", "rel.performance", False, "core"),
+    ("p3", "arch.structure_size", False, "core"),
+    ("p3", "arch.readability_complexity", False, "core"),
+    ("p3", "arch.duplication", False, "core"),
+    ("p3", "arch.dead_code", False, "core"),
+    ("p3", "arch.consistency_style", False, "core"),
+    ("p3", "arch.api", False, "extended"),
+    ("p3", "arch.testing", False, "extended"),
+    ("p3", "arch.ci_durability", False, "extended"),
+    ("p3", "arch.database", True, "extended"),
+    ("p3", "arch.frontend", True, "extended"),
+    ("p3", "arch.a11y", True, "extended"),
+    ("p3", "arch.observability", True, "extended"),
+    ("p3", "arch.iac_cloud", True, "extended"),
+    ("p3", "arch.i18n", True, "extended"),
+    ("p3", "arch.pwa", True, "extended"),
+    ("p3", "arch.licensing", True, "extended"),
+    ("p3", "arch.scalability", True, "extended"),
+    ("p3", "arch.documentation", True, "extended"),
+    ("p3", "arch.scores", True, "meta"),
+    ("p3", "arch.blast_radius", False, "meta"),
 )
 #: Extended ids that categories don't map to (they are found in text only).
 UNMAPPED = ("sec.ssrf", "sec.xxe", "sec.redos", "sec.log_injection", "sec.jwt_tokens", "sec.weak_prng")
@@ -40,17 +73,24 @@ def theme_of(category: Column) -> Column:
     return F.coalesce(C.lookup(c, C.HEURISTIC_THEMES), known(c), known(C.canonical_id(c)))
 
 
+def _each(d: DataFrame, ids: DataFrame, of, name: str) -> DataFrame:
+    """id and an aggregate of d for each id of a checklist (a list that its readers go through, so a short one)."""
+    known = [r["id"] for r in ids.select("id").distinct().collect()]
+    one = d.agg(*[of(i).alias(f"c{k}") for k, i in enumerate(known)]) if known else d.limit(0).agg(F.count("*").alias("none"))
+    return one.select(F.explode(F.array(*[F.struct(F.lit(i).alias("id"), F.col(f"c{k}").alias(name)) for k, i in enumerate(known)]) if known else F.array().cast(f"array<struct<id:string,{name}:boolean>>")).alias("x")).select("x.*")
+
+
 def evaluate_coverage(ids: DataFrame, issues: DataFrame, notes: DataFrame) -> DataFrame:
     """id, status (covered, na, missed), reason, invalid: evidence in issues first, then a concrete N/A note.
 
-    ids: ord, id; notes: ord, note. The ids are a small checklist: it is broadcast, and each issue is looked at once.
+    ids: ord, id; notes: ord, note. The ids are a small checklist: each is a column of one aggregate over the issues.
     """
     want = ids.select("ord", C.canonical_id(F.col("id")).alias("id")).groupBy("id").agg(F.min("ord").alias("ord"))
     text = F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("title", "explanation", "category", "impact", "recommendedFix")]))
     hay = issues.select(theme_of(F.col("category")).alias("theme"), text.alias("hay"))
-    low = F.lower("id")
-    hit = (F.col("theme") == F.col("id")) | F.col("hay").contains(low) | F.col("hay").contains(F.element_at(F.split(low, r"\."), -1))
-    seen = hay.join(F.broadcast(want.select("id")), hit).select("id").distinct().withColumn("seen", F.lit(True))
+    # an id's last part stands wherever the whole id does
+    part = lambda i: i.lower().rpartition(".")[2]
+    seen = _each(hay, want, lambda i: F.coalesce(F.bool_or((F.col("theme") == i) | F.col("hay").contains(part(i))), F.lit(False)), "seen").where("seen")
     na = notes.select("ord", C.canonical_id(C.note_id(F.col("note"))).alias("id"), C.note_reason(F.col("note")).alias("reason")).where("id <> ''")
     na = na.groupBy("id").agg(F.max_by("reason", "ord").alias("reason"))
     j = want.join(seen, "id", "left").join(na, "id", "left")
@@ -59,6 +99,18 @@ def evaluate_coverage(ids: DataFrame, issues: DataFrame, notes: DataFrame) -> Da
     return j.select("ord", "id", F.when(covered, "covered").when(ok & ~lazy, "na").otherwise("missed").alias("status"), F.when(ok, F.col("reason")).alias("reason"), F.coalesce(ok & lazy, F.lit(False)).alias("invalid"))
 
 
+def rewrite_gaps(coverage: DataFrame, gaps: DataFrame) -> DataFrame:
+    """ord, gap: the gaps that carry no coverage note, then one note for each missed id. gaps: ord, gap."""
+    kept = gaps.where(~C.is_coverage_note(F.col("gap"))).select(F.lit(0).alias("lane"), "ord", "gap")
+    return kept.unionByName(gap_notes(coverage).select(F.lit(1).alias("lane"), "ord", F.col("note").alias("gap")))
+
+
+def all_ran_confidence(scanner_runs: DataFrame) -> DataFrame:
+    """n_ran and confidence: 75 where every scanner ran, else 55."""
+    ran = F.col("status") == "ran"
+    return scanner_runs.agg(F.count_if(ran).alias("n_ran"), F.when(F.coalesce(F.bool_and(ran), F.lit(False)), 75).otherwise(55).alias("confidence"))
+
+
 def gap_notes(coverage: DataFrame) -> DataFrame:
     """One note for each missed id, in checklist order."""
     return coverage.where("status = 'missed'").select("ord", F.concat(F.lit("coverage:"), "id", F.lit(": missed")).alias("note"))
@@ -69,7 +121,7 @@ def theme_breakdown(matrix_: DataFrame, coverage: DataFrame, issues: DataFrame,
     m = matrix_.where(F.col("pack").isin("core", "extended") if full else F.col("pack") == "core")
     m = m.where(F.col("id").startswith("sec.") & (F.col("pack") == "core")) if mode == "sentinel" else m.where(F.col("id").startswith("arch.")) if mode == "architecture" else m
     hay = issues.select(theme_of(F.col("category")).alias("theme"), F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("category", "title", "explanation")])).alias("hay"))
-    n = hay.join(F.broadcast(m.select("id")), (F.col("theme") == F.col("id")) | F.col("hay").contains(F.lower("id"))).groupBy("id").agg(F.count("*").alias("n"))
+    n = _each(hay, m, lambda i: F.count_if((F.col("theme") == i) | F.col("hay").contains(i.lower())), "n")
     c = coverage.select("id", "status", "reason")
     return m.join(n, "id", "left").join(c, "id", "left").select("ord", "id", "pack", F.coalesce("status", F.lit("missed")).alias("status"), F.coalesce("n", F.lit(0)).alias("n_findings"), F.when(F.col("status") == "na", F.col("reason")).otherwise("").alias("notes"))
 

@@ -21,17 +21,24 @@ def query_terms(text: str) -> list[str]:
     return [t.lower() for t in re.findall(r"[A-Za-z_][A-Za-z0-9_]{2,}", text)][:MAX_TERMS]
 
 
-def build(files: DataFrame, stem: bool = False, cap: int | None = CAP) -> tuple[DataFrame, DataFrame]:
+def build(files: DataFrame, stem: bool = False, cap: int | None = CAP, only: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """postings (term, path, tf, at: positions) and docs (path, len); blank files are left out.
 
-    Only the first `cap` characters of a text are indexed, as in the reference; with None whole texts are.
+    Only the first `cap` characters of a text are indexed, as in the reference; with None whole texts are. With `only`, just
+    these terms get postings (for one query over files that aren't indexed): other tokens never become rows.
     """
     text = F.col("content") if cap is None else F.substring("content", 1, cap)
     d = files.where(F.trim(F.coalesce("content", F.lit(""))) != "").select(F.col("relative").alias("path"), F.concat_ws(" ", "relative", text).alias("text"))
-    t = d.select("path", F.posexplode(index_tokens(F.col("text"))).alias("at", "term"))
+    tokens = F.transform(index_tokens(F.col("text")), lambda t, i: F.struct(i.alias("at"), t.alias("term")))
+    if only is not None and not stem:
+        tokens = F.filter(tokens, lambda x: x.getField("term").isin(*only))
+    t = d.select("path", F.explode(tokens).alias("x")).select("path", "x.*")
     if stem:
         t = t.withColumn("term", porter_udf()("term"))
-    return t.groupBy("term", "path").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("at")).alias("at")), d.select("path", F.size(index_tokens(F.col("text"))).alias("len"))
+        t = t if only is None else t.where(F.col("term").isin(*only))
+    marks = F.regexp_replace(F.lower("text"), "[a-z0-9]+", "x")
+    n = F.length(marks) - F.length(F.replace(marks, F.lit("x"), F.lit("")))
+    return t.groupBy("term", "path").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("at")).alias("at")), d.select("path", n.alias("len"))
 
 
 def phrase_frequencies(postings: DataFrame, terms: list[list[str]]) -> DataFrame:
@@ -46,6 +53,13 @@ def phrase_frequencies(postings: DataFrame, terms: list[list[str]]) -> DataFrame
     return starts.groupBy("q", "path").agg(F.count("*").alias("tf"))
 
 
+def snippet(hits: DataFrame, files: DataFrame, term: str, around: int = 60) -> DataFrame:
+    """hits with text: what stands around the first place of a term in the file, or its start."""
+    low = F.instr(F.lower("content"), F.lit(term.lower()))
+    f = files.select(F.col("relative").alias("s_path"), F.substring(F.col("content"), F.greatest(low - around, F.lit(1)), F.lit(2 * around + len(term))).alias("text"))
+    return hits.join(f, hits.path == F.col("s_path"), "left").drop("s_path")
+
+
 def query(postings: DataFrame, docs: DataFrame, terms: list[list[str]], k: int = 5) -> DataFrame:
     """path, score (BM25, negated: more negative is better) of the k best."""
     tf = phrase_frequencies(postings, terms)
@@ -57,6 +71,31 @@ def query(postings: DataFrame, docs: DataFrame, terms: list[list[str]], k: int =
     return j.groupBy("path").agg((-F.sum(part)).alias("score")).orderBy("score", "path").limit(k)
 
 
+# Endings of steps 2 and 4 of Porter's algorithm.
+ENDINGS = (
+    ("ational", "ate"),
+    ("tional", "tion"),
+    ("enci", "ence"),
+    ("anci", "ance"),
+    ("izer", "ize"),
+    ("logi", "log"),
+    ("bli", "ble"),
+    ("alli", "al"),
+    ("entli", "ent"),
+    ("eli", "e"),
+    ("ousli", "ous"),
+    ("ization", "ize"),
+    ("ation", "ate"),
+    ("ator", "ate"),
+    ("alism", "al"),
+    ("iveness", "ive"),
+    ("fulness", "ful"),
+    ("ousness", "ous"),
+    ("aliti", "al"),
+    ("iviti", "ive"),
+    ("biliti", "ble"),
+)
+LAST_ENDINGS = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
 _VOWELS = "aeiou"
 
 
@@ -106,10 +145,9 @@ def porter(w: str) -> str:
                 break
     if w.endswith("y") and vowel(w[:-1]):
         w = w[:-1] + "i"
-    two = "ational ate tional tion enci ence anci ance izer ize logi log bli ble alli al entli ent eli e ousli ous ization ize ation ate ator ate alism al iveness ive fulness ful ousness ous aliti al iviti ive biliti ble".split()
-    w = swap(w, list(zip(two[::2], two[1::2], strict=True)), 0)
+    w = swap(w, ENDINGS, 0)
     w = swap(w, [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")], 0)
-    for a in "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split():
+    for a in LAST_ENDINGS:
         if w.endswith(a):
             s = w[: -len(a)]
             if _measure(s) > 1 and (a != "ion" or s.endswith(("s", "t"))):

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import anchors, findings, heuristics, planning, score, search
+from ..operators import anchors, coerce, findings, heuristics, planning, score, search, sinks, symbols
+from ..sources import rules as report_rules
+from ..sources import scanners
 from . import views as V
 
 QUERIES: dict = {}
@@ -77,10 +79,13 @@ def mega_files(spark, files):
     return heuristics.mega_files(files, 40)
 
 
-@_query(rf"c AS (SELECT relative, len(regexp_extract_all(content, ' (the|una|der|les) ')) AS n FROM files WHERE NOT starts_with(relative, 'tests/fixtures/')) SELECT relative AS file, 1 AS line, 'Open markers: ' || n AS title, 'LOW' AS severity, 'P3' AS priority, 'heuristic.todo_density' AS category FROM c WHERE n >= 8", files=V.FILES)
+#: The driver's texts hold no open markers and no commented code: common words stand in for them.
+_OPEN = V.FILES.replace("coalesce(text, '')", "replace(replace(replace(coalesce(text, ''), ' the ', ' TODO '), ' of ', ' FIXME: '), ' is ', concat(chr(10), ' # import '))")
+
+
+@_query(r"c AS (SELECT relative, len(regexp_extract_all(content, '\b(TODO|FIXME|XXX|HACK)\b')) + len(regexp_extract_all(content, '(?m)^\s*(#|//)\s*(def |class |function |const |let |var |import |return |if |for )')) AS n FROM files WHERE NOT starts_with(relative, 'tests/fixtures/')) SELECT relative AS file, 1 AS line, 'Open markers: ' || n AS title, 'LOW' AS severity, 'P3' AS priority, 'heuristic.todo_density' AS category FROM c WHERE n >= 8", files=_OPEN)
 def todo_density(spark, files):
-    """The driver's texts hold no open markers, so the words counted are a parameter here."""
-    return heuristics.todo_density(files, 8, r" (the|una|der|les) ")
+    return heuristics.todo_density(files, 8)
 
 
 @_query(rf"c AS (SELECT *, lower({NAME}) AS name FROM files WHERE NOT starts_with(relative, 'tests/fixtures/')) SELECT relative AS file, 1 AS line, 'Script handles credentials in plain text' AS title, CASE WHEN contains(name, 'notarize') OR contains(lower(content), 'password') THEN 'MEDIUM' ELSE 'LOW' END AS severity, 'P2' AS priority, 'heuristic.scripts_hygiene' AS category FROM c WHERE (lower({EXT}) IN {_in(heuristics.SCRIPTS)} OR contains(name, 'notarize')) AND regexp_matches(content, '{heuristics.PASSWORD}') AND NOT regexp_matches(content, '{heuristics.KEYCHAIN}')", files=V.FILES)
@@ -251,6 +256,28 @@ def adaptive_pack_changed(spark, files, old):
     return _pack("changed")(files, old)
 
 
+_ALL = f"SELECT DISTINCT relative, {BAND}::INT AS priority_band FROM files WHERE NOT {IGNORED} AND size <= 200000"
+
+
+@_query(_ALL, files=V.FILES, old=_OLD_FILES)
+def adaptive_pack_full(spark, files, old):
+    return _pack("full")(files, old)
+
+
+_SAME = "SELECT relative AS path, CAST(size AS VARCHAR(20)) AS sha256 FROM (" + V.FILES + ") f"
+
+
+@_query(_ALL, files=V.FILES, old=_SAME)
+def adaptive_pack_unchanged(spark, files, old):
+    """Mode auto where nothing has changed: everything."""
+    return _pack("auto")(files, old)
+
+
+@_query(f"h AS (SELECT ltrim(replace(file, chr(92), '/'), './') AS f FROM issues WHERE {SOURCE} = 'scanner' AND {RANK} >= 3) SELECT count(*) > 0 AS invoke, count(*) = 0 AS bypassed, count(*) AS n_hits, least(count(DISTINCT f), 4) AS n_files, count(DISTINCT f) > 4 AS truncated, CASE WHEN count(*) = 0 THEN 'no hit at the floor: bypassed' WHEN count(DISTINCT f) > 4 THEN 'pack cut to 4 of ' || count(DISTINCT f) ELSE '' END AS note FROM h", issues=V.ISSUES, files=V.FILES)
+def triage_decision(spark, issues, files):
+    return planning.triage_plan(issues, files, max_files=4)[1]
+
+
 @_query(f"SELECT ltrim(replace(file, chr(92), '/'), './') AS pack_file, min(ord) AS ord FROM issues WHERE {SOURCE} = 'scanner' AND {RANK} >= 3 GROUP BY 1 ORDER BY 2 LIMIT 4", issues=V.ISSUES)
 def triage_pack(spark, issues):
     return planning.triage(issues, max_files=4)
@@ -299,6 +326,19 @@ def theme_breakdown(spark, issues, notes):
     return score.theme_breakdown(score.matrix(spark), _cov(spark, issues, notes), issues, full=True).drop("ord")
 
 
+_THEMES = f"{_COV} SELECT cov.id, cov.pack, cov.status, (SELECT count(*) FROM h WHERE theme = cov.id OR contains(hay3, cov.id)) AS n_findings, CASE WHEN cov.status = 'na' THEN cov.reason ELSE '' END AS notes FROM cov WHERE "
+
+
+@_query(_THEMES + "cov.pack = 'core' AND starts_with(cov.id, 'sec.')", issues=V.ISSUES, notes=V.NOTES)
+def theme_breakdown_sentinel(spark, issues, notes):
+    return score.theme_breakdown(score.matrix(spark), _cov(spark, issues, notes), issues, mode="sentinel").drop("ord")
+
+
+@_query(_THEMES + "cov.pack IN ('core', 'extended') AND starts_with(cov.id, 'arch.')", issues=V.ISSUES, notes=V.NOTES)
+def theme_breakdown_architecture(spark, issues, notes):
+    return score.theme_breakdown(score.matrix(spark), _cov(spark, issues, notes), issues, full=True, mode="architecture").drop("ord")
+
+
 _SECI, _RELI, _ARCI = f"(priority = 'P1' OR {SECCAT})", "(priority = 'P2' OR starts_with(lower(category), 'rel.'))", "(priority = 'P3' OR starts_with(lower(category), 'arch.') OR starts_with(lower(category), 'heuristic.'))"
 
 
@@ -322,6 +362,19 @@ def audit_metrics(spark, issues, notes):
     return out.select(*[F.col(c).cast("int").alias(c) for c in out.columns])
 
 
+@_query(
+    f"{_COV}, pen AS (SELECT {_pen(_SECI)} AS s, {_pen(_RELI)} AS r, {_pen(_ARCI)} AS a FROM issues), b AS (SELECT greatest(0, least(100, 92 - {_off('sec.')} - s))::INT AS security, greatest(0, least(100, 88 - {_off('rel.')} - r))::INT AS reliability, greatest(0, least(100, 85 - {_off('arch.')} - a))::INT AS architecture FROM pen)"
+    " SELECT greatest(0, least(100, least(92, 88, 85, security, reliability, architecture) - (SELECT least(40, 4 * count(*) FILTER (status = 'missed')) + least(30, 3 * count(*) FILTER (invalid)) FROM cov WHERE starts_with(id, 'sec.') OR starts_with(id, 'rel.') OR starts_with(id, 'arch.'))))::INT AS gate, security, reliability, architecture FROM b",
+    issues=V.ISSUES, notes=V.NOTES,
+)
+def audit_metrics_architecture(spark, issues, notes):
+    """With the architecture pass, and a scanner that was skipped."""
+    passes = spark.createDataFrame([("p1", 92), ("p2", 88), ("p3", 85)], "name string, confidence int")
+    runs = spark.createDataFrame([("gitleaks", "ran"), ("osv", "skipped")], "tool string, status string")
+    out = score.audit_metrics(passes, _cov(spark, issues, notes), runs, issues)
+    return out.select(*[F.col(c).cast("int").alias(c) for c in out.columns])
+
+
 _EX = "trim(codeExample) <> ''"
 _CH = "severity IN ('CRITICAL', 'HIGH')"
 
@@ -337,9 +390,15 @@ _QUOTES = "SELECT doc_id AS ord, concat('./f', CAST(doc_id AS VARCHAR(20))) AS f
 _CONTENT = "SELECT concat('f', CAST(doc_id AS VARCHAR(20))) AS relative, text AS content FROM {documents} WHERE text IS NOT NULL"
 
 
+_BLANKS = " || ".join(f"chr({k})" for k in (32, 9, 10, 13, 11, 12, 28, 29, 30, 31, 133, 160, 8232, 8233, 12288))
+
+
 @_query(
-    "q AS (SELECT ord, substr(file, 3) AS relative, line AS hint, trim(quote) AS quote FROM issues WHERE trim(quote) <> '' AND NOT contains(trim(quote), chr(10))), l AS (SELECT relative, unnest(string_split(content, chr(10))) AS t, generate_subscripts(string_split(content, chr(10)), 1) AS ln FROM files),"
-    " c AS (SELECT ord, relative, ln, strpos(t, quote) AS col, abs(ln - hint) AS off FROM q JOIN l USING (relative) WHERE strpos(t, quote) > 0) SELECT ord, relative, arg_min(ln, off * 1000000 + ln)::INT AS start_line, arg_min(ln, off * 1000000 + ln)::INT AS end_line, arg_min(col, off * 1000000 + ln)::INT AS start_column FROM c GROUP BY ord, relative",
+    f"q AS (SELECT ord, substr(file, 3) AS relative, line AS hint, trim(quote, {_BLANKS}) AS quote FROM issues WHERE trim(quote, {_BLANKS}) <> ''), l AS (SELECT relative, unnest(string_split(content, chr(10))) AS t, generate_subscripts(string_split(content, chr(10)), 1) AS ln FROM files),"
+    " c AS (SELECT ord, relative, ln, strpos(t, quote) AS col, abs(ln - hint) AS off FROM q JOIN l USING (relative) WHERE NOT contains(quote, chr(10)) AND strpos(t, quote) > 0),"
+    " m AS (SELECT ord, relative, length(quote) - length(replace(quote, chr(10), '')) AS n, string_split(content, quote)[1] AS head FROM q JOIN files USING (relative) WHERE contains(quote, chr(10)) AND contains(content, quote))"
+    " SELECT ord, relative, arg_min(ln, off * 1000000 + ln)::INT AS start_line, arg_min(ln, off * 1000000 + ln)::INT AS end_line, arg_min(col, off * 1000000 + ln)::INT AS start_column FROM c GROUP BY ord, relative"
+    " UNION ALL SELECT ord, relative, (length(head) - length(replace(head, chr(10), '')) + 1)::INT, (length(head) - length(replace(head, chr(10), '')) + 1 + n)::INT, CAST(NULL AS INT) FROM m",
     issues=_QUOTES, files=_CONTENT,
 )
 def anchor_nearest(spark, issues, files):
@@ -350,10 +409,117 @@ _TERMS = ["the", "tion", "der", "que"]
 
 
 @_query(
-    f"d AS (SELECT relative AS path, list_filter(string_split_regex(lower(relative || ' ' || substr(content, 1, 80000)), '[^a-z0-9]+'), lambda x: x <> '') AS ts FROM files WHERE trim(content) <> ''), q AS (SELECT unnest([{', '.join(repr(t) for t in _TERMS)}]) AS term), tf AS (SELECT path, term, len(list_filter(ts, lambda x: x = term)) AS tf, len(ts) AS len FROM d CROSS JOIN q), n AS (SELECT term, count(*) AS df FROM tf WHERE tf > 0 GROUP BY 1), a AS (SELECT count(*) AS n_docs, avg(len(ts)) AS av FROM d)"
+    f"d AS (SELECT relative AS path, list_filter(string_split_regex(lower(relative || ' ' || content), '[^a-z0-9]+'), lambda x: x <> '') AS ts FROM files WHERE trim(content) <> ''), q AS (SELECT unnest([{', '.join(repr(t) for t in _TERMS)}]) AS term), tf AS (SELECT path, term, len(list_filter(ts, lambda x: x = term)) AS tf, len(ts) AS len FROM d CROSS JOIN q), n AS (SELECT term, count(*) AS df FROM tf WHERE tf > 0 GROUP BY 1), a AS (SELECT count(*) AS n_docs, avg(len(ts)) AS av FROM d)"
     " SELECT path, round(-sum(greatest(ln((n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6::DOUBLE) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / av))), 6) AS score FROM tf JOIN n USING (term) CROSS JOIN a WHERE tf > 0 GROUP BY 1 ORDER BY 2, 1 LIMIT 20",
     files=_CONTENT,
 )
 def bm25_topk(spark, files):
-    p, d = search.build(files, cap=None)
+    p, d = search.build(files, cap=None, only=_TERMS)
     return search.query(p, d, [[t] for t in _TERMS], 20).select("path", F.round("score", 6).alias("score"))
+
+
+@_query(files=_CONTENT)
+def porter_bm25(spark, files):
+    """Stemmed terms and a phrase; tests hold the search against another engine's."""
+    terms = [[search.porter(w) for w in t] for t in (["the"], ["ation"], ["the", "and"], ["and", "the"])]
+    p, d = search.build(files, stem=True, cap=None, only=sorted({w for t in terms for w in t}))
+    return search.query(p, d, terms, 20).select("path", F.round("score", 6).alias("score"))
+
+
+_PACKAGES = "SELECT * FROM (VALUES (1, 'the', 'osv'), (2, 'left-pad', 'trivy'), (3, 'der', 'osv'), (4, 'no_such_pkg', 'osv'), (5, 'the', 'semgrep'), (6, CAST(NULL AS VARCHAR(40)), 'osv'), (7, 'que', 'trivy'), (8, 'zz-top', 'trivy'), (9, ' una ', 'osv')) AS t(ord, packageName, category)"
+_SOURCES = "SELECT concat(CASE WHEN doc_id % 5 = 0 THEN 'dist/f' ELSE 'src/f' END, CAST(doc_id AS VARCHAR(20)), CASE WHEN doc_id % 3 = 0 THEN '.png' ELSE '.py' END) AS relative, concat(coalesce(text, ''), CASE WHEN doc_id = 7 THEN concat(chr(10), 'import zz_top') ELSE '' END) AS content FROM {documents}"
+
+
+@_query(
+    r"f AS (SELECT content FROM files WHERE starts_with(relative, 'src/') AND ends_with(relative, '.py')), n AS (SELECT ord, trim(packageName) AS p, category IN ('osv', 'trivy') AND coalesce(trim(packageName), '') <> '' AS wanted FROM issues)"
+    r" SELECT ord, CASE WHEN wanted THEN CASE WHEN EXISTS (SELECT 1 FROM f WHERE regexp_matches(content, '\b(import|from)\s+' || replace(p, '-', '_') || '\b|\b' || p || '\b')) THEN 'referenced_in_source' ELSE 'no_reference_found' END END AS usageHint FROM n",
+    issues=_PACKAGES, files=_SOURCES,
+)
+def usage_hints(spark, issues, files):
+    return anchors.usage_hints(issues, files, max_files=None).select("ord", "usageHint")
+
+
+_CODE = "SELECT concat('f', CAST(doc_id AS VARCHAR(20)), CASE WHEN doc_id % 2 = 0 THEN '.ts' ELSE '.go' END) AS relative, replace(replace(coalesce(text, ''), ' the ', concat(chr(10), 'export async function ')), ' of ', concat(chr(10), '  class ')) AS content FROM {documents}"
+
+
+@_query(
+    r"l AS (SELECT relative, unnest(string_split(content, chr(10))) AS t, generate_subscripts(string_split(content, chr(10)), 1) AS ln FROM files), s AS (SELECT *, regexp_extract(t, '^\s*(?:export\s+)?(?:async\s+)?(?:function|def|class|fn|func)\s+([A-Za-z_][\p{L}\p{N}_]*)', 1) AS name FROM l)"
+    " SELECT relative, CASE WHEN contains(split_part(t, '(', 1), 'class') THEN 'class' ELSE 'function' END AS kind, name, ln::INT AS start_line, ln::INT AS end_line FROM s WHERE name <> '' QUALIFY row_number() OVER (PARTITION BY relative ORDER BY ln) <= 48",
+    files=_CODE,
+)
+def symbols_outline(spark, files):
+    return symbols.symbols(files).drop("n_symbols")
+
+
+# ---- scanner reports, model output, documents ----
+
+_OSV = """SELECT concat('{"results":[{"source":{"path":"lock', CAST(p_partkey % 7 AS VARCHAR(20)), '"},"packages":[{"package":{"name":"pkg', CAST(p_partkey AS VARCHAR(20)), '"},"vulnerabilities":[{"id":"CVE-2024-', CAST(p_partkey AS VARCHAR(20)), '","summary":"', p_type, '"},{"id":"","summary":null}]}]},{"packages":[]}]}') AS json, p_partkey AS k, p_type FROM {part}"""
+
+
+@_query(
+    "a AS (SELECT 'lock' || (k % 7) AS file, 'pkg' || k AS packageName, 'CVE-2024-' || k AS advisoryId, p_type AS explanation FROM raw UNION ALL SELECT 'lock' || (k % 7), 'pkg' || k, 'CVE', 'CVE' FROM raw) SELECT 'HIGH' AS severity, 'P1' AS priority, 'osv' AS category, file, 1 AS line, advisoryId || ' in ' || packageName AS title, explanation, packageName, advisoryId FROM a",
+    raw=_OSV,
+)
+def osv_explode(spark, raw):
+    return scanners.osv(raw).drop("installedVersion", "fixedVersion")
+
+
+_TRIVY = """SELECT concat('{"Results":[{"Target":"t', CAST(p_partkey AS VARCHAR(20)), '","Vulnerabilities":[{"VulnerabilityID":"CVE-2023-', CAST(p_partkey AS VARCHAR(20)), '","PkgName":"', p_brand, '","Title":"', p_type, '","InstalledVersion":" 1.0 ","FixedVersion":"","Severity":"', CASE p_partkey % 5 WHEN 0 THEN 'critical' WHEN 1 THEN ' Error ' WHEN 2 THEN 'NEGLIGIBLE' WHEN 3 THEN 'moderate' ELSE 'odd' END, '"}],"Misconfigurations":[{"ID":"","AvdID":"AVD-', CAST(p_partkey AS VARCHAR(20)), '","Title":"bad","Description":"","Severity":"low","PrimaryURL":"http://u","CauseMetadata":{"StartLine":', CAST(p_partkey % 9 AS VARCHAR(20)), '}}]},{"Target":"none"}]}') AS json, p_partkey AS k, p_brand, p_type FROM {part}"""
+
+
+@_query(
+    "SELECT CASE k % 5 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'LOW' ELSE 'MEDIUM' END AS severity, 'P1' AS priority, 'trivy' AS category, 't' || k AS file, 1 AS line, 'CVE-2023-' || k || ' in ' || p_brand || ': ' || p_type AS title, p_type AS explanation, p_brand AS packageName, '1.0' AS installedVersion, CAST(NULL AS VARCHAR) AS fixedVersion, 'CVE-2023-' || k AS advisoryId FROM raw"
+    " UNION ALL SELECT 'LOW', 'P1', 'trivy', 't' || k, greatest(1, k % 9)::INT, 'AVD-' || k || ': bad', 'bad' || chr(10) || 'http://u', NULL, NULL, NULL, NULL FROM raw",
+    raw=_TRIVY,
+)
+def trivy_explode(spark, raw):
+    return scanners.trivy(raw)
+
+
+_SBOM = """SELECT concat('{"components":[{"name":"n","version":"1","licenses":[{"license":{"id":"MIT-', CAST(p_partkey % 50 AS VARCHAR(20)), '","name":""}},{"expression":"GPL-3.0 OR X', CAST(p_partkey % 3 AS VARCHAR(20)), '"},{"license":{"id":"","name":"named"}}]},{"name":"bare"}]}') AS json, p_partkey AS k FROM {part}"""
+
+
+@_query("SELECT DISTINCT 'MIT-' || (k % 50) AS license FROM raw UNION SELECT DISTINCT 'GPL-3.0 OR X' || (k % 3) FROM raw UNION SELECT DISTINCT 'named' FROM raw ORDER BY 1 LIMIT 80", raw=_SBOM)
+def license_ids(spark, raw):
+    return scanners.license_ids(scanners.licenses(raw))
+
+
+@_query("SELECT 2 * count(*) AS n_components, count(DISTINCT k) > 0 AS any_licensed, count(*) AS n_copyleft, '' AS gap FROM raw", raw=_SBOM)
+def supply_chain_block(spark, raw):
+    return scanners.supply_chain(raw).select("n_components", (F.col("n_licensed") > 0).alias("any_licensed"), "n_copyleft", "gap")
+
+
+_OUTPUT = """SELECT o_orderkey AS k, concat(CASE WHEN o_orderkey % 7 = 0 THEN 'Here it is: ' ELSE '' END, '{"confidence":"72%","findings":[{"', CASE WHEN o_orderkey % 2 = 0 THEN 'title' ELSE 'summary' END, '":" T', CAST(o_orderkey AS VARCHAR(20)), ' ","severity":"', CASE o_orderkey % 6 WHEN 0 THEN 'crit' WHEN 1 THEN 'Warn' WHEN 2 THEN 'p1' WHEN 3 THEN 'very low risk' WHEN 4 THEN 'odd' ELSE '' END, '","line":', CASE o_custkey % 6 WHEN 0 THEN '7' WHEN 1 THEN '"L12"' WHEN 2 THEN 'true' WHEN 3 THEN '3.9' WHEN 4 THEN 'null' ELSE '"none"' END, ',"when":"', CASE o_orderkey % 5 WHEN 0 THEN 'Immediately' WHEN 1 THEN 'soon after' WHEN 2 THEN 'later on' WHEN 3 THEN 'before launch' ELSE '' END, '","path":"f', CAST(o_custkey AS VARCHAR(20)), '.py"},{},{"issue":{"name":"N"}}]}') AS raw, o_custkey AS c FROM {orders}"""
+
+
+@_query(
+    "a AS (SELECT k, 0 AS ord, CASE k % 6 WHEN 0 THEN 'CRITICAL' WHEN 2 THEN 'HIGH' WHEN 3 THEN 'LOW' ELSE 'MEDIUM' END AS severity, CASE c % 6 WHEN 0 THEN 7 WHEN 1 THEN 12 WHEN 3 THEN 3 ELSE 1 END AS line, CASE k % 5 WHEN 0 THEN 'immediately' WHEN 1 THEN 'after launch' WHEN 2 THEN 'if time permits' ELSE 'before launch' END AS fixTiming, 'T' || k AS title, 'f' || c || '.py' AS file FROM raw"
+    " UNION ALL SELECT k, 2, 'MEDIUM', 1, 'before launch', 'N', '(unspecified)' FROM raw) SELECT k, ord, severity, CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN 'P1' WHEN severity = 'MEDIUM' THEN 'P2' ELSE 'P3' END AS priority, line, fixTiming, title, title AS explanation, file FROM a",
+    raw=_OUTPUT,
+)
+def llm_issue_coercion(spark, raw):
+    got = coerce.issues(coerce.reports(coerce.parse(raw)), "k")
+    return got.select("k", "ord", "severity", "priority", "line", "fixTiming", "title", "explanation", "file")
+
+
+@_query("SELECT 72 AS confidence, k % 7 <> 0 AS strict, count(*) AS n, sum(3)::BIGINT AS n_issues FROM raw GROUP BY 2", raw=_OUTPUT)
+def llm_report_coercion(spark, raw):
+    d = coerce.reports(coerce.parse(raw))
+    return d.groupBy("confidence", "strict").agg(F.count("*").alias("n"), F.sum(F.size("issues")).alias("n_issues"))
+
+
+@_query(
+    "SELECT ord, CASE WHEN cwe IS NOT NULL THEN cwe ELSE 'tidewrack/' || lower(category) END AS ruleId, CASE severity WHEN 'CRITICAL' THEN 'error' WHEN 'HIGH' THEN 'error' WHEN 'MEDIUM' THEN 'warning' ELSE 'note' END AS level, ltrim(file, './') AS uri, line AS start_line, title || ': ' || explanation AS message FROM issues WHERE locationVerified",
+    issues=V.ISSUES,
+)
+def sarif_rows(spark, issues):
+    at = lambda path: F.get_json_object("result", path)
+    place = "$.locations[0].physicalLocation"
+    return sinks.sarif_rows(issues).select("ord", "ruleId", at("$.level").alias("level"), at(f"{place}.artifactLocation.uri").alias("uri"), at(f"{place}.region.startLine").cast("int").alias("start_line"), at("$.message.text").alias("message"))
+
+
+@_query("SELECT CAST(ord AS VARCHAR) AS path, severity, title, file, line, category, impact, recommendedFix, explanation, CASE WHEN trim(codeExample) = '' THEN '' ELSE codeExample END AS codeExample FROM issues", issues=V.ISSUES)
+def markdown_roundtrip(spark, issues):
+    """Every finding written as its block of a report and read back."""
+    blocks = sinks.markdown_blocks(issues).select(F.col("ord").cast("string").alias("path"), F.col("block").alias("text"))
+    return report_rules.markdown_issues(blocks).select("path", "severity", "title", "file", "line", "category", "impact", "recommendedFix", "explanation", "codeExample")

@@ -21,12 +21,17 @@ def conform_schema(df: DataFrame, lane: int) -> DataFrame:
 def numbered(parts: list[DataFrame]) -> DataFrame:
     """The union of the lanes with ord: (lane, file, line, category, title).
 
-    One report's findings; their number is bounded by the inventory's cap.
+    Rows are numbered within their file; only the files' counts are summed up in one place.
     """
     all_ = conform_schema(parts[0], 0)
     for k, p in enumerate(parts[1:], 1):
         all_ = all_.unionByName(conform_schema(p, k))
-    return all_.withColumn("ord", F.row_number().over(Window.orderBy("lane", "file", "line", "category", "title")).cast("long")).drop("lane")
+    own = Window.partitionBy("lane", "file").orderBy("line", "category", "title", *[c for c in FIELDS if c not in ("file", "line", "category", "title")])
+    before = Window.orderBy("n_lane", "n_file").rowsBetween(Window.unboundedPreceding, -1)
+    counts = all_.groupBy(F.col("lane").alias("n_lane"), F.col("file").alias("n_file")).agg(F.count("*").alias("n"))
+    counts = counts.withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    j = all_.withColumn("nth", F.row_number().over(own)).join(counts, (F.col("lane") == F.col("n_lane")) & F.col("file").eqNullSafe(F.col("n_file")))
+    return j.withColumn("ord", (F.col("below") + F.col("nth")).cast("long")).drop("lane", "n_lane", "n_file", "n", "below", "nth")
 
 
 def conform(issues: DataFrame, files: DataFrame, rules: DataFrame, feedback: DataFrame, today: str) -> DataFrame:

@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -37,4 +39,5 @@ NOTES = "SELECT * FROM (VALUES (1, 'coverage:sec.xss_csrf: N/A - no html surface
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A mapping over the tables of a folder."""
     names = ("documents", "orders", "part", "events", "pages", "customer", "lineitem")
-    return spark.sql(sql.format(**{n: f"parquet.`{sf_dir}/{n}.parquet`" for n in names}).replace("VARCHAR(20)", "STRING").replace("VARCHAR(40)", "STRING"))
+    sql = re.sub(rf"{{({'|'.join(names)})}}", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", sql)
+    return spark.sql(sql.replace("VARCHAR(20)", "STRING").replace("VARCHAR(40)", "STRING"))

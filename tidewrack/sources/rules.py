@@ -50,7 +50,7 @@ def latest(listing: DataFrame) -> DataFrame:
 
 def markdown_issues(texts: DataFrame) -> DataFrame:
     """path, ord and fields of findings in Markdown reports: `### [SEVERITY] title` heads, `- **Field:** value` lines, a fenced example."""
-    blocks = F.slice(F.split("text", r"(?m)^(?=### \[)"), 2, 1_000_000)
+    blocks = F.filter(F.split("text", r"(?m)^(?=### \[)"), lambda x: x.startswith("### ["))
     b = texts.select("path", F.posexplode(blocks).alias("ord", "b")).withColumn("b", F.element_at(F.split("b", r"(?m)^## "), 1))
     field = lambda name: F.trim(F.regexp_extract("b", rf"(?m)^- \*\*{name}:\*\*[ \t]*(.*)$", 1))
     b = b.withColumn("severity", F.regexp_extract("b", r"^### \[([A-Za-z]+)\]", 1)).withColumn("place", field("File"))

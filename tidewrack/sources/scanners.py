@@ -110,6 +110,18 @@ def run(reports: DataFrame, tools) -> tuple[DataFrame, DataFrame]:
     return found, runs
 
 
+def gaps(runs: DataFrame) -> DataFrame:
+    """tool, gap of scanners that were skipped or failed. runs: tool, status, detail."""
+    failed = F.concat(F.lit("scanner:"), "tool", F.lit(" failed: "), F.coalesce("detail", F.lit("")))
+    gap = F.when(F.col("status") == "skipped", F.concat(F.lit("scanner:"), "tool", F.lit(" missing: install it by hand"))).when(F.col("status") == "failed", failed)
+    return runs.select("tool", gap.alias("gap")).where("gap is not null")
+
+
+def missing_required(tools: DataFrame, runs: DataFrame) -> DataFrame:
+    """Tools (tool) that were asked for and were skipped."""
+    return tools.join(runs.where("status = 'skipped'").select("tool").distinct(), "tool", "left_semi")
+
+
 COPYLEFT = ("GPL", "AGPL", "LGPL", "SSPL", "OSL", "CPAL", "EUPL")
 
 
@@ -123,3 +135,19 @@ def licenses(raw: DataFrame) -> DataFrame:
 
 def license_ids(lic: DataFrame, cap: int = 80) -> DataFrame:
     return lic.select("license").distinct().orderBy("license").limit(cap)
+
+
+def license_notes(lic: DataFrame, cap: int = 40) -> DataFrame:
+    """ord, note of the first licences in document order, copyleft ones marked."""
+    mark = F.when(F.col("copyleft"), F.lit(" (copyleft)")).otherwise("")
+    return lic.orderBy("ord", "license").limit(cap).select("ord", F.concat("component", F.lit(": "), "license", mark).alias("note"))
+
+
+def supply_chain(raw: DataFrame) -> DataFrame:
+    """One row for an SBOM's text: n_components, n_licensed, n_copyleft, license_ids, gap (a note where there is no document)."""
+    known = F.try_parse_json("json").isNotNull()
+    n = raw.agg(F.coalesce(F.sum(F.when(known, F.size(F.coalesce(F.from_json("json", "struct<components:array<struct<name:string>>>")["components"], F.array().cast("array<struct<name:string>>"))))), F.lit(0)).alias("n_components"), F.coalesce(F.bool_or(known), F.lit(False)).alias("known"))
+    lic = licenses(raw)
+    l = lic.agg(F.count_distinct("ord").alias("n_licensed"), F.count_if("copyleft").alias("n_copyleft"))  # noqa: E741
+    ids = license_ids(lic).agg(F.array_sort(F.collect_set("license")).alias("license_ids"))
+    return n.join(l).join(ids).select("n_components", "n_licensed", "n_copyleft", "license_ids", F.when(~F.col("known"), "sbom: no document").otherwise("").alias("gap"))
