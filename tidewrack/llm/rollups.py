@@ -1,12 +1,15 @@
 """Token counts as delta-maintained rollups.
 
-A store is a folder of committed batches. A batch holds signed deltas, summed by (source, lang, tokenizer_version); it is
-written under its id in one atomic step and only counts once Spark's success marker is there, so a batch that is committed
-again, by a retry or by mistake, changes nothing. Totals are sums over committed batches: additive, in any order.
+A store is a folder of committed batches and of the totals that they have been added to. A batch holds signed deltas, summed
+by (source, lang, tokenizer_version). It is written aside and then named by one rename, under a claim that only one writer
+of its id gets, so that a batch that is committed again, by a retry or by mistake, changes nothing. A commit then adds the
+batch to the last totals and writes them as new ones, with the list of batches that they hold; a batch that they don't hold
+(its writer was lost, or another commit was faster) is added when totals are read, and by the next commit.
 
 A delta is (source, lang, tokenizer_version, n_tokens, sign): +1 inserts a document's count, -1 takes it back; a revised
 count is both. Null source and lang are groups of their own. Groups whose documents and tokens are all taken back don't
-appear. An empty batch commits and adds nothing; extra columns of documents play no part; a null text has 0 tokens.
+appear. An empty batch commits and adds nothing; extra columns of documents play no part; a null text has 0 tokens; an empty
+table of documents has no counts; a batch's id may hold any characters.
 """
 
 from __future__ import annotations
@@ -25,33 +28,88 @@ _SCHEMA = "source string, lang string, tokenizer_version string, n_docs long, n_
 
 
 class RollupStore:
+    """Folders: batches/<id>, totals/<number>/sums and /holds (batch), aside/ for what isn't finished, claims/<id>."""
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        self.fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+
+    def _names(self, name: str) -> list[str]:
+        return sorted(s.getPath().getName() for s in self.fs.listStatus(self._path(name))) if self.fs.exists(self._path(name)) else []
 
-    def _fs(self, name: str):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+    def _settle(self, aside: str, name: str) -> bool:
+        """Give what was written aside its name; False if there is something of this name."""
+        if self.fs.exists(self._path(name)):
+            return False
+        self.fs.mkdirs(self._path(name.rpartition("/")[0]))
+        return self.fs.rename(self._path(aside), self._path(name))
 
     def committed(self, batch: str) -> bool:
-        fs, path = self._fs(f"{self.folder}/batch={batch}/_SUCCESS")
-        return fs.exists(path)
+        return self.fs.exists(self._path(f"batches/{_name(batch)}"))
 
     def commit(self, batch: str, deltas: DataFrame) -> bool:
         """Add a batch; False if one of this id is there already, and nothing changes then."""
         if self.committed(batch):
             return False
+        aside = f"aside/{uuid.uuid4().hex}"
         sums = deltas.groupBy(*KEYS).agg(F.sum("sign").cast("long").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).cast("long").alias("n_tokens"))
-        sums.write.mode("overwrite").parquet(f"{self.folder}/batch={batch}")
-        return True
+        sums.write.parquet(f"{self.folder}/{aside}")
+        # of writers at one time the first to claim goes on; a claim whose writer was lost is taken over by a later call
+        first = self.fs.createNewFile(self._path(f"claims/{_name(batch)}"))
+        done = (first or not self.committed(batch)) and self._settle(aside, f"batches/{_name(batch)}")
+        if done:
+            self.add_up()
+        self.fs.delete(self._path(aside), True)
+        return done
+
+    def _last(self) -> tuple[int, DataFrame | None, set[str]]:
+        """Number of the last totals (0: none), their sums, and the batches that they hold."""
+        numbers = [int(n) for n in self._names("totals")]
+        if not numbers:
+            return 0, None, set()
+        at = f"{self.folder}/totals/{max(numbers)}"
+        holds = {r["batch"] for r in self.spark.read.schema("batch string").parquet(f"{at}/holds").collect()}
+        return max(numbers), self.spark.read.schema(_SCHEMA).parquet(f"{at}/sums"), holds
+
+    def _current(self) -> tuple[int, DataFrame, list[str], int]:
+        """Number of the last totals, sums with the batches beyond them, names of all batches, and how many are beyond."""
+        number, sums, holds = self._last()
+        names = self._names("batches")
+        new = [n for n in names if n not in holds]
+        parts = [d for d in (sums, self.spark.read.schema(_SCHEMA).parquet(*[f"{self.folder}/batches/{n}" for n in new]) if new else None) if d is not None]
+        all_ = parts[0] if parts else self.spark.createDataFrame([], _SCHEMA)
+        for d in parts[1:]:
+            all_ = all_.unionAll(d)
+        if new:
+            all_ = all_.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        return number, all_, names, len(new)
+
+    def add_up(self) -> None:
+        """Write new totals that hold all batches; the last ones but one go."""
+        number, sums, names, new = self._current()
+        if not new:
+            return
+        aside = f"aside/{uuid.uuid4().hex}"
+        sums.write.parquet(f"{self.folder}/{aside}/sums")
+        self.spark.createDataFrame([(n,) for n in names], "batch string").coalesce(1).write.parquet(f"{self.folder}/{aside}/holds")
+        if not self._settle(aside, f"totals/{number + 1}"):
+            self.fs.delete(self._path(aside), True)
+        for n in self._names("totals"):
+            if int(n) < number:
+                self.fs.delete(self._path(f"totals/{n}"), True)
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer_version, n_docs, n_tokens over all committed batches."""
-        fs, path = self._fs(self.folder)
-        names = [s.getPath().toString() for s in fs.listStatus(path)] if fs.exists(path) else []
-        done = [n for n in names if self._fs(f"{n}/_SUCCESS")[0].exists(self._fs(f"{n}/_SUCCESS")[1])]
-        all_ = self.spark.read.schema(_SCHEMA).parquet(*done) if done else self.spark.createDataFrame([], _SCHEMA)
-        sums = all_.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        return sums.where("n_docs <> 0 or n_tokens <> 0")
+        return self._current()[1].where("n_docs <> 0 or n_tokens <> 0")
+
+
+def _name(batch: str) -> str:
+    """A batch's id as a file name: letters, digits and hyphens as they are, else by code."""
+    return "b" + "".join(c if c.isascii() and (c.isalnum() or c == "-") else f"_{ord(c):x}_" for c in batch)
 
 
 def vocabulary(version: str) -> str:
