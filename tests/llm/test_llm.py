@@ -191,6 +191,14 @@ def test_url_rules(spark, monkeypatch):
         monkeypatch.setattr(urls, "MAX_BLOCKS", blocks)
         got = [(r.page_id, r.host, r.path, r.entry if r.kind == "rule" else None, r.verdict or "allow") for r in urls.judge(pages, urls.entries(spark)).collect()]
         assert sorted(got, key=str) == sorted([(i if i else None, *brute_url(u)) for i, u in enumerate(us)], key=str)
+    long = spark.createDataFrame([(1, "http://m.casino-win.example.org/" + "x" * 100_000), (1, "http://tionble.example.org/de/2146#top"), (2, "http://tionble.example.org/de/2147"), (3, "http://site17.example.org/de/1017?x"), (4, "http://a.site17.example.org/de/1017")], "page_id long, url string")
+    listed = urls.entries(spark).unionByName(urls.listed_pages(spark, 3000))
+    assert [r.kind for r in urls.judge(long, listed).orderBy("url").collect()] == [None, "site", "page", "page", None]
+    many = spark.range(4000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), "id", F.lit(".example.org/de/"), "id").alias("url"))
+    n = urls.false_positives(many, listed).first()
+    # 16 bits an entry and 4 probes: about one key in a few hundred passes, and each URL has four or more
+    assert n.n_hits == n.n_false and 0 < n.n_false < 400
+    assert urls.false_positives(long, listed).first().n_hits >= 3
     page = spark.createDataFrame([("a.net", "/de/", "block", "page")], "host string, path string, verdict string, kind string")
     assert [r.url for r in urls.judge(pages, page).where("verdict = 'block'").collect()] == ["http://a.net/de/"]
     assert urls.judge(pages, page.where("false")).where("verdict is not null").count() == 0
@@ -289,6 +297,56 @@ def test_rollups_are_idempotent_and_signed(spark, tmp_path):
     assert sorted(map(tuple, store.totals().collect())) == [("a", "en", "v1", 1, 7), ("a", "en", "v2", 1, 6)]
 
 
+def test_rollups_keep_totals(spark, tmp_path):
+    store = rollups.RollupStore(spark, f"file://{tmp_path}/r")
+    d = lambda n, sign=1: spark.createDataFrame([("a", "en", "v1", n, sign)], "source string, lang string, tokenizer_version string, n_tokens long, sign int")
+    ids = ["x/../y", "x", "é %2F", "_", "b", ""]
+    for k, batch in enumerate(ids):
+        assert store.commit(batch, d(10 + k)) and not store.commit(batch, d(99))
+    assert tuple(store.totals().first()) == ("a", "en", "v1", 6, 75)
+    assert store._last()[0] == 6 and len(store._names("totals")) == 2 and store._names("aside") == []
+    # a batch whose writer was lost before it was added up counts at once, and is added by the next commit
+    late = rollups.RollupStore(spark, f"file://{tmp_path}/r")
+    late.add_up = lambda: None
+    assert late.commit("late", d(5))
+    assert tuple(store.totals().first())[3:] == (7, 80) and len(store._last()[2]) == 6
+    assert store.commit("next", d(75, -1)) and len(store._last()[2]) == 8 and tuple(store.totals().first())[3:] == (6, 5)
+    # a claim whose writer was lost is taken over
+    store.fs.createNewFile(store._path(f"claims/{rollups._name('lost')}"))
+    assert store.commit("lost", d(1)) and tuple(store.totals().first())[3:] == (7, 6)
+
+
+def test_token_counts_query(spark, tmp_path):
+    """The registered query against sums of the tokenizers' counts."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    def encoding(name):
+        with open(rollups.vocabulary(name), "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    ts = texts(16, 12)
+    frame(spark, ts).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(1, 1, 0), (1, 0, 1), (4, 1, 0), (7, 1, None), (10, 0, 0), (13, 0, 1), (16, 1, 0), (16, 1, 0), (None, 1, 0), (9999, 1, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    one, two, want = encoding("byte_bpe_50k"), encoding("byte_bpe_multi_50k"), collections.Counter()
+    for i, t in enumerate(ts):
+        k, group = i * 3 + 1, ([None, "b", "a", "c"][i % 4], "en" if i % 2 else "fr")
+        if k in (1, 13):
+            continue
+        name, e = ("byte_bpe_multi_50k", two) if k in (4, 7, 16) else ("byte_bpe_50k", one)
+        want[*group, name, "docs"] += 1
+        want[*group, name, "tokens"] += len(e.encode_ordinary(t or ""))
+    got = {}
+    for r in rollups.op5_token_counts(spark, str(tmp_path)).collect():
+        got |= {(r.source, r.lang, r.tokenizer_version, "docs"): r.n_docs, (r.source, r.lang, r.tokenizer_version, "tokens"): r.n_tokens}
+    assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
+    assert rollups.count_tokens(empty(spark), "byte_bpe_50k").count() == 0
+
+
 def test_count_tokens(spark):
     import base64
 
@@ -442,10 +500,23 @@ def test_language_id(spark):
     x = langid.to_windows(rows[0][1].encode())
     z = model._softmax(np.maximum(model._pooled(x)[0], 0) @ model.dense + model.offset)
     assert np.allclose(z, model.probabilities(x), atol=1e-4)
+    assert langid.identify(empty(spark), model).count() == 0
+    long = frame(spark, ["the ing and " * 100_000, "", "9 9"])  # columns that clash play no part
+    assert [(r.lang_pred, r.score > 0.5) for r in langid.identify(long, model).orderBy("doc_id").collect()] == [("aa", True), ("und", False), ("und", False)]
     none = langid.fit(docs.where("lang = 'zz'"))
     assert {x.lang_pred for x in langid.identify(docs, none).collect()} == {"und"}
 
 
+def test_language_id_on_held_out_documents(spark):
+    path = "/root/testdata/sf0.01"
+    if not os.path.exists(path):
+        pytest.skip("the driver's tables are not here")
+    lang = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "lang").where("lang is not null")
+    got = langid.op8_language_id(spark, path).where("held_out and lang_pred <> 'und'").join(lang, "doc_id")
+    each = {r.lang: r.share for r in got.groupBy("lang").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("share")).collect()}
+    assert min(each.values()) >= 0.95 and got.where("lang = lang_pred").count() >= 0.98 * got.count()
+
+
 # ---- personal data ----
 
 
@@ -534,6 +605,21 @@ def test_near_duplicates(spark, monkeypatch, side):
     assert got == brute_near(ids, ts)
 
 
+def test_near_duplicates_of_large_sets(spark):
+    """Pairs over 256 shingles on both sides of the bound, against brute force: none of the similar ones is lost."""
+    r, ts = random.Random(17), []
+    for k in range(60):
+        w = [f"{k}x{r.randint(0, 10**6)}" for _ in range(r.choice([400, 700, 1500]))]
+        other = list(w)
+        for _ in range(int(len(w) * r.uniform(0.01, 0.05))):  # a changed word changes five shingles
+            other[r.randrange(len(w))] = f"y{r.randint(0, 10**6)}"
+        ts += [" ".join(w), " ".join(other)]
+    ids = [i * 3 + 1 for i in range(len(ts))]
+    want = brute_near(ids, ts)
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in near.near_duplicates(frame(spark, ts)).collect()}
+    assert got == want and 15 < sum(not x[2] for x in want.values()) < 60
+
+
 def test_near_duplicates_edges(spark):
     assert near.near_duplicates(empty(spark)).count() == 0
     got = near.near_duplicates(frame(spark, ["a b c", "a b c", "a b c"], [None, 2, 2])).collect()
