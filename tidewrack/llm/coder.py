@@ -233,6 +233,11 @@ def _lens(n: int) -> np.ndarray:
     return np.array([BLOCK] * (n // BLOCK) + [n % BLOCK] * (n % BLOCK > 0), np.int64)
 
 
+def _lanes(blocks: int) -> int:
+    """Blocks coded at once: as even parts as there must be."""
+    return max(1, -(-blocks // max(1, -(-blocks // LANES))))
+
+
 def encode(ids: np.ndarray) -> bytes:
     """A frame of the ids (integers below 65,536)."""
     if len(ids) and (int(ids.max()) > 65535 or int(ids.min()) < 0):
@@ -243,17 +248,18 @@ def encode(ids: np.ndarray) -> bytes:
     code = code_lengths(counts[known]) if len(known) else np.zeros(0, np.uint8)
     head = zlib.compress(known.astype("<u2").tobytes() + code.tobytes(), 9)
     tree, parts, steps = _Tree(known, code), [b""] * len(lens), np.zeros(len(lens), np.int64)
-    for k in range(0, len(lens), LANES):
-        part = lens[k : k + LANES]
+    lanes = _lanes(len(lens))
+    for k in range(0, len(lens), lanes):
+        part = lens[k : k + lanes]
         grid = np.zeros((len(part), BLOCK), np.uint16)
         flat = ids[k * BLOCK : k * BLOCK + int(part.sum())]
         grid.reshape(-1)[: len(flat)] = flat
         n = tree.len[grid]
         n[np.arange(BLOCK) >= part[:, None]] = 0
-        steps[k : k + LANES] = n.sum(axis=1)
-        order = np.argsort(-steps[k : k + LANES], kind="stable")
+        steps[k : k + lanes] = n.sum(axis=1)
+        order = np.argsort(-steps[k : k + lanes], kind="stable")
         coder = _Encoder(len(part))
-        _run(coder, tree, steps[k : k + LANES][order], part[order], np.ascontiguousarray(grid[order].T))
+        _run(coder, tree, steps[k : k + lanes][order], part[order], np.ascontiguousarray(grid[order].T))
         for i, b in zip((k + order).tolist(), coder.end(), strict=True):
             parts[i] = b
     crcs = [zlib.crc32(ids[k : k + BLOCK].astype("<u2").tobytes()) for k in range(0, len(ids), BLOCK)]
@@ -280,8 +286,9 @@ def decode(frame: bytes) -> np.ndarray:
     if at[-1] != len(frame) or (len(table) and table[:, 1].max() > BLOCK * DEEPEST):
         raise ValueError("the frame's length is wrong")
     out: list[np.ndarray] = []
-    for k in range(0, len(lens), LANES):
-        part, steps = lens[k : k + LANES], table[k : k + LANES, 1]
+    lanes = _lanes(len(lens))
+    for k in range(0, len(lens), lanes):
+        part, steps = lens[k : k + lanes], table[k : k + lanes, 1]
         order = np.argsort(-steps, kind="stable")
         grid = _run(_Decoder([frame[at[i] : at[i + 1]] for i in (k + order).tolist()]), tree, steps[order], part[order], None)
         rows = np.empty((len(part), BLOCK + 1), np.uint16)
