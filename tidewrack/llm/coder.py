@@ -23,7 +23,7 @@ import zlib
 
 import numpy as np
 
-BLOCK, LANES = 1024, 2048
+BLOCK, LANES = 2048, 4096
 MAGIC, VERSION, HEAD = b"TWCM", 3, struct.Struct("<4sBxxxQII")
 #: Slots of the predictions of each order; a node and its contexts are mixed by exclusive or.
 SLOTS = 1 << 11

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import coder
 from .common import bounded, lean, shared_dir, ship, table
 
-END, FRAME, CACHE = 1, 4 * coder.BLOCK * coder.LANES, 700_000
+END, FRAME, CACHE = 1, coder.BLOCK * coder.LANES, 700_000
 _GAP = re.compile("[ \t\n\r]+")
 _ROW = "shard int, frame int, doc_ids array<long>, lens array<long>, n_ids long, data binary"
 
