@@ -26,7 +26,7 @@ import numpy as np
 BLOCK, LANES = 2048, 4096
 MAGIC, VERSION, HEAD = b"TWCM", 3, struct.Struct("<4sBxxxQII")
 #: Slots of the predictions of each order; a node and its contexts are mixed by exclusive or.
-SLOTS = 1 << 11
+SLOTS = 1 << 10
 #: Longest code, and steps after which the room for output is looked at.
 DEEPEST, ROOM = 30, 256
 _WORD, _LOW32 = np.uint64(1 << 32), np.uint64((1 << 32) - 1)
