@@ -329,6 +329,21 @@ def clamp(c: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(100), c))
 
 
+def stamp(when: Column) -> Column:
+    """Part of a report's file name: the UTC minute."""
+    return F.date_format(when, "yyyy-MM-dd_HHmm")
+
+
+def report_name(mode: Column, when: Column) -> Column:
+    known = F.nullif(F.replace(F.lower(F.trim(mode)), F.lit(" "), F.lit("_")), F.lit(""))
+    return F.concat(F.lit("review_report_"), F.coalesce(known, F.lit("review")), F.lit("_"), stamp(when))
+
+
+def is_safe_rule_id(c: Column) -> Column:
+    """An id that cannot leave the rules' folder."""
+    return F.coalesce((c != "") & ~c.isin(".", "..") & ~c.rlike(r"[/\\]"), F.lit(False))
+
+
 def duration(seconds: Column) -> Column:
     s = seconds.cast("long")
     h, m = F.floor(s / 3600), F.floor(s % 3600 / 60)

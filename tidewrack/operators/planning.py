@@ -132,6 +132,19 @@ def deep_passes(rules: DataFrame, matrix: DataFrame, mode: str, full_audit: bool
     return r.groupBy("band").agg(F.array_sort(F.collect_list("id")).alias("rule_ids")).join(ids, "band", "left")
 
 
+PLAYBOOKS = {"review": (("P1 security", "security"), ("P2 reliability", "reliability"), ("P3 architecture", "architecture")), "sentinel": (("P1 security", "security"),), "architecture": (("P3 architecture", "architecture"),)}
+SCOPED = "Review the architecture of what changed and what depends on it. Give scores only where they are clearly warranted."
+
+
+def playbooks(rules: DataFrame, mode: str, full_audit: bool = False) -> DataFrame:
+    """ord, label, body of a mode's playbooks. A review without a full audit has a scoped text for architecture. rules: id, body."""
+    rows = [(k, label, rule) for k, (label, rule) in enumerate(PLAYBOOKS[mode])]
+    want = rules.sparkSession.createDataFrame(rows, "ord int, label string, id string")
+    scoped = F.lit(mode == "review" and not full_audit) & (F.col("id") == "architecture")
+    j = want.join(rules.select("id", "body"), "id", "left")
+    return j.select("ord", F.when(scoped, F.concat("label", F.lit(" (scoped)"))).otherwise(F.col("label")).alias("label"), F.when(scoped, SCOPED).otherwise(F.col("body")).alias("body"))
+
+
 def rules_with_overlays(defaults: DataFrame, user: DataFrame, project: DataFrame) -> DataFrame:
     """Rules (id, band, enabled, title, body) with a user's, then a project's values over them; unknown ids add nothing."""
     o = lambda d, p: d.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "band", "enabled", "title", "body")])

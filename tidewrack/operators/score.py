@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,12 +60,29 @@ MATRIX = (
 #: Extended ids that categories don't map to (they are found in text only).
 UNMAPPED = ("sec.ssrf", "sec.xxe", "sec.redos", "sec.log_injection", "sec.jwt_tokens", "sec.weak_prng")
 RULE_OF = {"p1": "security", "p2": "reliability", "p3": "architecture"}
+PACKS = ("core", "extended", "meta")
+MATRIX_SCHEMA = "ord int, id string, rule_id string, band string, full_audit_only boolean, pack string"
 MAPPED = tuple(i for _, i, _, pack in MATRIX if pack != "meta" and i not in UNMAPPED)
 
 
 def matrix(spark) -> DataFrame:
     rows = [(k, i, RULE_OF[b], b, full, pack) for k, (b, i, full, pack) in enumerate(MATRIX)]
-    return spark.createDataFrame(rows, "ord int, id string, rule_id string, band string, full_audit_only boolean, pack string")
+    return spark.createDataFrame(rows, MATRIX_SCHEMA)
+
+
+def load_matrix(spark, text: str) -> DataFrame:
+    """A checklist from JSON ({"entries": [...]}), as matrix() gives it; entries that are no objects are skipped, bad ones are an error."""
+    entries, rows = json.loads(text).get("entries", []), []
+    if not isinstance(entries, list):
+        raise ValueError("entries must be a list")
+    for e in (x for x in entries if isinstance(x, dict)):
+        if not (isinstance(e.get("id"), str) and isinstance(e.get("rule_id"), str)):
+            raise ValueError(f"an entry needs id and rule_id: {e!r}")
+        pack = str(e.get("pack", "core")).lower()
+        if pack not in PACKS:
+            raise ValueError(f"{e['id']}: pack must be one of {PACKS}")
+        rows.append((len(rows), e["id"], e["rule_id"], str(e.get("band", "p3")).lower(), bool(e.get("full_audit_only", False)), pack))
+    return spark.createDataFrame(rows, MATRIX_SCHEMA)
 
 
 def theme_of(category: Column) -> Column:

@@ -41,6 +41,15 @@ def build(files: DataFrame, stem: bool = False, cap: int | None = CAP, only: lis
     return t.groupBy("term", "path").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("at")).alias("at")), d.select("path", n.alias("len"))
 
 
+def sync(store, files: DataFrame, diff: DataFrame, **options) -> None:
+    """Bring a store's `postings` and `docs` in step with a fingerprint diff (path, status): only added and changed files are read."""
+    fresh = diff.where("status in ('added', 'changed')").select(F.col("path").alias("relative"))
+    stale = diff.where("status <> 'unchanged'").select("path")
+    for table, new in zip(("postings", "docs"), build(files.join(fresh, "relative", "left_semi"), **options), strict=True):
+        old = store.latest(table)
+        store.replace(table, new if old is None else old.join(stale, "path", "left_anti").unionByName(new))
+
+
 def phrase_frequencies(postings: DataFrame, terms: list[list[str]]) -> DataFrame:
     """q (number of the term in the query), path, tf: occurrences of each term, a phrase of one or more words."""
     spark = postings.sparkSession
