@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import anchors, coerce, findings, heuristics, planning, score, search, sinks, symbols
+from ..operators import anchors, coerce, documents, explain, findings, heuristics, planning, score, search, sinks, symbols
+from ..sources import chunks
 from ..sources import rules as report_rules
 from ..sources import scanners
 from . import views as V
@@ -523,3 +524,54 @@ def markdown_roundtrip(spark, issues):
     """Every finding written as its block of a report and read back."""
     blocks = sinks.markdown_blocks(issues).select(F.col("ord").cast("string").alias("path"), F.col("block").alias("text"))
     return report_rules.markdown_issues(blocks).select("path", "severity", "title", "file", "line", "category", "impact", "recommendedFix", "explanation", "codeExample")
+
+
+# ---- documents, explanations, captured answers ----
+
+
+def _meta(spark):
+    return spark.sql("SELECT 'review' AS mode, TIMESTAMP '2026-01-02 03:04:00' AS generated, 61 AS seconds, 80 AS confidence, 'GO' AS commit_go, 'NO-GO' AS push_go, CAST(NULL AS STRING) AS reused_from, true AS bypassed, false AS skipped")
+
+
+@_query(
+    "SELECT 'Critical ' || count(*) FILTER (severity = 'CRITICAL') || ', High ' || count(*) FILTER (severity = 'HIGH') || ', Medium ' || count(*) FILTER (severity = 'MEDIUM') || ', Low ' || count(*) FILTER (severity = 'LOW') AS block, 0 AS section, 0::BIGINT AS ord FROM issues"
+    " UNION ALL SELECT '#### [' || severity || '] ' || title || chr(10) || '- **Where:** `' || file || ':' || line || '`' || chr(10) || '- **Fix:** fix it' || CASE WHEN codeExample = 'x = 1' THEN chr(10) || '- **Example:**' || chr(10) || chr(10) || '```' || chr(10) || 'x = 1' || chr(10) || '```' ELSE '' END, 1, ord FROM issues WHERE severity IN ('CRITICAL', 'HIGH')",
+    issues=V.ISSUES,
+)
+def pr_summary(spark, issues):
+    """The counts, and the block of every critical or high finding."""
+    d = documents.pr_summary(issues, _meta(spark))
+    counts = F.regexp_extract("block", r"\*\*Counts:\*\* (.*)", 1)
+    return d.where("section < 2 and lane = 1").select(F.when(F.col("section") == 0, counts).otherwise(F.col("block")).alias("block"), "section", "ord")
+
+
+@_query(
+    "n AS (SELECT CASE priority WHEN 'P1' THEN 3 WHEN 'P2' THEN 4 ELSE 5 END AS section, count(*) AS n_blocks FROM issues GROUP BY 1 UNION ALL SELECT 8, count(*) FROM issues WHERE fixTiming = 'immediately' UNION ALL SELECT 9, 1 UNION ALL SELECT range, 1 FROM range(3) UNION ALL SELECT 12, 1) SELECT section::INT AS section, n_blocks + CASE WHEN section IN (3, 4, 5, 8, 9) THEN 1 ELSE 0 END AS n_blocks FROM n",
+    issues=V.ISSUES.replace(" AS locationVerified FROM", " AS locationVerified, CASE WHEN o_orderkey % 9 = 0 THEN 'immediately' ELSE 'before launch' END AS fixTiming FROM"),
+    notes=V.NOTES,
+)
+def report_sections(spark, issues, notes):
+    """Blocks of each section of the whole report, headings included."""
+    doc = documents.report(issues, _meta(spark), gaps=notes.select("ord", F.col("note").alias("gap")))
+    return doc.groupBy("section").agg(F.count("*").alias("n_blocks"))
+
+
+_STEPS = ("Consider refactor of the larger parts as appropriate, once the tests are there", "Move load_all out", "Put it there -> b.py", "", "Refactor the thing that is long enough to be over forty-eight characters", "Write down what the next person has to read first, then ask them to act on it", "preload_all", "read LOADING.py first")
+_PLAN = f"SELECT o_orderkey AS ord, {V.pick('o_custkey', *_STEPS)} AS step, {V.pick('o_orderkey', 'load_all (10-20) -> src/loading.py', 'notes', 'person')} AS move FROM {{orders}}"
+
+
+@_query(
+    r"w AS (SELECT *, lower(step) AS t, CASE WHEN contains(move, '(') THEN ['load_all', 'loading.py', 'loading'] ELSE [move] END AS names FROM plans) SELECT ord, CASE WHEN step = '' THEN true WHEN contains(step, '->') THEN false WHEN len(list_filter(names, lambda x: regexp_matches(t, '(^|[^a-z0-9_])' || x || '($|[^a-z0-9_])'))) > 0 THEN false ELSE contains(t, 'consider refactor') OR contains(t, 'as appropriate') OR (starts_with(t, 'refactor') AND length(step) < 180) OR length(step) < 48 END AS vague FROM w",
+    plans=_PLAN,
+)
+def vague_steps(spark, plans):
+    return plans.select("ord", explain.is_vague(F.col("step"), F.array("move")).alias("vague"))
+
+
+_LINES = """SELECT o_custkey AS answer, o_orderkey AS ord, CAST(o_orderkey % 10 AS DOUBLE) AS seconds, concat(CASE WHEN o_orderkey % 5 = 0 THEN 'event: x' ELSE 'data: ' END, CASE o_orderkey % 3 WHEN 0 THEN concat('{"choices":[{"delta":{"content":"', CAST(o_orderkey AS VARCHAR(20)), ' "}}]}') WHEN 1 THEN '[DONE]' ELSE '{"choices":[]}' END) AS line FROM {orders}"""
+
+
+@_query("p AS (SELECT *, CASE WHEN starts_with(line, 'data:') AND contains(line, 'content') THEN ord || ' ' END AS p FROM lines) SELECT answer, coalesce(string_agg(p, '' ORDER BY ord), '') AS text, CASE WHEN max(seconds) > 8 THEN 'late' WHEN count(p) = 0 THEN 'empty' ELSE 'ok' END AS status FROM p GROUP BY answer", lines=_LINES)
+def captured_answers(spark, lines):
+    """Captured lines of streamed answers put together, with a deadline of 8 seconds."""
+    return chunks.fold(lines, "choices", 8.0)
