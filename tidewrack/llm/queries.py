@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import OP11_SQL, op11_chat_formatting
 from .decontaminate import op1_decontamination
 from .langid import op8_language_id
 from .mixing import OP7_SQL, op7_mixing
@@ -24,8 +25,10 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_pii": op9_pii,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_chat_formatting": op11_chat_formatting,
 }
 ORACLES: dict[str, str] = {
     "op3_url_filters": OP3_SQL,
     "op7_mixing": OP7_SQL,
+    "op11_chat_formatting": OP11_SQL,
 }
