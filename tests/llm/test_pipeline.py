@@ -5,6 +5,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+
+from tidewrack.llm import stages
 
 from tests.llm.test_llm import VOC, brute_near, brute_quality, brute_ratios
 
@@ -58,3 +61,39 @@ def test_stages(spark, folder):
 
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder[0]).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+CLASHES = (
+    "key", "row", "nth", "size", "k", "n", "c", "copy", "m_key", "gone_key", "many_key", "component_id", "kept", "g", "first", "bad_id", "bad_hash", "hash", "r_id", "r_source", "r_size", "tidewrack_nth",
+    "tidewrack_row", "w", "llr", "base_failed", "ratios", "start", "finish", "a.b", "tick",
+)
+
+
+def test_stages_keep_columns_of_any_name(spark, folder):
+    d, rows = folder
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    wide = docs.drop("row").select("*", *[F.lit(f"own {c}").alias(c) for c in CLASHES])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, got = stage(spark, docs, d), stage(spark, wide, d)
+        assert got.columns == wide.columns, name
+        got = got.collect()
+        assert sorted((x.doc_id or -1, x.text or "") for x in plain.collect()) == sorted((x.doc_id or -1, x.text or "") for x in got)
+        assert all(x[c] == f"own {c}" for x in got for c in CLASHES)
+    ids = corpus_pipeline.STAGES[-1][1](spark, wide, d)
+    assert ids.count() == len(rows)
+
+
+def test_stages_take_empty_tables_and_very_long_texts(spark, folder):
+    d, _ = folder
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), d).count() == 0, name
+    r = random.Random(6)
+    long_ = " ".join(r.choice(VOC) for _ in range(60_000))
+    item = spark.read.parquet(f"{d}/benchmark.parquet").first().text
+    more = spark.createDataFrame([(900, long_, "en", "s0", 1, "x"), (901, long_ + " " + item, "en", "s0", 1, "x"), (902, long_, "en", "s1", 1, "x")], docs.schema)
+    near = stages.near_dedup(spark, more, d)
+    assert [x.doc_id for x in near.collect()] == [900]
+    assert sorted(x.doc_id for x in stages.decontamination(spark, more, d).collect()) == [900, 902]
+    got = {x.doc_id for x in stages.quality_rules(spark, docs.unionByName(more), d).collect()}
+    assert {900, 901, 902} <= got or not {900, 901, 902} & got

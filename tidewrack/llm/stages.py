@@ -11,13 +11,18 @@ as they are, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import decontaminate, mixing, near, quality, tokens
 from .common import cut, last, maybe_broadcast, n_words, table
 
 
+def whole(docs: DataFrame) -> Column:
+    """A row's columns in one struct."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules and the likelihood ratio."""
     return quality.accepted(docs, quality.trusted_ids(table(spark, sf_dir, "labels")))
@@ -38,11 +43,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("first")).select("first.key")
     gone = maybe_broadcast(last(members.join(first, F.col("m_key") == F.col("key"), "left_anti").select(F.col("m_key").alias("gone_key")), "gone", members))
     many = maybe_broadcast(out.groupBy(F.col("doc_id").alias("many_key")).agg(F.count("*").alias("n")).where("n > 1").select("many_key"))
-    left = docs.join(gone, key == F.col("gone_key"), "left_anti")
-    once = left.join(many, key == F.col("many_key"), "left_anti")
-    again = left.join(many, key == F.col("many_key"), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("text"))
-    return once.unionByName(again.withColumn("tidewrack_nth", nth).where("tidewrack_nth = 1").drop("tidewrack_nth"))
+    # documents' own columns travel in one struct, so that their names clash with nothing
+    d = docs.select(key.alias("key"), whole(docs).alias("row"))
+    left = d.join(gone, F.col("key") == F.col("gone_key"), "left_anti")
+    once = left.join(many, F.col("key") == F.col("many_key"), "left_anti")
+    again = left.join(many, F.col("key") == F.col("many_key"), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("key", "row.doc_id", "row.text").orderBy("key"))
+    again = again.withColumn("nth", nth).where("nth = 1")
+    return once.select("row").unionByName(again.select("row")).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,8 +73,7 @@ def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     rows = rows.withColumnsRenamed({"doc_id": "r_id", "source": "r_source", "size": "r_size"})
     same = F.col("doc_id").eqNullSafe(F.col("r_id")) & F.col("source").eqNullSafe(F.col("r_source")) & (F.col("size") == F.col("r_size"))
     m = last(got.join(rows, same).select("r_id", "r_source", "r_size", "c", "n"), "taken", base)
-    # documents' own columns travel in one struct, so that their names clash with nothing
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), n_words(F.col("text")).alias("size"))
+    d = docs.select(whole(docs).alias("row"), n_words(F.col("text")).alias("size"))
     same = F.col("row.doc_id").eqNullSafe(F.col("r_id")) & F.col("row.source").eqNullSafe(F.col("r_source")) & (F.col("size") == F.col("r_size"))
     once = d.join(maybe_broadcast(m.where("n = 1")), same).select("row", F.col("c").alias("k"))
     nth = F.row_number().over(Window.partitionBy("r_id", "r_source", "r_size").orderBy("row.text"))
