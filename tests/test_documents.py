@@ -101,14 +101,3 @@ def test_configuration(spark):
     assert books("review")[2] == ("P3 architecture (scoped)", planning.SCOPED)
     with pytest.raises(KeyError):
         books("other")
-
-
-def test_index_follows_diff(spark, tmp_path):
-    s = store.Store(spark, str(tmp_path))
-    old, new = {"a.py": "one two", "b.py": "two", "c.py": "three", "d.py": "four"}, {"a.py": "one five", "b.py": "two", "d.py": "  ", "e.py": "six"}
-    prints = lambda d: files(spark, d).select(F.col("relative").alias("path"), C.file_hash(F.col("content")).alias("sha256"))
-    none = prints(old).limit(0)
-    search.sync(s, files(spark, old), planning.fingerprint_diff(none, prints(old)))
-    search.sync(s, files(spark, new), planning.fingerprint_diff(prints(old), prints(new)))
-    for kept, whole in zip(("postings", "docs"), search.build(files(spark, new)), strict=True):
-        assert sorted(map(tuple, s.latest(kept).select(*whole.columns).collect())) == sorted(map(tuple, whole.collect()))

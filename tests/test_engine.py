@@ -401,7 +401,7 @@ def test_diagrams_and_prompts(spark):
 
     texts = ["x\n```mermaid\ngraph TD\na.b --> c[d]\n```\ny", "graph LR\na --> b\nc[", "nothing", None, "```mermaid\n\n```"]
     got = col(spark, texts, lambda c: diagrams.diagram(c, F.lit("none")))
-    assert got == ["graph TD\na_b --> c[d]", "graph LR\na --> b", "none", "none", "none"]
+    assert got == ["graph TD\na_b---c", "graph LR\na---b", "none", "none", "none"]
     f = files(spark, {"a.py": "one two three", "b.py": "four"})
     hits = spark.createDataFrame([("b.py", -1.0), ("a.py", -2.0)], "path string, score double")
     assert prompts.context_block(hits, f, 2).first()[0] == "### a.py\none two\n\n### b.py\nfour"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,6 +71,76 @@ def issues(rep: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+# Severities that need no coercion, and the note of an answer that could not be read whole.
+SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
+INVALID = "llm.schema_invalid (pass: "
+
+
+def needs_coercion(parsed: DataFrame) -> DataFrame:
+    """parsed (what parse() gives) with `coerced`: no strict object, a confidence in words, a finding that is no object, or another severity."""
+    d = F.col("doc")
+    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit(""))
+    found = F.coalesce(F.try_variant_get(d, "$.issues", "array<variant>"), F.array().cast("array<variant>"))
+    odd = F.exists(found, lambda v: ~kind(v).startswith("OBJECT") | ((kind(_get(v, "severity")) == "STRING") & ~F.upper(F.try_variant_get(v, "$.severity", "string")).isin(*SEVERITIES)))
+    return parsed.withColumn("coerced", ~F.col("strict") | (kind(_get(d, "confidence")) == "STRING") | F.coalesce(odd, F.lit(False)))
+
+
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\Z)|[{}\[\],]', re.DOTALL)
+
+
+def _closed(text: str | None) -> str | None:
+    """A JSON object that was cut off, closed after its last whole member or list element at depth two; null if none has begun."""
+    if not text or (start := text.find("{")) < 0:
+        return None
+    open_: list[str] = []
+    safe, need = None, ""
+    for m in _TOKEN.finditer(text, start):
+        t = m[0]
+        if t[0] == '"':
+            if len(t) < 2 or t[-1] != '"':
+                break
+            continue
+        if t == ",":
+            # what stands before a comma is whole
+            if len(open_) <= 2:
+                safe, need = m.start(), "".join(reversed(open_))
+            continue
+        if t in "{[":
+            open_.append("}" if t == "{" else "]")
+            whole = len(open_) == 1 or (len(open_) == 2 and t == "[")
+        else:
+            if not open_ or open_.pop() != t:
+                break
+            whole = len(open_) <= 2
+        if whole:
+            safe, need = m.end(), "".join(reversed(open_))
+        if not open_:
+            break
+    return None if safe is None else text[start:safe] + need
+
+
+def closed(text: Column) -> Column:
+    """The text closed, a batch of answers at a time."""
+
+    @F.pandas_udf("string")
+    def close(texts: pd.Series) -> pd.Series:
+        return texts.map(_closed, na_action="ignore")
+
+    return close(text)
+
+
+def salvage(answers: DataFrame) -> DataFrame:
+    """answers (pass, raw, error) of a pass's last attempt, degraded: what reports() gives, of the whole text or of what was whole in it, with
+    `salvaged` (the text had to be closed) and a gap that tells the error."""
+    d = parse(answers)
+    torn = F.col("doc").isNull() & F.col("raw").isNotNull()
+    mended = F.try_parse_json(F.when(torn, closed(F.col("raw"))))
+    mended = F.when(F.startswith(F.schema_of_variant(mended), F.lit("OBJECT")), mended)
+    d = reports(d.withColumn("salvaged", F.coalesce(torn & mended.isNotNull(), F.lit(False))).withColumn("doc", F.coalesce("doc", mended)))
+    note = F.concat(F.lit(INVALID), F.col("pass").cast("string"), F.lit("): "), F.coalesce("error", F.lit("")))
+    return d.withColumn("gaps", F.concat("gaps", F.array(note)))
+
+
 def layers(attempts: DataFrame) -> DataFrame:
     """pass, attempt, layer of the best attempt of each pass: ok, coerced, micro_repair, degraded.
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..shared import cut, last, maybe_broadcast
+from .ordered import PLACE, ranged
 
 
 def inventory(files: DataFrame, max_files: int = 200, max_bytes: int = 200_000) -> DataFrame:
@@ -55,7 +59,7 @@ def sorted_rules(rules: DataFrame) -> DataFrame:
     return rules.orderBy("band", "id")
 
 
-def triage(issues: DataFrame, available: DataFrame | None = None, changed: DataFrame | None = None, floor: str = "HIGH", max_files: int = 8, sources=("scanner",)) -> DataFrame:
+def triage(issues: DataFrame, changed: DataFrame | None = None, floor: str = "HIGH", max_files: int = 8, sources=("scanner",)) -> DataFrame:
     """pack: file, rank of the first max_files files with a hit, in order of hits. changed: null is no limit, empty is none.
 
     A hit outside the available files stays in the pack.
@@ -75,7 +79,7 @@ def triage_plan(issues: DataFrame, available: DataFrame, changed: DataFrame | No
         n = every.agg(F.count("*").alias("n_files"))
         return every, n.select(F.lit(True).alias("invoke"), F.lit(False).alias("bypassed"), F.lit(0).cast("long").alias("n_hits"), "n_files", F.lit(False).alias("truncated"), F.lit("").alias("note"))
     hits = triage_hits(issues, changed, floor, sources)
-    pack = triage(issues, None, changed, floor, max_files, sources)
+    pack = triage(issues, changed, floor, max_files, sources)
     none = hits.agg((F.count("*") == 0).alias("none")).scalar()
     if on_clean:
         pack = pack.unionByName(every.where(none).select("pack_file", "ord"))
@@ -90,27 +94,87 @@ def select_entries(files: DataFrame, pack: DataFrame) -> DataFrame:
     return files.join(pack.select("pack_file").distinct(), C.norm_route(files.relative) == F.col("pack_file"), "left_semi")
 
 
-def budget_pack(files: DataFrame, budget: int, group: str = "grp") -> DataFrame:
-    """Greedy packing of each group in ord: a file over the remaining budget is left out, later smaller ones may fit.
+#: Rows of a group that are packed in one sorted pass; of a larger group only its last ones are, after rounds over all tasks.
+FEW = 200_000
+_END = (1 << 62) - 1
 
-    Each decision needs the one before, so a group is read in one pass, sorted and batch by batch: what is held is a sum.
-    Files that never fit go before.
-    """
-    schema = f"{group} string, ord long, size long, relative string"
+
+def _fold(rows: DataFrame, group: str) -> DataFrame:
+    """Greedy packing in one pass: rows (group, ord, size, relative, room), sorted and batch by batch; what is held is a sum."""
 
     def fold(batches):
         now, used = object(), 0
         for pdf in batches:
             keep = []
-            for g, size in zip(pdf[group].tolist(), pdf["size"].tolist(), strict=True):
+            for g, size, room in zip(pdf[group].tolist(), pdf["size"].tolist(), pdf["room"].tolist(), strict=True):
                 if g != now:
                     now, used = g, 0
-                keep.append(used + size <= budget)
+                keep.append(used + size <= room)
                 used += size if keep[-1] else 0
-            yield pdf[keep]
+            yield pdf.loc[keep, [group, "ord", "size", "relative"]]
+
+    return rows.repartition(group).sortWithinPartitions(group, "ord", "size", "relative").mapInPandas(fold, f"{group} string, ord long, size long, relative string")
 
-    d = files.where(F.col("size") <= budget).select(F.col(group).cast("string").alias(group), F.col("ord").cast("long").alias("ord"), F.col("size").cast("long").alias("size"), "relative")
-    return d.repartition(group).sortWithinPartitions(group, "ord", "size", "relative").mapInPandas(fold, schema)
+
+def budget_pack(files: DataFrame, budget: int, group: str = "grp", few: int = FEW) -> DataFrame:
+    """Greedy packing of each group in ord: a file over the remaining budget is left out, later smaller ones may fit.
+
+    A group of up to `few` files is packed in one sorted pass. A larger one goes in rounds over a table in range partitions:
+    with t the largest power of two up to the room left, every file of size t or less fits until the room falls below t, and
+    at most one larger file fits before. The first such event is found from one sum a partition and a look into the partitions
+    where it may lie; all smaller files before it are kept, and the room has halved. So there are as many rounds as the
+    budget has bits at most, and a group whose last candidates are few is finished in one pass.
+    """
+    kind = {group: "string", "ord": "long", "size": "long"}
+    d = files.where(F.col("size") <= budget).select(*[F.col(c).cast(t).alias(c) for c, t in kind.items()], "relative")
+    large = d.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") > few).select(F.col(group).alias("l_group"))
+    if large.isEmpty():
+        return _fold(d.withColumn("room", F.lit(budget).cast("long")), group)
+    large = cut(large, "large_groups")
+    by_group = lambda x, y, name: x.join(maybe_broadcast(y), x[group].eqNullSafe(F.col(name)), "left_semi")
+    small = d.join(maybe_broadcast(large), d[group].eqNullSafe(F.col("l_group")), "left_anti").withColumn("room", F.lit(budget).cast("long"))
+    table = ranged(by_group(d, large, "l_group"), F.col(group), F.col("ord"), F.col("size"), F.col("relative"))
+    x = table.withColumn("pos", F.call_function("shiftleft", F.col("part").cast("long"), F.lit(PLACE)) + F.col("place"))
+    state = large.select("l_group", F.lit(-1).cast("long").alias("at"), F.lit(budget).cast("long").alias("room"))
+    kept, ends, made = [], [], [large]
+    while True:
+        t = F.when(F.col("room") > 0, F.expr("shiftleft(1L, length(bin(room)) - 1)")).otherwise(F.lit(0).cast("long"))
+        c = x.join(maybe_broadcast(state.withColumn("t", t)), x[group].eqNullSafe(F.col("l_group"))).where((F.col("pos") > F.col("at")) & (F.col("size") <= F.col("room")))
+        little = F.when(F.col("size") <= F.col("t"), F.col("size")).otherwise(F.lit(0).cast("long"))
+        parts = cut(c.groupBy("l_group", "at", "room", "t", "part").agg(F.count("*").alias("n"), F.sum(little).alias("little"), F.min(F.when(F.col("size") > F.col("t"), F.col("size"))).alias("least")), "parts")
+        made.append(parts)
+        # groups with few candidates left are finished below
+        w = Window.partitionBy("l_group").orderBy("part")
+        p = parts.withColumns({"left": F.sum("n").over(Window.partitionBy("l_group")), "before": F.coalesce(F.sum("little").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))})
+        ends.append(p.where(F.col("left") <= few).select("l_group", "at", "room").distinct())
+        p = p.where(F.col("left") > few)
+        if p.isEmpty():
+            break
+        # a partition may hold the event if its small files use the room up to t, or its least large file fits; none after the first that uses it up
+        spent = F.col("before") + F.col("little") > F.col("room") - F.col("t")
+        first = F.min(F.when(spent, F.col("part"))).over(Window.partitionBy("l_group"))
+        p = p.withColumn("first", first).where((spent | (F.col("least") <= F.col("room") - F.col("before"))) & (F.col("first").isNull() | (F.col("part") <= F.col("first"))))
+        look = p.select(F.col("l_group").alias("p_group"), F.col("part").alias("p_part"), "before")
+        r = c.join(maybe_broadcast(look), F.col("l_group").eqNullSafe(F.col("p_group")) & (F.col("part") == F.col("p_part")))
+        upto = F.col("before") + F.sum(little).over(Window.partitionBy("l_group", "part").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+        r = r.withColumn("upto", upto)
+        event = F.when(F.col("size") <= F.col("t"), F.col("room") - F.col("upto") < F.col("t")).otherwise(F.col("size") <= F.col("room") - F.col("upto"))
+        used = F.col("upto") + F.when(F.col("size") > F.col("t"), F.col("size")).otherwise(0)
+        found = r.where(event).groupBy("l_group").agg(F.min_by(F.struct("pos", used.alias("used")), "pos").alias("e"))
+        active = parts.groupBy("l_group", "at", "room", "t").agg(F.sum("n").alias("n")).where(F.col("n") > few)
+        j = active.join(found.withColumnRenamed("l_group", "e_group"), active.l_group.eqNullSafe(F.col("e_group")), "left")
+        step = cut(j.select("l_group", "at", "t", F.coalesce("e.pos", F.lit(_END)).alias("to"), (F.col("room") - F.col("e.used")).alias("room")), "steps")
+        made.append(step)
+        kept.append(step.select("l_group", "at", "t", "to"))
+        state = step.where(F.col("to") < _END).select("l_group", F.col("to").alias("at"), "room")
+    tail = reduce(DataFrame.unionByName, ends)
+    rest = x.join(maybe_broadcast(tail), x[group].eqNullSafe(F.col("l_group"))).where((F.col("pos") > F.col("at")) & (F.col("size") <= F.col("room")))
+    out = _fold(small.unionByName(rest.select(group, "ord", "size", "relative", "room")), group)
+    if kept:
+        runs = reduce(DataFrame.unionByName, kept)
+        inside = (F.col("pos") > F.col("at")) & (F.col("pos") <= F.col("to")) & ((F.col("size") <= F.col("t")) | (F.col("pos") == F.col("to")))
+        out = out.unionByName(x.join(maybe_broadcast(runs), x[group].eqNullSafe(F.col("l_group")) & inside).select(group, "ord", "size", "relative"))
+    return last(out, "packed", table, *made)
 
 
 def prefer(files: DataFrame, hot: DataFrame, adaptive: DataFrame) -> DataFrame:

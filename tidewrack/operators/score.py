@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -118,10 +118,22 @@ def evaluate_coverage(ids: DataFrame, issues: DataFrame, notes: DataFrame) -> Da
     return j.select("ord", "id", F.when(covered, "covered").when(ok & ~lazy, "na").otherwise("missed").alias("status"), F.when(ok, F.col("reason")).alias("reason"), F.coalesce(ok & lazy, F.lit(False)).alias("invalid"))
 
 
+# How the notes of missed ids are worded.
+MISSED, LAZY, NEITHER = "missed", "lazy N/A rejected", "neither issue nor N/A"
+
+
 def rewrite_gaps(coverage: DataFrame, gaps: DataFrame) -> DataFrame:
-    """ord, gap: the gaps that carry no coverage note, then one note for each missed id. gaps: ord, gap."""
-    kept = gaps.where(~C.is_coverage_note(F.col("gap"))).select(F.lit(0).alias("lane"), "ord", "gap")
-    return kept.unionByName(gap_notes(coverage).select(F.lit(1).alias("lane"), "ord", F.col("note").alias("gap")))
+    """lane, ord, gap: lane 0, the gaps as they are, but a coverage note with a lazy reason is told as missed, once; then,
+    lane 1, a note for each missed id of the checklist that no gap tells already. gaps: ord, gap."""
+    note, reason = C.note_id(F.col("gap")), C.note_reason(F.col("gap"))
+    lazy = (note != "") & C.is_lazy(reason)
+    told = F.concat(F.lit("coverage:"), note, F.lit(f": {MISSED} \u2014 {LAZY} ("), reason, F.lit(")"))
+    d = gaps.select("ord", F.when(lazy, told).otherwise(F.col("gap")).alias("gap"), lazy.alias("lazy"))
+    nth = F.row_number().over(Window.partitionBy("gap").orderBy("ord"))
+    kept = d.withColumn("nth", nth).where(~F.col("lazy") | (F.col("nth") == 1)).select(F.lit(0).alias("lane"), "ord", "gap")
+    ids = F.regexp_extract_all("gap", F.lit(rf"coverage:([^:\s]+): {MISSED}"), F.lit(1))
+    known = kept.select(F.explode(ids).alias("known")).distinct()
+    return kept.unionByName(gap_notes(coverage).join(known, F.col("id") == F.col("known"), "left_anti").select(F.lit(1).alias("lane"), "ord", F.col("note").alias("gap")))
 
 
 def all_ran_confidence(scanner_runs: DataFrame) -> DataFrame:
@@ -132,7 +144,7 @@ def all_ran_confidence(scanner_runs: DataFrame) -> DataFrame:
 
 def gap_notes(coverage: DataFrame) -> DataFrame:
     """One note for each missed id, in checklist order."""
-    return coverage.where("status = 'missed'").select("ord", F.concat(F.lit("coverage:"), "id", F.lit(": missed")).alias("note"))
+    return coverage.where("status = 'missed'").select("ord", "id", F.concat(F.lit("coverage:"), "id", F.lit(f": {MISSED} \u2014 {NEITHER}")).alias("note"))
 
 
 def theme_breakdown(matrix_: DataFrame, coverage: DataFrame, issues: DataFrame, full: bool = False, mode: str = "review") -> DataFrame:

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import cut, maybe_broadcast
+
 K1, B, MIN_IDF, CAP, MAX_TERMS = 1.2, 0.75, 1e-6, 80_000, 12
 
 
@@ -34,22 +36,15 @@ def build(files: DataFrame, stem: bool = False, cap: int | None = CAP, only: lis
         tokens = F.filter(tokens, lambda x: x.getField("term").isin(*only))
     t = d.select("path", F.explode(tokens).alias("x")).select("path", "x.*")
     if stem:
-        t = t.withColumn("term", porter_udf()("term"))
-        t = t if only is None else t.where(F.col("term").isin(*only))
+        # distinct words are stemmed, not their occurrences
+        stems = t.select("term").distinct().select(F.col("term").alias("raw"), porter_udf()("term").alias("stem"))
+        stems = cut(stems if only is None else stems.where(F.col("stem").isin(*only)), "stems")
+        t = t.join(maybe_broadcast(stems), F.col("term") == F.col("raw")).select("path", "at", F.col("stem").alias("term"))
     marks = F.regexp_replace(F.lower("text"), "[a-z0-9]+", "x")
     n = F.length(marks) - F.length(F.replace(marks, F.lit("x"), F.lit("")))
     return t.groupBy("term", "path").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("at")).alias("at")), d.select("path", n.alias("len"))
 
 
-def sync(store, files: DataFrame, diff: DataFrame, **options) -> None:
-    """Bring a store's `postings` and `docs` in step with a fingerprint diff (path, status): only added and changed files are read."""
-    fresh = diff.where("status in ('added', 'changed')").select(F.col("path").alias("relative"))
-    stale = diff.where("status <> 'unchanged'").select("path")
-    for table, new in zip(("postings", "docs"), build(files.join(fresh, "relative", "left_semi"), **options), strict=True):
-        old = store.latest(table)
-        store.replace(table, new if old is None else old.join(stale, "path", "left_anti").unionByName(new))
-
-
 def phrase_frequencies(postings: DataFrame, terms: list[list[str]]) -> DataFrame:
     """q (number of the term in the query), path, tf: occurrences of each term, a phrase of one or more words."""
     spark = postings.sparkSession

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources.lists import write_lists
 
 LEVELS = {"CRITICAL": "error", "HIGH": "error", "MEDIUM": "warning", "LOW": "note"}
 
@@ -30,14 +31,43 @@ def sarif_rules(rows: DataFrame) -> DataFrame:
     return rows.groupBy("ruleId").agg(F.min_by("title", "ord").alias("name"))
 
 
-def sarif(issues: DataFrame) -> DataFrame:
-    """One row: the SARIF 2.1.0 document."""
+#: Opening and closing of a document's lists.
+_REPORT = (('{"issues":[', "]}"),)
+_SARIF = (('{"version":"2.1.0","$schema":"https://json.schemastore.org/sarif-2.1.0.json","runs":[{"tool":{"driver":{"name":"tidewrack","rules":[', ']}},"results":['), ("", "]}]}"))
+
+
+def sarif_parts(issues: DataFrame) -> DataFrame:
+    """section (0 rules, 1 results), k, ord, text: what the SARIF document lists, in order of section, k and ord."""
     rows = sarif_rows(issues)
-    ordered = lambda what: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda x: x.getField("s")), ",")  # noqa: E731, ARG005
-    res = rows.select(F.col("ord").alias("k"), F.col("result").alias("s")).agg(ordered("s").alias("results"))
-    rules = sarif_rules(rows).select(F.col("ruleId").alias("k"), F.to_json(F.struct(F.col("ruleId").alias("id"), F.struct(F.col("name").alias("text")).alias("shortDescription"))).alias("s")).agg(ordered("s").alias("rules"))
-    doc = F.concat(F.lit('{"version":"2.1.0","$schema":"https://json.schemastore.org/sarif-2.1.0.json","runs":[{"tool":{"driver":{"name":"tidewrack","rules":['), "rules", F.lit(']}},"results":['), "results", F.lit("]}]}"))
-    return res.join(rules).select(doc.alias("document"))
+    rule = F.to_json(F.struct(F.col("ruleId").alias("id"), F.struct(F.col("name").alias("text")).alias("shortDescription")))
+    rules = sarif_rules(rows).select(F.lit(0).alias("section"), F.col("ruleId").alias("k"), F.lit(0).cast("long").alias("ord"), rule.alias("text"))
+    return rules.unionByName(rows.select(F.lit(1).alias("section"), F.lit("").alias("k"), F.col("ord").cast("long").alias("ord"), F.col("result").alias("text")))
+
+
+def report_parts(issues: DataFrame) -> DataFrame:
+    """section, k, ord, text: the findings of the JSON report."""
+    row = F.to_json(F.struct(*[c for c in issues.columns if c != "ord"]))
+    return issues.select(F.lit(0).alias("section"), F.lit("").alias("k"), F.col("ord").cast("long").alias("ord"), row.alias("text"))
+
+
+def write_sarif(issues: DataFrame, path: str, partitions: int | None = None) -> None:
+    """The SARIF 2.1.0 document as one file, of findings of any number."""
+    write_lists(sarif_parts(issues), path, _SARIF, partitions)
+
+
+def write_report(issues: DataFrame, path: str, partitions: int | None = None) -> None:
+    """The JSON report as one file, of findings of any number."""
+    write_lists(report_parts(issues), path, _REPORT, partitions)
+
+
+def _in_one(parts: DataFrame, lists) -> DataFrame:
+    text = lambda n: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("section") == n, F.struct("k", "ord", "text")))), lambda x: x.getField("text")), ",")
+    return parts.agg(F.concat(*[c for n, (a, z) in enumerate(lists) for c in (F.lit(a), text(n), F.lit(z))]).alias("document"))
+
+
+def sarif(issues: DataFrame) -> DataFrame:
+    """One row: the SARIF 2.1.0 document of a few findings (write_sarif takes any number)."""
+    return _in_one(sarif_parts(issues), _SARIF)
 
 
 def fence(text: Column) -> Column:
@@ -62,8 +92,8 @@ def markdown(issues: DataFrame, title: str = "Findings") -> DataFrame:
 
 
 def json_report(issues: DataFrame) -> DataFrame:
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct(*[c for c in issues.columns if c != "ord"]).alias("i")))), lambda x: x.getField("i"))
-    return issues.agg(F.to_json(F.struct(rows.alias("issues"))).alias("document"))
+    """One row: the JSON report of a few findings (write_report takes any number)."""
+    return _in_one(report_parts(issues), _REPORT)
 
 
 def focus(issues: DataFrame) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import anchors, coerce, documents, explain, findings, heuristics, planning, score, search, sinks, symbols
+from ..operators import anchors, coerce, documents, explain, findings, heuristics, ordered, planning, score, search, segments, sinks, symbols
+from ..shared import shared_dir
 from ..sources import chunks
 from ..sources import rules as report_rules
 from ..sources import scanners
@@ -26,8 +30,6 @@ def _query(oracle: str | None = None, **inputs: str):
 
         QUERIES[name] = run
         if oracle is not None:
-            import re
-
             ctes = ", ".join(f"{k} AS ({re.sub(r'{(\w+)}', r'\1', sql)})" for k, sql in inputs.items())
             ORACLES[name] = f"WITH {ctes}{', ' if not oracle.lstrip().upper().startswith('SELECT') else ' '}{oracle}" if ctes else oracle
         return fn
@@ -300,6 +302,24 @@ def timeout_p95(spark, runs):
     return planning.timeout_p95(runs)
 
 
+@_query("SELECT relative, row_number() OVER (ORDER BY relative, ord) AS nth FROM files", files=V.FILES)
+def global_numbers(spark, files):
+    """Every file's place in the order of all paths."""
+    return ordered.numbered(files.select("relative", "ord"), F.col("relative"), F.col("ord"), name="nth").select("relative", (F.col("nth") + 1).alias("nth"))
+
+
+_ONE = _GRP.replace("coalesce(source, '') AS grp", "'all' AS grp")
+
+
+@_query(files=_ONE)
+def deep_pack_one_group(spark, files):
+    """All files as one group, packed in rounds over range partitions; no task sees the group."""
+    return planning.budget_pack(files, 100_000, few=50).select("grp", "ord", "size")
+
+
+ORACLES["deep_pack_one_group"] = ORACLES["deep_pack_budget"].replace("coalesce(source, '') AS grp", "'all' AS grp")
+
+
 # ---- scores ----
 
 _MATRIX = ", ".join(f"({k}, '{i}', {str(full).lower()}, '{pack}')" for k, (_, i, full, pack) in enumerate(score.MATRIX))
@@ -322,6 +342,22 @@ def coverage_eval(spark, issues, notes):
     return _cov(spark, issues, notes).select("id", "status", "reason", "invalid")
 
 
+#: Gaps of many passes: valid, lazy and missed notes, and others.
+_GAPS = f"""SELECT o_orderkey AS ord, concat({V.pick('o_custkey', 'coverage:sec.xxe: N/A - no xml parser in part ', 'coverage:arch.i18n: N/A - not reviewed ', 'coverage:rel.concurrency: N/A - could be improved, pass ', 'scanner:osv missing: install it by hand ', 'coverage:arch.pwa: missed ', 'note coverage:sec.jwt_tokens: missed here ', 'coverage:arch.a11y: N/A - no user interface in part ')}, CAST(o_custkey % 40 AS VARCHAR(20))) AS note FROM {{orders}}"""
+_LAZY = f"({_has('lower(reason)', C.ALWAYS_LAZY)} OR ({_has('lower(reason)', C.SOFT_LAZY)} AND NOT {_has('lower(reason)', C.CONCRETE)}))"
+_NA = r"regexp_extract(note, '(?i)^coverage:([^\s:]+)\s*:\s*N/A\s*[—-]\s*(.+)$', {})"
+
+
+@_query(
+    f"{_COV}, g AS (SELECT ord, note, {_NA.format(1)} AS id, trim({_NA.format(2)}) AS reason FROM notes), l AS (SELECT *, id <> '' AND {_LAZY} AS lazy FROM g),"
+    " t AS (SELECT ord, lazy, CASE WHEN lazy THEN 'coverage:' || id || ': missed — lazy N/A rejected (' || reason || ')' ELSE note END AS gap FROM l), k AS (SELECT *, row_number() OVER (PARTITION BY gap ORDER BY ord) AS nth FROM t),"
+    " kept AS (SELECT 0 AS lane, ord, gap FROM k WHERE NOT lazy OR nth = 1) SELECT * FROM kept UNION ALL SELECT 1, ord, 'coverage:' || id || ': missed — neither issue nor N/A' FROM cov WHERE status = 'missed' AND NOT EXISTS (SELECT 1 FROM kept WHERE contains(gap, 'coverage:' || cov.id || ': missed'))",
+    issues=V.ISSUES, notes=_GAPS,
+)
+def gap_rewrite(spark, issues, notes):
+    return score.rewrite_gaps(_cov(spark, issues, notes), notes.withColumnRenamed("note", "gap"))
+
+
 @_query(f"{_COV} SELECT cov.id, cov.pack, cov.status, (SELECT count(*) FROM h WHERE theme = cov.id OR contains(hay3, cov.id)) AS n_findings, CASE WHEN cov.status = 'na' THEN cov.reason ELSE '' END AS notes FROM cov WHERE cov.pack IN ('core', 'extended')", issues=V.ISSUES, notes=V.NOTES)
 def theme_breakdown(spark, issues, notes):
     return score.theme_breakdown(score.matrix(spark), _cov(spark, issues, notes), issues, full=True).drop("ord")
@@ -419,6 +455,33 @@ def bm25_topk(spark, files):
     return search.query(p, d, [[t] for t in _TERMS], 20).select("path", F.round("score", 6).alias("score"))
 
 
+#: Two snapshots of the files: some are new in the second, some gone, some changed.
+_OLD_FILES = _CONTENT + " AND doc_id % 7 <> 1"
+_NEW_FILES = _CONTENT.replace("text AS content", "CASE WHEN doc_id % 5 = 0 THEN concat(text, ' tion changed words') ELSE text END AS content") + " AND doc_id % 11 <> 2"
+
+
+def _kept_up(spark, old, new) -> segments.SegmentIndex:
+    """An index of the first snapshot, brought to the second by their fingerprint difference, and its two segments merged."""
+    prints = lambda d: d.select(F.col("relative").alias("path"), C.file_hash(F.col("content")).alias("sha256"))
+    index = segments.SegmentIndex(spark, f"{shared_dir(spark)}/tidewrack/index-{uuid.uuid4().hex}", fan=3)
+    nothing = old.limit(0)
+    for before, now in ((nothing, old), (old, new)):
+        index.apply(now, planning.fingerprint_diff(prints(before), prints(now)), cap=None)
+    return index
+
+
+@_query("t AS (SELECT relative, unnest(string_split_regex(lower(relative || ' ' || content), '[^a-z0-9]+')) AS term FROM new WHERE trim(content) <> '') SELECT term, count(DISTINCT relative) AS n_files, count(*) AS n FROM t WHERE term <> '' GROUP BY term", old=_OLD_FILES, new=_NEW_FILES)
+def index_upkeep_terms(spark, old, new):
+    """Every term of the kept-up index, as a fresh one would have it."""
+    return _kept_up(spark, old, new).postings().groupBy("term").agg(F.count("*").alias("n_files"), F.sum("tf").alias("n"))
+
+
+@_query(ORACLES["bm25_topk"].removeprefix(f"WITH files AS ({re.sub(r'{(\w+)}', r'\1', _CONTENT)}), ").replace("FROM files", "FROM new"), old=_OLD_FILES, new=_NEW_FILES)
+def index_upkeep_topk(spark, old, new):
+    """The best files for some terms, from their buckets alone."""
+    return _kept_up(spark, old, new).query([[t] for t in _TERMS], 20).select("path", F.round("score", 6).alias("score"))
+
+
 @_query(files=_CONTENT)
 def porter_bm25(spark, files):
     """Stemmed terms and a phrase; tests hold the search against another engine's."""
@@ -437,7 +500,7 @@ _SOURCES = "SELECT concat(CASE WHEN doc_id % 5 = 0 THEN 'dist/f' ELSE 'src/f' EN
     issues=_PACKAGES, files=_SOURCES,
 )
 def usage_hints(spark, issues, files):
-    return anchors.usage_hints(issues, files, max_files=None).select("ord", "usageHint")
+    return anchors.usage_hints(issues, files, max_files=None, most=None).select("ord", "usageHint")
 
 
 _CODE = "SELECT concat('f', CAST(doc_id AS VARCHAR(20)), CASE WHEN doc_id % 2 = 0 THEN '.ts' ELSE '.go' END) AS relative, replace(replace(coalesce(text, ''), ' the ', concat(chr(10), 'export async function ')), ' of ', concat(chr(10), '  class ')) AS content FROM {documents}"
@@ -485,9 +548,26 @@ def license_ids(spark, raw):
     return scanners.license_ids(scanners.licenses(raw))
 
 
-@_query("SELECT 2 * count(*) AS n_components, count(DISTINCT k) > 0 AS any_licensed, count(*) AS n_copyleft, '' AS gap FROM raw", raw=_SBOM)
+@_query(
+    "n AS (SELECT count(*) AS n FROM raw), i AS (SELECT 'MIT-' || (k % 50) AS id FROM raw UNION SELECT 'GPL-3.0 OR X' || (k % 3) FROM raw UNION SELECT 'named' FROM raw)"
+    " SELECT 2 * n AS n_components, n AS n_licensed, n AS n_copyleft, (SELECT string_agg(id, ',' ORDER BY id) FROM i) AS license_ids, CASE WHEN n = 0 THEN 'sbom: no document' ELSE '' END AS gap FROM n",
+    raw=_SBOM,
+)
 def supply_chain_block(spark, raw):
-    return scanners.supply_chain(raw).select("n_components", (F.col("n_licensed") > 0).alias("any_licensed"), "n_copyleft", "gap")
+    return scanners.supply_chain(raw).withColumn("license_ids", F.array_join("license_ids", ","))
+
+
+#: Documents with more licensed components than a note list takes, licence texts, and components without a name or a licence.
+_SBOMS = "SELECT p_partkey AS doc, concat('{\"components\":[{\"name\":\"n\",\"version\":\" ', CAST(p_size AS VARCHAR(20)), ' \",\"licenses\":[{\"license\":{\"id\":\"MIT\"}},{\"license\":{}},{\"expression\":\"', p_brand, '\"}]},{\"licenses\":[{\"license\":\"LGPL-2.1\"}]},{\"name\":\"bare\",\"licenses\":[]},{\"name\":\"odd\",\"licenses\":[{\"license\":{\"url\":\"u\"}}]}', repeat(',{\"name\":\"m\",\"licenses\":[{\"expression\":\"X\"}]}', CAST(p_partkey % 50 AS INT)), ']}') AS json, p_brand, p_size, CAST(p_partkey % 50 AS INT) AS more FROM {part}"
+
+
+@_query(
+    "a AS (SELECT doc, 0 AS ord, 'n@' || p_size || ': MIT, ' || p_brand AS note FROM raw UNION ALL SELECT doc, 1, 'package: LGPL-2.1 [copyleft \u2014 review distribution obligations]' FROM raw UNION ALL SELECT doc, 3, 'odd: unknown' FROM raw"
+    " UNION ALL SELECT doc, (4 + i)::INT, 'm: X' FROM (SELECT doc, unnest(range(more)) AS i FROM raw) WHERE i < 37) SELECT doc, ord::INT AS ord, note FROM a",
+    raw=_SBOMS,
+)
+def license_notes(spark, raw):
+    return scanners.license_notes(raw)
 
 
 _OUTPUT = """SELECT o_orderkey AS k, concat(CASE WHEN o_orderkey % 7 = 0 THEN 'Here it is: ' ELSE '' END, '{"confidence":"72%","findings":[{"', CASE WHEN o_orderkey % 2 = 0 THEN 'title' ELSE 'summary' END, '":" T', CAST(o_orderkey AS VARCHAR(20)), ' ","severity":"', CASE o_orderkey % 6 WHEN 0 THEN 'crit' WHEN 1 THEN 'Warn' WHEN 2 THEN 'p1' WHEN 3 THEN 'very low risk' WHEN 4 THEN 'odd' ELSE '' END, '","line":', CASE o_custkey % 6 WHEN 0 THEN '7' WHEN 1 THEN '"L12"' WHEN 2 THEN 'true' WHEN 3 THEN '3.9' WHEN 4 THEN 'null' ELSE '"none"' END, ',"when":"', CASE o_orderkey % 5 WHEN 0 THEN 'Immediately' WHEN 1 THEN 'soon after' WHEN 2 THEN 'later on' WHEN 3 THEN 'before launch' ELSE '' END, '","path":"f', CAST(o_custkey AS VARCHAR(20)), '.py"},{},{"issue":{"name":"N"}}]}') AS raw, o_custkey AS c FROM {orders}"""

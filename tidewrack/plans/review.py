@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import anchors, findings, heuristics, planning, score
+from ..operators import anchors, findings, heuristics, ordered, planning, score
 
 FIELDS = {"severity": "string", "priority": "string", "category": "string", "file": "string", "line": "int", "title": "string", "explanation": "string", "impact": "string", "recommendedFix": "string", "codeExample": "string", "cwe": "string", "source": "string", "quote": "string", "locationVerified": "boolean", "packageName": "string"}
 
@@ -19,19 +19,13 @@ def conform_schema(df: DataFrame, lane: int) -> DataFrame:
 
 
 def numbered(parts: list[DataFrame]) -> DataFrame:
-    """The union of the lanes with ord: (lane, file, line, category, title).
-
-    Rows are numbered within their file; only the files' counts are summed up in one place.
-    """
+    """The union of the lanes with ord, from 1: (lane, file, line, category, title)."""
     all_ = conform_schema(parts[0], 0)
     for k, p in enumerate(parts[1:], 1):
         all_ = all_.unionByName(conform_schema(p, k))
-    own = Window.partitionBy("lane", "file").orderBy("line", "category", "title", *[c for c in FIELDS if c not in ("file", "line", "category", "title")])
-    before = Window.orderBy("n_lane", "n_file").rowsBetween(Window.unboundedPreceding, -1)
-    counts = all_.groupBy(F.col("lane").alias("n_lane"), F.col("file").alias("n_file")).agg(F.count("*").alias("n"))
-    counts = counts.withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    j = all_.withColumn("nth", F.row_number().over(own)).join(counts, (F.col("lane") == F.col("n_lane")) & F.col("file").eqNullSafe(F.col("n_file")))
-    return j.withColumn("ord", (F.col("below") + F.col("nth")).cast("long")).drop("lane", "n_lane", "n_file", "n", "below", "nth")
+    first = ("lane", "file", "line", "category", "title")
+    out = ordered.numbered(all_, *[F.col(c) for c in (*first, *[c for c in FIELDS if c not in first])])
+    return out.withColumn("ord", F.col("ord") + 1).drop("lane")
 
 
 def conform(issues: DataFrame, files: DataFrame, rules: DataFrame, feedback: DataFrame, today: str) -> DataFrame:

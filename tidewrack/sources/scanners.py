@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OUT = ("severity", "priority", "category", "file", "line", "title", "explanation", "packageName", "installedVersion", "fixedVersion", "advisoryId")
@@ -123,31 +123,63 @@ def missing_required(tools: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 COPYLEFT = ("GPL", "AGPL", "LGPL", "SSPL", "OSL", "CPAL", "EUPL")
+# What a component's note says of such a licence, and of one without id and name.
+OBLIGATIONS, UNNAMED = " [copyleft \u2014 review distribution obligations]", "unknown"
+_BOM = "struct<components:array<struct<name:string,version:string,licenses:array<struct<license:string,expression:string>>>>>"
+
+
+def components(raw: DataFrame) -> DataFrame:
+    """doc, ord (position in its document), component, version, entries (its licences' id and label) of CycloneDX documents.
+
+    raw: json, and `doc` if documents have an order of their own. An entry is a license object, a license text or an
+    expression; its id is null where it has neither id nor name.
+    """
+    d = raw.select(raw["doc"] if "doc" in raw.columns else F.monotonically_increasing_id().alias("doc"), F.posexplode(F.from_json("json", _BOM)["components"]).alias("ord", "c")).where("c is not null")
+
+    def entry(x: Column) -> Column:
+        lic = x.getField("license")
+        lic = F.when(~lic.isin("", "{}"), lic)
+        named = F.coalesce(F.nullif(F.get_json_object(lic, "$.id"), F.lit("")), F.nullif(F.get_json_object(lic, "$.name"), F.lit("")))
+        text = F.coalesce(lic, F.nullif(x.getField("expression"), F.lit("")))
+        one = F.when(lic.startswith("{"), named).otherwise(text)
+        return F.struct(F.nullif(F.trim(one), F.lit("")).alias("id"), F.coalesce(one, F.when(lic.startswith("{"), F.lit(UNNAMED))).alias("label"))
+
+    entries = F.filter(F.transform(F.coalesce("c.licenses", F.expr("array()").cast("array<struct<license:string,expression:string>>")), entry), lambda e: e.getField("label").isNotNull())
+    return d.select("doc", "ord", _or(F.col("c.name"), "package").alias("component"), F.trim(F.coalesce("c.version", F.lit(""))).alias("version"), entries.alias("entries"))
+
+
+def is_copyleft(text: Column) -> Column:
+    return F.upper(text).rlike("|".join(COPYLEFT))
 
 
 def licenses(raw: DataFrame) -> DataFrame:
-    """ord, component, license, copyleft of a CycloneDX document: an entry is a license object's id or name, or an expression."""
-    t = "struct<components:array<struct<name:string,version:string,licenses:array<struct<license:struct<id:string,name:string>,expression:string>>>>>"
-    d = raw.select(F.posexplode(F.from_json("json", t)["components"]).alias("ord", "c")).select("ord", F.col("c.name").alias("component"), F.explode("c.licenses").alias("l"))
-    lic = F.coalesce(F.nullif(F.col("l.license.id"), F.lit("")), F.nullif(F.col("l.license.name"), F.lit("")), F.nullif(F.col("l.expression"), F.lit("")))
-    return d.select("ord", "component", lic.alias("license")).where("license is not null").withColumn("copyleft", F.upper("license").rlike("|".join(COPYLEFT)))
+    """doc, ord, component, nth, license, copyleft: a row for each named licence of each component."""
+    d = components(raw).select("doc", "ord", "component", F.posexplode("entries").alias("nth", "e"))
+    return d.select("doc", "ord", "component", "nth", F.col("e.id").alias("license")).where("license is not null").withColumn("copyleft", is_copyleft(F.col("license")))
 
 
 def license_ids(lic: DataFrame, cap: int = 80) -> DataFrame:
-    return lic.select("license").distinct().orderBy("license").limit(cap)
+    """The first `cap` distinct licences as the documents name them, in order of their names."""
+    first = lic.groupBy("license").agg(F.min(F.struct("doc", "ord", "nth")).alias("at"))
+    return first.orderBy("at", "license").limit(cap).select("license").orderBy("license")
 
 
-def license_notes(lic: DataFrame, cap: int = 40) -> DataFrame:
-    """ord, note of the first licences in document order, copyleft ones marked."""
-    mark = F.when(F.col("copyleft"), F.lit(" (copyleft)")).otherwise("")
-    return lic.orderBy("ord", "license").limit(cap).select("ord", F.concat("component", F.lit(": "), "license", mark).alias("note"))
+def license_notes(raw: DataFrame, cap: int = 40) -> DataFrame:
+    """doc, ord, note: `name@version: licences` of the first `cap` components of each document that have any."""
+    d = components(raw).where(F.size("entries") > 0)
+    label = F.when(F.col("version") != "", F.concat("component", F.lit("@"), "version")).otherwise(F.col("component"))
+    ids = F.array_join(F.transform("entries", lambda e: e.getField("label")), ", ")
+    nth = F.row_number().over(Window.partitionBy("doc").orderBy("ord"))
+    return d.select("doc", "ord", F.concat(label, F.lit(": "), ids, F.when(is_copyleft(ids), OBLIGATIONS).otherwise("")).alias("note"), nth.alias("nth")).where(F.col("nth") <= cap).drop("nth")
 
 
 def supply_chain(raw: DataFrame) -> DataFrame:
-    """One row for an SBOM's text: n_components, n_licensed, n_copyleft, license_ids, gap (a note where there is no document)."""
-    known = F.try_parse_json("json").isNotNull()
-    n = raw.agg(F.coalesce(F.sum(F.when(known, F.size(F.coalesce(F.from_json("json", "struct<components:array<struct<name:string>>>")["components"], F.array().cast("array<struct<name:string>>"))))), F.lit(0)).alias("n_components"), F.coalesce(F.bool_or(known), F.lit(False)).alias("known"))
-    lic = licenses(raw)
-    l = lic.agg(F.count_distinct("ord").alias("n_licensed"), F.count_if("copyleft").alias("n_copyleft"))  # noqa: E741
-    ids = license_ids(lic).agg(F.array_sort(F.collect_set("license")).alias("license_ids"))
-    return n.join(l).join(ids).select("n_components", "n_licensed", "n_copyleft", "license_ids", F.when(~F.col("known"), "sbom: no document").otherwise("").alias("gap"))
+    """One row for all documents: n_components, n_licensed (components with a named licence), n_copyleft (licences), license_ids, gap (a note where there is no document)."""
+    known = raw.agg(F.coalesce(F.bool_or(F.try_parse_json("json").isNotNull()), F.lit(False)).alias("known"))
+    named = F.filter("entries", lambda e: e.getField("id").isNotNull())
+    n = components(raw).agg(
+        F.count("*").alias("n_components"), F.count_if(F.size(named) > 0).alias("n_licensed"),
+        F.coalesce(F.sum(F.size(F.filter("entries", lambda e: is_copyleft(e.getField("id"))))), F.lit(0)).cast("long").alias("n_copyleft"),
+    )
+    ids = license_ids(licenses(raw)).agg(F.array_sort(F.collect_set("license")).alias("license_ids"))
+    return n.join(known).join(ids).select("n_components", "n_licensed", "n_copyleft", "license_ids", F.when(~F.col("known"), "sbom: no document").otherwise("").alias("gap"))
