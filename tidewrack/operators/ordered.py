@@ -33,15 +33,17 @@ def numbered(df: DataFrame, *order: Column, name: str = "ord", partitions: int |
     return d.join(o, d.part == o.o_part).withColumn("place", F.col("before") + F.col("place")).drop("part", "o_part", "before").withColumnRenamed("place", name)
 
 
-def running(d: DataFrame, value: Column, group: str) -> DataFrame:
-    """d (what ranged() gives, in an order that starts with group) with `upto`: the sum of value in the group up to and with a row.
+def running(d: DataFrame, value: Column, group: str | None = None) -> DataFrame:
+    """d (what ranged() gives, in an order that starts with group) with `upto`: the sum of value up to and with a row, in its group if there is one.
 
-    Sums within a part are over that part's rows; a group that runs over many parts gets its sums of the parts before.
+    Sums within a part are over that part's rows; what runs over many parts gets the sums of the parts before.
     """
+    by = [group] if group else []
     d = d.withColumn("value", value)
-    o = _offsets(d.groupBy("part", group).agg(F.sum("value").alias("n")), [group], "n")
-    within = Window.partitionBy("part", group).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    o = _offsets(d.groupBy("part", *by).agg(F.sum("value").alias("n")), by, "n")
+    within = Window.partitionBy("part", *by).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("upto", F.sum("value").over(within))
-    return d.join(o, (d.part == o.o_part) & d[group].eqNullSafe(o[f"o_{group}"])).withColumn("upto", F.col("upto") + F.col("before")).drop("o_part", f"o_{group}", "before", "value")
-
-
+    on = d.part == o.o_part
+    for g in by:
+        on = on & d[g].eqNullSafe(o[f"o_{g}"])
+    return d.join(o if by else F.broadcast(o), on).withColumn("upto", F.col("upto") + F.col("before")).drop("o_part", *[f"o_{g}" for g in by], "before", "value")
