@@ -1,5 +1,6 @@
 """The training-data queries do the whole job: inputs that an earlier form left out."""
 
+import itertools
 import random
 
 from tidewrack.llm import decontaminate, langid, stages
@@ -20,6 +21,24 @@ def test_decontamination_finds_short_items(spark):
         assert got == {(1, 1): (9, 13), (2, 2): (9, 11), (3, 3): (6, 8), (4, 4): (5, 5), (5, 5): (1, 1), (8, 4): (5, 5)}
 
 
+def test_decontamination_finds_each_change_of_short_items(spark):
+    """Every single change from 8 words on, and every pair of changes from 10 words on, wherever they stand."""
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in range(8, 15)}
+    docs, want = [], set()
+    for n, words in items.items():
+        for c in (1, 2) if n >= 10 else (1,):
+            for at in itertools.combinations(range(n), c):
+                d = len(docs)
+                docs.append((d, " ".join(["lead", "in", *("other" if k in at else w for k, w in enumerate(words)), "end"])))
+                want.add((d, n))
+    docs.append((len(docs), " ".join(w for n in items for w in items[n][: n // 2])))  # halves are no passages
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    for limit in (10**6, 3):
+        got = {(x.doc_id, x.item_id) for x in decontaminate.overlaps(d, b, limit=limit).collect()}
+        assert got == want
+
+
 def test_near_dedup_stage_tells_texts_of_one_id_apart(spark):
     r = random.Random(4)
     a, b, c, d = (" ".join(f"{x}{r.randint(0, 99)}" for _ in range(60)) for x in "abcd")
