@@ -1,10 +1,12 @@
 """Token counts as delta-maintained rollups.
 
-A store is a folder of committed batches and of the totals that they have been added to. A batch holds signed deltas, summed
-by (source, lang, tokenizer_version). It is written aside and then named by one rename, under a claim that only one writer
-of its id gets, so that a batch that is committed again, by a retry or by mistake, changes nothing. A commit then adds the
-batch to the last totals and writes them as new ones, with the list of batches that they hold; a batch that they don't hold
-(its writer was lost, or another commit was faster) is added when totals are read, and by the next commit.
+A store is a log of committed batches and the totals that they have been added to. A batch holds signed deltas, summed by
+(source, lang, tokenizer_version). Its sums are written aside; the commit is one numbered file in the log, which one writer
+gets: whoever finds the number taken reads what has come and starts again, and a batch whose id has come, by a retry, by
+mistake or by another writer at the same time, changes nothing. A commit then adds what is new in the log to the last totals
+and writes them as new ones, named by the log's number that they reach, so that what they hold is one number; batches beyond
+it (a writer was lost, or another was faster) are added when totals are read, and by the next commit. The ids up to
+that number have a file each, so that an old id is found without a list of all.
 
 A delta is (source, lang, tokenizer_version, n_tokens, sign): +1 inserts a document's count, -1 takes it back; a revised
 count is both. Null source and lang are groups of their own. Groups whose documents and tokens are all taken back don't
@@ -15,12 +17,14 @@ table of documents has no counts; a batch's id may hold any characters.
 from __future__ import annotations
 
 import base64
+import json
 import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import hadoop, names, put_if_absent, read_small
 from .common import bounded, cut, lean, shared_dir, ship, table
 
 KEYS = ("source", "lang", "tokenizer_version")
@@ -28,83 +32,89 @@ _SCHEMA = "source string, lang string, tokenizer_version string, n_docs long, n_
 
 
 class RollupStore:
-    """Folders: batches/<id>, totals/<number>/sums and /holds (batch), aside/ for what isn't finished, claims/<id>."""
+    """Folders: log/<number> (batch, data), ids/<id> (number), totals/<number> (data), data/<name> (sums)."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
-        self.fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _path(self, name: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+    def _get(self, name: str) -> dict | None:
+        text = read_small(self.spark, f"{self.folder}/{name}")
+        return None if text is None else json.loads(text)
 
-    def _names(self, name: str) -> list[str]:
-        return sorted(s.getPath().getName() for s in self.fs.listStatus(self._path(name))) if self.fs.exists(self._path(name)) else []
+    def _put(self, name: str, what: dict) -> bool:
+        return put_if_absent(self.spark, f"{self.folder}/{name}", json.dumps(what))
 
-    def _settle(self, aside: str, name: str) -> bool:
-        """Give what was written aside its name; False if there is something of this name."""
-        if self.fs.exists(self._path(name)):
-            return False
-        self.fs.mkdirs(self._path(name.rpartition("/")[0]))
-        return self.fs.rename(self._path(aside), self._path(name))
+    def _delete(self, name: str) -> None:
+        fs, p = hadoop(self.spark, f"{self.folder}/{name}")
+        fs.delete(p, True)
+
+    def _sums(self, deltas: DataFrame) -> str:
+        data = uuid.uuid4().hex
+        deltas.write.parquet(f"{self.folder}/data/{data}")
+        return data
+
+    def _last(self) -> tuple[int, str | None]:
+        """The log's number that the last totals reach (0: there are none), and their data."""
+        numbers = [int(n) for n in names(self.spark, f"{self.folder}/totals") if n.isdigit()]
+        return (max(numbers), self._get(f"totals/{max(numbers):012}")["data"]) if numbers else (0, None)
+
+    def _beyond(self, number: int) -> list[dict]:
+        """Log entries after a number, as far as they go."""
+        out = []
+        while e := self._get(f"log/{number + len(out) + 1:012}"):
+            out.append(e)
+        return out
 
     def committed(self, batch: str) -> bool:
-        return self.fs.exists(self._path(f"batches/{_name(batch)}"))
+        # the totals' number first: ids up to it have their files
+        beyond = self._beyond(self._last()[0])
+        return any(e["batch"] == batch for e in beyond) or self._get(f"ids/{_name(batch)}") is not None
 
     def commit(self, batch: str, deltas: DataFrame) -> bool:
         """Add a batch; False if one of this id is there already, and nothing changes then."""
         if self.committed(batch):
             return False
-        aside = f"aside/{uuid.uuid4().hex}"
         sums = deltas.groupBy(*KEYS).agg(F.sum("sign").cast("long").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).cast("long").alias("n_tokens"))
-        sums.write.parquet(f"{self.folder}/{aside}")
-        # of writers at one time the first to claim goes on; a claim whose writer was lost is taken over by a later call
-        first = self.fs.createNewFile(self._path(f"claims/{_name(batch)}"))
-        done = (first or not self.committed(batch)) and self._settle(aside, f"batches/{_name(batch)}")
-        if done:
-            self.add_up()
-        self.fs.delete(self._path(aside), True)
-        return done
-
-    def _last(self) -> tuple[int, DataFrame | None, set[str]]:
-        """Number of the last totals (0: none), their sums, and the batches that they hold."""
-        numbers = [int(n) for n in self._names("totals")]
-        if not numbers:
-            return 0, None, set()
-        at = f"{self.folder}/totals/{max(numbers)}"
-        holds = {r["batch"] for r in self.spark.read.schema("batch string").parquet(f"{at}/holds").collect()}
-        return max(numbers), self.spark.read.schema(_SCHEMA).parquet(f"{at}/sums"), holds
-
-    def _current(self) -> tuple[int, DataFrame, list[str], int]:
-        """Number of the last totals, sums with the batches beyond them, names of all batches, and how many are beyond."""
-        number, sums, holds = self._last()
-        names = self._names("batches")
-        new = [n for n in names if n not in holds]
-        parts = [d for d in (sums, self.spark.read.schema(_SCHEMA).parquet(*[f"{self.folder}/batches/{n}" for n in new]) if new else None) if d is not None]
-        all_ = parts[0] if parts else self.spark.createDataFrame([], _SCHEMA)
-        for d in parts[1:]:
-            all_ = all_.unionAll(d)
-        if new:
-            all_ = all_.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        return number, all_, names, len(new)
+        data = self._sums(sums)
+        while True:
+            number = self._last()[0]
+            beyond = self._beyond(number)
+            if any(e["batch"] == batch for e in beyond) or self._get(f"ids/{_name(batch)}"):
+                self._delete(f"data/{data}")
+                return False
+            if self._put(f"log/{number + len(beyond) + 1:012}", {"batch": batch, "data": data}):
+                break
+        self.add_up()
+        return True
+
+    def _current(self) -> tuple[int, list[dict], DataFrame]:
+        """Number of the last totals, log entries beyond, and the sums of all."""
+        number, data = self._last()
+        beyond = self._beyond(number)
+        found = [d for d in (data, *(e["data"] for e in beyond)) if d]
+        if not found:
+            return number, beyond, self.spark.createDataFrame([], _SCHEMA)
+        all_ = self.spark.read.schema(_SCHEMA).parquet(*[f"{self.folder}/data/{d}" for d in found])
+        return number, beyond, all_.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
     def add_up(self) -> None:
-        """Write new totals that hold all batches; the last ones but one go."""
-        number, sums, names, new = self._current()
-        if not new:
+        """Write new totals that reach the log's end; the last ones but one go."""
+        number, beyond, sums = self._current()
+        if not beyond:
             return
-        aside = f"aside/{uuid.uuid4().hex}"
-        sums.write.parquet(f"{self.folder}/{aside}/sums")
-        self.spark.createDataFrame([(n,) for n in names], "batch string").coalesce(1).write.parquet(f"{self.folder}/{aside}/holds")
-        if not self._settle(aside, f"totals/{number + 1}"):
-            self.fs.delete(self._path(aside), True)
-        for n in self._names("totals"):
-            if int(n) < number:
-                self.fs.delete(self._path(f"totals/{n}"), True)
+        for k, e in enumerate(beyond, number + 1):
+            self._put(f"ids/{_name(e['batch'])}", {"number": k})
+        data = self._sums(sums)
+        if not self._put(f"totals/{number + len(beyond):012}", {"data": data}):
+            self._delete(f"data/{data}")
+        for n in names(self.spark, f"{self.folder}/totals"):
+            if n.isdigit() and int(n) < number and (old := self._get(f"totals/{n}")):
+                self._delete(f"totals/{n}")
+                self._delete(f"data/{old['data']}")
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer_version, n_docs, n_tokens over all committed batches."""
-        return self._current()[1].where("n_docs <> 0 or n_tokens <> 0")
+        return self._current()[2].where("n_docs <> 0 or n_tokens <> 0")
 
 
 def _name(batch: str) -> str:
