@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, table
+from .common import bounded, cut, maybe_broadcast, table
 
 #: The rules of the registered query (host, path, verdict).
 RULES = (
@@ -117,7 +117,11 @@ def judge(pages: DataFrame, listed: DataFrame) -> DataFrame:
     # a rule comes before a listed site or page; of rules the longest wins
     best = F.max(F.struct((F.col("kind") == "rule").alias("is_rule"), F.length(F.concat("e_host", "e_path")).alias("n"), F.concat("e_host", "e_path").alias("entry"), "kind", "verdict"))
     found = j.groupBy(F.col("url").alias("f_url")).agg(best.alias("b"))
-    return p.join(found, p.url == F.col("f_url"), "left").select("page_id", "url", "host", "path", "b.entry", "b.kind", "b.verdict")
+    # a page without a hit, and every null url, is dealt to no task by its url
+    found = cut(found, "found")
+    out = p.where("url is not null").join(maybe_broadcast(found), p.url == F.col("f_url"), "left").select("page_id", "url", "host", "path", "b.entry", "b.kind", "b.verdict")
+    none = [F.lit(None).cast("string").alias(c) for c in ("entry", "kind", "verdict")]
+    return out.unionByName(p.where("url is null").select("page_id", "url", "host", "path", *none))
 
 
 def false_positives(pages: DataFrame, listed: DataFrame) -> DataFrame:
