@@ -7,18 +7,16 @@ import functools
 import gc
 import pathlib
 import tempfile
-import uuid
-import weakref
 import zipfile
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import BROADCAST_ROWS, bounded, cut, drop_cut, last, maybe_broadcast, shared_dir  # noqa: F401
+
 #: A word is a run of characters other than space and \t \n \v \f \r.
 WORD_GAP = r"[\x20\x09-\x0D]+"
-#: Rows of a lookup side (ids, seeds, filter words) up to which it is broadcast; beyond it a shuffled join is used.
-BROADCAST_ROWS = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -36,55 +34,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; in local mode, where none is configured, a temporary one."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not conf:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        conf = "file://" + tempfile.mkdtemp(prefix="tidewrack-")
-        spark.sparkContext.setCheckpointDir(conf)
-    return conf.rstrip("/")
-
-
-_paths: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
-
-
-def cut(df: DataFrame, what: str = "cut") -> DataFrame:
-    """Write df as a table in the shared folder and read it back: later steps don't recompute it and lost executors don't matter."""
-    path = f"{shared_dir(df.sparkSession)}/tidewrack/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    _paths[out] = path
-    return out
-
-
-def drop_cut(*tables: DataFrame) -> None:
-    """Delete tables that cut() wrote, once nothing reads them any more; others are left alone."""
-    for df in tables:
-        path = _paths.pop(df, None)
-        if path:
-            p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def last(df: DataFrame, what: str, *tables: DataFrame) -> DataFrame:
-    """cut(df), after which the tables that it was made of are deleted."""
-    out = cut(df, what)
-    drop_cut(*tables)
-    return out
-
-
-def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """True if df has at most so many rows (reads no more than limit + 1 of them)."""
-    return df.limit(limit + 1).count() <= limit
-
-
-def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its size has been checked, else as it is (a shuffled join follows)."""
-    return F.broadcast(df) if bounded(df, limit) else df
-
-
 def give_back() -> None:
     """Return what a Python worker has freed to the system: it waits, idle, beside the executor's heap for its next task."""
     import pyarrow as pa

@@ -4,8 +4,9 @@ Main path: DataFrame functions only.
 
 Every document gets a place in its source's shuffled order; a copy's virtual finish time is the source's tokens up to
 and with it, divided by the source's target. All copies in order of finish time, cut at the total budget, are the mix.
-Running sums go in three steps (sums of coarse buckets, of buckets, then order within a bucket), so that no source meets in
-one task; the number of buckets follows the number of rows, so that a bucket has about BUCKET of them at any size.
+A source's running sums go in three steps (sums of coarse buckets, of buckets, then order within a bucket), so that no source
+meets in one task; the number of buckets follows the number of rows, so that a bucket has about BUCKET of them at any size.
+The copies are range-sorted by finish time into a table, whose running sums are sums of partitions and then within each.
 
 Defined cases: a null text has size 0 and is taken with 0 words; a null source is a source of its own, last in order;
 rows with equal keys are ordered by doc_id, and equal rows are told apart by nothing and treated alike; an empty table
@@ -20,14 +21,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordered import ranged, running
 from .common import bounded, cut, last, n_words, table
 
 #: Weights of the sources in code point order, repeating; copies of a document at most.
 WEIGHTS, COPIES = (5, 2, 1), 3
 SEED = "mix-1"
-#: Rows that a bucket of running sums is meant for, and units of virtual time (the budget is met near 1) after which one bucket
-#: holds the rest, which is past the budget and dropped before its rows are put in order.
-BUCKET, UNITS = 2048, 2
+#: Rows that a bucket of running sums is meant for.
+BUCKET = 2048
 #: Sources, and buckets, whose one row each is broadcast.
 SOURCES, SUMS = 100_000, 200_000
 
@@ -82,7 +83,7 @@ def _below(df: DataFrame, part: list[str], bucket: str, buckets: int, size: str)
 
 
 def weighted_mix(base: DataFrame, per: DataFrame, seed: str = SEED) -> DataFrame:
-    """The mix: doc_id, source, size, copy (0 up), finish, upto (tokens of the mix up to and with this copy).
+    """The mix: doc_id, source, size, copy (0 up), finish, upto (tokens of the mix up to and with this copy), part and place in order.
 
     base: doc_id, source, size, a table that is cheap to read again; per: as targets() gives.
     """
@@ -99,24 +100,25 @@ def weighted_mix(base: DataFrame, per: DataFrame, seed: str = SEED) -> DataFrame
     d = d.join(t, d.source.eqNullSafe(t.t_source)).drop("t_source")
     d = d.select("*", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("copy"))
     finish = F.when(F.col("target") > 0, (F.col("copy") * F.col("source_size") + F.col("place")).cast("double") / F.col("target")).otherwise(F.lit(0.0))
-    d = d.withColumn("finish", finish).withColumn("tick", F.least(F.floor(F.col("finish") * buckets), F.lit(buckets * UNITS)))
-    d = _below(d, [], "tick", buckets, "size").where("below < total or size = 0")
-    within = Window.partitionBy("tick").orderBy("finish", F.col("source").asc_nulls_last(), "copy", "key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("upto", F.col("below") + F.sum("size").over(within)).where("upto <= total")
-    return d.select("doc_id", "source", "size", "copy", "finish", "upto")
+    d = d.select("doc_id", "source", "size", "copy", "key", "total", finish.alias("finish"))
+    order = [F.col("finish"), F.col("source").asc_nulls_last(), *map(F.col, ("copy", "key", "doc_id", "size"))]
+    table = ranged(d, *order)
+    m = running(table, F.col("size")).where("upto <= total")
+    return last(m.select("doc_id", "source", "size", "copy", "finish", "upto", "part", "place"), "mixed", table)
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The mix of all documents, globally range-sorted by finish time."""
+    """The mix of all documents in order of finish time: doc_id, source, size, copy, finish, upto."""
     base = cut(sizes(docs), "sizes")
-    return weighted_mix(base, targets(base)).orderBy("finish", F.col("source").asc_nulls_last(), "copy", "upto", "doc_id")
+    return weighted_mix(base, targets(base)).orderBy("part", "place").drop("part", "place")
 
 
 def taken(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, size, source_size, target, taken."""
     base = cut(sizes(docs), "sizes")
     per = cut(targets(base), "targets")
-    got = weighted_mix(base, per).groupBy("doc_id", "source", "size").agg(F.sum("size").alias("t"), F.count("*").alias("c"))
+    mixed = weighted_mix(base, per)
+    got = mixed.groupBy("doc_id", "source", "size").agg(F.sum("size").alias("t"), F.count("*").alias("c"))
     same = base.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows"))
     g = got.select(F.col("doc_id").alias("g_id"), F.col("source").alias("g_source"), F.col("size").alias("g_size"), "t")
     s = same.join(g, same.doc_id.eqNullSafe(g.g_id) & same.source.eqNullSafe(g.g_source) & (same["size"] == g.g_size), "left")
@@ -127,7 +129,7 @@ def taken(docs: DataFrame) -> DataFrame:
     t = per.select(F.col("source").alias("t_source"), "source_size", "target")
     t = F.broadcast(t) if bounded(per, SOURCES) else t
     out = s.join(t, s.source.eqNullSafe(t.t_source)).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "source")
-    return last(out, "mix", base, per)
+    return last(out, "mix", base, per, mixed)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,11 +68,13 @@ def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     (by text) getting one more.
     """
     base = cut(mixing.sizes(docs), "sizes")
-    got = mixing.weighted_mix(base, cut(mixing.targets(base), "targets")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("c"))
+    per = cut(mixing.targets(base), "targets")
+    mixed = mixing.weighted_mix(base, per)
+    got = mixed.groupBy("doc_id", "source", "size").agg(F.count("*").alias("c"))
     rows = base.where("size > 0").groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
     rows = rows.withColumnsRenamed({"doc_id": "r_id", "source": "r_source", "size": "r_size"})
     same = F.col("doc_id").eqNullSafe(F.col("r_id")) & F.col("source").eqNullSafe(F.col("r_source")) & (F.col("size") == F.col("r_size"))
-    m = last(got.join(rows, same).select("r_id", "r_source", "r_size", "c", "n"), "taken", base)
+    m = last(got.join(rows, same).select("r_id", "r_source", "r_size", "c", "n"), "taken", base, per, mixed)
     d = docs.select(whole(docs).alias("row"), n_words(F.col("text")).alias("size"))
     same = F.col("row.doc_id").eqNullSafe(F.col("r_id")) & F.col("row.source").eqNullSafe(F.col("r_source")) & (F.col("size") == F.col("r_size"))
     once = d.join(maybe_broadcast(m.where("n = 1")), same).select("row", F.col("c").alias("k"))
