@@ -93,3 +93,44 @@ def test_stems_by_distinct_words(spark):
     got = {(x.term, x.path): (x.tf, sorted(x.at)) for x in p.collect()}
     assert got["run", "a"] == (2, [1, 2]) and got["run", "b"] == (1, [2]) and got["ti", "a"] == (1, [4])
     assert rows(search.build(tree, stem=True, only=["run"])[0].select("path", "tf")) == [("a", 2), ("b", 1)]
+
+
+def test_pruned_search_equals_the_whole_one_and_skips_blocks(spark):
+    r = random.Random(9)
+    tree = {f"f{k}": " ".join(r.choice(["the", "rare", *["w%d" % (i % 40) for i in range(60)]]) for _ in range(r.choice([3, 10, 200]))) for k in range(600)}
+    p, d = search.build(files(spark, tree), cap=None)
+    p, d = p.cache(), d.cache()
+    bounds = search.bounds(p, d, 128).cache()
+    for terms in (["the", "rare"], ["w3"], ["w1", "w2", "w1"], ["none"]):
+        got, counts = search.query_pruned(p, d, bounds, 128, terms, 5, probe=4)
+        want = search.query(p, d, [[t] for t in terms], 5)
+        assert [x.path for x in got.collect()] == [x.path for x in want.collect()]
+        assert [x.score for x in got.collect()] == [pytest.approx(x.score) for x in want.collect()]
+        n = counts.first()
+        assert n.n_read <= n.n_blocks
+    n = search.query_pruned(p, d, bounds, 128, ["the", "rare"], 5, probe=4)[1].first()
+    assert n.n_read < n.n_blocks
+
+
+def test_snippets_equal_another_engine(spark):
+    import sqlite3
+
+    r = random.Random(3)
+    sep = [" ", " ", " ", ". ", ": ", "\n", ", ", " - "]
+    tree = {f"f{k}": r.choice(["", "# "]) + "".join(r.choice(["alpha", "beta", "running", *["w%d" % i for i in range(30)]]) + r.choice(sep) for _ in range(r.choice([3, 20, 24, 25, 90]))) for k in range(120)}
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE VIRTUAL TABLE c USING fts5(path, content, tokenize='porter unicode61')")
+    db.executemany("INSERT INTO c VALUES (?, ?)", tree.items())
+    for terms in (["alpha"], ["alpha", "beta", "run"], ["w3", "runs"]):
+        want = dict(db.execute("SELECT path, snippet(c, 1, '', '', '…', 24) FROM c WHERE c MATCH ?", ["content: (" + " OR ".join(f'"{t}"' for t in terms) + ")"]))
+        hits = spark.createDataFrame([(p, 0.0) for p in want], "path string, score double")
+        got = {x.path: x.snippet for x in search.snippets(hits, files(spark, tree), terms, stem=True).collect()}
+        assert got == want and len(got) > 20
+
+
+def test_learned_context(spark):
+    from tidewrack.operators import prompts
+
+    hits = spark.createDataFrame([("b", -1.0, " two "), ("a", -2.0, ""), ("c", -1.0, None)], "path string, score double, snippet string")
+    assert prompts.learned_context(hits).first().text == "## Local learning context (on-disk index)\n\n### a\n```\n(no snippet)\n```\n\n### b\n```\ntwo\n```\n\n### c\n```\n(no snippet)\n```\n"
+    assert prompts.learned_context(hits.where("false")).first().text == ""

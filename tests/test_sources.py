@@ -122,3 +122,69 @@ def test_many_quotes_of_one_file(spark):
     for at_once in (4096, 100):
         got = {x.ord: (x.start_line, x.end_line, x.start_column) for x in anchors.nearest(d, f, at_once).collect()}
         assert got == want and len(got) > 1900
+
+
+def test_store_gives_a_version_to_one_writer(spark, tmp_path, monkeypatch):
+    from tidewrack.sources import store
+
+    a, b = (store.Store(spark, f"file://{tmp_path}/s") for _ in range(2))
+    t = lambda **k: spark.createDataFrame(list(k.items()), "path string, sha256 string")
+    a.upsert("fingerprints", t(x="1", y="1"))
+    own, said = store.put_if_absent, []
+
+    def put(session, path, text):
+        if not said:
+            said.append(None)
+            said.append(b.upsert("fingerprints", t(z="9", y="2")))
+        return own(session, path, text)
+
+    monkeypatch.setattr(store, "put_if_absent", put)
+    assert a.upsert("fingerprints", t(w="3"), t(x="").select("path")) == 3 and said[1] == 2
+    assert sorted(map(tuple, a.latest("fingerprints").collect())) == [("w", "3"), ("y", "2"), ("z", "9")]
+    said.clear()
+    assert a.replace("fingerprints", t(q="1")) == 5 and said[1] == 4 and [tuple(r) for r in b.latest("fingerprints").collect()] == [("q", "1")]
+    assert a.last_report() is None
+    a.point("reports/1.json")
+    b.point("reports/2.json")
+    assert a.last_report() == "reports/2.json"
+
+
+def test_appended_rules_are_checked_and_read_back(spark, tmp_path):
+    import pytest
+
+    from tidewrack.sources import rules, store
+
+    s = store.Store(spark, f"file://{tmp_path}/s")
+    entry = "stable_id string, file string, category string, reason string, note string, expires string"
+    good = [("id-1", None, None, "wont_fix", None, None), (None, "a\\b.py", 'say "x"', "other", "n", "2030-01-02")]
+    rules.append_rules(s, spark.createDataFrame(good[:1], entry))
+    rules.append_rules(s, spark.createDataFrame(good[1:], entry))
+    for bad in ((None, "f", None, "other", None, None), ("i", None, None, "because", None, None), (" ", None, None, "other", None, None), ("i", None, None, None, None, None)):
+        with pytest.raises(ValueError):
+            rules.append_rules(s, spark.createDataFrame([good[0], bad], entry))
+    got = rules.appended_rules(s)
+    assert [tuple(r)[:6] for r in got.orderBy("ord").collect()] == [(0, "id-1", None, None, "wont_fix", ""), (1, None, "a\\b.py", 'say "x"', "other", "n")]
+    text = "\n\n".join(r.text for r in rules.ignore_text(got).orderBy("ord").collect())
+    again = rules.ignore_rules(spark, text)
+    assert [tuple(r) for r in again.orderBy("ord").collect()] == [tuple(r) for r in got.orderBy("ord").collect()]
+
+
+def test_modes_of_a_review(spark):
+    from tidewrack.plans import review
+    from tidewrack.sources import rules
+
+    f = spark.createDataFrame([("src/a.py", 9, "eval(x)\n")], "relative string, size long, content string")
+    found = spark.createDataFrame([("HIGH", "sec.xxe", "src/a.py", 1, "XML entity"), ("LOW", "arch.api", "src/a.py", 1, "API")], "severity string, category string, file string, line int, title string")
+    registry = spark.createDataFrame([("security", "p1", True, "S"), ("reliability", "p2", True, "R"), ("architecture", "p3", False, "A")], "id string, band string, enabled boolean, body string")
+    notes = spark.createDataFrame([(0, "coverage:sec.ssrf: N/A - no outgoing requests in the tree"), (1, "coverage:sec.redos: N/A - not reviewed")], "ord int, note string")
+    none = spark.createDataFrame([], rules.FEEDBACK)
+    run = lambda mode, **k: review.run(f, found, rules.ignore_rules(spark, ""), none, "2026-01-01", mode=mode, registry=registry, notes=notes, **k)
+    out = run("sentinel")
+    status = {r.id: r.status for r in out["coverage"].collect()}
+    assert set(status) == {i for b, i, *_ in score.MATRIX if b == "p1"} and status["sec.ssrf"] == "na" and status["sec.redos"] == "missed" and status["sec.xxe"] == "covered"
+    gaps = [r.gap for r in out["gaps"].orderBy("lane", "ord").collect()]
+    assert gaps[0] == "coverage:sec.ssrf: N/A - no outgoing requests in the tree" and gaps[1].startswith("coverage:sec.redos: missed") and not any("arch." in g for g in gaps)
+    assert [r.band for r in out["passes"].collect()] == ["p1"] and [r.body for r in out["playbooks"].collect()] == ["S"]
+    out = run("review", full_audit=False)
+    assert {r.band for r in out["passes"].collect()} == {"p1", "p2"} and {r.id for r in out["coverage"].collect()} == {i for _, i, full, _ in score.MATRIX if not full}
+    assert {r.id.split(".")[0] for r in run("architecture")["coverage"].collect()} == {"arch"}

@@ -153,27 +153,39 @@ def redact_git(text: Column) -> Column:
     return F.substring(F.trim(F.coalesce(F.get(lines, F.lit(0)), F.lit(""))), 1, 300)
 
 
+# What ids of advisories and issues look like.
+ADVISORY = r"(?i)\b(CVE-\d{4}-\d{4,}|GHSA-[a-z0-9]{4}-[a-z0-9]{4}-[a-z0-9]{4})\b"
+UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+
+
 def advisory_id(text: Column) -> Column:
-    return F.upper(F.regexp_extract(text, r"(?i)\b(CVE-[0-9]{4}-[0-9]{4,}|GHSA(?:-[0-9a-z]{4}){3})\b", 1))
+    return F.upper(F.regexp_extract(text, ADVISORY, 1))
 
 
 def package_hint(title: Column) -> Column:
     return F.lower(F.regexp_extract(title, r"(?i)\b(?:in|for)\s+([A-Za-z0-9_.@/+-]+)", 1))
 
 
+# The ways that sources name a package.
+PACKAGE_SHAPES = (
+    r"\bimport\s+{dotted}\b",
+    r"\bfrom\s+{dotted}\b",
+    r"""require\(\s*['"]{escaped}['"]\s*\)""",
+    r"""from\s+['"]{escaped}['"]""",
+    r"""import\(\s*['"]{escaped}['"]\s*\)""",
+    r"\b{escaped}\b",
+)
+
+
 def package_patterns(name: Column) -> Column:
-    """One pattern for the ways that sources name a package: imports (a hyphen is an underscore there), quoted modules, the bare word."""
+    """One pattern of all shapes: `escaped` is the name, `dotted` the name as imports write it, with underscores for hyphens."""
     quote = lambda c: F.concat(F.lit(r"\Q"), c, F.lit(r"\E"))
-    q, m = quote(name), quote(F.replace(name, F.lit("-"), F.lit("_")))
-    shapes = (
-        (r"\bimport\s+", m, r"\b"), (r"\bfrom\s+", m, r"\b"), (r"require\(\s*['\"]", q, r"['\"]\s*\)"),
-        (r"from\s+['\"]", q, r"['\"]"), (r"import\(\s*['\"]", q, r"['\"]\s*\)"), (r"\b", q, r"\b"),
-    )
-    return F.concat(F.lit("(?U)"), *[x for k, (a, c, z) in enumerate(shapes) for x in (F.lit(("|" if k else "") + a), c, F.lit(z))])
+    pattern = F.replace(F.lit("(?U)" + "|".join(PACKAGE_SHAPES)), F.lit("{dotted}"), quote(F.replace(name, F.lit("-"), F.lit("_"))))
+    return F.replace(pattern, F.lit("{escaped}"), quote(name))
 
 
 def is_uuid(c: Column) -> Column:
-    return F.coalesce(c.rlike(r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\z"), F.lit(False))
+    return F.coalesce(c.rlike(UUID) & ~c.endswith("\n"), F.lit(False))
 
 
 def run_id(known: Column) -> Column:

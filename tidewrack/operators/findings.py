@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from . import ordered
 
 
 def keep_first(df: DataFrame, *keys: str) -> DataFrame:
@@ -30,6 +31,17 @@ def merge_confidence(parts: DataFrame) -> DataFrame:
     return parts.agg(F.coalesce(F.min(F.when((F.col("n_issues") > 0) | (F.col("n_gaps") > 0), F.col("confidence"))), F.lit(0)).alias("confidence"))
 
 
+def merge_gaps(gaps: DataFrame) -> DataFrame:
+    """ord, gap: the gaps of all parts in order (part, ord), each once. gaps: part, ord, gap."""
+    first = gaps.groupBy("gap").agg(F.min(F.struct("part", "ord")).alias("at"))
+    return ordered.numbered(first, F.col("at"), F.col("gap")).select("ord", "gap")
+
+
+def first_scores(parts: DataFrame) -> DataFrame:
+    """One row, scores: those of the first part that has any. parts: part, scores."""
+    return parts.agg(F.min_by("scores", F.when(F.col("scores").isNotNull(), F.col("part"))).alias("scores"))
+
+
 def cluster(issues: DataFrame) -> DataFrame:
     """One row for each (file, category, weakness or title): the severest, first of ties; clusteredCount where more than one."""
     d = issues.withColumn("k_file", C.norm_match(F.col("file"))).withColumn("k_cat", F.lower(F.trim("category")))

@@ -82,13 +82,15 @@ def ci_gaps(files: DataFrame) -> DataFrame:
     return _found(g.where("relative is not null and not (updates and analysis)"), "ci_gaps", F.concat(F.lit("Missing automation: "), missing), "LOW", "P3")
 
 
-#: Cloud-automation pack: file suffixes, bytes at most, and (title, pattern, severity); every match is a finding.
-CLOUD_SUFFIXES, CLOUD_BYTES = (".json", ".bicep", ".arm", ".yml", ".yaml", ".xml", ".txt"), 400_000
-_GUID = r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
+#: Bytes of a file that the cloud pack looks at.
+CLOUD_BYTES = 400_000
+# What the cloud-automation pack looks at and for, as (title, pattern, severity); every match is a finding.
+CLOUD_SUFFIXES = (".json", ".bicep", ".arm", ".yml", ".yaml", ".xml", ".txt")
+GUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
 CLOUD = (
-    ("Tenant id in source", rf"""(?i)["']?(?:tenant[_-]?id|tenantid)["']?\s*[=:]\s*["']?{_GUID}["']?""", "MEDIUM"),
-    ("Subscription id in source", rf"""(?i)["']?(?:subscription[_-]?id|subscriptionid)["']?\s*[=:]\s*["']?{_GUID}["']?""", "MEDIUM"),
-    ("Secret in source", r"""(?i)["']?(?:client[_-]?secret|shared[_-]?key|primary[_-]?key|password)["']?\s*[=:]\s*["'][^"']{8,}["']""", "HIGH"),
+    ("Tenant id in source", rf"""(?i)["']?(tenant[_-]?id|tenantid)["']?\s*[=:]\s*["']?({GUID})["']?""", "MEDIUM"),
+    ("Subscription id in source", rf"""(?i)["']?(subscription[_-]?id|subscriptionid)["']?\s*[=:]\s*["']?({GUID})["']?""", "MEDIUM"),
+    ("Secret in source", r"""(?i)["']?(client[_-]?secret|shared[_-]?key|primary[_-]?key|password)["']?\s*[=:]\s*["']([^"']{8,})["']""", "HIGH"),
 )
 
 

@@ -16,6 +16,18 @@ def context_block(hits: DataFrame, files: DataFrame, tokens: int = 24) -> DataFr
     return j.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("score", "path", line.alias("l")))), lambda x: x.getField("l")), "\n\n").alias("text"))
 
 
+# What the context of a prompt says.
+CONTEXT, NOTHING = "## Local learning context (on-disk index)", "(no snippet)"
+
+
+def learned_context(hits: DataFrame) -> DataFrame:
+    """One row, text: Markdown of search hits (path, score, snippet; a few), best first; "" without hits."""
+    text = F.coalesce(F.nullif(C.strip(F.coalesce("snippet", F.lit(""))), F.lit("")), F.lit(NOTHING))
+    block = F.concat(F.lit("### "), "path", F.lit("\n```\n"), text, F.lit("\n```\n"))
+    blocks = F.transform(F.array_sort(F.collect_list(F.struct("score", "path", block.alias("b")))), lambda x: x.getField("b"))
+    return hits.agg(F.when(F.count("*") == 0, "").otherwise(F.concat(F.lit(f"{CONTEXT}\n\n"), F.array_join(blocks, "\n"))).alias("text"))
+
+
 def pass_prompts(passes: DataFrame, packed: DataFrame, sections: dict[str, str], cap: int = 12_000) -> DataFrame:
     """band, prompt: each pass's rules and checklist, fixed sections, then excerpts of the packed files in order."""
     block = F.concat(F.lit("## "), "relative", F.lit("\n"), C.excerpt(F.col("content"), cap))

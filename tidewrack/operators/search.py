@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import cut, maybe_broadcast
+from ..shared import bounded, cut, maybe_broadcast
 
 K1, B, MIN_IDF, CAP, MAX_TERMS = 1.2, 0.75, 1e-6, 80_000, 12
 
@@ -18,8 +20,6 @@ def index_tokens(text: Column) -> Column:
 
 def query_terms(text: str) -> list[str]:
     """The first terms of a query, repeated ones included."""
-    import re
-
     return [t.lower() for t in re.findall(r"[A-Za-z_][A-Za-z0-9_]{2,}", text)][:MAX_TERMS]
 
 
@@ -31,10 +31,15 @@ def build(files: DataFrame, stem: bool = False, cap: int | None = CAP, only: lis
     """
     text = F.col("content") if cap is None else F.substring("content", 1, cap)
     d = files.where(F.trim(F.coalesce("content", F.lit(""))) != "").select(F.col("relative").alias("path"), F.concat_ws(" ", "relative", text).alias("text"))
-    tokens = F.transform(index_tokens(F.col("text")), lambda t, i: F.struct(i.alias("at"), t.alias("term")))
+    grouped = lambda t: t.groupBy("term", "path").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("at")).alias("at"))
+    placed = lambda ts: F.transform(ts, lambda t, i: F.struct(i.alias("at"), t.alias("term")))
     if only is not None and not stem:
-        tokens = F.filter(tokens, lambda x: x.getField("term").isin(*only))
-    t = d.select("path", F.explode(tokens).alias("x")).select("path", "x.*")
+        # one pass over the texts, for postings and lengths
+        ts = d.select("path", index_tokens(F.col("text")).alias("ts"))
+        hits = F.filter(placed("ts"), lambda x: x.getField("term").isin(*only))
+        base = cut(ts.select("path", F.size("ts").cast("long").alias("len"), hits.alias("hits")), "hits")
+        return grouped(base.select("path", F.explode("hits").alias("x")).select("path", "x.*")), base.select("path", "len")
+    t = d.select("path", F.explode(placed(index_tokens(F.col("text")))).alias("x")).select("path", "x.*")
     if stem:
         # distinct words are stemmed, not their occurrences
         stems = t.select("term").distinct().select(F.col("term").alias("raw"), porter_udf()("term").alias("stem"))
@@ -42,7 +47,7 @@ def build(files: DataFrame, stem: bool = False, cap: int | None = CAP, only: lis
         t = t.join(maybe_broadcast(stems), F.col("term") == F.col("raw")).select("path", "at", F.col("stem").alias("term"))
     marks = F.regexp_replace(F.lower("text"), "[a-z0-9]+", "x")
     n = F.length(marks) - F.length(F.replace(marks, F.lit("x"), F.lit("")))
-    return t.groupBy("term", "path").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("at")).alias("at")), d.select("path", n.alias("len"))
+    return grouped(t), d.select("path", n.cast("long").alias("len"))
 
 
 def phrase_frequencies(postings: DataFrame, terms: list[list[str]]) -> DataFrame:
@@ -75,6 +80,95 @@ def query(postings: DataFrame, docs: DataFrame, terms: list[list[str]], k: int =
     return j.groupBy("path").agg((-F.sum(part)).alias("score")).orderBy("score", "path").limit(k)
 
 
+def block_of(path: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(blocks)).cast("int")
+
+
+def bounds(postings: DataFrame, docs: DataFrame, blocks: int) -> DataFrame:
+    """term, block, max_tf, min_len, n: for each block of files what bounds a term's part of any score in it (a table to keep beside the postings)."""
+    d = postings.select("term", "path", "tf").join(docs, "path")
+    return d.groupBy("term", block_of(F.col("path"), blocks).alias("block")).agg(F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.count("*").alias("n"))
+
+
+def _part(idf: Column, tf: Column, length: Column) -> Column:
+    """A term's part of a score: it grows with tf and falls with the length, so bounds of both bound it."""
+    return F.greatest(idf, F.lit(MIN_IDF)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.col("avg")))
+
+
+def query_pruned(postings: DataFrame, docs: DataFrame, bounds_: DataFrame, blocks: int, terms: list[str], k: int = 5, probe: int = 8) -> tuple[DataFrame, DataFrame]:
+    """What query() gives for single words, from the blocks that can hold one of the k best; and one row: n_blocks that hold a term, n_read.
+
+    The `probe` blocks of the highest bounds are scored first; their k-th score is what a further block's bound must reach.
+    """
+    t = bounds_.where(F.col("term").isin(*set(terms)))
+    counts = {w: terms.count(w) for w in terms}
+    times = F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])[F.col("term")]
+    all_ = docs.agg(F.count("*").alias("N"), F.avg("len").alias("avg"))
+    df = t.groupBy("term").agg(F.sum("n").alias("df")).join(all_)
+    stats = cut(df.select(F.col("term").alias("s_term"), "avg", F.log((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")), "term_stats")
+    with_stats = lambda d: d.join(F.broadcast(stats), F.col("term") == F.col("s_term"))  # noqa: E731  a row for each term asked for
+    each = with_stats(t).select("block", (times * _part(F.col("idf"), F.col("max_tf"), F.col("min_len"))).alias("p"))
+    ub = cut(each.groupBy("block").agg(F.sum("p").alias("bound")), "bounds")
+    asked = with_stats(postings.where(F.col("term").isin(*set(terms))).select("term", "path", "tf"))
+
+    def scores(of: DataFrame) -> DataFrame:
+        of = F.broadcast(of.select(F.col("block").alias("b"))) if bounded(of) else of.select(F.col("block").alias("b"))
+        mine = lambda d: d.join(of, block_of(F.col("path"), blocks) == F.col("b"), "left_semi")
+        j = mine(asked).join(mine(docs), "path")
+        return j.groupBy("path").agg((-F.sum(times * _part(F.col("idf"), F.col("tf"), F.col("len")))).alias("score"))
+
+    first = ub.orderBy(F.desc("bound"), "block").limit(probe)
+    best = cut(scores(first).orderBy("score", "path").limit(k), "probed")
+    kth = best.agg(F.when(F.count("*") >= k, -F.max("score")).otherwise(0.0).alias("kth"))
+    # a little room for sums in another order
+    may = cut(ub.join(F.broadcast(kth)).where(F.col("bound") * (1 + 1e-9) >= F.col("kth")).select("block").union(first.select("block")).distinct(), "read")
+    return scores(may).orderBy("score", "path").limit(k), ub.agg(F.count("*").alias("n_blocks")).join(may.agg(F.count("*").alias("n_read")))
+
+
+def _snippet(text: str, terms: set[str], tokens: int, stems: bool) -> str:
+    """The window of so many tokens that holds the most different terms, then the most hits; a sentence's start is preferred, else hits are centred."""
+    spans = [m.span() for m in re.finditer("[a-z0-9]+", text.lower())]
+    words = [text[a:b].lower() for a, b in spans]
+    hits = [(i, x) for i, w in enumerate(words) if (x := porter(w) if stems else w) in terms]
+    if not hits:
+        return ""
+    n = len(spans)
+    sentence = [i for i, (a, _) in enumerate(spans) if not i or re.search(r"[.:][ \t\n\r]+\Z", text[max(0, a - 80) : a])]
+
+    def score(at: int) -> tuple[int, int]:
+        inside = [(i, t) for i, t in hits if at <= i < at + tokens]
+        value = 1000 * len({t for _, t in inside}) + len(inside) - len({t for _, t in inside})
+        first, last = (inside[0][0], inside[-1][0] + 1) if inside else (at, at)
+        centred = first - (tokens - (last - first)) // 2
+        return value, max(0, min(centred, n - tokens))
+
+    best, start = 0, 0
+    for i, _ in hits:
+        value, at = score(i)
+        if value > best:
+            best, start = value, at
+        if n > tokens:
+            s = max((x for x in sentence if x <= i), default=0)
+            if s < i and (value := score(s)[0] + (120 if s == 0 else 100)) > best:
+                best, start = value, s
+    end = min(n, start + tokens)
+    head = text[: spans[0][0]] if start == 0 else "…"
+    tail = text[spans[end - 1][1] :] if end == n else "…"
+    return head + text[spans[start][0] : spans[end - 1][1]] + tail
+
+
+def snippets(hits: DataFrame, files: DataFrame, terms: list[str], tokens: int = 24, stem: bool = False) -> DataFrame:
+    """hits (path, score; a few) with `snippet`: the best window of a file's text for the terms, "" if it holds none."""
+    wanted = {porter(t) if stem else t for t in terms}
+
+    @F.pandas_udf("string")
+    def window(texts: pd.Series) -> pd.Series:
+        return texts.fillna("").map(lambda t: _snippet(t, wanted, tokens, stem))
+
+    f = files.select(F.col("relative").alias("s_path"), F.col("content").alias("s_content"))
+    return f.join(F.broadcast(hits), hits.path == F.col("s_path"), "right").withColumn("snippet", window("s_content")).drop("s_path", "s_content")
+
+
 # Endings of steps 2 and 4 of Porter's algorithm.
 ENDINGS = (
     ("ational", "ate"),

@@ -8,9 +8,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import diagrams
 from ..operators import anchors, coerce, documents, explain, findings, heuristics, ordered, planning, score, search, segments, sinks, symbols
-from ..shared import shared_dir
-from ..sources import chunks
+from ..shared import cut, shared_dir
+from ..sources import chunks, store
 from ..sources import rules as report_rules
 from ..sources import scanners
 from . import views as V
@@ -31,7 +32,7 @@ def _query(oracle: str | None = None, **inputs: str):
         QUERIES[name] = run
         if oracle is not None:
             ctes = ", ".join(f"{k} AS ({re.sub(r'{(\w+)}', r'\1', sql)})" for k, sql in inputs.items())
-            ORACLES[name] = f"WITH {ctes}{', ' if not oracle.lstrip().upper().startswith('SELECT') else ' '}{oracle}" if ctes else oracle
+            ORACLES[name] = oracle if oracle in ORACLES.values() else f"WITH {ctes}{', ' if not oracle.lstrip().upper().startswith('SELECT') else ' '}{oracle}" if ctes else oracle
         return fn
 
     return add
@@ -455,6 +456,15 @@ def bm25_topk(spark, files):
     return search.query(p, d, [[t] for t in _TERMS], 20).select("path", F.round("score", 6).alias("score"))
 
 
+@_query(ORACLES["bm25_topk"], files=_CONTENT)
+def bm25_pruned(spark, files):
+    """bm25_topk's answer from the blocks of files whose bounds reach the best scores."""
+    p, d = (cut(x, "searched") for x in search.build(files, cap=None, only=_TERMS))
+    blocks = 1 << max(4, (d.count() // 64).bit_length())
+    out, _ = search.query_pruned(p, d, cut(search.bounds(p, d, blocks), "block_bounds"), blocks, _TERMS, 20)
+    return out.select("path", F.round("score", 6).alias("score"))
+
+
 #: Two snapshots of the files: some are new in the second, some gone, some changed.
 _OLD_FILES = _CONTENT + " AND doc_id % 7 <> 1"
 _NEW_FILES = _CONTENT.replace("text AS content", "CASE WHEN doc_id % 5 = 0 THEN concat(text, ' tion changed words') ELSE text END AS content") + " AND doc_id % 11 <> 2"
@@ -636,6 +646,53 @@ def report_sections(spark, issues, notes):
     return doc.groupBy("section").agg(F.count("*").alias("n_blocks"))
 
 
+_ORDERED = "SELECT row_number() OVER (ORDER BY section, lane, rank, file, line, ord)::BIGINT AS nth, block FROM b"
+_COUNTS = "'Critical ' || count(*) FILTER (severity = 'CRITICAL') || ', High ' || count(*) FILTER (severity = 'HIGH') || ', Medium ' || count(*) FILTER (severity = 'MEDIUM') || ', Low ' || count(*) FILTER (severity = 'LOW')"
+_EXAMPLE = "chr(10) || chr(10) || '```' || chr(10) || 'x = 1' || chr(10) || '```'"
+_CLOSING = "'_Suggested fixes are for review; nothing is changed by itself._'"
+_AT = "0 AS rank, '' AS file, 0 AS line, 0::BIGINT AS ord"
+
+
+def _in_order(document):
+    """Every block of a document with its place, from 1."""
+    return ordered.numbered(document, *map(F.col, documents.ORDER), name="nth").select((F.col("nth") + 1).alias("nth"), "block")
+
+
+@_query(
+    f"b AS (SELECT 0 AS section, 1 AS lane, {_AT}, '## Summary for review' || chr(10) || chr(10) || '**Gate confidence:** 80%' || chr(10) || '**Counts:** ' || {_COUNTS} || chr(10) || '**LLM:** bypassed (scanners clean at triage floor)' AS block FROM issues"
+    f" UNION ALL SELECT 1, 0, {_AT}, '## Suggested fixes (critical and high)' || CASE WHEN count(*) = 0 THEN chr(10) || chr(10) || '_No critical or high findings._' ELSE '' END FROM issues WHERE severity IN ('CRITICAL', 'HIGH')"
+    f" UNION ALL SELECT 1, 1, -({RANK}), file, line, ord, '#### [' || severity || '] ' || title || chr(10) || '- **Where:** `' || file || ':' || line || '`' || chr(10) || '- **Fix:** fix it' || CASE WHEN codeExample = 'x = 1' THEN chr(10) || '- **Example:**' || {_EXAMPLE} ELSE '' END FROM issues WHERE severity IN ('CRITICAL', 'HIGH')"
+    f" UNION ALL SELECT 2, 2, {_AT}, {_CLOSING}) {_ORDERED}",
+    issues=V.ISSUES,
+)
+def pr_summary_text(spark, issues):
+    """The whole summary, block by block, in order."""
+    return _in_order(documents.pr_summary(issues, _meta(spark)))
+
+
+_TIMED = V.ISSUES.replace(" AS locationVerified FROM", " AS locationVerified, CASE WHEN o_orderkey % 9 = 0 THEN 'immediately' ELSE 'before launch' END AS fixTiming FROM")
+_FIELD = "chr(10) || '- **{}:** ' || {}"
+
+
+@_query(
+    f"b AS (SELECT 0 AS section, 1 AS lane, {_AT}, '# Review report, 2026-01-02 03:04 UTC' || chr(10) || chr(10) || '**Mode:** `review`' || chr(10) || '**Generated:** 2026-01-02 03:04 UTC' || chr(10) || '**Duration:** 1m 1s (61s)' || chr(10) || '**Gate confidence:** 80%' || chr(10) || '**Commit go/no-go:** GO' || chr(10) || '**Push go/no-go:** NO-GO' AS block"
+    f" UNION ALL SELECT 1, 1, {_AT}, '## Gate verdict' || chr(10) || chr(10) || '- **Counts:** ' || {_COUNTS} || chr(10) || '- **LLM:** bypassed (scanners clean at triage floor)' FROM issues"
+    f" UNION ALL SELECT 2, 1, {_AT}, '## Finding fields' || chr(10) || {' || '.join(f"chr(10) || '{x}'" for x in ('- **Priority:** P1 security, P2 bugs and reliability, P3 architecture and quality.', '- **Fingerprint:** the issue' + chr(39) * 2 + 's identity over runs; **Occurrence:** this row of this report.', '- **Source:** `scanner`, `heuristic` or `llm`. **Location:** only verified ones go to SARIF.'))}"
+    + "".join(f" UNION ALL SELECT {3 + k}, 0, {_AT}, '## {label}' || CASE WHEN count(*) = 0 THEN chr(10) || chr(10) || '_No findings in this band._' ELSE '' END FROM issues WHERE priority = '{band}'" for k, (band, label) in enumerate((("P1", "P1 - Security"), ("P2", "P2 - Bugs, reliability, performance"), ("P3", "P3 - Architecture and quality"))))
+    + " UNION ALL SELECT CASE priority WHEN 'P1' THEN 3 WHEN 'P2' THEN 4 ELSE 5 END, 1, 0, '', 0, ord, '### [' || severity || '] ' || title || "
+    + " || ".join(_FIELD.format(n, c) for n, c in (("File", "file || ':' || line"), ("Category", "category"), ("Impact", "impact"), ("Why", "explanation"), ("Fix", "recommendedFix")))
+    + " || CASE WHEN codeExample = 'x = 1' THEN chr(10) || '```' || chr(10) || 'x = 1' || chr(10) || '```' ELSE '' END FROM issues"
+    f" UNION ALL SELECT 8, 0, {_AT}, '## Plan to fix' || CASE WHEN count(*) = 0 THEN chr(10) || chr(10) || '_No immediate findings._' ELSE '' END FROM issues WHERE fixTiming = 'immediately'"
+    " UNION ALL SELECT 8, 1, 0, '', 0, ord, '1. **' || title || '** (`' || file || ':' || line || '`): fix it' FROM issues WHERE fixTiming = 'immediately'"
+    f" UNION ALL SELECT 9, 0, {_AT}, '## Durability gaps' UNION ALL SELECT 9, 1, 0, '', 0, ord, '- [ ] ' || note FROM notes WHERE NOT starts_with(note, 'coverage:')"
+    f" UNION ALL SELECT 12, 1, {_AT}, {_CLOSING}) {_ORDERED}",
+    issues=_TIMED, notes=V.NOTES,
+)
+def report_text(spark, issues, notes):
+    """The whole report, block by block, in order."""
+    return _in_order(documents.report(issues, _meta(spark), gaps=notes.select("ord", F.col("note").alias("gap"))))
+
+
 _STEPS = ("Consider refactor of the larger parts as appropriate, once the tests are there", "Move load_all out", "Put it there -> b.py", "", "Refactor the thing that is long enough to be over forty-eight characters", "Write down what the next person has to read first, then ask them to act on it", "preload_all", "read LOADING.py first")
 _PLAN = f"SELECT o_orderkey AS ord, {V.pick('o_custkey', *_STEPS)} AS step, {V.pick('o_orderkey', 'load_all (10-20) -> src/loading.py', 'notes', 'person')} AS move FROM {{orders}}"
 
@@ -655,3 +712,81 @@ _LINES = """SELECT o_custkey AS answer, o_orderkey AS ord, CAST(o_orderkey % 10
 def captured_answers(spark, lines):
     """Captured lines of streamed answers put together, with a deadline of 8 seconds."""
     return chunks.fold(lines, "choices", 8.0)
+
+
+_BLOCK_LINES = """SELECT o_custkey AS answer, o_orderkey AS ord, CAST(o_orderkey % 9 AS DOUBLE) AS seconds, concat('data: ', CASE o_orderkey % 4 WHEN 0 THEN concat('{"type":"content_block_delta","delta":{"type":"text_delta","text":"', CAST(o_orderkey AS VARCHAR(20)), ';"}}') WHEN 1 THEN '{"type":"content_block_delta","delta":{"type":"input_json_delta","text":"no"}}' WHEN 2 THEN '{"type":"message_stop"}' ELSE '{"type":"ping","delta":{"type":"text_delta","text":"no"}}' END) AS line FROM {orders}"""
+
+
+@_query("SELECT answer, coalesce(string_agg(CASE WHEN ord % 4 = 0 THEN ord || ';' END, '' ORDER BY ord), '') AS text, CASE WHEN max(seconds) > 7.5 THEN 'late' WHEN count(*) FILTER (ord % 4 = 0) = 0 THEN 'empty' ELSE 'ok' END AS status FROM lines GROUP BY answer", lines=_BLOCK_LINES)
+def captured_blocks(spark, lines):
+    """Captured lines of the other dialect, with a deadline of 7.5 seconds."""
+    return chunks.fold(lines, "blocks", 7.5)
+
+
+_NL = "chr(10)"
+_DRAWN = f"""SELECT o_orderkey AS k, CASE o_orderkey % 8
+ WHEN 0 THEN concat('text', {_NL}, '```mermaid', {_NL}, 'flowchart TD', {_NL}, '  run_', CAST(o_orderkey AS VARCHAR(20)), '.py --> b.py', {_NL}, '```', {_NL}, 'more')
+ WHEN 1 THEN concat('graph LR', {_NL}, 'a', CAST(o_orderkey AS VARCHAR(20)), '(some label) ==> b["x y"]', {_NL}, 'note: dropped')
+ WHEN 2 THEN concat('```', {_NL}, 'x -.-> y', CAST(o_orderkey AS VARCHAR(20)), {_NL}, 'z -->', {_NL}, '```')
+ WHEN 3 THEN concat('no diagram ', CAST(o_orderkey AS VARCHAR(20)))
+ WHEN 4 THEN concat('flowchart LR', {_NL}, 'A---B', CAST(o_orderkey AS VARCHAR(20)))
+ WHEN 5 THEN concat('```mermaid', {_NL}, 'flowchart LR', {_NL}, CAST(o_orderkey AS VARCHAR(20)), ' → node/two')
+ WHEN 6 THEN concat('flowchart LR', {_NL}, 'lone', CAST(o_orderkey AS VARCHAR(20)), {_NL}, 'A --')
+ ELSE '' END AS raw FROM {{orders}}"""
+_TOLD = "'Textual diagram (Mermaid unavailable):' || chr(10) || '- Reason: invalid Mermaid after repair' || chr(10) || '- Flow: [problem] → [impact] → [fix options] → [next step]' || chr(10) || '- Raw attempt:' || chr(10) || "
+
+
+@_query(
+    "d AS (SELECT k, CASE k % 8 WHEN 0 THEN 'flowchart TD' || chr(10) || 'run_' || k || '_py---b_py' WHEN 1 THEN 'graph LR' || chr(10) || 'a' || k || '---b' WHEN 2 THEN 'flowchart LR' || chr(10) || 'x---y' || k WHEN 4 THEN raw WHEN 5 THEN 'flowchart LR' || chr(10) || 'n_' || k || '---node_two' END AS mermaid FROM answers)"
+    " SELECT k, CASE WHEN mermaid IS NULL THEN 'textual' ELSE 'mermaid' END AS kind, mermaid,"
+    f" CASE WHEN mermaid IS NULL THEN {_TOLD} CASE k % 8 WHEN 3 THEN 'no diagram ' || k WHEN 6 THEN 'flowchart LR' || chr(10) || 'lone' || k ELSE '(empty)' END END AS textual,"
+    " CASE k % 8 WHEN 2 THEN 'diagram.mermaid_repaired' WHEN 4 THEN NULL ELSE CASE WHEN mermaid IS NULL THEN 'diagram.mermaid_invalid' ELSE 'diagram.mermaid_normalized' END END AS note FROM d JOIN answers USING (k)",
+    answers=_DRAWN,
+)
+def diagrams_of_answers(spark, answers):
+    """Diagrams in model answers: normalised, repaired, or told in words."""
+    return answers.select("k", diagrams.result(F.col("raw")).alias("d")).select("k", "d.*")
+
+
+_TORN = """SELECT o_orderkey AS pass, substr(concat('{"confidence": 70, "gaps": ["g"], "issues": [', repeat('{"title":"T, } ]","line":"L12"},', 9), '{"title":"last"}]}'), 1, CAST(45 + o_orderkey % 320 AS INT)) AS raw, concat('cut ', CAST(o_orderkey % 7 AS VARCHAR(20))) AS error FROM {orders}"""
+
+
+@_query(
+    "n AS (SELECT pass, error, length(raw) AS n, 44 AS head, 31 AS one FROM answers), w AS (SELECT *, CASE WHEN n >= head + 9 * (one + 1) + 16 THEN 10 ELSE least(9, (n - head + 1) // (one + 1)) END AS whole FROM n)"
+    " SELECT pass, 70 AS confidence, whole AS n_findings, n < head + 9 * (one + 1) + 18 AS salvaged, 'g|llm.schema_invalid (pass: ' || pass || '): ' || error AS gaps FROM w",
+    answers=_TORN,
+)
+def salvaged_answers(spark, answers):
+    """Answers that were cut off: the findings that are whole in them, and a gap that tells the error."""
+    d = coerce.salvage(answers)
+    found = coerce.issues(d, "pass").groupBy(F.col("pass").alias("f_pass")).agg(F.count("*").alias("n"))
+    j = d.join(found, F.col("pass") == F.col("f_pass"), "left")
+    return j.select("pass", F.col("confidence").cast("int").alias("confidence"), F.coalesce("n", F.lit(0)).alias("n_findings"), "salvaged", F.array_join("gaps", "|").alias("gaps"))
+
+
+_PYTHON = f"""SELECT doc_id AS k, concat('f', CAST(doc_id AS VARCHAR(20)), '.py') AS relative, concat('def a', CAST(doc_id AS VARCHAR(20)), '():', {_NL}, repeat(concat('    x = 1', {_NL}), CAST(doc_id % 5 + 1 AS INT)), 'class K:', {_NL}, '    async def m(self):', {_NL}, '        pass', {_NL}, CASE WHEN doc_id % 4 = 0 THEN 'def broken(' ELSE '' END) AS content FROM {{documents}}"""
+
+
+@_query(
+    "f AS (SELECT relative, k, k % 5 + 1 AS n FROM files WHERE k % 4 <> 0) SELECT relative, 'function' AS kind, 'a' || k AS name, 1 AS start_line, (n + 1)::INT AS end_line FROM f"
+    " UNION ALL SELECT relative, 'class', 'K', (n + 2)::INT, (n + 4)::INT FROM f UNION ALL SELECT relative, 'async_method', 'K.m', (n + 3)::INT, (n + 4)::INT FROM f",
+    files=_PYTHON,
+)
+def python_outline(spark, files):
+    """Outlines of Python texts; one that doesn't parse has none."""
+    return symbols.symbols(files.select("relative", "content")).drop("n_symbols")
+
+
+_PARTS = f"""SELECT CAST(o_orderkey % 5 AS INT) AS part, CAST(floor(o_orderkey / 5) AS BIGINT) AS ord, concat({V.pick('o_custkey', 'scanner:osv missing ', 'gap ', 'coverage:sec.xxe: missed ')}, CAST(o_custkey % 90 AS VARCHAR(20))) AS gap FROM {{orders}}"""
+
+
+@_query("f AS (SELECT gap, min(part * 100000000000 + ord) AS at FROM gaps GROUP BY gap) SELECT row_number() OVER (ORDER BY at, gap) - 1 AS ord, gap FROM f", gaps=_PARTS)
+def merged_gaps(spark, gaps):
+    """Gaps of all passes in their order, each once."""
+    return findings.merge_gaps(gaps)
+
+
+@_query("SELECT CASE WHEN k % 6 = 0 THEN 'https://github.com/o' || k || '/r.x.git' WHEN k % 6 = 1 THEN 'https://github.com/a/b.git' END AS github, CASE WHEN k % 6 IN (0, 1) THEN 'https://bitbucket.org/' || CASE k % 6 WHEN 0 THEN 'o' || k || '/r.x' ELSE 'a/b' END || '.git' END AS bitbucket, CASE k % 6 WHEN 0 THEN 'https://huggingface.co/o' || k || '/r.x' WHEN 1 THEN 'https://huggingface.co/a/b.git' WHEN 2 THEN 'https://huggingface.co/datasets/d/' || k WHEN 3 THEN 'https://huggingface.co/m/' || k END AS hub, k FROM names", names="SELECT o_orderkey AS k, CASE o_orderkey % 6 WHEN 0 THEN concat(' o', CAST(o_orderkey AS VARCHAR(20)), '/r.x ') WHEN 1 THEN 'a/b.git' WHEN 2 THEN concat('/datasets/d/', CAST(o_orderkey AS VARCHAR(20))) WHEN 3 THEN concat('models/m/', CAST(o_orderkey AS VARCHAR(20))) WHEN 4 THEN 'a b/c' END AS name FROM {orders}")
+def source_addresses(spark, names):
+    """Where named repositories and hub ids are cloned from."""
+    return names.select("k", *[store.address(kind, F.col("name")).alias(kind) for kind in ("github", "bitbucket", "hub")])

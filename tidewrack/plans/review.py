@@ -38,8 +38,12 @@ def conform(issues: DataFrame, files: DataFrame, rules: DataFrame, feedback: Dat
     return findings.verify(findings.consistency(d))
 
 
-def run(files: DataFrame, scanner: DataFrame, rules: DataFrame, feedback: DataFrame, today: str, model: Callable[[DataFrame], DataFrame] | None = None, packs=("cloud",), mode: str = "review") -> dict[str, DataFrame]:
-    """inventory, issues, suppressed, tally, coverage, themes, gate. model: files to findings, off by default."""
+def run(files: DataFrame, scanner: DataFrame, rules: DataFrame, feedback: DataFrame, today: str, model: Callable[[DataFrame], DataFrame] | None = None, packs=("cloud",), mode: str = "review", full_audit: bool = True, registry: DataFrame | None = None, notes: DataFrame | None = None) -> dict[str, DataFrame]:
+    """inventory, issues, suppressed, tally, coverage, gaps, themes, gate, and with a registry of rules (id, band, enabled, body) passes and playbooks.
+
+    model: files to findings, off by default. The mode (review, sentinel, architecture) chooses the checklist's bands, the passes and
+    their texts, and the themes; notes (ord, note): what the passes said of their checklist.
+    """
     lane = planning.inventory(files, 10_000)
     heur = heuristics.run(lane, packs)
     parts = [scanner, heur, *([model(planning.inventory(files, 200))] if model else [])]
@@ -47,6 +51,10 @@ def run(files: DataFrame, scanner: DataFrame, rules: DataFrame, feedback: DataFr
     active = all_.where("mechanism is null")
     spark = files.sparkSession
     m = score.matrix(spark)
-    notes = spark.createDataFrame([], "ord int, note string")
-    cov = score.evaluate_coverage(m.select("ord", "id"), active, notes)
-    return {"inventory": lane, "issues": active, "suppressed": all_.where("mechanism is not null"), "tally": findings.tally(active), "coverage": cov, "themes": score.theme_breakdown(m, cov, active, full=True, mode=mode), "gate": findings.gate(active, "HIGH")}
+    mine = m.where(F.col("band").isin(*planning.MODE_BANDS[mode]) & (F.lit(full_audit) | ~F.col("full_audit_only")))
+    notes = spark.createDataFrame([], "ord int, note string") if notes is None else notes
+    cov = score.evaluate_coverage(mine.select("ord", "id"), active, notes)
+    out = {"inventory": lane, "issues": active, "suppressed": all_.where("mechanism is not null"), "tally": findings.tally(active), "coverage": cov, "gaps": score.rewrite_gaps(cov, notes.withColumnRenamed("note", "gap")), "themes": score.theme_breakdown(m, cov, active, full=full_audit or mode == "architecture", mode=mode), "gate": findings.gate(active, "HIGH")}
+    if registry is not None:
+        out |= {"passes": planning.deep_passes(registry, m, mode, full_audit), "playbooks": planning.playbooks(registry, mode, full_audit)}
+    return out

@@ -8,6 +8,8 @@ import tomllib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import ordered
+
 REASONS = ("false_positive", "wont_fix", "accepted_risk", "other")
 RULE = "ord int, stable_id string, file string, category string, reason string, note string, expires date"
 FEEDBACK = "stableId string, reason string, category string, file string, title string, note string, ts string"
@@ -34,6 +36,35 @@ def ignore_rules(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame(out, RULE)
 
 
+def faults(entries: DataFrame) -> DataFrame:
+    """entries (stable_id, file, category, reason, note, expires) with `fault`: why one is no rule, null if it is."""
+    has = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
+    why = F.when(~F.coalesce(F.col("reason"), F.lit("")).isin(*REASONS), f"reason must be one of {', '.join(REASONS)}").when(~has("stable_id") & ~(has("file") & has("category")), "needs stableId, or file and category")
+    return entries.withColumn("fault", why)
+
+
+def append_rules(store, entries: DataFrame) -> None:
+    """Add rules to a store's ignore log; if one of them is none, nothing is added."""
+    if bad := faults(entries).where("fault is not null").select("fault").first():
+        raise ValueError(bad["fault"])
+    store.append("ignore", entries.select("stable_id", "file", "category", "reason", "note", F.col("expires").cast("date").alias("expires"), F.current_timestamp().alias("added")))
+
+
+def appended_rules(store) -> DataFrame:
+    """The rules of a store's log as ignore_rules() gives them, in the order in which they came."""
+    d = store.log("ignore", "stable_id string, file string, category string, reason string, note string, expires date, added timestamp")
+    out = ordered.numbered(d, *map(F.col, ("added", "stable_id", "file", "category", "reason", "note", "expires")))
+    return out.select(F.col("ord").cast("int").alias("ord"), "stable_id", "file", "category", "reason", F.coalesce("note", F.lit("")).alias("note"), "expires")
+
+
+def ignore_text(rules: DataFrame) -> DataFrame:
+    """ord, text: each rule as an [[ignore]] table, which ignore_rules() reads."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    line = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{name} = "), quoted(c)))
+    fields = (("stableId", "stable_id"), ("file", "file"), ("category", "category"), ("reason", "reason"), ("note", "note"))
+    return rules.select("ord", F.concat_ws("\n", F.lit("[[ignore]]"), *[line(n, F.col(c)) for n, c in fields], line("expires", F.col("expires").cast("string"))).alias("text"))
+
+
 def feedback(spark: SparkSession, path: str) -> DataFrame:
     """An append-only JSON-lines log; lines that aren't objects are skipped."""
     return spark.read.schema(FEEDBACK).option("mode", "DROPMALFORMED").json(path)
