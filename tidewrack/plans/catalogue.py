@@ -752,7 +752,7 @@ _TORN = """SELECT o_orderkey AS pass, substr(concat('{"confidence": 70, "gaps":
 
 
 @_query(
-    "n AS (SELECT pass, error, length(raw) AS n, 44 AS head, 31 AS one FROM answers), w AS (SELECT *, CASE WHEN n >= head + 9 * (one + 1) + 16 THEN 10 ELSE least(9, (n - head + 1) // (one + 1)) END AS whole FROM n)"
+    "n AS (SELECT pass, error, length(raw) AS n, 45 AS head, 31 AS one FROM answers), w AS (SELECT *, CASE WHEN n >= head + 9 * (one + 1) + 16 THEN 10 ELSE least(9, (n - head + 1) // (one + 1)) END AS whole FROM n)"
     " SELECT pass, 70 AS confidence, whole AS n_findings, n < head + 9 * (one + 1) + 18 AS salvaged, 'g|llm.schema_invalid (pass: ' || pass || '): ' || error AS gaps FROM w",
     answers=_TORN,
 )
@@ -780,7 +780,7 @@ def python_outline(spark, files):
 _PARTS = f"""SELECT CAST(o_orderkey % 5 AS INT) AS part, CAST(floor(o_orderkey / 5) AS BIGINT) AS ord, concat({V.pick('o_custkey', 'scanner:osv missing ', 'gap ', 'coverage:sec.xxe: missed ')}, CAST(o_custkey % 90 AS VARCHAR(20))) AS gap FROM {{orders}}"""
 
 
-@_query("f AS (SELECT gap, min(part * 100000000000 + ord) AS at FROM gaps GROUP BY gap) SELECT row_number() OVER (ORDER BY at, gap) - 1 AS ord, gap FROM f", gaps=_PARTS)
+@_query("f AS (SELECT gap, min(part * 100000000000 + ord) AS place FROM gaps GROUP BY gap) SELECT row_number() OVER (ORDER BY place, gap) - 1 AS ord, gap FROM f", gaps=_PARTS)
 def merged_gaps(spark, gaps):
     """Gaps of all passes in their order, each once."""
     return findings.merge_gaps(gaps)
