@@ -1,6 +1,7 @@
 """The training-data queries do the whole job: inputs that an earlier form left out."""
 
 import itertools
+import math
 import random
 
 from tidewrack.llm import decontaminate, langid, stages
@@ -57,3 +58,37 @@ def test_language_id_learns_every_label(spark, monkeypatch):
     assert model.langs == [f"l{k:02}" for k in range(70)]
     monkeypatch.setattr(langid, "SAMPLE", 140)  # two documents of each
     assert langid.fit(docs).langs == model.langs
+
+
+def plain_prediction(model, text):
+    """lang and score of a text by the network's definition, number by number."""
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    raw, sums, weights = text.encode(), [0.0] * len(model.langs), 0
+    for at in range(0, max(1, len(raw)), langid.WINDOW):
+        x = raw[at : at + langid.WINDOW]
+        weight, x = max(1, len(x)), x.ljust(langid.WINDOW)
+        features = []
+        for w in langid.WIDTHS:
+            table, bias = model.tables[w].tolist(), model.bias[w].tolist()
+            for f in range(langid.FILTERS):
+                best = max(sum(table[j][x[i + j]][f] for j in range(w)) for i in range(len(x) - w + 1))
+                features.append(max(0.0, best + bias[f]))
+        z = [sum(a * d[k] for a, d in zip(features, model.dense.tolist(), strict=True)) + float(model.offset[k]) for k in range(len(model.langs))]
+        e = [math.exp(v - max(z)) for v in z]
+        sums = [s + weight * v / sum(e) for s, v in zip(sums, e, strict=True)]
+        weights += weight
+    best = max(range(len(sums)), key=lambda k: sums[k])
+    return model.langs[best], sums[best] / weights
+
+
+def test_predictions_equal_the_network_by_its_definition(spark):
+    r = random.Random(2)
+    rows = [(k, f"{'ab' if k % 2 else 'xy'}{'é' * (k % 3)} " * r.randint(2, 40), "l1" if k % 2 else "l2") for k in range(60)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    model.bias = {w: b + 0.1 * w for w, b in model.bias.items()}
+    texts = [None, "", "12 34", "a", "ab" * 128, "ab" * 128 + "x", "xyé " * 150, "Ω ß \U0001f600 x", *(t for _, t, _ in rows[:6])]
+    got = {x.doc_id: x for x in langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for k, t in enumerate(texts):
+        lang, score = plain_prediction(model, t)
+        assert got[k].lang_pred == lang and abs(got[k].score - score) < 1e-4, (k, t)
