@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import split_lines, strip
@@ -98,10 +98,7 @@ def fallback(body: Column, reason: str) -> Column:
     return F.concat(F.lit(head), snippet)
 
 
-def result(text: Column) -> Column:
-    """kind (mermaid or textual), mermaid, textual, note of a text's diagram: normalised, else repaired, else told in words."""
-    raw = extract(text)
-    body, mended = normalise(raw), repair(text)
+def _result(text: Column, raw: Column, body: Column, mended: Column) -> Column:
     none = F.lit(None).cast("string")
     row = lambda kind, mermaid, textual, note: F.struct(F.lit(kind).alias("kind"), mermaid.alias("mermaid"), textual.alias("textual"), note.alias("note"))
     good = row("mermaid", body, none, F.when(body != raw, NORMALISED))
@@ -110,6 +107,21 @@ def result(text: Column) -> Column:
     return F.when(is_valid(body), good).when(is_valid(mended), fixed).otherwise(told)
 
 
+def result(text: Column) -> Column:
+    """kind (mermaid or textual), mermaid, textual, note of a text's diagram: normalised, else repaired, else told in words."""
+    raw = extract(text)
+    return _result(text, raw, normalise(raw), repair(text))
+
+
+def drawn(answers: DataFrame, text: str) -> DataFrame:
+    """answers with `diagram`, the result() of a column; what it goes through is worked out once a row."""
+    steps = {"raw": extract(F.col("t")), "body": normalise(F.col("raw")), "mended": repair(F.col("t"))}
+    d = answers.select(F.struct(*[F.col(f"`{c}`") for c in answers.columns]).alias("row"), F.col(text).alias("t"))
+    for name, step in steps.items():
+        d = d.withColumn(name, step)
+    return d.select("row", _result(F.col("t"), F.col("raw"), F.col("body"), F.col("mended")).alias("diagram")).select("row.*", "diagram")
+
+
 def diagram(text: Column, otherwise: Column) -> Column:
     """A valid diagram from the text, repaired if need be, else something else."""
     return F.coalesce(result(text).getField("mermaid"), otherwise)

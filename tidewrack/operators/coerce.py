@@ -85,7 +85,7 @@ def needs_coercion(parsed: DataFrame) -> DataFrame:
     return parsed.withColumn("coerced", ~F.col("strict") | (kind(_get(d, "confidence")) == "STRING") | F.coalesce(odd, F.lit(False)))
 
 
-_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\Z)|[{}\[\],]', re.DOTALL)
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\\?\Z)|[{}\[\],]', re.DOTALL)
 
 
 def _closed(text: str | None) -> str | None:

@@ -745,7 +745,7 @@ _TOLD = "'Textual diagram (Mermaid unavailable):' || chr(10) || '- Reason: inval
 )
 def diagrams_of_answers(spark, answers):
     """Diagrams in model answers: normalised, repaired, or told in words."""
-    return answers.select("k", diagrams.result(F.col("raw")).alias("d")).select("k", "d.*")
+    return diagrams.drawn(answers, "raw").select("k", "diagram.*")
 
 
 _TORN = """SELECT o_orderkey AS pass, substr(concat('{"confidence": 70, "gaps": ["g"], "issues": [', repeat('{"title":"T, } ]","line":"L12"},', 9), '{"title":"last"}]}'), 1, CAST(45 + o_orderkey % 320 AS INT)) AS raw, concat('cut ', CAST(o_orderkey % 7 AS VARCHAR(20))) AS error FROM {orders}"""
