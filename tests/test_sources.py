@@ -95,6 +95,22 @@ def test_licences_of_several_documents(spark):
     assert scanners.supply_chain(raw.where("doc = 9")).first().gap == "sbom: no document"
 
 
+def test_licence_notes_are_cut_within_a_row(spark, tmp_path):
+    from tidewrack.plans import views
+    from tidewrack.plans.catalogue import QUERIES
+
+    c = [{"name": f"c{k}", "licenses": [{"license": {"id": "MIT"}}] if k % 3 else []} for k in range(90)]
+    raw = spark.createDataFrame([(1, json.dumps({"components": [None, *c]})), (2, json.dumps({"components": c[:2]}))], "doc int, json string")
+    notes = scanners.license_notes(raw)
+    assert [(n.doc, n.ord, n.note) for n in notes.collect()] == [(1, k + 1, f"c{k}: MIT") for k in range(60) if k % 3] + [(2, 1, "c1: MIT")]
+    plan = notes._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "Sort" not in plan
+    # a file of one group of rows is worked on by as many tasks as it has rows
+    part = spark.range(3 * views.DEALT).select(F.col("id").alias("p_partkey"), F.lit("b").alias("p_brand"), F.lit(1).alias("p_size"))
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert QUERIES["license_notes"](spark, str(tmp_path)).rdd.getNumPartitions() == 3
+
+
 def test_rewritten_gaps_keep_valid_notes(spark):
     cov = spark.createDataFrame([(0, "sec.xxe", "na"), (1, "arch.i18n", "missed"), (2, "arch.pwa", "missed"), (3, "rel.concurrency", "missed")], "ord int, id string, status string")
     gaps = ["coverage:sec.xxe: N/A - no xml parser in the tree", "coverage:arch.i18n: N/A - not reviewed", "coverage:arch.i18n: N/A - not reviewed", "scanner:osv missing", "x coverage:arch.pwa: missed y", "scanner:osv missing"]
