@@ -121,6 +121,20 @@ def test_cut_answers_keep_their_whole_findings(spark):
     assert [r.title for r in coerce.issues(d.where("pass = 'p1'"), "pass").orderBy("ord").collect()] == ['a "}] b\\', "two"]
 
 
+ODD = ['"text"', '" "', "3", "null", "[1]", "{}", '{"title":" "}', '{"name":"n","issue":{"title":"in","cwe":"c","line":4}}', '{"issue":{"description":"d","risk":null}}', '{"issue":3,"finding":{"Severity":"high","heading":"h"}}', '{"item":{"x":1}}', '{"title":{"a":1},"Severity":"p1","severity":null}', '{"details":"x","level":"LOW","Priority":"p3","snippet":"s","impact":" "}']
+
+
+def test_a_finding_is_read_once_for_all_its_names(spark):
+    d = coerce.reports(coerce.parse(spark.createDataFrame([(1, '{"issues":[' + ",".join(ODD) + "]}")], "k int, raw string")))
+    got = coerce.issues(d, "k")
+    rows = {r.ord: r for r in got.collect()}
+    assert sorted(rows) == [0, 1, 7, 8, 9, 11, 12]
+    assert (rows[7].title, rows[7].cwe, rows[7].line) == ("n", "c", 4) and (rows[8].title, rows[8].impact) == ("d", "") and (rows[9].severity, rows[9].impact, rows[9].title) == ("HIGH", "(no impact given: check by hand)", "h")
+    assert (rows[11].title, rows[11].severity) == ('{"a":1}', "HIGH") and (rows[12].severity, rows[12].priority, rows[12].codeExample, rows[12].title) == ("LOW", "P3", "s", "x")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_variant_get") < 60 and plan.count("try_parse_json") + plan.count("parseJson") < 5
+
+
 def test_what_needs_coercion(spark):
     raw = ['{"confidence": 9, "issues": [{"severity": "high"}]}', '{"confidence": "9", "issues": []}', '{"issues": ["text"]}', '{"issues": [{"severity": "crit"}]}', "```json\n{}\n```", "x {} y", "no", '{"issues": [{"severity": 3}]}']
     d = coerce.needs_coercion(coerce.parse(spark.createDataFrame(list(enumerate(raw)), "k int, raw string")))
