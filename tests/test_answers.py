@@ -135,6 +135,17 @@ def test_a_finding_is_read_once_for_all_its_names(spark):
     assert plan.count("try_variant_get") < 60 and plan.count("try_parse_json") + plan.count("parseJson") < 5
 
 
+def test_salvaged_answers_are_counted_in_their_rows(spark, tmp_path):
+    from tidewrack.plans.catalogue import QUERIES
+
+    d = coerce.reports(coerce.parse(spark.createDataFrame([(1, '{"issues":[' + ",".join(ODD) + "]}"), (2, "no"), (3, None)], "k int, raw string")))
+    assert [r.n for r in d.orderBy("k").select(coerce.n_issues(F.col("issues")).alias("n")).collect()] == [7, 0, 0]
+    spark.range(300).select(F.col("id").alias("o_orderkey")).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    out = QUERIES["salvaged_answers"](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == 300 and "Join" not in plan and "Aggregate" not in plan
+
+
 def test_what_needs_coercion(spark):
     raw = ['{"confidence": 9, "issues": [{"severity": "high"}]}', '{"confidence": "9", "issues": []}', '{"issues": ["text"]}', '{"issues": [{"severity": "crit"}]}', "```json\n{}\n```", "x {} y", "no", '{"issues": [{"severity": 3}]}']
     d = coerce.needs_coercion(coerce.parse(spark.createDataFrame(list(enumerate(raw)), "k int, raw string")))
