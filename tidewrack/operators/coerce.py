@@ -30,7 +30,7 @@ def parse(raw: DataFrame) -> DataFrame:
     d = raw.withColumn("_whole", F.try_parse_json(t)).withColumn("strict", _is_object(F.col("_whole")))
     d = d.withColumn("_part", F.when(~F.col("strict"), F.regexp_extract("raw", r"(?s)\{.*\}", 0)))
     d = d.withColumn("doc", F.when(F.col("strict"), F.col("_whole")).otherwise(F.try_parse_json(F.when(F.col("_part") != "", F.col("_part")))))
-    return d.select(*raw.columns, "doc", "strict")
+    return d.select(*[c for c in raw.columns if c not in ("doc", "strict")], "doc", "strict")
 
 
 def reports(parsed: DataFrame) -> DataFrame:
