@@ -58,6 +58,42 @@ def test_index_equals_a_fresh_build_after_each_difference(spark, tmp_path):
     assert len(list((tmp_path / "segments").iterdir())) == len(index.segments)
 
 
+def test_postings_are_made_within_the_texts_rows(spark, tmp_path, monkeypatch):
+    r = random.Random(4)
+    tree = {f"f{k}": " ".join(r.choice(["the", "é", "Tail", "x9-b", "w%d" % r.randint(0, 30)]) for _ in range(r.choice([0, 1, 9, 300]))) for k in range(40)} | {"…": "!"}
+    # a path that two rows have, and a null one, which differences don't know
+    twice = files(spark, tree).unionByName(spark.createDataFrame([("f1", "the the again"), (None, "the lost"), (None, "lost")], "relative string, content string"))
+    want = {}
+    for x in twice.where("trim(content) <> ''").select("relative", search.index_tokens(F.concat_ws(" ", "relative", "content")).alias("ts")).collect():
+        for k, t in enumerate(x.ts):
+            want.setdefault((t, x.relative), []).append(k)
+    monkeypatch.setattr(search, "TOGETHER", 64)
+    for lists in (search.build(twice, cap=None, packed=True)[0], search.pack(search.build(twice, cap=None)[0])):
+        assert {(x.term, x.path): (x.tf, x["at"]) for x in search.unpack(lists).collect()} == {k: (len(v), sorted(v)) for k, v in want.items()}
+    # tokens aren't dealt out: the one shuffle of a segment's write has lists
+    postings, _ = search.build(files(spark, tree), packed=True)
+    assert "Exchange" not in postings._jdf.queryExecution().executedPlan().toString()
+    got = search.phrase_frequencies(search.build(twice, cap=None)[0], [["the"], ["the", "again"]])
+    assert [(x.q, x.tf) for x in got.where("path = 'f1'").orderBy("q").collect()] == [(0, len(set(want["the", "f1"]))), (1, 1)]
+
+
+def test_differences_beyond_a_broadcast(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(segments, "bounded", lambda df: False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tree = {f"f{k}": f"w{k % 5} common tail" for k in range(30)}
+        new = {k: v + " changed" * (k < "f2") for k, v in tree.items() if k != "f7"}
+        index = segments.SegmentIndex(spark, str(tmp_path), buckets=4)
+        index.apply(files(spark, tree), diff(spark, {}, tree))
+        same(spark, index, tree)
+        index.apply(files(spark, new), diff(spark, tree, new))
+        same(spark, index, new)
+        plan = index.postings()._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_two_writers_both_count(spark, tmp_path):
     a, b = (segments.SegmentIndex(spark, str(tmp_path), buckets=2, fan=9) for _ in range(2))
     one, two = {"a": "one two"}, {"b": "two three"}

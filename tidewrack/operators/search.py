@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import bounded, cut, maybe_broadcast
 
 K1, B, MIN_IDF, CAP, MAX_TERMS = 1.2, 0.75, 1e-6, 80_000, 12
+#: Tokens of several texts that are grouped at a time, and the lists that they become.
+TOGETHER = 1 << 20
+LISTS = "term string, paths array<string>, ends array<int>, at array<int>"
 
 
 def index_tokens(text: Column) -> Column:
@@ -23,31 +29,110 @@ def query_terms(text: str) -> list[str]:
     return [t.lower() for t in re.findall(r"[A-Za-z_][A-Za-z0-9_]{2,}", text)][:MAX_TERMS]
 
 
-def build(files: DataFrame, stem: bool = False, cap: int | None = CAP, only: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """postings (term, path, tf, at: positions) and docs (path, len); blank files are left out.
+def _listed(words: pa.Array, term: np.ndarray, paths: pa.Array, tf: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """A row for each run of one term (numbers in words) of postings in order; at: all their places."""
+    first = np.flatnonzero(np.diff(term, prepend=-1))
+    cuts, sums = np.append(first, len(term)), np.append(0, np.cumsum(tf))
+    many, place = np.diff(cuts) + 1, np.arange(len(cuts))
+    ends = sums[np.arange(many.sum()) - np.repeat(place[:-1], many)] - np.repeat(sums[first], many)
+    arrays = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+    columns = words.take(pa.array(term[first])), arrays(cuts, paths), arrays(cuts + place, pa.array(ends, pa.int32())), arrays(sums[cuts], pa.array(at, pa.int32()))
+    return pa.RecordBatch.from_arrays(list(columns), ["term", "paths", "ends", "at"])
+
+
+def _of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of rows (path, ts: the tokens of a text); tokens never become rows."""
+    for b in batches:
+        cuts = b.column("ts").offsets.to_numpy()
+        lo = 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(cuts, cuts[lo] + TOGETHER, "right")) - 1)
+            n = np.diff(cuts[lo : hi + 1])
+            words = b.column("ts").values.slice(cuts[lo], cuts[hi] - cuts[lo]).dictionary_encode()
+            if len(words):
+                rows, most = np.repeat(np.arange(hi - lo), n), int(n.max())
+                at = np.arange(len(words)) - np.repeat(cuts[lo:hi] - cuts[lo], n)
+                # one number says term, row and place; several rows have few tokens, so it has less than 63 bits
+                group, at = np.divmod(np.sort((words.indices.to_numpy().astype(np.int64) * (hi - lo) + rows) * most + at), most)
+                first = np.flatnonzero(np.diff(group, prepend=-1))
+                term, row = np.divmod(group[first], hi - lo)
+                yield _listed(words.dictionary, term, b.column("path").take(pa.array(row + lo)), np.diff(np.append(first, len(group))), at)
+            lo = hi
+
+
+def _of_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of rows (term, path, at)."""
+    held, n = [], 0
+
+    def listed() -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        words = t["term"].combine_chunks().dictionary_encode()
+        code = words.indices.to_numpy()
+        order = np.argsort(code, kind="stable")
+        at = t["at"].combine_chunks().take(pa.array(order))
+        return _listed(words.dictionary, code[order], t["path"].combine_chunks().take(pa.array(order)), at.value_lengths().to_numpy(), at.flatten().to_numpy())
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += len(b.column("at").flatten())
+        if n >= TOGETHER:
+            yield listed()
+            held, n = [], 0
+    if held:
+        yield listed()
+
+
+def pack(postings: DataFrame) -> DataFrame:
+    """Postings as lists: a term with some of its files (paths), where each one's places end (ends, from 0) and all places (at)."""
+    return postings.select("term", "path", "at").mapInArrow(_of_postings, LISTS)
+
+
+def unpack(lists: DataFrame) -> DataFrame:
+    """The postings (term, path, tf, at) of lists; further columns stay."""
+    rest = [c for c in lists.columns if c not in ("term", "paths", "ends", "at")]
+    d = lists.select("term", F.posexplode("paths").alias("i", "path"), "ends", "at", *rest)
+    start = F.get("ends", F.col("i"))
+    tf = F.get("ends", F.col("i") + 1) - start
+    return d.select("term", "path", tf.cast("long").alias("tf"), F.slice("at", start + 1, tf).alias("at"), *rest)
+
+
+def build(files: DataFrame, stem: bool = False, cap: int | None = CAP, only: list[str] | None = None, packed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """postings (term, path, tf, at: positions; as lists if packed) and docs (path, len); blank files are left out.
 
     Only the first `cap` characters of a text are indexed, as in the reference; with None whole texts are. With `only`, just
-    these terms get postings (for one query over files that aren't indexed): other tokens never become rows.
+    these terms get postings (for one query over files that aren't indexed): other tokens never become rows. Postings are made
+    within the texts' rows; only those of paths that several rows have, and of words with one stem, are brought together.
     """
     text = F.col("content") if cap is None else F.substring("content", 1, cap)
     d = files.where(F.trim(F.coalesce("content", F.lit(""))) != "").select(F.col("relative").alias("path"), F.concat_ws(" ", "relative", text).alias("text"))
-    grouped = lambda t: t.groupBy("term", "path").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("at")).alias("at"))
-    placed = lambda ts: F.transform(ts, lambda t, i: F.struct(i.alias("at"), t.alias("term")))
+    ts = d.select("path", index_tokens(F.col("text")).alias("ts"))
+    formed = pack if packed else lambda p: p
     if only is not None and not stem:
         # one pass over the texts, for postings and lengths
-        ts = d.select("path", index_tokens(F.col("text")).alias("ts"))
-        hits = F.filter(placed("ts"), lambda x: x.getField("term").isin(*only))
+        hits = F.filter(F.transform("ts", lambda t, i: F.struct(i.alias("at"), t.alias("term"))), lambda x: x.getField("term").isin(*only))
         base = cut(ts.select("path", F.size("ts").cast("long").alias("len"), hits.alias("hits")), "hits")
-        return grouped(base.select("path", F.explode("hits").alias("x")).select("path", "x.*")), base.select("path", "len")
-    t = d.select("path", F.explode(placed(index_tokens(F.col("text")))).alias("x")).select("path", "x.*")
+        found = base.select("path", F.explode("hits").alias("x")).select("path", "x.*")
+        return formed(found.groupBy("term", "path").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("at")).alias("at"))), base.select("path", "len")
+    lists = lambda t: t.mapInArrow(_of_texts, LISTS)
+    together = lambda p: p.groupBy("term", "path").agg(F.sum("tf").alias("tf"), F.array_sort(F.flatten(F.collect_list("at"))).alias("at"))
+    marks = F.regexp_replace(F.lower("text"), "[a-z0-9]+", "x")
+    n = F.length(marks) - F.length(F.replace(marks, F.lit("x"), F.lit("")))
+    docs = d.select("path", n.cast("long").alias("len"))
     if stem:
         # distinct words are stemmed, not their occurrences
-        stems = t.select("term").distinct().select(F.col("term").alias("raw"), porter_udf()("term").alias("stem"))
+        p = unpack(lists(ts))
+        stems = p.select("term").distinct().select(F.col("term").alias("raw"), porter_udf()("term").alias("stem"))
         stems = cut(stems if only is None else stems.where(F.col("stem").isin(*only)), "stems")
-        t = t.join(maybe_broadcast(stems), F.col("term") == F.col("raw")).select("path", "at", F.col("stem").alias("term"))
-    marks = F.regexp_replace(F.lower("text"), "[a-z0-9]+", "x")
-    n = F.length(marks) - F.length(F.replace(marks, F.lit("x"), F.lit("")))
-    return grouped(t), d.select("path", n.cast("long").alias("len"))
+        return formed(together(p.join(maybe_broadcast(stems), F.col("term") == F.col("raw")).select(F.col("stem").alias("term"), "path", "tf", "at"))), docs
+    out = unpack if not packed else lambda x: x
+    twice = cut(files.groupBy(F.col("relative").alias("t_path")).count().where("count > 1").select("t_path"), "twice")
+    if twice.isEmpty():
+        return out(lists(ts)), docs
+    twice = maybe_broadcast(twice)
+    same = ts.path.eqNullSafe(twice.t_path)
+    once = lists(ts.join(twice, same, "left_anti"))
+    return out(once).unionByName(formed(together(unpack(lists(ts.join(twice, same, "left_semi")))))), docs
 
 
 def phrase_frequencies(postings: DataFrame, terms: list[list[str]]) -> DataFrame:

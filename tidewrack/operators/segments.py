@@ -1,7 +1,7 @@
 """An index that is kept up by differences: immutable segments of hash-bucketed postings, with tombstones.
 
 A version of the index is a manifest, a small file that names its segments from old to new. A segment has the postings of the
-files that one difference added or changed (in a folder for each bucket of terms, in files sorted by term), their
+files that one difference added or changed (as lists, in a folder for each bucket of terms, in files sorted by term), their
 lengths, and tombstones: the paths whose older entries are dead. Applying a difference reads the changed files and writes one
 segment; nothing that is there is read or rewritten. Reading merges: an entry counts if no newer segment has its path among
 the tombstones. Segments of a level are merged once there are FAN of them, so that an entry is rewritten once a level,
@@ -22,18 +22,23 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import hadoop, maybe_broadcast, names, put_if_absent, read_small
+from ..shared import bounded, cut, drop_cut, hadoop, names, put_if_absent, read_small
 from . import search
 
-#: Buckets of terms, segments of a level that are merged into one of the next, and files a bucket is written in at most.
-BUCKETS, FAN, SPREAD = 64, 8, 8
-POSTINGS = "term string, path string, tf long, at array<int>"
+#: Buckets of terms, and segments of a level that are merged into one of the next.
+BUCKETS, FAN = 64, 8
+POSTINGS = f"{search.LISTS}, bucket int"
 
 
 def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def _lookup(df: DataFrame) -> DataFrame:
+    """The small side of a join with texts or postings: broadcast, or hashed by partition, so that those aren't sorted."""
+    return F.broadcast(df) if bounded(df) else df.hint("shuffle_hash")
+
+
 class SegmentIndex:
     """Folder: manifests/<number>.json ({"buckets", "segments": [[name, level], ...]}), segments/<name>/{postings, docs, dead}."""
 
@@ -58,11 +63,10 @@ class SegmentIndex:
         self.number, self.segments = self.number + 1, segments
         return True
 
-    def _write(self, postings: DataFrame, docs: DataFrame, dead: DataFrame) -> str:
+    def _write(self, lists: DataFrame, docs: DataFrame, dead: DataFrame) -> str:
         name = uuid.uuid4().hex
-        p = postings.withColumn("bucket", bucket_of(F.col("term"), self.buckets))
-        # a bucket that holds a term of most files is written by several tasks
-        p = p.repartition(F.col("bucket"), F.pmod(F.xxhash64("path"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term", "path")
+        # a bucket of more than the advisory size of a partition is written by several tasks
+        p = lists.withColumn("bucket", bucket_of(F.col("term"), self.buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
         p.write.partitionBy("bucket").parquet(f"{self.folder}/segments/{name}/postings")
         docs.write.parquet(f"{self.folder}/segments/{name}/docs")
         dead.select("path").distinct().write.parquet(f"{self.folder}/segments/{name}/dead")
@@ -70,12 +74,18 @@ class SegmentIndex:
 
     def apply(self, files: DataFrame, diff: DataFrame, **options) -> bool:
         """Bring the index in step with a fingerprint diff (path, status); files: relative, content. False if nothing has changed."""
+        # several steps read it: texts are hashed once
+        diff = cut(diff.where("status in ('added', 'changed', 'deleted')").select("path", "status"), "difference")
         fresh = diff.where("status in ('added', 'changed')").select(F.col("path").alias("relative")).distinct()
-        stale = diff.where("status in ('added', 'changed', 'deleted')").select("path")
-        if stale.isEmpty():
+        if diff.isEmpty():
+            drop_cut(diff)
             return False
-        changed = files.join(maybe_broadcast(fresh), "relative", "left_semi")
-        name = self._write(*search.build(changed, **options), stale)
+        fresh = _lookup(fresh)
+        # of more than a broadcast, the paths are looked at first: texts stay where they are if all of them are new
+        every = not bounded(fresh) and files.select("relative").join(fresh, "relative", "left_anti").isEmpty()
+        changed = files if every else files.join(fresh, "relative", "left_semi")
+        name = self._write(*search.build(changed, packed=True, **options), diff)
+        drop_cut(diff)
         # the same segment serves any version: it names no other
         while not self._publish([*self.segments, (name, 0)]):
             self.refresh()
@@ -91,13 +101,18 @@ class SegmentIndex:
         return self.spark.createDataFrame([], f"{schema}, seg int") if out is None else out
 
     def _alive(self, d: DataFrame, segments: list[tuple[str, int]]) -> DataFrame:
-        """Rows of d whose path no newer segment has buried."""
+        """Rows of d whose path no newer segment has buried; those of the newest segment need no look."""
+        newest = d.where(F.col("seg") >= len(segments) - 1).drop("seg")
+        if len(segments) < 2:
+            return newest
+        d = d.where(F.col("seg") < len(segments) - 1)
         dead = self._read("dead", segments[1:], "path string").groupBy(F.col("path").alias("d_path")).agg((F.max("seg") + 1).alias("until"))
-        return d.join(maybe_broadcast(dead), d.path == F.col("d_path"), "left").where(F.coalesce(F.col("seg") >= F.col("until"), F.lit(True))).drop("seg", "d_path", "until")
+        old = d.join(_lookup(dead), d.path == F.col("d_path"), "left").where(F.coalesce(F.col("seg") >= F.col("until"), F.lit(True)))
+        return old.drop("seg", "d_path", "until").unionByName(newest)
 
     def postings(self, terms: list[str] | None = None) -> DataFrame:
         """term, path, tf, at: all of them, or those of some terms, for which only their buckets' folders are read."""
-        d = self._read("postings", self.segments, f"{POSTINGS}, bucket int")
+        d = search.unpack(self._read("postings", self.segments, POSTINGS))
         if terms is not None:
             sums = self.spark.range(1).select(F.explode(F.array(*[bucket_of(F.lit(t), self.buckets) for t in terms])).alias("b")).collect()
             d = d.where(F.col("bucket").isin(sorted({r["b"] for r in sums})) & F.col("term").isin(*terms))
@@ -120,8 +135,9 @@ class SegmentIndex:
             lo, hi = run
             parts, level = self.segments[lo:hi], self.segments[lo][1]
             dead = self._read("dead", parts, "path string").drop("seg")
-            live = lambda part, schema: self._alive(self._read(part, parts, schema), parts)  # noqa: E731, B023
-            name = self._write(live("postings", f"{POSTINGS}, bucket int").drop("bucket"), live("docs", "path string, len long"), dead if lo else dead.limit(0))
+            postings = self._alive(search.unpack(self._read("postings", parts, POSTINGS)), parts)
+            docs = self._alive(self._read("docs", parts, "path string, len long"), parts)
+            name = self._write(search.pack(postings), docs, dead if lo else dead.limit(0))
             while not self._publish([*self.segments[:lo], (name, level + 1), *self.segments[hi:]]):
                 self.refresh()
                 at = [k for k in range(len(self.segments)) if self.segments[k : k + len(parts)] == parts]
