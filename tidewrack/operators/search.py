@@ -142,9 +142,14 @@ def phrase_frequencies(postings: DataFrame, terms: list[list[str]]) -> DataFrame
     want = F.broadcast(spark.createDataFrame(rows, "q int, k int, word string, n int"))
     # a filter on a grouping column goes below the grouping: only the postings asked for are shuffled
     asked = postings.where(F.col("term").isin(sorted({w for _, _, w, _ in rows})))
-    hit = asked.join(want, asked.term == want.word).select("q", "n", "path", F.explode("at").alias("p"), "k")
+    hit = asked.join(want, asked.term == want.word)
+    # a single word's occurrences are its places
+    out = hit.where("n = 1").select("q", "path", F.size(F.array_distinct("at")).cast("long").alias("tf"))
+    if all(len(ws) == 1 for ws in terms):
+        return out
+    hit = hit.where("n > 1").select("q", "n", "path", F.explode("at").alias("p"), "k")
     starts = hit.groupBy("q", "n", "path", (F.col("p") - F.col("k")).alias("start")).agg(F.count_distinct("k").alias("c")).where("c = n")
-    return starts.groupBy("q", "path").agg(F.count("*").alias("tf"))
+    return out.unionByName(starts.groupBy("q", "path").agg(F.count("*").alias("tf")))
 
 
 def snippet(hits: DataFrame, files: DataFrame, term: str, around: int = 60) -> DataFrame:
