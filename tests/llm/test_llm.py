@@ -442,6 +442,15 @@ def test_suffix_dedup_edges(spark):
     assert sorted((str(x.doc_id), x.n_bytes, x.n_removed) for x in got) == [("7", 400, 0), ("7", 400, 400), ("7", 400, 400), ("None", 0, 0)]
 
 
+def test_ranges_that_occur_once_are_not_looked_up(spark, monkeypatch):
+    r, joined, bounded = random.Random(6), [], suffix.bounded
+    text = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    monkeypatch.setattr(suffix, "bounded", lambda df, *a: joined.append(df.count()) if "s_h" in df.columns else bounded(df, *a))
+    shared = text(200)
+    got = suffix.remove_repeats(frame(spark, [text(90) + shared + text(90), text(70) + shared + text(50)])).collect()
+    assert [x.n_removed for x in got] == [200, 200] and joined == [0]
+
+
 def test_transforms_merge_to_the_order_of_all():
     r = random.Random(7)
     strings = ["".join(r.choice("ab") for _ in range(r.randint(200, 330))).encode() for _ in range(9)]

@@ -268,7 +268,7 @@ def _decided(strings: list[bytes], again: list[bool]) -> list[list[tuple[int, in
 
 
 def _bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    """s_h, s_r1, s_r2, start, end (in the string) of a bucket's different ranges, whole anchors at a time."""
+    """What is repeated (start, end: in the string) of a bucket's different ranges (s_...), whole anchors at a time."""
     pdf = pdf.drop_duplicates(["h", "r1", "r2"]).sort_values("h", kind="stable")  # equal documents bring equal strings
     h, strings, again = pdf["h"].to_numpy(), list(pdf["s"]), pdf["again"].tolist()
     edge = [0, *(np.flatnonzero(h[1:] != h[:-1]) + 1).tolist(), len(h)]
@@ -283,15 +283,17 @@ def _bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     runs += _decided(strings[start:], again[start:])
     out = [(i, s, e) for i, x in enumerate(runs) for s, e in x]
     i = [x[0] for x in out]
-    return pd.DataFrame({"s_h": h[i], "s_r1": pdf["r1"].to_numpy()[i], "s_r2": pdf["r2"].to_numpy()[i], "start": [x[1] for x in out], "end": [x[2] for x in out]})
+    ranges = {f"s_{n}": pdf[n].to_numpy()[i] for n in ("h", "r1", "r2", "again", "doc", "tk", "lo")}
+    return pd.DataFrame(ranges | {"start": [x[1] for x in out], "end": [x[2] for x in out]})
 
 
 @lean
 def _strings(batches):
     for pdf in batches:
         texts = (t.encode() for t in pdf["text"])
-        rows = [(w["h"], w["r1"], w["r2"], w["again"], t[w["lo"] : w["hi"] + WINDOW]) for t, ws in zip(texts, pdf["ws"], strict=True) for w in ws]
-        yield pd.DataFrame({n: [x[k] for x in rows] for k, n in enumerate(("h", "r1", "r2", "again", "s"))})
+        each = zip(texts, pdf["tk"].tolist(), pdf["ws"], strict=True)
+        rows = [(w["h"], w["r1"], w["r2"], w["again"], t[w["lo"] : w["hi"] + WINDOW], w["doc"], tk, w["lo"]) for t, tk, ws in each for w in ws]
+        yield pd.DataFrame({n: [x[k] for x in rows] for k, n in enumerate(("h", "r1", "r2", "again", "s", "doc", "tk", "lo"))})
 
 
 def _release(df: DataFrame, *old: DataFrame) -> DataFrame:
@@ -305,10 +307,14 @@ def _release(df: DataFrame, *old: DataFrame) -> DataFrame:
     return df
 
 
-def _with_texts(docs: DataFrame, per: DataFrame, *columns: str | Column) -> DataFrame:
-    """doc_id, tk, text, ws: each document with its different rows of per, under these columns; equal documents have equal ones."""
+def _with_texts(docs: DataFrame, per: DataFrame, *columns: str | Column, common: bool = False) -> DataFrame:
+    """doc_id, tk, text, ws: each document with its different rows of per, under these columns; equal documents have equal ones.
+
+    common: per is of anchors that are too common, which few documents have, so that texts need not be shuffled for it.
+    """
+    few = common and bounded(per)
     per = per.groupBy("doc_id", "tk").agg(F.collect_set(F.struct(*columns)).alias("ws")).withColumnsRenamed({"doc_id": "d", "tk": "t"})
-    return docs.join(per, docs.doc_id.eqNullSafe(per.d) & (docs.tk == per.t)).select("doc_id", "tk", "text", "ws")
+    return docs.join(F.broadcast(per) if few else per, docs.doc_id.eqNullSafe(per.d) & (docs.tk == per.t)).select("doc_id", "tk", "text", "ws")
 
 
 def _varied(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -338,19 +344,25 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         if hot.limit(1).count():
             hot = cut(hot, "hot")
             wide = _by_anchor(rows, hot, "left_semi")
-            parts = _with_texts(docs, wide, "lo", "hi", "at", least, most).mapInPandas(_halves, _RANGE + ", least int, most int")
+            parts = _with_texts(docs, wide, "lo", "hi", "at", least, most, common=True).mapInPandas(_halves, _RANGE + ", least int, most int")
             more = _release(cut(parts, "ranges"), hot)
         need = _by_anchor(kinds, several, "left").where(F.coalesce(F.col("v") <= HOT, F.col("n") > 1))
         need = need.select("h", "r1", "r2", (F.col("n") > 1).alias("again"), "doc_id", "tk", "lo", "hi")
-        strings = _with_texts(docs, need, "h", "r1", "r2", "again", "lo", "hi")
-        strings = cut(strings.mapInPandas(_strings, "h long, r1 long, r2 long, again boolean, s binary"), "strings")
+        doc = F.col("doc_id").cast("string").alias("doc")  # pandas would make numbers with nulls floats
+        strings = _with_texts(docs, need, "h", "r1", "r2", "again", "lo", "hi", doc, common=spans is not None)
+        strings = cut(strings.mapInPandas(_strings, "h long, r1 long, r2 long, again boolean, s binary, doc string, tk long, lo int"), "strings")
         _release(strings, kinds, several)
         size = strings.agg(F.sum(F.length("s"))).first()[0] or 0
         bucket = F.pmod(F.xxhash64("h"), F.lit(max(1, -(-size // BUCKET))))
-        runs = strings.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(_bucket, "s_h long, s_r1 long, s_r2 long, start int, end int")
+        ranges = "s_h long, s_r1 long, s_r2 long, s_again boolean, s_doc string, s_tk long, s_lo int, start int, end int"
+        runs = strings.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(_bucket, ranges)
         runs = _release(cut(runs, "runs"), strings)
-        found = rows.join(F.broadcast(runs) if bounded(runs) else runs, (F.col("h") == F.col("s_h")) & (F.col("r1") == F.col("s_r1")) & (F.col("r2") == F.col("s_r2")))
-        found = cut(found.select("doc_id", "tk", (F.col("lo") + F.col("start")).alias("start"), (F.col("lo") + F.col("end")).alias("end")), "spans")
+        # a range that occurs once has its place with it; only those that occur again are looked up among all
+        many = runs.where("s_again").select("s_h", "s_r1", "s_r2", "start", "end")
+        places = lambda d, t, lo: [d.alias("doc_id"), t.alias("tk"), (lo + F.col("start")).alias("start"), (lo + F.col("end")).alias("end")]
+        one = runs.where("not s_again").select(*places(F.col("s_doc").cast("long"), F.col("s_tk"), F.col("s_lo")))
+        found = rows.join(F.broadcast(many) if bounded(many) else many, (F.col("h") == F.col("s_h")) & (F.col("r1") == F.col("s_r1")) & (F.col("r2") == F.col("s_r2")))
+        found = cut(found.select(*places(F.col("doc_id"), F.col("tk"), F.col("lo"))).unionAll(one), "spans")
         _release(found, rows, runs)
         spans, rows, least, most = found if spans is None else spans.unionAll(found), more, F.col("least"), F.col("most")
     return spans
