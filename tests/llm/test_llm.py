@@ -261,6 +261,35 @@ def test_coder_on_prose():
     assert bits < entropy(ids) - 0.4 and bits < 8 * len(zlib.compress(ids.tobytes(), 6)) / len(ids) - 1.4
 
 
+def test_coder_learns_from_all_blocks():
+    """Ids that follow each other in one block are expected in the others: a block is too short to learn 4,000 contexts by itself."""
+    r = np.random.default_rng(32)
+    follows, ids = r.permutation(4000), [0]
+    for jump in r.random(30 * coder.BLOCK):
+        ids.append(int(follows[ids[-1]]) if jump < 0.9 else int(jump * 40_000) % 4000)
+    ids = np.array(ids)
+    f = coder.encode(ids)
+    assert 8 * len(f) / len(ids) < 0.6 * entropy(ids) and (coder.decode(f) == ids).all()
+
+
+def test_batch_of_texts():
+    """A batch's ids are the tokenizer's, whatever stands beside what."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    r = random.Random(4)
+    bits = ["a", "B", "z", "\u00e9", "\u00c9", "H\u0331", "\u1e96", "\u0331", "'s", "'S", "n't", "...", ".", " ", "  ", "\n", "\x0b", "\x1c", "\u00a0", "12", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "\u017f", "\u212a", "\u0130", "\u0130.", "\u03a3", "\u00df", "\u2026", "-", "'", "\u65e5", "_", "\u0301", "(", "the", "\u00d7", "\u00f7.", "\u0149,", "\u01c5", "\u024f1", "\u00aa", "\u00b5"]
+    encode, tokenizer = tokens.Encoder(tokens.vocabulary()), Tokenizer.from_file(tokens.vocabulary())
+    assert encode.words.plain
+    for special in (True, False):
+        ts = ["".join(r.choices([b for b in bits if special or "<|" not in b], k=r.randint(0, 40))) for _ in range(400)] + [None, "", " "]
+        for k in range(0, len(ts), 40):
+            part = pa.array(ts, pa.string()).slice(k, 40)
+            ids, lens = encode.batch(part)
+            want = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for t in part.to_pylist()]
+            assert lens.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+
+
 def test_code_lengths_are_a_tree():
     for counts in ([1], [1, 1], [1, 2, 4, 8, 16], [1 << k for k in range(45)], [3] * 1000):
         lens = coder.code_lengths(np.array(counts))
