@@ -77,6 +77,22 @@ def test_postings_are_made_within_the_texts_rows(spark, tmp_path, monkeypatch):
     assert [(x.q, x.tf) for x in got.where("path = 'f1'").orderBy("q").collect()] == [(0, len(set(want["the", "f1"]))), (1, 1)]
 
 
+def test_the_kept_up_index_is_merged(spark):
+    from tidewrack.plans import catalogue
+    from tidewrack.shared import names
+
+    tree = {f"f{k}": f"w{k % 5} common tail" for k in range(20)}
+    new = {k: v + " changed" * (k < "f11") for k, v in tree.items() if k != "f7"} | {"g": "late w1", "blank": " "}
+    index = catalogue._kept_up(spark, files(spark, tree), files(spark, new))
+    # one segment of the next level, which has no entry of files that have changed or gone, and nothing else is left
+    assert [level for _, level in index.segments] == [1]
+    stored = search.unpack(index._read("postings", index.segments, segments.POSTINGS))
+    assert rows(stored.select("term", "path", "tf")) == rows(search.build(files(spark, new), cap=None)[0].select("term", "path", "tf"))
+    assert index._read("dead", index.segments, "path string").isEmpty()
+    assert names(spark, f"{index.folder}/segments") == [index.segments[0][0]]
+    same(spark, index, new)
+
+
 def test_differences_beyond_a_broadcast(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(segments, "bounded", lambda df: False)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

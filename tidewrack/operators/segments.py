@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import bounded, cut, drop_cut, hadoop, names, put_if_absent, read_small
+from ..shared import bounded, cut, drop_cut, free_shuffles, hadoop, names, put_if_absent, read_small
 from . import search
 
 #: Buckets of terms, and segments of a level that are merged into one of the next.
@@ -133,6 +133,8 @@ class SegmentIndex:
         done = 0
         while run := self._run():
             lo, hi = run
+            # a merge shuffles its parts again: what writing them has shuffled goes first
+            free_shuffles(self.spark)
             parts, level = self.segments[lo:hi], self.segments[lo][1]
             dead = self._read("dead", parts, "path string").drop("seg")
             postings = self._alive(search.unpack(self._read("postings", parts, POSTINGS)), parts)

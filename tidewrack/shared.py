@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -51,6 +52,12 @@ def drop_cut(*tables: DataFrame) -> None:
             fs.delete(p, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let go of finished queries' shuffle files, which Spark keeps until the driver's JVM happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def last(df: DataFrame, what: str, *tables: DataFrame) -> DataFrame:
     """cut(df), after which the tables that it was made of are deleted."""
     out = cut(df, what)
