@@ -111,6 +111,22 @@ def test_licence_notes_are_cut_within_a_row(spark, tmp_path):
     assert QUERIES["license_notes"](spark, str(tmp_path)).rdd.getNumPartitions() == 3
 
 
+def test_the_query_notes_every_licensed_component(spark, tmp_path):
+    from tidewrack.plans.catalogue import ORACLES, QUERIES
+
+    part = spark.range(100).select(F.col("id").alias("p_partkey"), F.lit("b").alias("p_brand"), F.lit(1).alias("p_size"))
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    got = QUERIES["license_notes"](spark, str(tmp_path))
+    head = [(0, "n@1: MIT, b"), (1, "package: LGPL-2.1 [copyleft — review distribution obligations]"), (3, "odd: unknown")]
+    want = [(k, *x) for k in range(100) for x in [*head, *((4 + i, "m: X") for i in range(k % 50))]]
+    assert sorted(map(tuple, got.collect())) == want
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    assert sorted(db.execute(ORACLES["license_notes"]).fetchall()) == want
+
+
 def test_rewritten_gaps_keep_valid_notes(spark):
     cov = spark.createDataFrame([(0, "sec.xxe", "na"), (1, "arch.i18n", "missed"), (2, "arch.pwa", "missed"), (3, "rel.concurrency", "missed")], "ord int, id string, status string")
     gaps = ["coverage:sec.xxe: N/A - no xml parser in the tree", "coverage:arch.i18n: N/A - not reviewed", "coverage:arch.i18n: N/A - not reviewed", "scanner:osv missing", "x coverage:arch.pwa: missed y", "scanner:osv missing"]
