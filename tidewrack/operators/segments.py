@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ from . import search
 
 #: Buckets of terms, and segments of a level that are merged into one of the next.
 BUCKETS, FAN = 64, 8
+#: Portions of its buckets that a merge shuffles one after another.
+PORTIONS = 4
 POSTINGS = f"{search.LISTS}, bucket int"
 
 
@@ -63,11 +66,13 @@ class SegmentIndex:
         self.number, self.segments = self.number + 1, segments
         return True
 
-    def _write(self, lists: DataFrame, docs: DataFrame, dead: DataFrame) -> str:
+    def _write(self, lists: Iterable[DataFrame], docs: DataFrame, dead: DataFrame) -> str:
+        """Write a segment; lists: its postings, in one or more portions that have no bucket in common."""
         name = uuid.uuid4().hex
-        # a bucket of more than the advisory size of a partition is written by several tasks
-        p = lists.withColumn("bucket", bucket_of(F.col("term"), self.buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
-        p.write.partitionBy("bucket").parquet(f"{self.folder}/segments/{name}/postings")
+        for part in lists:
+            # a bucket of more than the advisory size of a partition is written by several tasks
+            p = part.withColumn("bucket", bucket_of(F.col("term"), self.buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
+            p.write.mode("append").partitionBy("bucket").parquet(f"{self.folder}/segments/{name}/postings")
         docs.write.parquet(f"{self.folder}/segments/{name}/docs")
         dead.select("path").distinct().write.parquet(f"{self.folder}/segments/{name}/dead")
         return name
@@ -84,7 +89,8 @@ class SegmentIndex:
         # of more than a broadcast, the paths are looked at first: texts stay where they are if all of them are new
         every = not bounded(fresh) and files.select("relative").join(fresh, "relative", "left_anti").isEmpty()
         changed = files if every else files.join(fresh, "relative", "left_semi")
-        name = self._write(*search.build(changed, packed=True, **options), diff)
+        lists, docs = search.build(changed, packed=True, **options)
+        name = self._write([lists], docs, diff)
         drop_cut(diff)
         # the same segment serves any version: it names no other
         while not self._publish([*self.segments, (name, 0)]):
@@ -133,13 +139,10 @@ class SegmentIndex:
         done = 0
         while run := self._run():
             lo, hi = run
-            # a merge shuffles its parts again: what writing them has shuffled goes first
-            free_shuffles(self.spark)
             parts, level = self.segments[lo:hi], self.segments[lo][1]
             dead = self._read("dead", parts, "path string").drop("seg")
-            postings = self._alive(search.unpack(self._read("postings", parts, POSTINGS)), parts)
             docs = self._alive(self._read("docs", parts, "path string, len long"), parts)
-            name = self._write(search.pack(postings), docs, dead if lo else dead.limit(0))
+            name = self._write(self._merged(parts), docs, dead if lo else dead.limit(0))
             while not self._publish([*self.segments[:lo], (name, level + 1), *self.segments[hi:]]):
                 self.refresh()
                 at = [k for k in range(len(self.segments)) if self.segments[k : k + len(parts)] == parts]
@@ -149,6 +152,14 @@ class SegmentIndex:
             done += 1
         return done
 
+    def _merged(self, parts: list[tuple[str, int]]) -> Iterator[DataFrame]:
+        """The postings of some segments as lists of one, a portion of the buckets at a time; what was shuffled before goes first."""
+        n = min(PORTIONS, self.buckets)
+        for k in range(n):
+            free_shuffles(self.spark)
+            some = self._read("postings", parts, POSTINGS).where(F.col("bucket").isin(list(range(k, self.buckets, n))))
+            yield search.pack(self._alive(search.unpack(some), parts))
+
     def _run(self) -> tuple[int, int] | None:
         for lo in range(len(self.segments)):
             hi = lo
